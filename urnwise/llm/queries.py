@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .fertility import op9_fertility
+from .line_dedup import op5_line_dedup
 from .near_vectors import op2_near_vectors
+from .ngram_join import op4_ngram_join
 from .packing import op10_packing
 from .quality import op3_quality
 from .shards import OP6_SQL, op6_shards
 from .token_counts import op7_token_counts
 from .url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_near_vectors, op3_quality, op6_shards, op7_token_counts, op8_url_filter, op9_fertility, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_near_vectors, op3_quality, op4_ngram_join, op5_line_dedup, op6_shards, op7_token_counts, op8_url_filter, op9_fertility, op10_packing)}
 ORACLE_SQL = {"op6_shards": OP6_SQL, "op8_url_filter": OP8_SQL}
