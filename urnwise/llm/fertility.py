@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,12 +64,31 @@ class Vocabularies:
 
     def reset(self) -> None:
         self.known: dict[int, int] = {}
-        self.n_bytes, self.n_back, self.first = [], [], [0]
-        self.ids: list[np.ndarray] = []
-        self.held = 0
-
-    def look_up(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, h: np.ndarray):
-        """For each word: tokens, fallback pieces, and (flat piece ids, begin and count in them)."""
+        self.used = self.words = 0
+        self.ids = np.zeros(1 << 16, np.int32)  # pieces of all known words, one after the other
+        self.of_word = np.zeros((1 << 14, 4), np.int64)  # byte-level tokens, fallback pieces, begin and number of pieces
+
+    @staticmethod
+    def room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros((max(n, 2 * len(a)) - len(a), *a.shape[1:]), a.dtype)])
+
+    def learn(self, keys: list[int], words: list[str]) -> None:
+        ids = self.pieces.encode(words, num_threads=1)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        fall = np.concatenate([[0], np.cumsum(self.fallback[flat])])
+        begin = np.cumsum(size) - size
+        encode = self.bytes.encode_ordinary
+        own = np.stack([np.fromiter((len(encode(" " + w)) for w in words), np.int64, len(words)), fall[begin + size] - fall[begin], begin + self.used, size], axis=1)
+        self.ids, self.of_word = self.room(self.ids, self.used + len(flat)), self.room(self.of_word, self.words + len(words))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.of_word[self.words : self.words + len(words)] = own
+        self.known.update(zip(keys, range(self.words, self.words + len(words)), strict=True))
+        self.used += len(flat)
+        self.words += len(words)
+
+    def look_up(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """A row of `of_word` for each word."""
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_WORDS:
             self.reset()
@@ -76,21 +96,8 @@ class Vocabularies:
         new = [i for i, k in enumerate(keys) if k not in self.known]
         if new:
             at = first[new]
-            words = [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
-            for i, ids, other in zip(new, self.pieces.encode(words, num_threads=1), [self.bytes.encode_ordinary(" " + w) for w in words], strict=True):
-                self.known[keys[i]] = len(self.n_bytes)
-                ids = np.array(ids, np.uint16 if self.size < 65536 else np.int32)
-                self.ids.append(ids)
-                self.n_bytes.append(len(other))
-                self.n_back.append(int(self.fallback[ids].sum()))
-        slots = [self.known[k] for k in keys]
-        ids = [self.ids[s] for s in slots]
-        count = np.array(list(map(len, ids)), np.int64)
-        start = np.cumsum(count) - count
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        tokens = np.array([self.n_bytes[s] for s in slots], np.int64)
-        fall = np.array([self.n_back[s] for s in slots], np.int64)
-        return tokens[back], fall[back], flat, start[back], count[back]
+            self.learn([keys[i] for i in new], [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+        return self.of_word[np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))][back]
 
 
 @lru_cache(maxsize=2)
@@ -153,10 +160,10 @@ def measure_batch(texts: pa.Array, ranks: str, model: str) -> dict[str, np.ndarr
     """Counts and fertility of each text."""
     c = base_counts(texts)
     v = load(ranks, model)
-    tokens, fall, flat, start, count = v.look_up(c["data"], c["begin"], c["end"], c["h"])
+    tokens, fall, start, count = v.look_up(c["data"], c["begin"], c["end"], c["h"]).T
     n_tokens, n_pieces, n_fall = _sum(tokens, c["rows"]), _sum(count, c["rows"]), _sum(fall, c["rows"])
     total = int(count.sum())
-    ids = flat[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)].astype(np.int64) if total else np.zeros(0, np.int64)
+    ids = v.ids[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)].astype(np.int64) if total else np.zeros(0, np.int64)
     row = _row_of(np.concatenate([[0], np.cumsum(n_pieces)]))
     pair, times = np.unique(row * v.size + ids, return_counts=True)
     own = pair // v.size
