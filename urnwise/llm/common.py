@@ -41,6 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with as many `_` behind it as no column of that name needs."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers: few rows of whole texts in an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

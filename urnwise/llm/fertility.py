@@ -189,21 +189,18 @@ def paths() -> tuple[str, str]:
 
 
 def measured(rows: DataFrame, ranks: str, model: str, text: str) -> DataFrame:
-    """rows with the counts and metrics of their texts in one struct column `_fertility`."""
+    """rows (of plain column names) with the counts and metrics of their texts in one struct column `_fertility`."""
     small_batches(rows.sparkSession)
-    names = rows.columns
-    at = names.index(text)
-    plain = rows.toDF(*(f"c{i}" for i in range(len(names))))  # so that no column's name can clash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, f"c{at}"):
-            out = measure_batch(batch.column(at), ranks, model)
+        for batch in pieces(batches, text):
+            out = measure_batch(batch.column(text), ranks, model)
             own = pa.StructArray.from_arrays([pa.array(out[c], from_pandas=True) for c in NAMES], names=NAMES)
             yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "_fertility"])
 
     fields = ", ".join(f"{c.split()[0]}: {c.split()[1].replace('long', 'bigint')}" for c in COLUMNS.split(", "))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), f"_fertility struct<{fields}>"])
-    return plain.mapInArrow(run, schema).toDF(*names, "_fertility")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"_fertility struct<{fields}>"])
+    return rows.mapInArrow(run, schema)
 
 
 def bands(rows: DataFrame, lang: str) -> dict[str, list[tuple[float, float]]]:
@@ -238,14 +235,17 @@ def verdict(rows: DataFrame, lang: str, of: dict[str, list[tuple[float, float]]]
 
 def judge(docs: DataFrame, ranks: str, model: str, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Rows (key, counts, metrics, base_failed, kept), one for each row of docs."""
-    rows = cut(measured(docs.select(F.col(key), F.col(lang), F.col(text)), ranks, model, text).drop(text))
-    return rows.select(key, *(F.col("_fertility")[c].alias(c) for c in NAMES if c != "latin"), verdict(rows, lang, bands(rows, lang)).alias("kept"))
+    plain = docs.select(F.col(key).alias("c0"), F.col(lang).alias("c1"), F.col(text).alias("c2"))
+    rows = cut(measured(plain, ranks, model, "c2").drop("c2"))
+    return rows.select(F.col("c0").alias(key), *(F.col("_fertility")[c].alias(c) for c in NAMES if c != "latin"), verdict(rows, "c1", bands(rows, "c1")).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, ranks: str, model: str, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs that pass, with all their columns; texts are read by Python once."""
-    rows = cut(measured(docs, ranks, model, text))
-    return rows.where(verdict(rows, lang, bands(rows, lang))).select(*docs.columns)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # so that no name can clash
+    own = lambda c: f"c{docs.columns.index(c)}"
+    rows = cut(measured(plain, ranks, model, own(text)))
+    return rows.where(verdict(rows, own(lang), bands(rows, own(lang)))).select(*plain.columns).toDF(*docs.columns)
 
 
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

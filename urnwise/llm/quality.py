@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, table
+from .common import fresh, pieces, small_batches, table
 from .words import hashes, raw, windows, word_spans
 
 PASSAGE = 512
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Attention | Constant, text: str = "text") -> DataFrame:
-    """docs with the column `_score`; whole texts, all columns kept."""
+    """docs with the column `_score` (`_score_` and so on if it has one); whole texts, all columns kept."""
     small_batches(docs.sparkSession)
     at, names = docs.columns.index(text), docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
@@ -204,12 +204,13 @@ def score(docs: DataFrame, model: Attention | Constant, text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(*encode(batch.column(at))), pa.float64())], names=[*batch.schema.names, "_score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), "_score double"])
-    return plain.mapInArrow(run, schema).toDF(*names, "_score")
+    return plain.mapInArrow(run, schema).toDF(*names, fresh("_score", names))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score reaches the threshold."""
-    return score(docs, train(docs, labels, key, text), text).where(F.col("_score") >= threshold).drop("_score")
+    name = fresh("_score", docs.columns)
+    return score(docs, train(docs, labels, key, text), text).where(F.col(name) >= threshold).drop(name)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
