@@ -23,6 +23,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from urnwise.functions.scalar import BINARY, FIELDS, SETS, UNARY, digit_sum, extractors, fields, money_digits, moon_age, moon_phase, reversed_or_null, within, wrap
 from urnwise.games import GAMES, PRIMES
@@ -240,7 +241,7 @@ def test(tally: DataFrame, least: int = 30, exact: bool = False) -> DataFrame:
     return rows.select("game", "nome", "tentativas", "acertos", "previstos", "taxa_obs", "taxa_esp", (F.col("taxa_obs") / F.col("taxa_esp")).alias("lift"), "chi2")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _tail(chi2: pd.Series) -> pd.Series:
     return chi2.map(lambda c: math.erfc(math.sqrt(max(c, 0.0) / 2)))
 

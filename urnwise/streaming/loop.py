@@ -89,5 +89,6 @@ def mine(spark: SparkSession, ctx: Callable[[], DataFrame], bank_path: str, chec
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling counts and sums of an event stream or table (ts, event_type, value), with a watermark on streams."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    # a watermark needs a time with zone
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
