@@ -235,3 +235,34 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("game = 'g'").count() == 2
     S.write_report(spark.createDataFrame([(2, "b"), (1, "a")], "place int, line string"), str(tmp_path / "report"))
     assert "".join(p.read_text() for p in (tmp_path / "report").glob("part*")) == "a\nb\n"
+
+
+def test_http_source(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from urnwise.sources import http
+
+    class Draws(BaseHTTPRequestHandler):
+        def do_GET(self):
+            last = self.path.rsplit("/", 1)[-1]
+            n = int(last) if last.isdigit() else 7
+            self.send_response(404 if n == 3 else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"numero": n, "dataApuracao": "05/03/2024", "listaDezenas": ["02", "01"]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Draws)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    http.register(spark)
+    assert http.latest(base, "six") == 7
+    rows = spark.read.format("draws_http").option("base", base).option("game_path", "six").option("first", 1).option("last", 7).option("draws_per_task", 2).load()
+    got = rows.collect()
+    assert [r["numero"] for r in got if r["error"]] == [3] and len(got) == 7
+    assert S.normalise(rows.where("error is null"), "g6_60").count() == 6
+    stored = spark.createDataFrame([("g6_60", 1), ("g6_60", 5)], "game string, numero int")
+    assert sorted(r["numero"] for r in http.missing(stored, "g6_60", 7).collect()) == [2, 3, 4, 6, 7]
+    server.shutdown()

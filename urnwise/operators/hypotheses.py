@@ -215,10 +215,20 @@ def by_hand_family(ctx: DataFrame) -> DataFrame:
     return rows.select("game", "numero", "idx", "dezenas", F.explode(F.array(*each)).alias("x")).select("game", "numero", "idx", "dezenas", "x.nome", "x.cat", "x.pred")
 
 
-def tallies(rows: DataFrame) -> DataFrame:
-    """Per game and name over draws after the first: attempts (not empty predictions), hits, predicted numbers."""
+def tallies(rows: DataFrame, since: int | None = None) -> DataFrame:
+    """Per game and name over draws after the first: attempts (not empty predictions), hits, predicted numbers.
+
+    since: also, as *_recente, over each game's last `since` draws after the first of them,
+    in the same pass.
+    """
+    parts = {"tentativas": F.lit(1), "acertos": F.arrays_overlap("pred", "dezenas").cast("int"), "previstos": F.size("pred")}
     some = rows.where((F.col("idx") > 0) & (F.size("pred") > 0))
-    return some.groupBy("game", "nome").agg(F.count("*").alias("tentativas"), F.count_if(F.arrays_overlap("pred", "dezenas")).alias("acertos"), F.sum(F.size("pred")).alias("previstos"))
+    sums = [F.sum(c).alias(n) for n, c in parts.items()]
+    if since is not None:
+        low = rows.groupBy("game").agg(F.greatest(F.max("idx") + 1 - since, F.lit(0)).alias("_low"))  # one row for each game
+        some = some.join(F.broadcast(low), "game")
+        sums += [F.sum(F.when(F.col("idx") > F.col("_low"), c).otherwise(0)).alias(f"{n}_recente") for n, c in parts.items()]
+    return some.groupBy("game", "nome").agg(*sums)
 
 
 def test(tally: DataFrame, least: int = 30, exact: bool = False) -> DataFrame:

@@ -203,11 +203,15 @@ def wheel(pool: list[int], game: str, at_least: int, condition: int, limit: int,
     return {"tickets": chosen, "covered": 1 - left / max(1, len(targets)), "cost": len(chosen) * g.ticket}
 
 
+def prized(tickets: DataFrame) -> DataFrame:
+    """Tickets that stand beside their draw's `dezenas`, with hits, prize and whether they won."""
+    prize = per_game(lambda g: F.coalesce(*(F.when(F.col("hits") == h, F.lit(p)) for h, p in g.prizes.items()), F.lit(0.0)))
+    return tickets.withColumn("hits", F.size(F.array_intersect("nums", "dezenas"))).withColumn("prize", prize).withColumn("won", per_game(lambda g: F.col("hits") >= g.check_from)).drop("dezenas")
+
+
 def check(tickets: DataFrame, drawn: DataFrame) -> DataFrame:
     """Hits and prize of each ticket against the draws of its game (drawn: game, numero, dezenas)."""
-    hits = F.size(F.array_intersect("nums", "dezenas"))
-    prize = per_game(lambda g: F.coalesce(*(F.when(F.col("hits") == h, F.lit(p)) for h, p in g.prizes.items()), F.lit(0.0)))
-    return tickets.join(drawn.select("game", "numero", "dezenas"), "game").withColumn("hits", hits).withColumn("prize", prize).withColumn("won", per_game(lambda g: F.col("hits") >= g.check_from)).drop("dezenas")
+    return prized(tickets.join(drawn.select("game", "numero", "dezenas"), "game"))
 
 
 def weighted(weights: DataFrame, count: int, k: Column, seed: int = 42, power: float = 1.0) -> DataFrame:

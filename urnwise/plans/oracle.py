@@ -276,3 +276,5 @@ sql("changepoint_series", "select * from ch", "idx", "chi2", "game", CHANGE)
 _LIMIT = "case game " + " ".join(f"when '{g.key}' then {chi2_quantile(0.99, g.m - 1)!r}" for g in GAMES.values()) + " end"
 sql("changepoints", f"select game, arg_max(idx, chi2) as position, max(chi2) as chi2 from (select game, idx, chi2, idx - row_number() over (partition by game order by idx) as g from ch where chi2 > {_LIMIT}) group by game, g", "position", "chi2", "game", CHANGE)
 SQL["event_windows"] = "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all"
+_N25 = [f"n{i:02d}" for i in range(1, 26)]
+sql("one_hot", "select game, numero, " + ", ".join(f"max(case when n = {i} then hit end) as n{i:02d}" for i in range(1, 26)) + " from hits where game = 'g15_25' group by all", " ".join(["numero", *_N25]), "", "game", HITS)

@@ -19,6 +19,7 @@ from urnwise.operators import features as X
 from urnwise.operators import hypotheses as H
 from urnwise.operators import learning as L
 from urnwise.operators import recommend as R
+from urnwise.operators import simulation as M
 from urnwise.operators import tickets as T
 from urnwise.operators import validation as V
 from urnwise.operators.sequence import last_draws
@@ -260,9 +261,11 @@ def recent_test(spark, d):
 
 
 def _tests(spark, d):
-    rows = H.unary_family(S.ctx(spark, d))
+    both = H.tallies(H.unary_family(S.ctx(spark, d)), since=500)
     p = F.exp(-F.col("chi2") / 2)
-    return H.test(H.tallies(rows)).withColumn("p_valor", p), H.test(H.tallies(H.recent(rows, 500))).withColumn("p_valor", p)
+    old = H.test(both).withColumn("p_valor", p)
+    new = H.test(both.select("game", "nome", *(F.col(f"{c}_recente").alias(c) for c in ("tentativas", "acertos", "previstos")))).withColumn("p_valor", p)
+    return old, new
 
 
 def _bank(spark, d):
@@ -538,6 +541,28 @@ def optimised_tickets(spark, d):
     return R.optimised(_fused(spark, d), S.draw_items(spark, d), R.recent_profile(X.shape(S.ctx(spark, d))))
 
 
+@query
+def basic_tickets(spark, d):
+    return M.basic_tickets(S.draw_items(spark, d))
+
+
+@query
+def integrated_tickets(spark, d):
+    last = last_draws(S.ctx(spark, d), "game", 1).select("game", F.col("dezenas").alias("prev"))
+    return M.integrated_tickets(R.frequency_gap(S.draw_items(spark, d)), last)
+
+
+@query
+def roi_branches(spark, d):
+    ctx = S.ctx(spark, d)
+    return M.roi_branches(X.hits(ctx), ctx)
+
+
+@query
+def one_hot(spark, d):
+    return M.one_hot(X.hits(S.ctx(spark, d)), "g15_25")
+
+
 @query
 def walk_forward(spark, d):
     return V.walk_forward(H.predictions(S.ctx(spark, d), H.set_names()), 20)
