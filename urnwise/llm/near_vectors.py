@@ -17,10 +17,9 @@ link distance, takes it whole when even its farthest members must link, and comp
 leaves exactly. Whole pairs add to the members' link counts and leave one connecting
 edge per member; pairs of a large group of near copies are never written out.
 
-Defined results: vectors that are null, zero, of another length than most, or that hold
-null or non-finite components, and vectors with a null label, link with nothing (0
-links, own component). Vectors of different lengths never link. Repeated vec_ids each
-keep their row. An empty table gives no rows; extra columns are ignored.
+Defined results: vectors that are null, zero or hold null or non-finite components, and vectors with a null label, link with nothing (0
+links, own component). Vectors of different lengths never link. Repeated vec_ids keep
+their rows; rows of one vec_id with different vectors are one node, whose links add up. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from .common import by_key, components, cut, small_batches, table
 
 THRESHOLD = 0.93
 BLOCK = 2048
-PIVOTS, SAMPLE, MOST_PIVOTS = 16, 2000, 8192
+PIVOTS, SAMPLE, MOST_SAMPLED, MOST_PIVOTS = 16, 2000, 40_000, 8192
 LEAF = 16
 SLACK = 1e-9
 
@@ -184,12 +183,22 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return unit(flat.reshape(len(column), -1))
 
 
-def pivots(distinct: DataFrame, sizes: list[tuple], sample: int = SAMPLE) -> dict:
-    """Centres of each label that needs more than one cell, farthest first from a bounded sample of it."""
+def pivots(distinct: DataFrame, large: DataFrame, sizes: list, sample: int = SAMPLE) -> dict:
+    """Centres of each label that needs more than one cell, farthest first from a bounded sample of it (by hash, about `sample` vectors, fewer for very many labels)."""
+    if not sizes:
+        return {}
+    share = max(4 * PIVOTS, min(sample, MOST_SAMPLED // len(sizes)))
+    own = distinct.withColumn("width", F.size("e")).join(F.broadcast(large), ["label", "width"])
+    own = own.where(F.pmod(F.xxhash64("rep", F.lit("fit")), F.lit(1 << 30)) < F.lit(float(share << 30)) / F.col("n"))
+    of: dict = {}
+    for r in own.select("label", "width", "e", F.xxhash64("rep").alias("o")).collect():
+        of.setdefault((r["label"], r["width"]), []).append((r["o"], r["e"]))
     out = {}
     for label, width, n in sizes:
-        own = distinct.where((F.col("label") == F.lit(label)) & (F.size("e") == width)).select("e", F.xxhash64("rep").alias("o")).orderBy("o").limit(sample)
-        x = unit([r["e"] for r in own.collect()])
+        some = sorted(of.get((label, width), []))[: 2 * share]
+        if not some:
+            continue
+        x = unit([e for _, e in some])
         many = min(PIVOTS, len(x), -(-n // BLOCK))
         chosen, gap = [0], 2 - 2 * (x @ x[0])
         while len(chosen) < many:
@@ -212,7 +221,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     # -- equal vectors of a label are one row
     distinct = cut(rows.where("e is not null").groupBy("label", "e").agg(F.min("id").alias("rep"), F.count("*").alias("w")))
     large = distinct.groupBy("label", F.size("e").alias("width")).agg(F.count("*").alias("n")).where(F.col("n") > block).orderBy(F.desc("n"), "label").limit(MOST_PIVOTS // PIVOTS)
-    centres = pivots(distinct, [(r["label"], r["width"], r["n"]) for r in large.collect()])
+    large = cut(large)  # at most MOST_PIVOTS / PIVOTS rows
+    centres = pivots(distinct, large, [(r["label"], r["width"], r["n"]) for r in large.collect()])
 
     def to_cells(batches):
         for batch in batches:
@@ -237,10 +247,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     met = {}
     if centres:
         of = {(r["label"], r["width"], r["cell"]): (-(-r["n"] // block), r["radius"]) for r in stats.join(F.broadcast(spark.createDataFrame([(k[0], k[1]) for k in centres], f"label {kind}, width int")), ["label", "width"]).collect()}
-        for (lab, width, c), (_, radius) in of.items():
+        together: dict = {}
+        for (lab, width, c), (chunks, radius) in of.items():
+            together.setdefault((lab, width), []).append((c, chunks, radius))
+        for lab, width, c, radius in [(*k, c, radius) for k, own in together.items() for c, _, radius in own]:
             x = centres[lab, width]
-            for (lab2, width2, d), (chunks, radius2) in of.items():
-                if (lab, width) == (lab2, width2) and (c == d or np.sqrt(max(0, 2 - 2 * float(x[c] @ x[d]))) - radius - radius2 <= reach + 1e-6):
+            for d, chunks, radius2 in together[lab, width]:
+                if c == d or np.sqrt(max(0, 2 - 2 * float(x[c] @ x[d]))) - radius - radius2 <= reach + 1e-6:
                     met.setdefault((lab, width, c), []).append((d, chunks))
     table_ = [(lab, width, c, d, chunks) for (lab, width, c), own in met.items() for d, chunks in own]
     sized = cells.join(stats.select("label", "width", "cell", F.ceil(F.col("n") / block).cast("int").alias("k")), ["label", "width", "cell"])

@@ -8,8 +8,8 @@ only, add the passages up; the weighted representation gives the score.
 
 The model is trained on the driver from at most MAX_TRAIN labelled documents (the
 smallest hashes of doc_id, each class at most half unless it is short) with at most
-MAX_PASSAGES passages in all (later documents of that order are left out), all learning
-steps in fixed order. Scoring is a map over whole texts; no shuffle.
+MAX_PASSAGES passages in all (later documents of that order, and single ones of over a
+tenth of that, are left out), all learning steps in fixed order. Scoring is a map over whole texts; no shuffle.
 
 Defined results: null and empty texts have one empty passage and so a score like any
 other; labels that are not 0 or 1, null keys and labels without document are not used;

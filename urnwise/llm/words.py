@@ -45,17 +45,26 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(begin), np.flatnonzero(end)
 
 
+#: Bytes that are hashed in one step; a longer text takes several.
+STEP = 4 << 20
+
+
 def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte strings data[begin:end], which don't overlap and are not empty."""
-    if not len(begin):
-        return np.zeros(0, np.uint64)
+    out = np.zeros(len(begin), np.uint64)
     size = end - begin
-    first = np.cumsum(size) - size
-    at = np.arange(int(size.sum()), dtype=np.int64)
-    place = at - np.repeat(first, size)
-    value = data[np.repeat(begin, size) + place].astype(np.uint64) + np.uint64(1)
-    value *= _WEIGHTS[place & 0xFFFF]
-    return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    total = np.cumsum(size)
+    low = 0
+    while low < len(begin):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + STEP, "right")))
+        own = size[low:high]
+        first = np.cumsum(own) - own
+        place = np.arange(int(own.sum()), dtype=np.int64) - np.repeat(first, own)
+        value = data[np.repeat(begin[low:high], own) + place].astype(np.uint64) + np.uint64(1)
+        value *= _WEIGHTS[place & 0xFFFF]
+        out[low:high] = np.add.reduceat(value, first)
+        low = high
+    return mix(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
