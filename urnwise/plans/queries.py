@@ -137,7 +137,7 @@ def cooc_bonus(spark, d):
 
 @query
 def draw_features(spark, d):
-    return X.shape(S.ctx(spark, d))
+    return X.shape(S.log(spark, d))
 
 
 @query
@@ -174,28 +174,28 @@ def deviations(spark, d):
 
 @query
 def number_series(spark, d):
-    return X.number_series(X.hits(S.ctx(spark, d)))
+    return X.number_series(X.hits(S.log(spark, d)))
 
 
 @query
 def rolling_share(spark, d):
-    return X.rolling_share(X.hits(S.ctx(spark, d)))
+    return X.rolling_share(X.hits(S.log(spark, d)))
 
 
 @query
 def profile_lags(spark, d):
-    return X.profile_lags(X.shape(S.ctx(spark, d))).select("game", "numero", "soma_lag1", "soma_lag2", "soma_lag3", "soma_ma5", "soma_ma10", "amplitude_lag1", "pares_ma5", "primos_ma10", "consecutivos_lag2", "repetidos_lag3", "repetidos_ma5")
+    return X.profile_lags(X.shape(S.log(spark, d))).select("game", "numero", "soma_lag1", "soma_lag2", "soma_lag3", "soma_ma5", "soma_ma10", "amplitude_lag1", "pares_ma5", "primos_ma10", "consecutivos_lag2", "repetidos_lag3", "repetidos_ma5")
 
 
 @query
 def bias50(spark, d):
-    own = last_draws(S.ctx(spark, d).select("game", "numero", "idx", "dezenas"), "game", 50).select("game", "numero", F.explode("dezenas").alias("dezena"))
+    own = last_draws(S.log(spark, d).select("game", "numero", "idx", "dezenas"), "game", 50).select("game", "numero", F.explode("dezenas").alias("dezena"))
     return D.bias(own)
 
 
 @query
 def hot_pool(spark, d):
-    own = last_draws(S.ctx(spark, d).select("game", "numero", "idx", "dezenas"), "game", 30).select("game", "numero", F.explode("dezenas").alias("dezena"))
+    own = last_draws(S.log(spark, d).select("game", "numero", "idx", "dezenas"), "game", 30).select("game", "numero", F.explode("dezenas").alias("dezena"))
     return D.hot_pool(own, POOLS)
 
 
@@ -214,12 +214,12 @@ def hyp_binary(spark, d):
 
 @query
 def hyp_sets(spark, d):
-    return H.tallies(H.predictions(S.ctx(spark, d), H.set_names()))
+    return H.tallies(H.predictions(S.log(spark, d), H.set_names()))
 
 
 @query
 def hyp_window(spark, d):
-    return H.tallies(H.predictions(S.ctx(spark, d), H.window_names()))
+    return H.tallies(H.predictions(S.log(spark, d), H.window_names()))
 
 
 @query
@@ -240,7 +240,7 @@ def hyp_p_values(spark, d):
 
 @query
 def hyp_exact(spark, d):
-    return H.test(H.tallies(H.predictions(S.ctx(spark, d), H.set_names())), exact=True).select("game", "nome", "taxa_esp", "lift", "chi2")
+    return H.test(H.tallies(H.predictions(S.log(spark, d), H.set_names())), exact=True).select("game", "nome", "taxa_esp", "lift", "chi2")
 
 
 @query
@@ -332,21 +332,21 @@ def frequency_gap(spark, d):
 
 @query
 def meta_weights(spark, d):
-    return R.meta_weights(H.predictions(S.ctx(spark, d), H.set_names() + H.window_names()))
+    return R.meta_weights(H.predictions(S.log(spark, d), H.set_names() + H.window_names()))
 
 
 @query
 def cross_bonus(spark, d):
-    return R.cross_bonus(S.ctx(spark, d))
+    return R.cross_bonus(S.log(spark, d))
 
 
 def _set_bank(spark, d):
-    rows = H.test(H.tallies(H.predictions(S.ctx(spark, d), H.set_names())))
+    rows = H.test(H.tallies(H.predictions(S.log(spark, d), H.set_names())))
     return rows.select("game", "nome", F.lit(True).alias("ativo"), F.exp(-F.col("chi2") / 2).alias("p_valor"), "lift", F.lit(0.0).alias("score_confianca"))
 
 
 def _fused(spark, d):
-    ctx = S.ctx(spark, d)
+    ctx = S.log(spark, d)
     last = last_draws(H.predictions(ctx, H.set_names()), "game", 1)
     patterns = R.pattern_scores(last, _set_bank(spark, d), R.meta_weights(H.predictions(ctx, H.set_names())))
     return R.fuse(patterns.select("game", "dezena", "bonus"), R.cross_bonus(ctx), R.frequency_gap(S.draw_items(spark, d)))
@@ -359,7 +359,7 @@ def score_fusion(spark, d):
 
 @query
 def score_explained(spark, d):
-    ctx = S.ctx(spark, d)
+    ctx = S.log(spark, d)
     last = last_draws(H.predictions(ctx, H.set_names()), "game", 1)
     return R.explained(R.pattern_scores(last, _set_bank(spark, d))).select("game", "dezena", "score", F.size("parts").alias("patterns"), F.array_join(F.array_sort(F.transform("parts", lambda p: p["nome"])), ",").alias("names"))
 
@@ -371,17 +371,17 @@ def suggested_ticket(spark, d):
 
 @query
 def recent_profile(spark, d):
-    return R.recent_profile(X.shape(S.ctx(spark, d)))
+    return R.recent_profile(X.shape(S.log(spark, d)))
 
 
 def _tickets(spark, d):
     """Every draw as a ticket."""
-    return S.ctx(spark, d).select("game", F.col("numero").alias("ticket"), F.col("dezenas").alias("nums"), "prev")
+    return S.log(spark, d).select("game", F.col("numero").alias("ticket"), F.col("dezenas").alias("nums"), "prev")
 
 
 @query
 def profile_fit(spark, d):
-    return R.profile_fit(_tickets(spark, d), R.recent_profile(X.shape(S.ctx(spark, d)))).select("game", "ticket", "fit")
+    return R.profile_fit(_tickets(spark, d), R.recent_profile(X.shape(S.log(spark, d)))).select("game", "ticket", "fit")
 
 
 @query
@@ -392,7 +392,7 @@ def ticket_scores(spark, d):
 @query
 def integrated_scores(spark, d):
     items = S.draw_items(spark, d)
-    own = last_draws(S.ctx(spark, d).select("game", "numero", "idx", "dezenas"), "game", 50).select("game", "numero", F.explode("dezenas").alias("dezena"))
+    own = last_draws(S.log(spark, d).select("game", "numero", "idx", "dezenas"), "game", 50).select("game", "numero", F.explode("dezenas").alias("dezena"))
     share = D.frequency(own).join(R.total_draws(own), "game").select("game", "dezena", (F.col("freq") / F.col("t")).alias("share"))
     return R.integrated(R.frequency_gap(items), share, D.bias(own))
 
@@ -428,7 +428,7 @@ def best_of_equal(spark, d):
 
 
 def _pool(spark, d, game):
-    own = last_draws(S.ctx(spark, d).select("game", "numero", "idx", "dezenas"), "game", 30).select("game", "numero", F.explode("dezenas").alias("dezena"))
+    own = last_draws(S.log(spark, d).select("game", "numero", "idx", "dezenas"), "game", 30).select("game", "numero", F.explode("dezenas").alias("dezena"))
     return D.hot_pool(own, POOLS).where(F.col("game") == game)
 
 
@@ -455,12 +455,12 @@ def _played(spark):
 
 @query
 def bet_check(spark, d):
-    return T.check(_played(spark), S.ctx(spark, d)).select("game", "ticket", "numero", "hits", "prize", F.col("won").cast("int").alias("won"))
+    return T.check(_played(spark), S.log(spark, d)).select("game", "ticket", "numero", "hits", "prize", F.col("won").cast("int").alias("won"))
 
 
 @query
 def roi_summary(spark, d):
-    drawn = S.ctx(spark, d)
+    drawn = S.log(spark, d)
     last = last_draws(drawn, "game", 20).select("game", "numero", "dezenas")
     fixed = T.check(_played(spark), last).withColumn("branch", F.lit("played"))
     prior = drawn.select("game", "numero", "dezenas", F.col("prev").alias("nums"), "idx").where("nums is not null")
@@ -472,22 +472,22 @@ def roi_summary(spark, d):
 
 @query
 def hit_distribution(spark, d):
-    return V.hit_distribution(T.check(_played(spark), S.ctx(spark, d)))
+    return V.hit_distribution(T.check(_played(spark), S.log(spark, d)))
 
 
 @query
 def prefix_scores(spark, d):
-    return V.prefix_scores(X.hits(S.ctx(spark, d)))
+    return V.prefix_scores(X.hits(S.log(spark, d)))
 
 
 @query
 def retro(spark, d):
-    return V.retro(R.fuse(R.frequency_gap(S.draw_items(spark, d))), S.ctx(spark, d))
+    return V.retro(R.fuse(R.frequency_gap(S.draw_items(spark, d))), S.log(spark, d))
 
 
 @query
 def retro_verdict(spark, d):
-    return V.verdict(V.retro(R.fuse(R.frequency_gap(S.draw_items(spark, d))), S.ctx(spark, d)))
+    return V.verdict(V.retro(R.fuse(R.frequency_gap(S.draw_items(spark, d))), S.log(spark, d)))
 
 
 # -- diagnostics
@@ -495,32 +495,32 @@ def retro_verdict(spark, d):
 
 @query
 def perm_entropy(spark, d):
-    return G.permutation_entropy(S.ctx(spark, d))
+    return G.permutation_entropy(S.log(spark, d))
 
 
 @query
 def changepoint_series(spark, d):
-    return G.changepoint_series(X.hits(S.ctx(spark, d)))
+    return G.changepoint_series(X.hits(S.log(spark, d)))
 
 
 @query
 def changepoints(spark, d):
-    return G.changepoints(G.changepoint_series(X.hits(S.ctx(spark, d))))
+    return G.changepoints(G.changepoint_series(X.hits(S.log(spark, d))))
 
 
 @query
 def diagnostic_report(spark, d):
-    return G.report(G.series_of(X.rolling_share(X.hits(S.ctx(spark, d))), 400, 7))
+    return G.report(G.series_of(X.rolling_share(X.hits(S.log(spark, d))), 400, 7))
 
 
 @query
 def surrogates(spark, d):
-    return G.surrogates(G.series_of(X.rolling_share(X.hits(S.ctx(spark, d))), 300, 7), 40)
+    return G.surrogates(G.series_of(X.rolling_share(X.hits(S.log(spark, d))), 300, 7), 40)
 
 
 @query
 def entropy_z(spark, d):
-    return G.entropy_z(G.series_of(X.rolling_share(X.hits(S.ctx(spark, d))), 400, 7))
+    return G.entropy_z(G.series_of(X.rolling_share(X.hits(S.log(spark, d))), 400, 7))
 
 
 @query
@@ -538,7 +538,7 @@ def weighted_tickets(spark, d):
 
 @query
 def optimised_tickets(spark, d):
-    return R.optimised(_fused(spark, d), S.draw_items(spark, d), R.recent_profile(X.shape(S.ctx(spark, d))))
+    return R.optimised(_fused(spark, d), S.draw_items(spark, d), R.recent_profile(X.shape(S.log(spark, d))))
 
 
 @query
@@ -548,24 +548,24 @@ def basic_tickets(spark, d):
 
 @query
 def integrated_tickets(spark, d):
-    last = last_draws(S.ctx(spark, d), "game", 1).select("game", F.col("dezenas").alias("prev"))
+    last = last_draws(S.log(spark, d), "game", 1).select("game", F.col("dezenas").alias("prev"))
     return M.integrated_tickets(R.frequency_gap(S.draw_items(spark, d)), last)
 
 
 @query
 def roi_branches(spark, d):
-    ctx = S.ctx(spark, d)
+    ctx = S.log(spark, d)
     return M.roi_branches(X.hits(ctx), ctx)
 
 
 @query
 def one_hot(spark, d):
-    return M.one_hot(X.hits(S.ctx(spark, d)), "g15_25")
+    return M.one_hot(X.hits(S.log(spark, d)), "g15_25")
 
 
 @query
 def walk_forward(spark, d):
-    return V.walk_forward(H.predictions(S.ctx(spark, d), H.set_names()), 20)
+    return V.walk_forward(H.predictions(S.log(spark, d), H.set_names()), 20)
 
 
 @query
@@ -577,13 +577,13 @@ def greedy_cover(spark, d):
 
 @query
 def ml_probs(spark, d):
-    rows = L.frame(X.hits(S.ctx(spark, d)))
+    rows = L.frame(X.hits(S.log(spark, d)))
     return L.discover(rows, "g15_25", trees=10, rounds=5)[0]
 
 
 @query
 def profile_forecast(spark, d):
-    return L.forecast(X.shape(S.ctx(spark, d)), "g15_25", ("soma", "pares", "amplitude"), trees=10, rounds=5)
+    return L.forecast(X.shape(S.log(spark, d)), "g15_25", ("soma", "pares", "amplitude"), trees=10, rounds=5)
 
 
 @query

@@ -35,44 +35,55 @@ def _games(per_game) -> F.Column:
     return F.explode(F.array(*(F.struct(F.lit(g.key).alias("game"), F.lit(g.k).alias("k"), F.lit(g.m).alias("m"), *per_game(g)) for g in GAMES.values())))
 
 
-def draw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (game, numero, dezena, posicao): k distinct numbers for each block of orders that has so many."""
+def draw_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (game, numero, dezenas): k distinct numbers, sorted, for each block of orders that has so many.
+
+    One shuffle: a block's distinct numbers are collected (at most m of them), and choice
+    and order happen inside the array.
+    """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
-    raw = lines.select(_games(lambda g: (F.expr(f"l_orderkey div {g.block}").alias("numero"), (F.col("l_partkey") % g.m + 1).cast("int").alias("dezena"))).alias("x")).select("x.*").distinct()
-    own = Window.partitionBy("game", "numero")
-    ranked = raw.withColumn("c", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy((F.col("dezena") * 37 + F.col("numero") * 11) % 61, "dezena")))
-    kept = ranked.where("c >= k and r <= k")
-    return kept.select("game", "numero", "dezena", (F.row_number().over(own.orderBy("dezena")) - 1).alias("posicao"))
+    raw = lines.select(_games(lambda g: (F.expr(f"l_orderkey div {g.block}").alias("numero"), (F.col("l_partkey") % g.m + 1).cast("int").alias("dezena"))).alias("x")).select("x.*")
+    sets = raw.groupBy("game", "numero", "k").agg(F.collect_set("dezena").alias("s")).where(F.size("s") >= F.col("k"))
+    ranked = F.array_sort(F.transform("s", lambda d: F.struct(((d * 37 + F.col("numero") * 11) % 61).alias("r"), d.alias("d"))))
+    return sets.select("game", "numero", F.array_sort(F.transform(F.slice(ranked, F.lit(1), F.col("k")), lambda x: x["d"])).alias("dezenas"))
+
+
+def draw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (game, numero, dezena, posicao) of the same draws, posicao 0-based in sorted order."""
+    return draw_arrays(spark, sf_dir).select("game", "numero", F.posexplode("dezenas").alias("posicao", "dezena")).select("game", "numero", "dezena", "posicao")
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (game, numero, data, local, acumulado, valor_arrecadado, valor_estimado, valor_acumulado): every block, also those with too few numbers."""
+    """Rows (game, numero, data, local, acumulado, valor_arrecadado, valor_estimado, valor_acumulado): every block, also those with too few numbers.
+
+    An order counts for its own block and, as the estimate, for the next one, so one
+    aggregation gives both and the log needs no ordering.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     orders = read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice").alias("total"))
     customers = read("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")).join(read("nation").select("n_nationkey", "n_name"), "n_nationkey")
-    joined = orders.join(customers, "o_custkey")
-    per = joined.select(_games(lambda g: (F.expr(f"o_orderkey div {g.block}").alias("numero"),)).alias("x"), "o_orderstatus", "total", "n_name")
+    blocks = [F.struct(F.lit(g.key).alias("game"), (F.expr(f"o_orderkey div {g.block}") + later).alias("numero"), F.lit(later == 0).alias("own")) for g in GAMES.values() for later in (0, 1)]
+    per = orders.join(customers, "o_custkey").select(F.explode(F.array(*blocks)).alias("x"), "o_orderstatus", "total", "n_name")
+    own = lambda c: F.when(F.col("x.own"), c)
     out = per.groupBy("x.game", "x.numero").agg(
-        F.max((F.col("o_orderstatus") == "O").cast("int")).alias("acumulado"),
-        F.sum("total").alias("valor_arrecadado"),
-        F.concat(F.lit("City, "), F.min("n_name")).alias("local"),
-    )
-    # blocks are contiguous, so the block before is an equality away: no ordering of the whole log
-    before = out.select("game", (F.col("numero") + 1).alias("numero"), F.col("valor_arrecadado").alias("valor_estimado"))
-    return (
-        out.join(before, ["game", "numero"], "left")
-        .withColumn("valor_estimado", F.coalesce("valor_estimado", F.lit(0.0)))
-        .withColumn("valor_acumulado", F.col("valor_estimado"))
-        .withColumn("data", F.date_add(F.lit("2000-01-01").cast("date"), (F.col("numero") * 3).cast("int")))
+        F.max(own((F.col("o_orderstatus") == "O").cast("int"))).alias("acumulado"),
+        F.sum(own(F.col("total"))).alias("valor_arrecadado"),
+        F.concat(F.lit("City, "), F.min(own(F.col("n_name")))).alias("local"),
+        F.coalesce(F.sum(F.when(~F.col("x.own"), F.col("total"))), F.lit(0.0)).alias("valor_estimado"),
     )
+    rows = out.where("acumulado is not null").withColumn("valor_acumulado", F.col("valor_estimado"))
+    return rows.withColumn("data", F.date_add(F.lit("2000-01-01").cast("date"), (F.col("numero") * 3).cast("int")))
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each draw, without attributes: idx (0-based place in the game), dezenas, prev and prev2 (sorted arrays)."""
+    rows = numbered(draw_arrays(spark, sf_dir), "game", "numero")
+    return lagged(rows, "game", {"prev": ("dezenas", 1), "prev2": ("dezenas", 2)})
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each draw: attributes, idx (0-based place in the game), dezenas, prev and prev2 (sorted arrays)."""
-    items = draw_items(spark, sf_dir).groupBy("game", "numero").agg(F.array_sort(F.collect_list("dezena")).alias("dezenas"))
-    rows = numbered(items, "game", "numero")
-    rows = lagged(rows, "game", {"prev": ("dezenas", 1), "prev2": ("dezenas", 2)})
-    return rows.join(draws(spark, sf_dir), ["game", "numero"])
+    """The log with the attributes of its draws."""
+    return log(spark, sf_dir).join(draws(spark, sf_dir), ["game", "numero"])
 
 
 def order_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
