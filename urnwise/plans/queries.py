@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urnwise.cluster import ship
 from urnwise.games import prizes
 from urnwise.operators import bank as B
 from urnwise.operators import descriptive as D
@@ -44,7 +45,11 @@ def neat(df: DataFrame) -> DataFrame:
 
 
 def query(f):
-    QUERIES[f.__name__] = lambda spark, sf_dir: neat(f(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return neat(f(spark, sf_dir))
+
+    QUERIES[f.__name__] = run
     return f
 
 
