@@ -459,3 +459,13 @@ def test_pipeline(spark, sf):
         docs, before = out, n
     assert c.run(spark, sf).count() == before > 0
     assert max(l for _, l in brute_join([(r["doc_id"], r["text"]) for r in c.stage_near_duplicates(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()]).values()) == 0  # noqa: E741
+
+
+def test_cuts_can_be_deleted(spark):
+    df = common.cut(spark.range(5))
+    at = df.inputFiles()[0]
+    assert df.count() == 5
+    common.clean(spark)
+    import os
+
+    assert not os.path.exists(at.removeprefix("file://"))

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urnwise.cluster import ship
+
 #: Bytes of text that one step of a Python stage works on (one document at least).
 CHUNK_BYTES = 2 << 20
 #: Rows of one Arrow batch, so that a batch of usual documents stays near 1 MB.
@@ -25,22 +27,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a temporary one on a single machine and a folder of the warehouse on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="urnwise-")
+        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            at = "file://" + tempfile.mkdtemp(prefix="urnwise-")
+        else:
+            at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_urnwise"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: later work starts from files that outlive executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _CUTS.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete the files of all cuts so far, once the results that read them are written."""
+    jvm = spark.sparkContext._jvm
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """name, with as many `_` behind it as no column of that name needs."""
     low = {c.lower() for c in taken}
@@ -50,7 +67,8 @@ def fresh(name: str, taken: list[str]) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: few rows of whole texts in an Arrow batch."""
+    """Before Python stages: this package on the workers, and few rows of whole texts in an Arrow batch."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
