@@ -266,3 +266,11 @@ def test_http_source(spark):
     stored = spark.createDataFrame([("g6_60", 1), ("g6_60", 5)], "game string, numero int")
     assert sorted(r["numero"] for r in http.missing(stored, "g6_60", 7).collect()) == [2, 3, 4, 6, 7]
     server.shutdown()
+
+
+def test_families_agree_with_the_parser(spark, ctx):
+    some = H.unary_names()[::40] + H.binary_names()[::150] + ["set.prev"]
+    own = ctx.where("idx < 40")
+    key = lambda df: sorted((r["game"], r["numero"], r["nome"], tuple(r["pred"])) for r in df.collect())
+    assert key(H.predictions(own, some)) == key(H.predictions(own, some, wide=0))
+    assert H.predictions(own, []).count() == 0

@@ -112,11 +112,23 @@ def parse(name: str, m: Column) -> Column | None:
     return one(reduce(lambda v, o: UNARY[o](v), ops, f[head]))
 
 
-def predictions(ctx: DataFrame, names: list[str]) -> DataFrame:
-    """Long rows (game, numero, idx, dezenas, nome, pred) of named predictors, one for each draw and name."""
-    m = size_of()
-    each = [F.struct(F.lit(n).alias("nome"), p.alias("pred")) for n in names if (p := parse(n, m)) is not None]
-    return ctx.select("game", "numero", "idx", "dezenas", F.explode(F.array(*each)).alias("x")).select("game", "numero", "idx", "dezenas", "x.nome", "x.pred")
+def predictions(ctx: DataFrame, names: list[str], wide: int = 24) -> DataFrame:
+    """Long rows (game, numero, idx, dezenas, nome, pred) of named predictors, one for each draw and name.
+
+    More than `wide` names of the unary or binary family come from that family's long
+    form; all others are expressions of their own.
+    """
+    m, rest, parts = size_of(), list(dict.fromkeys(names)), []
+    for every, family in ((unary_names(), unary_family), (binary_names(), binary_family)):
+        own = sorted(set(every) & set(rest))
+        if len(own) > wide:
+            parts.append(family(ctx).where(F.col("nome").isin(own)))
+            rest = [n for n in rest if n not in set(own)]
+    each = [F.struct(F.lit(n).alias("nome"), p.alias("pred")) for n in rest if (p := parse(n, m)) is not None]
+    if each or not parts:
+        x = F.explode(F.array(*each) if each else F.array().cast("array<struct<nome:string,pred:array<int>>>")).alias("x")
+        parts.append(ctx.select("game", "numero", "idx", "dezenas", x).select("game", "numero", "idx", "dezenas", "x.nome", "x.pred"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def unary_family(ctx: DataFrame) -> DataFrame:

@@ -60,9 +60,10 @@ def prospect(ctx: DataFrame, bank: DataFrame, names: list[str], again: float = 0
     own = sorted({r["nome"] for r in todo.select("nome").distinct().collect()})  # names of one round
     if not own:
         return B.prune(bank)
-    rows = H.predictions(ctx, own).join(F.broadcast(todo), ["game", "nome"], "left_semi")
-    overall = H.with_p(H.test(H.tallies(rows))).where(F.col("p_valor") < B.threshold(len(own)))
-    recent = H.with_p(H.test(H.tallies(H.recent(rows))))
+    # a name is tested in every game; one of a share that only another game holds is tested again, harmlessly
+    both = H.tallies(H.predictions(ctx, own), since=50)
+    overall = H.with_p(H.test(both)).where(F.col("p_valor") < B.threshold(len(own))).join(todo, ["game", "nome"], "left_semi")
+    recent = H.with_p(H.test(both.select("game", "nome", *(F.col(f"{c}_recente").alias(c) for c in ("tentativas", "acertos", "previstos")))))
     scored = B.scored(overall, recent).where("score_confianca > 0.1")
     found = scored.select("game", "nome", F.lit("prog").alias("cat"), F.col("nome").alias("descr"), "p_valor", "lift", "taxa_obs", "taxa_esp", "tentativas", F.lit(True).alias("ativo"), "p_valor_recente", "lift_recente", "score_confianca")
     failed = share.join(scored.select("game", "nome"), ["game", "nome"], "left_anti")
