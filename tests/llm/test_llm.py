@@ -103,6 +103,23 @@ def test_near_vectors_equal_brute_force(spark, block):
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.01, 0.12, 0.2])
+def test_near_vectors_with_tight_groups(spark, spread):
+    """Large groups of near copies, some of them near each other, beside loose vectors: cores, whole links and rings."""
+    rng = np.random.default_rng(int(spread * 100))
+    a = rng.normal(size=6)
+    b = a / np.linalg.norm(a) + rng.normal(size=6) * 0.1
+    rows = []
+    for c, many in ((a, 90), (b * 3, 60), (rng.normal(size=6), 50)):
+        c = c / np.linalg.norm(c)
+        rows += [(c * rng.uniform(0.5, 2) + rng.normal(size=6) * spread * rng.choice([0.3, 1, 2])).tolist() for _ in range(many)]
+    rows += rng.normal(size=(60, 6)).tolist() + [rows[0]] * 5 + [rows[100]] * 4
+    v = [(i, x, int(i % 50 == 7)) for i, x in enumerate(rows)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(df, block=16).collect()}
+    assert got == brute_links(v)
+
+
 def test_near_vectors_on_table(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(df, 0.5, block=64).collect()}

@@ -17,6 +17,12 @@ link distance, takes it whole when even its farthest members must link, and comp
 leaves exactly. Whole pairs add to the members' link counts and leave one connecting
 edge per member; pairs of a large group of near copies are never written out.
 
+A very tight group never reaches that: centres are first put where the sample is
+dense, and the vectors within half the link distance of a centre are its core. A core's
+vectors all link to each other, so their links are a sum. Any other vector is held
+against the core as one node, by centre and covering radius: it links with none or with
+all of it, or, in the narrow ring between, it is compared with its members in chunks.
+
 Defined results: vectors that are null, zero or hold null or non-finite components, and vectors with a null label, link with nothing (0
 links, own component). Vectors of different lengths never link. Repeated vec_ids keep
 their rows; rows of one vec_id with different vectors are one node, whose links add up. An empty table gives no rows; extra columns are ignored.
@@ -183,8 +189,8 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return unit(flat.reshape(len(column), -1))
 
 
-def pivots(distinct: DataFrame, large: DataFrame, sizes: list, sample: int = SAMPLE) -> dict:
-    """Centres of each label that needs more than one cell, farthest first from a bounded sample of it (by hash, about `sample` vectors, fewer for very many labels)."""
+def pivots(distinct: DataFrame, large: DataFrame, sizes: list, reach: float, block: int, sample: int = SAMPLE) -> dict:
+    """Centres of each label that needs more than one cell: dense places of a bounded sample of it (by hash, about `sample` vectors, fewer for very many labels), then the farthest."""
     if not sizes:
         return {}
     share = max(4 * PIVOTS, min(sample, MOST_SAMPLED // len(sizes)))
@@ -199,8 +205,18 @@ def pivots(distinct: DataFrame, large: DataFrame, sizes: list, sample: int = SAM
         if not some:
             continue
         x = unit([e for _, e in some])
-        many = min(PIVOTS, len(x), -(-n // BLOCK))
-        chosen, gap = [0], 2 - 2 * (x @ x[0])
+        many = min(PIVOTS, len(x), -(-n // block))
+        near = 2 - 2 * (x @ x.T) <= (reach / 2) ** 2
+        chosen, free = [], np.ones(len(x), bool)
+        while len(chosen) < many // 2:  # dense places, while any holds a few hundredths of the sample
+            count = near[:, free].sum(axis=1)
+            best = int(np.argmax(count))
+            if count[best] < max(3, 0.02 * len(x)):
+                break
+            chosen.append(best)
+            free &= ~near[best]
+        chosen = chosen or [0]
+        gap = (2 - 2 * (x @ x[chosen].T)).min(axis=1)
         while len(chosen) < many:
             chosen.append(int(np.argmax(gap)))
             gap = np.minimum(gap, 2 - 2 * (x @ x[chosen[-1]]))
@@ -222,7 +238,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     distinct = cut(rows.where("e is not null").groupBy("label", "e").agg(F.min("id").alias("rep"), F.count("*").alias("w")))
     large = distinct.groupBy("label", F.size("e").alias("width")).agg(F.count("*").alias("n")).where(F.col("n") > block).orderBy(F.desc("n"), "label").limit(MOST_PIVOTS // PIVOTS)
     large = cut(large)  # at most MOST_PIVOTS / PIVOTS rows
-    centres = pivots(distinct, large, [(r["label"], r["width"], r["n"]) for r in large.collect()])
+    centres = pivots(distinct, large, [(r["label"], r["width"], r["n"]) for r in large.collect()], reach, block)
 
     def to_cells(batches):
         for batch in batches:
@@ -237,11 +253,56 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
                     cells[i], gaps[i] = c, d
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(gaps, pa.float64())], names=[*batch.schema.names, "cell", "gap"])
 
+    def to_cores(batches):
+        for batch in batches:
+            rows_ = list(zip(batch.column("label").to_pylist(), batch.column("e").to_pylist(), batch.column("cell").to_pylist(), batch.column("core").to_pylist(), strict=True))
+            whole, ring = [[] for _ in rows_], [[] for _ in rows_]
+            groups: dict = {}
+            for i, (lab, vec, _, _) in enumerate(rows_):
+                groups.setdefault((lab, len(vec)), []).append(i)
+            for k, own in groups.items():
+                d = np.sqrt(np.maximum(0, 2 - 2 * (unit([rows_[i][1] for i in own]) @ centres[k].T)))
+                for c, (number, radius) in cores_of.get(k, {}).items():
+                    for i, far in zip(own, d[:, c].tolist(), strict=True):
+                        _, _, cell, core = rows_[i]
+                        if far > reach + radius + 1e-6 or core and cell <= c:  # cores meet once, and not themselves
+                            continue
+                        (whole if far <= reach - radius - 1e-6 else ring)[i].append(number)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("w"), batch.column("e"), pa.array(whole, pa.list_(pa.int32())), pa.array(ring, pa.list_(pa.int32()))], names=["rep", "w", "e", "whole", "ring"])
+
     kind = rows.schema["label"].dataType.simpleString()
     id_kind = rows.schema["id"].dataType.simpleString()
     base = f"label {kind}, e array<double>, rep {id_kind}, w long"
     cells = distinct.mapInArrow(to_cells, f"{base}, cell int, gap double") if centres else distinct.withColumn("cell", F.lit(0)).withColumn("gap", F.lit(0.0))
-    cells = cut(cells.withColumn("width", F.size("e")))
+    core = F.lit(False)
+    if centres:
+        many = spark.createDataFrame([(*k, True) for k in centres], f"label {kind}, width int, many boolean")
+        cells = cells.withColumn("width", F.size("e")).join(F.broadcast(many), ["label", "width"], "left")
+        core = F.coalesce("many", F.lit(False)) & (F.col("gap") <= reach / 2 - 1e-6)
+    cells = cut(cells.withColumn("width", F.size("e")).withColumn("core", core))
+    found, blocks = [], []
+    cores = cells.where("core").groupBy("label", "width", "cell").agg(F.sum("w").alias("all_w"), F.count("*").alias("n"), F.min("rep").alias("root"), F.max("gap").alias("radius")).collect() if centres else []  # at most MOST_PIVOTS rows
+    if cores:
+        cores_of: dict = {}
+        for i, r in enumerate(cores):
+            cores_of.setdefault((r["label"], r["width"]), {})[r["cell"]] = (i, r["radius"])
+        known = F.broadcast(spark.createDataFrame([(r["label"], r["width"], r["cell"], i, r["all_w"], r["n"], r["root"]) for i, r in enumerate(cores)], f"label {kind}, width int, cell int, number int, all_w long, n long, root {id_kind}"))
+        others = cells.where("many").select("label", "e", "rep", "w", "cell", "core")
+        related = cut(others.mapInArrow(to_cores, f"rep {id_kind}, w long, e array<double>, whole array<int>, ring array<int>").where("size(whole) + size(ring) > 0"))
+        whole = related.select("rep", "w", F.explode("whole").alias("number"))
+        found.append(whole.join(known, "number").select("rep", F.col("all_w").alias("links"), "root"))
+        gained = whole.groupBy("number").agg(F.sum("w").alias("gain"))
+        members = cells.where("core").join(known, ["label", "width", "cell"])
+        found.append(members.join(F.broadcast(gained), "number", "left").select("rep", (F.col("all_w") - F.col("w") + F.coalesce("gain", F.lit(0))).alias("links"), "root"))
+        ring = related.select("rep", "w", "e", F.explode("ring").alias("number"))
+        sizes = ring.groupBy("number").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+        deal = lambda k, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), k).cast("int")
+        width_of = F.ceil(F.col("n") / block).cast("int")
+        lefts = ring.join(F.broadcast(sizes), "number").join(known, "number").select("rep", "w", "e", "number", deal(F.col("k"), "ring").alias("i"), F.explode(F.sequence(F.lit(0), width_of - 1)).alias("j"))
+        rights = members.join(F.broadcast(sizes), "number").select("rep", "w", "e", "number", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), deal(width_of, "core").alias("j"))
+        for side, is_left in ((lefts, True), (rights, False)):
+            blocks.append(side.select("rep", "w", "e", F.lit(is_left).alias("left"), F.concat_ws("/", F.lit("core"), "number", "i", "j").alias("block"), F.lit(False).alias("own")))
+    cells = cells.where("not core")
     stats = cells.groupBy("label", "width", "cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius"))
     # -- which cells of a label meet: (cell, other cell, its chunks); labels of one cell meet themselves
     met = {}
@@ -269,6 +330,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     placed = sized.withColumn("o", F.explode(others)).select("rep", "w", "e", (me <= you).alias("left"), F.xxhash64("label", "width").alias("l"), F.least(me, you).alias("p"), F.greatest(me, you).alias("q"))
     placed = placed.select("rep", "w", "e", "left", F.concat_ws("/", "l", "p.cell", "p.chunk", "q.cell", "q.chunk").alias("block"), (F.col("p") == F.col("q")).alias("own"))
 
+    for more in blocks:
+        placed = placed.unionByName(more)
+
     def task(group: pa.Table):
         reps, w, left = (group.column(c).to_numpy() if c != "left" else group.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "w", "left"))
         x = matrix(group.column("e"))
@@ -287,7 +351,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
         root = np.array([forest.root(int(k)) for k in some], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(count[some]), pa.array(reps[root]) if len(some) else pa.array(reps[:0])], names=["rep", "links", "root"])
 
-    found = cut(by_key(placed, "block", task, f"rep {id_kind}, links long, root {id_kind}"))
+    met_in = by_key(placed, "block", task, f"rep {id_kind}, links long, root {id_kind}")
+    for more in found:
+        met_in = met_in.unionByName(more)
+    found = cut(met_in)
     comps = components(found.select(F.col("rep").cast("long").alias("u"), F.col("root").cast("long").alias("v")))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reps = distinct.join(counted, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
