@@ -155,8 +155,8 @@ class Constant:
 
 
 def held_out(key: str = "doc_id") -> Column:
-    """Column: rows whose labels are never learned from."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+    """Column: rows whose labels are never learned from (a null key isn't one; its label isn't used either)."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> Attention | Constant:
