@@ -263,6 +263,26 @@ def test_lines_both_ways(spark, docs, odd, none, monkeypatch, limit):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_lines_at_any_crowd(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"Posted on our public board by member {'abcdefghij'[i % 10] * (1 + i // 10)} under general topics today") for i in range(60)]
+    rows += [(100 + i, "Posted on our " + " ".join(rng.choice(list("pqr"), 10, p=(0.8, 0.1, 0.1)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    whole = sorted(line_dedup.dedup_lines(df).collect())
+    assert [r["doc_id"] for r in whole if not r["_dropped"] and r["doc_id"] < 100] == [0]
+    for crowd in (2, 30):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        assert sorted(line_dedup.dedup_lines(df).collect()) == whole
+
+
+def test_nearest_seed():
+    rng = np.random.default_rng(6)
+    for n in (1, 4, 5, 13):
+        seeds, lines = (rng.choice(3, (k, n), p=(0.8, 0.1, 0.1)).astype(np.uint32) for k in (30, 200))
+        near = (lines[:, None] == seeds[None]).mean(axis=2) >= 0.8
+        assert line_dedup.nearest(seeds, lines).tolist() == np.where(near.any(axis=1), near.argmax(axis=1), -1).tolist()
+
+
 def test_templates():
     words_ = np.array([[1, 2, 3, 4, 5], [1, 2, 3, 4, 9], [1, 2, 8, 7, 5], [1, 2, 3, 6, 5]])
     assert line_dedup.templates(np.array([10, 11, 12, 13]), np.array([5, 1, 1, 1]), words_).tolist() == [10, 10, 12, 10]

@@ -11,9 +11,12 @@ Whole texts are reduced to one leaf hash and one line hash for each line; distin
 (line, document) pairs are counted before anything else is joined. A leaf without
 MIN_DOCS documents can't hold a recurring template, and one with a single distinct line
 is its own template; only the words of lines in other leaves are compared. A leaf with
-more than CROWD distinct lines is parsed deeper (each level of LEVELS more leading words), so no task
-holds an unbounded leaf. Recurring lines are broadcast as hashes if their counted number
-allows, else joined.
+more than CROWD distinct lines is compared in rounds with the same result: its first lines
+in order give their templates, the other lines are dealt into chunks that each meet these
+templates, and those that join none are left for the next round, so no task holds an
+unbounded leaf. There, lines are paired by blocks: two lines that differ in d positions at
+most are equal in one of d + 1 blocks. Recurring lines are broadcast as hashes if their
+counted number allows, else joined.
 
 Defined results: blank lines are no lines, never dropped and not counted; null texts
 stay null; documents with a null key don't count and lose no lines; rows of one key
@@ -25,23 +28,27 @@ through by `filter_documents`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import BROADCAST_ROWS, by_key, cut, fresh, pieces, small_batches, table
 from .words import _WEIGHTS, hashes, mix, raw, spans, word_spans
 
-LEVELS = (3, 6, 12, 24, 1 << 30)
+LEAD = 3
 MIN_DOCS, SIMILAR, CROWD = 3, 0.8, 4000
+#: Pairs of lines that are compared at once, in words.
+PAIR_WORDS = 4 << 20
 VARIABLE = np.uint64(0x3C2A)
 DIGIT = np.zeros(256, bool)
 DIGIT[list(b"0123456789")] = True
 
 
-def parse(texts: pa.Array, crowded: list[np.ndarray] | None = None) -> dict[str, np.ndarray]:
+def parse(texts: pa.Array) -> dict[str, np.ndarray]:
     """Lines with words: row, begin and end byte, leaf and line hash, offsets of their word hashes in `words`."""
     data, offsets = raw(texts)
     begin, end, rows = word_spans(data, offsets)
@@ -58,10 +65,7 @@ def parse(texts: pa.Array, crowded: list[np.ndarray] | None = None) -> dict[str,
     term = h * _WEIGHTS[(place & 0x7FFF) + 7]
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)])
     upto = lambda k: mix(total[first + np.minimum(count, k)] - total[first] + mix(count.astype(np.uint64) * np.uint64(31) + np.uint64(min(k, 1 << 20))))
-    leaf = upto(LEVELS[0]) if len(first) else np.zeros(0, np.uint64)
-    for level, full in zip(LEVELS[1:], crowded or [], strict=False):
-        deep = np.isin(leaf, full)
-        leaf = np.where(deep, upto(level), leaf)
+    leaf = upto(LEAD) if len(first) else np.zeros(0, np.uint64)
     line = upto(1 << 30) if len(first) else np.zeros(0, np.uint64)
     return {"row": np.searchsorted(offsets, line_begin, "right") - 1, "begin": line_begin, "end": line_end, "leaf": leaf, "line": line, "at": at, "words": h}
 
@@ -70,23 +74,23 @@ def _longs(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def parsed(docs: DataFrame, crowded: list[np.ndarray]) -> DataFrame:
+def parsed(docs: DataFrame) -> DataFrame:
     """Distinct (leaf, line, id) of docs (id, text) within each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            p = parse(batch.column("text"), crowded)
+            p = parse(batch.column("text"))
             yield pa.RecordBatch.from_arrays([_longs(p["leaf"]), _longs(p["line"]), batch.column("id").take(pa.array(p["row"]))], names=["leaf", "line", "id"])
 
     return docs.mapInArrow(run, f"leaf long, line long, id {docs.schema['id'].dataType.simpleString()}").where("id is not null").distinct()
 
 
-def words_of(docs: DataFrame, crowded: list[np.ndarray], leaves: np.ndarray | None) -> DataFrame:
+def words_of(docs: DataFrame, leaves: np.ndarray | None) -> DataFrame:
     """(leaf, line, words) of the lines in the given leaves (None: all), words as packed 32-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            p = parse(batch.column("text"), crowded)
+            p = parse(batch.column("text"))
             pick = np.flatnonzero(np.isin(p["leaf"], leaves)) if leaves is not None else np.arange(len(p["leaf"]))
             _, once = np.unique(p["line"][pick], return_index=True)
             pick = pick[once]
@@ -110,38 +114,107 @@ def templates(lines: np.ndarray, weight: np.ndarray, words: np.ndarray, similar:
     return out
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> tuple[DataFrame, list[np.ndarray]]:
-    """Rows (line, template, first_id) of recurring templates' lines, for docs (id, text); and the crowded leaves by level."""
-    crowded: list[np.ndarray] = []
+def nearest(seeds: np.ndarray, words: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
+    """The first seed that each line joins, or -1; seeds and words: one row of hashes for each line."""
+    n = words.shape[1]
+    need = next(k for k in range(1, n + 1) if k / n >= similar)
+    bounds = np.linspace(0, n, n - need + 2).astype(int)
+    best = np.full(len(words), len(seeds))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        block = lambda w: mix((w[:, a:b].astype(np.uint64) * _WEIGHTS[np.arange(b - a) & 0xFFFF]).sum(axis=1, dtype=np.uint64))  # noqa: B023, E731
+        own, line = block(seeds), block(words)
+        order = np.argsort(own, kind="stable")
+        low, high = np.searchsorted(own[order], line, "left"), np.searchsorted(own[order], line, "right")
+        total = np.concatenate([[0], np.cumsum(high - low)])
+        step = max(1, PAIR_WORDS // n)
+        for start in range(0, int(total[-1]), step):
+            pair = np.arange(start, min(start + step, int(total[-1])))
+            i = np.searchsorted(total, pair, "right") - 1
+            j = order[low[i] + pair - total[i]]
+            some = j < best[i]
+            i, j = i[some], j[some]
+            near = (words[i] == seeds[j]).mean(axis=1) >= similar
+            np.minimum.at(best, i[near], j[near])
+    return np.where(best < len(seeds), best, -1)
+
+
+def _matrix(words: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(words.to_pylist()), "<u4").reshape(len(words), -1)
+
+
+def compared(weighed: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(line, template) of lines (leaf, line, n, words) whose leaves may be held by a task."""
+
+    def task(group: pa.Table):
+        line, n = group.column("line").to_numpy(), group.column("n").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(line), pa.array(templates(line, n, _matrix(group.column("words")), similar))], names=["line", "template"])
+
+    return by_key(weighed, "leaf", task, "line long, template long")
+
+
+def crowded(weighed: DataFrame, similar: float = SIMILAR) -> list[DataFrame]:
+    """What `compared` gives for leaves of any size, in parts."""
+
+    def task(group: pa.Table):
+        n, line = group.column("n").to_numpy(), group.column("line").to_numpy()
+        words, seed = _matrix(group.column("words")), group.column("seed").to_numpy(zero_copy_only=False)
+        seeds, rest = np.flatnonzero(seed), np.flatnonzero(~seed)
+        seeds = seeds[np.lexsort((line[seeds], -n[seeds]))]
+        at = nearest(words[seeds], words[rest], similar)
+        found = pa.array(np.append(line[seeds], 0)[at], mask=at < 0)
+        return pa.RecordBatch.from_arrays([pa.array(line[rest]), found], names=["line", "template"])
+
+    parts, rest = [], weighed
     while True:
-        pairs = cut(parsed(docs, crowded))
-        lines = pairs.groupBy("leaf", "line").agg(F.count("*").alias("n"))
-        leaves = cut(lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("n")))  # n >= documents of the leaf
-        full = leaves.where(F.col("lines") > CROWD).select("leaf")
-        if len(crowded) >= len(LEVELS) - 1 or not (count := full.limit(BROADCAST_ROWS).count()):
-            break
-        crowded.append(np.sort(full.toArrow().column("leaf").to_numpy().view(np.uint64)) if count else np.zeros(0, np.uint64))
+        size = rest.groupBy("leaf").agg(F.ceil(F.count("*") / CROWD).alias("chunks"))
+        rest = cut(rest.join(F.broadcast(size), "leaf").withColumn("slot", F.struct(-F.col("n"), F.floor((F.col("line") / 2.0**64 + 0.5) * 4 * F.col("chunks")))))
+        slots = rest.groupBy("leaf", "slot").agg(F.count("*").alias("own"))
+        upto = F.sum("own").over(Window.partitionBy("leaf").orderBy("slot"))
+        first = slots.withColumn("upto", upto).where((F.col("upto") <= CROWD) | (F.col("upto") == F.col("own"))).groupBy("leaf").agg(F.max("slot").alias("last"))
+        rest = cut(rest.join(F.broadcast(first), "leaf").withColumn("head", F.col("slot") <= F.col("last")).drop("slot", "last"))
+        head = rest.where("head")
+        parts.append(cut(compared(head.select("leaf", "line", "n", "words"), similar)))
+        others = rest.where("not head")
+        if not others.limit(1).count():
+            return parts
+        seeds = head.join(parts[-1].where("line = template"), "line", "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        dealt = seeds.withColumn("seed", F.lit(True)).unionByName(others.withColumn("chunk", F.pmod("line", "chunks")).withColumn("seed", F.lit(False)))
+        dealt = dealt.select(F.xxhash64("leaf", "chunk").alias("chunk"), "line", "n", "words", "seed")
+        found = cut(by_key(dealt, "chunk", task, "line long, template long"))
+        parts.append(found.where("template is not null"))
+        left = found.where("template is null").select("line")
+        if not left.limit(1).count():
+            return parts
+        rest = others.join(left, "line", "left_semi").select("leaf", "line", "n", "words")
+
+
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
+    """Rows (line, template, first_id) of recurring templates' lines, for docs (id, text)."""
+    pairs = cut(parsed(docs))
+    lines = pairs.groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    leaves = cut(lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("n")))  # n >= documents of the leaf
     compare = leaves.where((F.col("lines") > 1) & (F.col("n") >= min_docs)).select("leaf")
     if compare.count() <= BROADCAST_ROWS:
         known = np.sort(compare.toArrow().column("leaf").to_numpy().view(np.uint64))
-        words = words_of(docs, crowded, known)
+        words = words_of(docs, known)
         weight = pairs.join(F.broadcast(compare), "leaf")
     else:
-        words = words_of(docs, crowded, None).join(compare, "leaf", "left_semi")
+        words = words_of(docs, None).join(compare, "leaf", "left_semi")
         weight = pairs.join(compare, "leaf")
     words = words.groupBy("leaf", "line").agg(F.first("words").alias("words"))
     weighed = words.join(weight.groupBy("leaf", "line").agg(F.count("*").alias("n")), ["leaf", "line"])
 
-    def task(group: pa.Table):
-        line, n = group.column("line").to_numpy(), group.column("n").to_numpy()
-        words = np.frombuffer(b"".join(group.column("words").to_pylist()), "<u4").reshape(len(line), -1)
-        return pa.RecordBatch.from_arrays([pa.array(line), pa.array(templates(line, n, words, similar))], names=["line", "template"])
-
-    grouped = cut(by_key(weighed, "leaf", task, "line long, template long").where("line <> template"))
+    full = leaves.where(F.col("lines") > CROWD).select("leaf")
+    if leaves.where((F.col("lines") > CROWD) & (F.col("n") >= min_docs)).limit(1).count():
+        weighed = cut(weighed)
+        parts = [compared(weighed.join(F.broadcast(full), "leaf", "left_anti"), similar), *crowded(weighed.join(F.broadcast(full), "leaf", "left_semi"), similar)]
+        grouped = cut(reduce(DataFrame.unionByName, parts).where("line <> template"))
+    else:
+        grouped = cut(compared(weighed, similar).where("line <> template"))
     named = pairs.join(grouped, "line", "left").select("line", F.coalesce("template", "line").alias("template"), "id")
     docs_of = named.select("template", "id").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= min_docs)
     own = docs_of.select("template", "first_id")
-    return cut(own.select(F.col("template").alias("line"), "template", "first_id").unionByName(grouped.join(own, "template").select("line", "template", "first_id"))), crowded
+    return cut(own.select(F.col("template").alias("line"), "template", "first_id").unionByName(grouped.join(own, "template").select("line", "template", "first_id")))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,7 +222,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMI
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    drop, crowded = recurring(rows, min_docs, similar)
+    drop = recurring(rows, min_docs, similar)
     names = docs.columns
     at, key_at = names.index(text), names.index(key)
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
@@ -162,14 +235,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMI
         lines, template, first = line[order], got.column("template").to_numpy()[order], got.column("first_id").to_numpy()[order]
         look = lambda batch, i: (lines, template, first)
     else:  # too many to broadcast: each document gets its own
-        of = parsed(rows, crowded).join(drop, "line").groupBy("id").agg(F.collect_list(F.struct("line", "template", (F.col("first_id") == F.col("id")).alias("mine"))).alias("_own"))
+        of = parsed(rows).join(drop, "line").groupBy("id").agg(F.collect_list(F.struct("line", "template", (F.col("first_id") == F.col("id")).alias("mine"))).alias("_own"))
         plain = plain.join(of.withColumnRenamed("id", f"c{key_at}"), f"c{key_at}", "left").select(*plain.columns, "_own")
         look = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, f"c{at}"):
             column, keys = batch.column(at), batch.column(key_at).to_pylist()
-            p = parse(column, crowded)
+            p = parse(column)
             data, offsets = raw(column)
             drop_line = np.zeros(len(p["line"]), bool)
             row = p["row"]
