@@ -275,6 +275,18 @@ def test_lines_at_any_crowd(spark, monkeypatch):
         assert sorted(line_dedup.dedup_lines(df).collect()) == whole
 
 
+def test_passages_of_two_documents_go(spark, tmp_path):
+    passage = " ".join(["the", "long", "passage", *(f"w{'x' * i}" for i in range(48))])
+    short, other = " ".join(passage.split(" ")[:50]), f"{passage} end".replace("passage ", "", 1)
+    make = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    make((4, f"alpha\n{passage}\n{short}"), (2, f"beta two\n{passage}"), (7, f"gamma here now\n{short}")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_dropped"] for r in Q.QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()} == {4: 1, 2: 0, 7: 0}
+    alike = f"{passage}z"  # a template with passage, in two documents only
+    rows = make((1, f"alpha\n{passage}"), (2, f"{passage}\n{alike}\n{other}"), (None, passage))
+    assert {(r["doc_id"], r["text"]) for r in line_dedup.filter_documents(rows).collect()} == {(1, f"alpha\n{passage}"), (2, f"{alike}\n{other}"), (None, passage)}
+    assert {r["text"] for r in line_dedup.dedup_lines(rows).collect()} == {r["text"] for r in rows.collect()}
+
+
 def test_nearest_seed():
     rng = np.random.default_rng(6)
     for n in (1, 4, 5, 13):

@@ -5,7 +5,9 @@ a leaf; words with a digit are the variable `<*>` from the start. Inside a leaf,
 of which at least SIMILAR of the words agree position by position share a template
 (the most frequent line first, then by hash), whose other positions are variable. A
 template in at least MIN_DOCS documents is recurring: its first line in the smallest
-document stays, all others go.
+document stays, all others go. Where its lines are no such template, a passage (a line of over
+PASSAGE words) recurs by itself from `passage_docs` documents on; MIN_DOCS guards the merging of
+different lines and short lines that agree by chance.
 
 Whole texts are reduced to one leaf hash and one line hash for each line; distinct
 (line, document) pairs are counted before anything else is joined. A leaf without
@@ -41,6 +43,7 @@ from .words import _WEIGHTS, hashes, mix, raw, spans, word_spans
 
 LEAD = 3
 MIN_DOCS, SIMILAR, CROWD = 3, 0.8, 4000
+PASSAGE, PASSAGE_DOCS = 50, 2
 #: Pairs of lines that are compared at once, in words.
 PAIR_WORDS = 4 << 20
 VARIABLE = np.uint64(0x3C2A)
@@ -75,14 +78,14 @@ def _longs(a: np.ndarray) -> pa.Array:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """Distinct (leaf, line, id) of docs (id, text) within each document."""
+    """Distinct (leaf, line, id, passage) of docs (id, text) within each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             p = parse(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([_longs(p["leaf"]), _longs(p["line"]), batch.column("id").take(pa.array(p["row"]))], names=["leaf", "line", "id"])
+            yield pa.RecordBatch.from_arrays([_longs(p["leaf"]), _longs(p["line"]), batch.column("id").take(pa.array(p["row"])), pa.array(np.diff(p["at"]) > PASSAGE)], names=["leaf", "line", "id", "passage"])
 
-    return docs.mapInArrow(run, f"leaf long, line long, id {docs.schema['id'].dataType.simpleString()}").where("id is not null").distinct()
+    return docs.mapInArrow(run, f"leaf long, line long, id {docs.schema['id'].dataType.simpleString()}, passage boolean").where("id is not null").distinct()
 
 
 def words_of(docs: DataFrame, leaves: np.ndarray | None) -> DataFrame:
@@ -188,8 +191,8 @@ def crowded(weighed: DataFrame, similar: float = SIMILAR) -> list[DataFrame]:
         rest = others.join(left, "line", "left_semi").select("leaf", "line", "n", "words")
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
-    """Rows (line, template, first_id) of recurring templates' lines, for docs (id, text)."""
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, passage_docs: int | None = None) -> DataFrame:
+    """Rows (line, template, first_id) of recurring templates' lines, for docs (id, text); passage_docs: min_docs if None."""
     pairs = cut(parsed(docs))
     lines = pairs.groupBy("leaf", "line").agg(F.count("*").alias("n"))
     leaves = cut(lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("n")))  # n >= documents of the leaf
@@ -214,15 +217,20 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILA
     named = pairs.join(grouped, "line", "left").select("line", F.coalesce("template", "line").alias("template"), "id")
     docs_of = named.select("template", "id").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= min_docs)
     own = docs_of.select("template", "first_id")
-    return cut(own.select(F.col("template").alias("line"), "template", "first_id").unionByName(grouped.join(own, "template").select("line", "template", "first_id")))
+    out = own.select(F.col("template").alias("line"), "template", "first_id").unionByName(grouped.join(own, "template").select("line", "template", "first_id"))
+    if passage_docs is not None and passage_docs < min_docs:
+        out = cut(out)
+        same = pairs.where("passage").groupBy("line").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= passage_docs)
+        out = out.unionByName(same.join(out, "line", "left_anti").select("line", F.col("line").alias("template"), "first_id"))
+    return cut(out)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, key: str = "doc_id", text: str = "text", passage_docs: int | None = None) -> DataFrame:
     """docs with recurring lines taken out of `text`, and the columns `_lines`, `_dropped` (with further `_` if docs has such)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    drop = recurring(rows, min_docs, similar)
+    drop = recurring(rows, min_docs, similar, passage_docs)
     names = docs.columns
     at, key_at = names.index(text), names.index(key)
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
@@ -289,11 +297,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMI
 def filter_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with recurring lines taken out; a document whose lines all went goes too."""
     lines, dropped = (F.col(fresh(c, docs.columns)) for c in ("_lines", "_dropped"))
-    rows = dedup_lines(docs, key=key, text=text).where((dropped == 0) | (dropped < lines))
+    rows = dedup_lines(docs, key=key, text=text, passage_docs=PASSAGE_DOCS).where((dropped == 0) | (dropped < lines))
     return rows.drop(*(fresh(c, docs.columns) for c in ("_lines", "_dropped")))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its remaining text, its lines and how many went."""
-    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), passage_docs=PASSAGE_DOCS)
     return rows.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
