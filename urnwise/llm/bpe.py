@@ -25,7 +25,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, table
+from urnwise.cluster import ship
+
+from .common import pieces, table
 
 #: Pre-tokens whose ids a worker keeps; beyond that it starts anew.
 CACHE_WORDS = 400_000
@@ -142,7 +144,7 @@ def load(path: str) -> ByteBPE:
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_tokens, ids, decoded): ids binary (little-endian unsigned 32-bit), decoded from those ids."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -160,7 +162,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_tokens, ids array<int>)."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -174,7 +176,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 def decode(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Rows (key, text) from an array<int> column of ids; null ids give an empty text."""
-    small_batches(rows.sparkSession)
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

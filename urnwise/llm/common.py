@@ -5,18 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urnwise.cluster import ship
-
 #: Bytes of text that one step of a Python stage works on (one document at least).
 CHUNK_BYTES = 2 << 20
-#: Rows of one Arrow batch, so that a batch of usual documents stays near 1 MB.
-BATCH_ROWS = 256
+#: Rows of one Arrow batch where a job is run here, so that a batch of usual documents stays near 1 MB.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 256
 #: Rows of a table that may be broadcast after its rows have been counted (8 to 40 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -27,35 +26,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a temporary one on a single machine and a folder of the warehouse on a cluster."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a single machine; on a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-            at = "file://" + tempfile.mkdtemp(prefix="urnwise-")
-        else:
-            at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_urnwise"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="urnwise-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-_CUTS: list[str] = []
+def _path(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
 
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write df to the shared folder and read it again: later work starts from files that outlive executors.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: later work starts from files that outlive executors."""
+    The files go when the application ends, or before with `discard`.
+    """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    _CUTS.append(at)
-    return spark.read.schema(df.schema).parquet(at)
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(BATCH, None)
+    try:  # few rows of whole texts in an Arrow batch, for this job alone
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(BATCH, before) if before else spark.conf.unset(BATCH)
+    files, path = _path(spark, at)
+    files.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._cut_at = at
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete the files of cuts that no later result reads."""
+    for df in cuts:
+        files, path = _path(df.sparkSession, df._cut_at)
+        files.delete(path, True)
+
 
+def small(df: DataFrame) -> DataFrame:
+    """A cut for one side of a join: broadcast if its counted rows allow, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-def clean(spark: SparkSession) -> None:
-    """Delete the files of all cuts so far, once the results that read them are written."""
-    jvm = spark.sparkContext._jvm
-    while _CUTS:
-        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+@lru_cache(maxsize=2)
+def byte_level(ranks: str):
+    """The tokenizer of a file of byte-level ranks, one copy in each Python worker."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -66,12 +94,6 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Before Python stages: this package on the workers, and few rows of whole texts in an Arrow batch."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the strings of column stay near CHUNK_BYTES (one row at least)."""
     for batch in batches:
@@ -140,6 +162,8 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = hooked.join(hooked.select(F.col("node").alias("parent"), F.col("parent").alias("up")), "parent", "left").select("node", F.coalesce(F.least("up", "parent"), "parent").alias("parent"))
         new = cut(jumped)
         moved = new.join(p.withColumnRenamed("parent", "old"), "node").where("old <> parent").limit(1).count()
+        discard(p, hooked)
         p = new
         if not moved:
+            discard(e)
             return p.select("node", F.col("parent").alias("component"))

@@ -16,7 +16,6 @@ bands' quantile sketches are shuffled.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -26,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, small_batches, table
+from urnwise.cluster import ship
+
+from .common import byte_level, cut, pieces, table
 from .words import SPACE, hashes, raw, spans, windows, word_spans
 
 CACHE_WORDS = 300_000
@@ -50,13 +51,9 @@ class Vocabularies:
     """Per distinct word: tokens of the byte-level vocabulary, ids of the piece vocabulary, fallback pieces."""
 
     def __init__(self, ranks: str, model: str):
-        import public_tokenizers
         import sentencepiece
-        import tiktoken
 
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes = tiktoken.Encoding("fertility", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        self.bytes = byte_level(ranks)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=model)
         self.size = self.pieces.get_piece_size()
         self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.size)])
@@ -190,7 +187,7 @@ def paths() -> tuple[str, str]:
 
 def measured(rows: DataFrame, ranks: str, model: str, text: str) -> DataFrame:
     """rows (of plain column names) with the counts and metrics of their texts in one struct column `_fertility`."""
-    small_batches(rows.sparkSession)
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):

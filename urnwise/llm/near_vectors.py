@@ -35,7 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, components, cut, small_batches, table
+from urnwise.cluster import ship
+
+from .common import by_key, components, cut, table
 
 THRESHOLD = 0.93
 BLOCK = 2048
@@ -227,7 +229,7 @@ def pivots(distinct: DataFrame, large: DataFrame, sizes: list, reach: float, blo
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", embedding: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
     """Rows (key, n_links, component_id, kept), one for each row of vectors."""
     spark = vectors.sparkSession
-    small_batches(spark)
+    ship(spark)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     e = F.transform(F.col(embedding), lambda v: v.cast("double"))
     fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))

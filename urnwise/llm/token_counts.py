@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, table
+from urnwise.cluster import ship
+
+from .common import pieces, table
 from .words import hashes, raw, word_spans
 
 #: Words whose counts a worker keeps; beyond that it starts anew.
@@ -99,7 +101,7 @@ def load(path: str) -> Unigram:
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_words, n_tokens), one for each row of docs."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)

@@ -9,7 +9,6 @@ import pyarrow.compute as pc
 #: The bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_WEIGHTS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -19,6 +18,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _weights(place: np.ndarray) -> np.ndarray:
+    return mix((place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+_FIRST = _weights(np.arange(1 << 16))
+
+
+def weights(place: np.ndarray) -> np.ndarray:
+    """An odd 64-bit weight for each place, mixed from the place itself, so that no stretch of places has another's weights."""
+    return _FIRST[place] if not len(place) or int(place.max()) < len(_FIRST) else _weights(place)
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, row offsets into them); null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -45,7 +56,7 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(begin), np.flatnonzero(end)
 
 
-#: Bytes that are hashed in one step; a longer text takes several.
+#: Bytes that are hashed in one step; more strings, and longer ones, take several.
 STEP = 4 << 20
 
 
@@ -58,11 +69,16 @@ def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     while low < len(begin):
         high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + STEP, "right")))
         own = size[low:high]
-        first = np.cumsum(own) - own
-        place = np.arange(int(own.sum()), dtype=np.int64) - np.repeat(first, own)
-        value = data[np.repeat(begin[low:high], own) + place].astype(np.uint64) + np.uint64(1)
-        value *= _WEIGHTS[place & 0xFFFF]
-        out[low:high] = np.add.reduceat(value, first)
+        if high == low + 1:
+            for at in range(0, int(own[0]), STEP):
+                part = data[begin[low] + at : min(begin[low] + at + STEP, end[low])]
+                out[low : low + 1] += ((part.astype(np.uint64) + np.uint64(1)) * weights(at + np.arange(len(part)))).sum(dtype=np.uint64)
+        else:
+            first = np.cumsum(own) - own
+            place = np.arange(int(own.sum()), dtype=np.int64) - np.repeat(first, own)
+            value = data[np.repeat(begin[low:high], own) + place].astype(np.uint64) + np.uint64(1)
+            value *= weights(place)
+            out[low:high] = np.add.reduceat(value, first)
         low = high
     return mix(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -81,7 +97,7 @@ def windows(h: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.
     if not out[-1]:
         return np.zeros(0, np.uint64), out
     start = np.arange(out[-1]) + np.repeat(offsets[:-1] - out[:-1], many)
-    total = np.zeros(int(out[-1]), np.uint64)
+    total, own = np.zeros(int(out[-1]), np.uint64), weights(np.arange(101, 101 + n))
     for j in range(n):
-        total += h[start + j] * _WEIGHTS[j + 101]
+        total += h[start + j] * own[j]
     return mix(total), out
