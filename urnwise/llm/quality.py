@@ -26,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, pieces, small_batches, table
+from urnwise.cluster import ship
+
+from .common import cut, discard, fresh, pieces, table
 from .words import hashes, raw, windows, word_spans
 
 PASSAGE = 512
@@ -161,33 +163,32 @@ def held_out(key: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> Attention | Constant:
     """A model from labels (key, label) of documents in docs that are not held out."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).where(~held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     pick = known.withColumn("o", F.xxhash64(F.col("key").cast("string"), F.lit("fit")))
     low = pick.where("y = 0").orderBy("o", "key").limit(max_train // 2)
     high = pick.where("y = 1").orderBy("o", "key").limit(max_train // 2)
     chosen = low.union(high)  # at most max_train rows of three numbers
 
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    rows = rows.groupBy("key", "o", "y").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))  # of repeated keys one text
+    rows = cut(rows.withColumn("n", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).cast("long")))
+    own, total = [], 0
+    for r in sorted(rows.select("o", "key", "n").where(F.col("n") <= MAX_PASSAGES // 10).collect()):  # three numbers of max_train rows
+        if total + r["n"] <= MAX_PASSAGES:
+            own.append(r["key"])
+            total += r["n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             x, first = encode(batch.column("text"))
             x = x.astype("<f4")
-            bags = [x[a:b].tobytes() if b - a <= MAX_PASSAGES // 10 else None for a, b in zip(first, first[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("o"), batch.column("y"), pa.array(bags, pa.binary())], names=["key", "o", "y", "x"])
-
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "o", "y", "text")
-    got = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, o long, y int, x binary").where("x is not null").toArrow()
-    seen: dict = {}
-    for k, o, y, x in zip(*(got.column(c).to_pylist() for c in ("key", "o", "y", "x")), strict=True):
-        seen[o, k] = max(seen.get((o, k), (x, y)), (x, y))
-    ordered = [seen[k] for k in sorted(seen)]
-    xs, ys, total = [], [], 0
-    for x, y in ordered:
-        bag = np.frombuffer(x, "<f4").reshape(-1, FEATURES)
-        if total + len(bag) <= MAX_PASSAGES:
-            xs.append(bag)
-            ys.append(y)
-            total += len(bag)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "o", "y")), pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], names=["key", "o", "y", "x"])
+
+    bags = rows.where(F.col("key").isin(own)).select("key", "o", "y", "text").mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, o long, y int, x binary").toArrow()  # MAX_PASSAGES at most
+    got = sorted(zip(*(bags.column(c).to_pylist() for c in ("o", "key", "y", "x")), strict=True))
+    discard(rows)
+    xs, ys = [np.frombuffer(x, "<f4").reshape(-1, FEATURES) for *_, x in got], [y for _, _, y, _ in got]
     if not ys or min(ys) == max(ys):
         return Constant((sum(ys) + 1) / (len(ys) + 2))
     return Attention.fit(np.concatenate(xs), np.concatenate([[0], np.cumsum(list(map(len, xs)))]), np.array(ys, np.float64))
@@ -195,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Attention | Constant, text: str = "text") -> DataFrame:
     """docs with the column `_score` (`_score_` and so on if it has one); whole texts, all columns kept."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     at, names = docs.columns.index(text), docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
 
