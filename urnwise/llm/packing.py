@@ -1,6 +1,6 @@
 """Packing into optimal length buckets.
 
-A document's length is its words (parted by ASCII white space) and one end mark. The
+A document's length is its tokens in a public byte-level vocabulary and one end mark. The
 lengths of all documents, rounded up to the padding steps (8 up to 4096, 64 up to
 65536, 1024 beyond), form one histogram, which is the only thing the driver gets.
 Dynamic programming over it finds the bucket boundaries with the least padding.
@@ -8,7 +8,8 @@ Inside a bucket, batches take as many documents as the token budget holds at the
 bucket's padded length.
 
 Rows are numbered inside groups of about GROUP rows, a hash of the row apart, and the
-groups' running totals are added, so no bucket is ever in one task.
+groups' running totals are added, so no bucket is ever in one task. Rows that are equal
+more than GROUP times are dealt over groups by their place in the input.
 
 Defined results: null and empty texts have length 1; a document longer than the budget
 is a batch of its own, whole; repeated rows each get a slot; an empty table gives no
@@ -17,12 +18,17 @@ rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from urnwise.cluster import ship
+
+from .common import byte_level, cut, pieces, small, table
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -30,10 +36,18 @@ GROUP = 50_000
 STEPS = ((4096, 8), (65_536, 64), (None, 1024))
 
 
-def words(text: str) -> Column:
-    """Words of a text, parted by ASCII white space."""
-    bare = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[ \t\n\x0B\f\r]+")))
+def lengths(docs: DataFrame, ranks: str, key: str, text: str) -> DataFrame:
+    """Rows (id, n_tokens, h, r): tokens and end mark, a hash of the row, and a number of the row."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("h"), F.monotonically_increasing_id().alias("r"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = byte_level(ranks).encode_ordinary
+        for batch in pieces(batches, "text"):
+            n = [len(encode(t or "")) + 1 for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), batch.column("h"), batch.column("r")], names=["id", "n_tokens", "h", "r"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, h long, r long")
 
 
 def padded(n: Column) -> Column:
@@ -73,22 +87,31 @@ def boundaries(uppers: list[int], counts: list[int], buckets: int = BUCKETS) ->
     return out[::-1]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, n_tokens, bucket, bucket_len, batch, slot), one for each row of docs."""
-    rows = cut(docs.select(F.col(key).alias("id"), (words(text) + 1).cast("long").alias("n_tokens"), F.xxhash64(key, text).alias("h")))
+def pack(docs: DataFrame, ranks: str, buckets: int = BUCKETS, budget: int = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, n_tokens, bucket, bucket_len, batch, slot), one for each row of docs; ranks: the vocabulary's file."""
+    rows = cut(lengths(docs, ranks, key, text))
     cells = sorted((r["u"], r["n"]) for r in rows.groupBy(padded(F.col("n_tokens")).alias("u")).agg(F.count("*").alias("n")).collect())
     ends = boundaries([u for u, _ in cells], [n for _, n in cells], buckets) or [1]
     sizes = [sum(n for u, n in cells if low < u <= high) for low, high in zip([0, *ends], ends, strict=False)]
     bucket = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("n_tokens")))
     groups = F.element_at(F.array(*(F.lit(-(-s // GROUP) or 1) for s in sizes)), F.col("bucket") + 1)
-    rows = rows.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(F.array(*(F.lit(e).cast("long") for e in ends)), F.col("bucket") + 1)).withColumn("g", F.pmod("h", groups).cast("int"))
+    rows = rows.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(F.array(*(F.lit(e).cast("long") for e in ends)), F.col("bucket") + 1))
+    hot = cut(rows.groupBy("h").agg(F.count("*").alias("copies")).where(F.col("copies") > GROUP))
+    rows = rows.join(small(hot), "h", "left").withColumn("salt", F.coalesce(F.pmod("r", F.ceil(F.col("copies") / GROUP)), F.lit(0)))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("h", "salt"), groups).cast("int"))
     before = rows.groupBy("bucket", "g").agg(F.count("*").alias("n")).select("bucket", "g", (F.sum("n").over(Window.partitionBy("bucket").orderBy("g")) - F.col("n")).alias("before"))
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("bucket", "g").orderBy("h", "id")) - 1).join(before, ["bucket", "g"])
+    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("bucket", "g").orderBy("h", "salt", "id")) - 1).join(before, ["bucket", "g"])
     room = F.greatest(F.lit(1), F.expr(f"{budget} div bucket_len"))
     place = F.col("before") + F.col("i")
     return numbered.select(F.col("id").alias(key), "n_tokens", "bucket", "bucket_len", F.floor(place / room).cast("long").alias("batch"), (place % room).cast("int").alias("slot"))
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket, batch and slot of every document."""
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
