@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 from .common import BROADCAST_ROWS, cut, table
 
 BITS, SPARE, MORE = 60, 3, 8
+#: Copies of one row that are numbered together.
+GROUP = 50_000
 #: Bytes of text in a shard.
 LIMIT = 16 << 20
 
@@ -49,7 +51,7 @@ def directory(rows: DataFrame, bits: int, limit: int) -> DataFrame:
 
 def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, shard, depth, n_bytes, shard_bytes), one for each row of docs."""
-    rows = cut(docs.select(F.col(key).alias("id"), row_key(key, text).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes")))
+    rows = cut(docs.select(F.col(key).alias("id"), row_key(key, text).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("r")))
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
     bits = min(BITS, max(0, math.ceil(math.log2(max(1.0, total / limit)))) + SPARE)
     parts, rest = [], rows
@@ -68,13 +70,16 @@ def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str =
         out = out.unionByName(x)
     copies = F.col("one") & (F.col("n") > 1) & (F.col("shard_bytes") > limit)  # rows of one key: equal rows
     fit = F.greatest(F.lit(1), F.expr(f"{limit} div greatest(n_bytes, 1)"))
-    number = F.row_number().over(Window.partitionBy("h").orderBy("n_bytes")) - 1
+    own = out.where(copies).withColumn("salt", F.pmod("r", F.ceil(F.col("n") / GROUP)))  # numbered in groups, whose sizes are added
+    sizes = own.groupBy("h", "salt").agg(F.count("*").alias("size"))
+    sizes = sizes.select("h", "salt", (F.sum("size").over(Window.partitionBy("h").orderBy("salt")) - F.col("size")).alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("h", "salt").orderBy("n_bytes")) - 1
     plain = out.where(~copies).withColumn("page", F.lit(0).cast("long"))
-    paged = out.where(copies).withColumn("page", (number / fit).cast("long"))
+    paged = own.join(sizes, ["h", "salt"]).withColumn("page", (number / fit).cast("long"))
     paged = paged.withColumn("shard_bytes", F.least(fit, F.col("n") - F.col("page") * fit) * F.col("n_bytes"))
     bits_of = F.when(F.col("depth") == 0, "all").otherwise(F.expr(f"lpad(bin(shiftright(h, cast({BITS} - depth as int))), depth, '0')"))
     name = F.concat(bits_of, F.when(F.col("page") > 0, F.concat(F.lit("."), F.col("page").cast("string"))).otherwise(""))
-    return plain.unionByName(paged).select(F.col("id").alias(key), name.alias("shard"), "depth", "n_bytes", "shard_bytes")
+    return plain.unionByName(paged.select(*plain.columns)).select(F.col("id").alias(key), name.alias("shard"), "depth", "n_bytes", "shard_bytes")
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
