@@ -38,11 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, by_key, cut, fresh, pieces, small_batches, table
-from .words import _WEIGHTS, hashes, mix, raw, spans, word_spans
+from urnwise.cluster import ship
+
+from .common import BROADCAST_ROWS, by_key, cut, fresh, pieces, small, table
+from .words import hashes, mix, raw, spans, weights, word_spans
 
 LEAD = 3
-MIN_DOCS, SIMILAR, CROWD = 3, 0.8, 4000
+MIN_DOCS, SIMILAR = 3, 0.8
+#: Distinct lines of a leaf that a task holds in the first round; four times as many in each further one, up to MOST.
+CROWD, MOST = 256, 4096
 PASSAGE, PASSAGE_DOCS = 50, 2
 #: Pairs of lines that are compared at once, in words.
 PAIR_WORDS = 4 << 20
@@ -65,7 +69,7 @@ def parse(texts: pa.Array) -> dict[str, np.ndarray]:
     at = np.concatenate([first, [len(h)]])
     count = np.diff(at)
     place = np.arange(len(h)) - np.repeat(first, count)
-    term = h * _WEIGHTS[(place & 0x7FFF) + 7]
+    term = h * weights(place + 7)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)])
     upto = lambda k: mix(total[first + np.minimum(count, k)] - total[first] + mix(count.astype(np.uint64) * np.uint64(31) + np.uint64(min(k, 1 << 20))))
     leaf = upto(LEAD) if len(first) else np.zeros(0, np.uint64)
@@ -124,7 +128,7 @@ def nearest(seeds: np.ndarray, words: np.ndarray, similar: float = SIMILAR) -> n
     bounds = np.linspace(0, n, n - need + 2).astype(int)
     best = np.full(len(words), len(seeds))
     for a, b in zip(bounds, bounds[1:], strict=False):
-        block = lambda w: mix((w[:, a:b].astype(np.uint64) * _WEIGHTS[np.arange(b - a) & 0xFFFF]).sum(axis=1, dtype=np.uint64))  # noqa: B023, E731
+        block = lambda w: mix((w[:, a:b].astype(np.uint64) * weights(np.arange(b - a))).sum(axis=1, dtype=np.uint64))  # noqa: B023, E731
         own, line = block(seeds), block(words)
         order = np.argsort(own, kind="stable")
         low, high = np.searchsorted(own[order], line, "left"), np.searchsorted(own[order], line, "right")
@@ -167,14 +171,14 @@ def crowded(weighed: DataFrame, similar: float = SIMILAR) -> list[DataFrame]:
         found = pa.array(np.append(line[seeds], 0)[at], mask=at < 0)
         return pa.RecordBatch.from_arrays([pa.array(line[rest]), found], names=["line", "template"])
 
-    parts, rest = [], weighed
+    parts, rest, crowd = [], weighed, CROWD
     while True:
-        size = rest.groupBy("leaf").agg(F.ceil(F.count("*") / CROWD).alias("chunks"))
-        rest = cut(rest.join(F.broadcast(size), "leaf").withColumn("slot", F.struct(-F.col("n"), F.floor((F.col("line") / 2.0**64 + 0.5) * 4 * F.col("chunks")))))
+        size = cut(rest.groupBy("leaf").agg(F.ceil(F.count("*") / crowd).alias("chunks")))
+        rest = cut(rest.join(small(size), "leaf").withColumn("slot", F.struct(-F.col("n"), F.floor((F.col("line") / 2.0**64 + 0.5) * 4 * F.col("chunks")))))
         slots = rest.groupBy("leaf", "slot").agg(F.count("*").alias("own"))
         upto = F.sum("own").over(Window.partitionBy("leaf").orderBy("slot"))
-        first = slots.withColumn("upto", upto).where((F.col("upto") <= CROWD) | (F.col("upto") == F.col("own"))).groupBy("leaf").agg(F.max("slot").alias("last"))
-        rest = cut(rest.join(F.broadcast(first), "leaf").withColumn("head", F.col("slot") <= F.col("last")).drop("slot", "last"))
+        first = slots.withColumn("upto", upto).where((F.col("upto") <= crowd) | (F.col("upto") == F.col("own"))).groupBy("leaf").agg(F.max("slot").alias("last"))
+        rest = cut(rest.join(small(cut(first)), "leaf").withColumn("head", F.col("slot") <= F.col("last")).drop("slot", "last"))
         head = rest.where("head")
         parts.append(cut(compared(head.select("leaf", "line", "n", "words"), similar)))
         others = rest.where("not head")
@@ -189,6 +193,7 @@ def crowded(weighed: DataFrame, similar: float = SIMILAR) -> list[DataFrame]:
         if not left.limit(1).count():
             return parts
         rest = others.join(left, "line", "left_semi").select("leaf", "line", "n", "words")
+        crowd = min(MOST, 4 * crowd)
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, passage_docs: int | None = None) -> DataFrame:
@@ -207,10 +212,10 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILA
     words = words.groupBy("leaf", "line").agg(F.first("words").alias("words"))
     weighed = words.join(weight.groupBy("leaf", "line").agg(F.count("*").alias("n")), ["leaf", "line"])
 
-    full = leaves.where(F.col("lines") > CROWD).select("leaf")
-    if leaves.where((F.col("lines") > CROWD) & (F.col("n") >= min_docs)).limit(1).count():
+    full = cut(leaves.where((F.col("lines") > CROWD) & (F.col("n") >= min_docs)).select("leaf"))
+    if full.limit(1).count():
         weighed = cut(weighed)
-        parts = [compared(weighed.join(F.broadcast(full), "leaf", "left_anti"), similar), *crowded(weighed.join(F.broadcast(full), "leaf", "left_semi"), similar)]
+        parts = [compared(weighed.join(small(full), "leaf", "left_anti"), similar), *crowded(weighed.join(small(full), "leaf", "left_semi"), similar)]
         grouped = cut(reduce(DataFrame.unionByName, parts).where("line <> template"))
     else:
         grouped = cut(compared(weighed, similar).where("line <> template"))
@@ -228,7 +233,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILA
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, key: str = "doc_id", text: str = "text", passage_docs: int | None = None) -> DataFrame:
     """docs with recurring lines taken out of `text`, and the columns `_lines`, `_dropped` (with further `_` if docs has such)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     drop = recurring(rows, min_docs, similar, passage_docs)
     names = docs.columns
