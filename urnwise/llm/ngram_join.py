@@ -2,19 +2,26 @@
 
 A text's set is its windows of N words (lower case, parted by ASCII white space; a text
 of fewer words is one window). Texts with equal sets are one class, aggregated before
-any join. Each class has TREES label strings of MinHash values; a tree is the sorted
-trie of one string, and classes under one node at the matched depth are candidates. The
-depth starts at the full string and shortens until a pair at the threshold meets in some
-tree with the target recall (`match_depth`).
+any join. Each class has TREES label strings of DEPTH MinHash values; a tree is the
+prefix trie of one string, compressed: only nodes that branch bring new pairs together.
+
+Matched prefixes are shortened in rounds, from the whole string by halves. In a round,
+classes under one branching node are candidates; a pair belongs to the first tree in
+which it meets, and not to a round if it met under a longer prefix, so no pair counts
+twice. Verified pairs tell each class's recall so far: a pair of similarity s is met at
+depth d with probability 1 - (1 - s^d)^TREES, so the links found stand for the sum of
+the inverses, and one unseen pair at the threshold is added. A class whose recall
+reaches the target is done: later rounds compare it only with classes that are not. All
+is done at the depth where even a pair at the threshold meets with the target recall.
 
 A node's classes are dealt into chunks of at most CHUNK classes and about WINDOWS
 windows, and chunks meet in pairs, each pair of chunks one task; so a node under which a
-third of all texts lie is many tasks. A pair belongs to the first tree in which it
-meets, so no pair counts twice. Tasks first compare signatures (a pair below the
-threshold's binomial tail of 1e-6 is out, as is one whose sizes alone forbid it); only
-for classes with a pair left are the sets made and shipped, and every such pair is
-compared exactly. A task returns link counts and one connecting edge for each class:
-pairs inside a large group of near copies are never rows.
+third of all texts lie is many tasks. Tasks first compare signatures (a pair below the
+threshold's binomial tail of TAIL is out, as is one whose sizes alone forbid it) and keep
+a row of bits for each class with a pair left; only for those classes are the sets made
+and shipped, once to each pair of chunks, and every such pair is compared exactly. A task
+returns link counts and one connecting edge for each class: pairs inside a large group
+of near copies are never rows.
 
 Defined results: null, empty and blank texts have no windows and link with nothing, as
 do rows with a null key (whose class is null). Repeated rows and repeated keys keep
@@ -26,6 +33,7 @@ their windows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -34,22 +42,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_key, components, cut, pieces, small_batches, table
+from urnwise.cluster import ship
+
+from .common import by_key, components, cut, pieces, small, table
 from .near_vectors import Forest
 from .words import hashes, mix, raw, windows, word_spans
 
 N, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.9995
-CHUNK, WINDOWS = 512, 1 << 20
-TAIL = 1e-6
+CHUNK, WINDOWS = 256, 1 << 20
+TAIL = 1e-9
 _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**62, (2, TREES * DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def match_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix, shortened from the full depth, at which a pair at the threshold is met with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def met(similarity, depth: int, trees: int = TREES):
+    """The probability that a pair of that similarity shares a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def depths(threshold: float = THRESHOLD, depth: int = DEPTH, recall: float = RECALL) -> list[int]:
+    """The prefix lengths of the rounds: the last is the first at which a pair at the threshold is met with the target recall."""
+    out = [depth]
+    while out[-1] > 1 and met(threshold, out[-1]) < recall:
+        out.append(out[-1] // 2)
+    return out
 
 
 def least_matches(n: int, threshold: float) -> int:
@@ -95,9 +111,9 @@ def set_keys(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.array([a, b], np.uint64).view(np.int64).tolist())
 
 
-def signed(docs: DataFrame, depth: int) -> DataFrame:
+def signed(docs: DataFrame) -> DataFrame:
     """Rows (id, k1, k2, n, sig) of docs (id, text)."""
-    values = TREES * depth
+    values = TREES * DEPTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -113,36 +129,34 @@ def signed(docs: DataFrame, depth: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n long, sig binary")
 
 
-def _block(group: pa.Table, depth: int, threshold: float):
-    """Candidate pairs of a task: (rows of the group in play, index pairs into it)."""
+def _pairs(group: pa.Table, depth: int, before: int | None, threshold: float):
+    """Candidates of a task: (rows of the group, class by class; its left rows, its right rows, a matrix of bits); before: the prefix length of the round before."""
     c = group.column("c").to_numpy()
-    left = group.column("left").to_numpy(zero_copy_only=False)
-    tree, own = group.column("tree")[0].as_py(), group.column("own")[0].as_py()
+    own = group.column("own")[0].as_py()
+    tree = group.column("tree")[0].as_py()
     _, keep = np.unique(c, return_index=True)  # a class is one member, however many rows bring it
-    keep = keep if own else np.sort(keep)
-    sig = np.frombuffer(b"".join(group.column("sig").take(pa.array(keep)).to_pylist()), np.uint32).reshape(len(keep), TREES * depth)
-    n = group.column("n").to_numpy()[keep]
-    a = np.arange(len(keep)) if own else np.flatnonzero(left[keep])
-    b = a if own else np.flatnonzero(~left[keep])
+    left, done = (group.column(x).to_numpy(zero_copy_only=False)[keep] for x in ("left", "done"))
+    a = np.arange(len(keep)) if own else np.flatnonzero(left)
+    b = a if own else np.flatnonzero(~left)
     if not len(a) or not len(b):
-        return keep, np.zeros((0, 2), np.int64)
+        return None
+    sig = np.frombuffer(b"".join(group.column("sig").take(pa.array(keep)).to_pylist()), np.uint32).reshape(len(keep), TREES * DEPTH)
+    n = group.column("n").to_numpy()[keep]
+    ok = np.minimum(n[a][:, None], n[b][None, :]) >= threshold * np.maximum(n[a][:, None], n[b][None, :])
+    ok &= ~(done[a][:, None] & done[b][None, :])
+    if own:
+        ok &= ~np.tri(len(a), dtype=bool)
     same = np.zeros((len(a), len(b)), np.int16)
-    before = np.zeros((len(a), len(b)), bool)
     for t in range(TREES):
-        all_ = np.ones((len(a), len(b)), bool)
-        for j in range(t * depth, (t + 1) * depth):
-            eq = sig[a, j][:, None] == sig[b, j][None, :]
+        prefix = np.ones((len(a), len(b)), bool)
+        for j in range(DEPTH):
+            eq = sig[a, t * DEPTH + j][:, None] == sig[b, t * DEPTH + j][None, :]
             same += eq
-            if t < tree:
-                all_ &= eq
-        if t < tree:
-            before |= all_
-    ok = (same >= least_matches(TREES * depth, threshold)) & ~before
-    ok &= np.minimum(n[a][:, None], n[b][None, :]) >= threshold * np.maximum(n[a][:, None], n[b][None, :])
-    if own:
-        ok &= ~np.tri(len(a), dtype=bool)
-    i, j = np.nonzero(ok)
-    return keep, np.stack([a[i], b[j]], axis=1)
+            prefix &= eq
+            if j + 1 == depth and t < tree or j + 1 == before:  # met in an earlier tree, or in an earlier round
+                ok &= ~prefix
+    ok &= same >= least_matches(TREES * DEPTH, threshold)
+    return keep, a, b, ok
 
 
 def _overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -168,34 +182,75 @@ def _overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, class_id, n_links), one for each row of docs: the smallest key reachable by links, and the rows linked directly."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    depth = match_depth(threshold)
+    ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    known = cut(signed(rows, depth))
+    known = cut(signed(rows))
     classes = cut(known.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("sig").alias("sig")).withColumnRenamed("k1", "c"))
-    # -- nodes of the tries at the matched depth, and the classes under each that has two
-    width = 4 * depth
-    nodes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * width + 1, F.lit(width))))
-    under = classes.select("c", "n", F.posexplode(nodes).alias("tree", "node"))
-    full = under.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
-    members = under.join(full, "node").select("c", "tree", "node", F.greatest(F.ceil(F.col("m") / CHUNK), F.least(F.col("m"), F.ceil(F.col("s") / WINDOWS))).cast("int").alias("k"))
-    placed = members.withColumn("chunk", F.pmod(F.xxhash64("c", F.lit("chunk")), F.col("k")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
+    rounds, found, done = depths(threshold), [], None
+    for i, depth in enumerate(rounds):
+        found.append(_round(rows, classes, done, rounds, i, threshold))
+        if i + 1 < len(rounds):
+            done = _done(found, rounds, i, threshold)
+    every = reduce(DataFrame.unionByName, found)
+    comps = components(every.select(F.col("c").alias("u"), F.col("root").alias("v")))
+    counted = every.groupBy("c").agg(F.sum("links").alias("links"))
+    joined = classes.select("c", "k2", "n", "rep", "w").join(counted, "c", "left").join(comps.withColumnRenamed("node", "c"), "c", "left")
+    linked = joined.where("component is not null")
+    least = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
+    result = linked.join(least, "component").select("c", "k2", "n", "class_id", (F.col("links") + F.col("w") - 1).alias("n_links"))
+    result = result.unionByName(joined.where("component is null").select("c", "k2", "n", F.col("rep").alias("class_id"), (F.col("w") - 1).alias("n_links")))
+    own = known.select("id", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("k1")).alias("c"), "k2", "n")
+    out = own.join(result, ["c", "k2", "n"], "left")
+    return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _done(found: list[DataFrame], rounds: list[int], i: int, threshold: float) -> DataFrame:
+    """Classes (c) whose recall after round i reaches the target."""
+    own = reduce(DataFrame.unionByName, (f.select("c", "pairs", F.col("stand_for")[i].alias("all")) for f in found))
+    sums = own.groupBy("c").agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("all"))
+    return cut(sums.where(F.col("pairs") >= RECALL * (F.col("all") + 1 - met(threshold, rounds[i]))).select("c"))
+
+
+def _round(rows: DataFrame, classes: DataFrame, done: DataFrame | None, rounds: list[int], i: int, threshold: float) -> DataFrame:
+    """Verified links of one round: rows (c, links, root, pairs, stand_for) of classes, some for each pair of chunks."""
+    depth, before = rounds[i], rounds[i - 1] if i else None
+    kind = rows.schema["id"].dataType.simpleString()
+    state = classes.withColumn("done", F.lit(False)) if done is None else classes.join(small(done.withColumn("done", F.lit(True))), "c", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    # -- branching nodes of the tries, and the classes under each
+    width = 4 * DEPTH
+    prefix = lambda t, d: F.xxhash64(t, F.substring(F.col("sig"), t * width + 1, F.lit(4 * d)))
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(prefix(t, depth).alias("node"), (F.col("c") if before is None else prefix(t, before)).alias("child")))
+    under = state.select("c", "n", "done", F.posexplode(nodes).alias("tree", "x")).select("c", "n", "done", "tree", "x.node", "x.child")
+    size = lambda open_: F.count_if(F.col("done") != open_)
+    weight = lambda open_: F.sum(F.when(F.col("done") != open_, F.col("n")).otherwise(0))
+    chunks = lambda m, s: F.greatest(F.ceil(F.col(m) / CHUNK), F.least(F.col(m), F.ceil(F.col(s) / WINDOWS))).cast("int")
+    full = under.groupBy("node").agg(size(True).alias("m"), size(False).alias("m_done"), weight(True).alias("s"), weight(False).alias("s_done"), F.min("child").alias("low"), F.max("child").alias("high"))
+    full = full.where("low <> high and m > 0").select("node", chunks("m", "s").alias("k"), chunks("m_done", "s_done").alias("k_done"))
+    # -- chunks of open classes meet all chunks, those of done ones the open ones
+    members = under.join(full, "node")
+    deal = lambda k: F.pmod(F.xxhash64("c", F.lit("chunk")), k).cast("int")
+    placed = members.withColumn("chunk", F.when(F.col("done"), F.col("k") + deal("k_done")).otherwise(deal("k")))
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("done"), F.col("k")).otherwise(F.col("k") + F.col("k_done")) - 1)))
     placed = placed.select("c", "tree", (F.col("chunk") <= F.col("o")).alias("left"), (F.col("chunk") == F.col("o")).alias("own"), F.concat_ws("/", "node", F.least("chunk", "o"), F.greatest("chunk", "o")).alias("block"))
-    placed = placed.join(classes.select("c", "n", "w", "rep", "sig"), "c").select("c", "tree", "left", "own", "block", "n", "w", "rep", "sig")
-    schema = f"c long, tree int, left boolean, own boolean, block string, n long, w long, rep {kind}, sig binary"
+    placed = placed.join(state.select("c", "n", "w", "rep", "sig", "done"), "c")
 
     def candidates(group: pa.Table):
-        if group.num_rows < 2:
+        made = _pairs(group, depth, before, threshold) if group.num_rows > 1 else None
+        if made is None:
             return None
-        keep, pairs = _block(group, depth, threshold)
-        return group.take(pa.array(keep[np.unique(pairs)])).combine_chunks().to_batches()[0] if len(pairs) else None
-
-    near = cut(by_key(placed, "block", candidates, schema))
+        keep, a, b, ok = made
+        if not ok.any():
+            return None
+        left, right = a[ok.any(axis=1)], b[ok.any(axis=0)]
+        bits = np.packbits(ok[ok.any(axis=1)][:, ok.any(axis=0)], axis=1)
+        both = np.concatenate([left, right])
+        out = group.take(pa.array(keep[both]))
+        column = [x.tobytes() for x in bits] + [None] * len(right)
+        return pa.RecordBatch.from_arrays([*(out.column(x).combine_chunks() for x in ("c", "n", "w", "rep", "block")), pa.array(np.concatenate([np.arange(len(left)), np.arange(len(right))])), pa.array(column, pa.binary())], names=["c", "n", "w", "rep", "block", "place", "bits"])
+
+    near = cut(by_key(placed, "block", candidates, f"c long, n long, w long, rep {kind}, block string, place long, bits binary"))
     # -- sets of those classes only
-    wanted = near.select(F.col("rep").alias("id")).distinct()
-    wanted = F.broadcast(wanted) if near.count() <= BROADCAST_ROWS else wanted
+    wanted = small(cut(near.select(F.col("rep").alias("id")).distinct()))
     texts = rows.join(wanted, "id", "left_semi").select("text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,44 +258,51 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id
             sets = [s for s in window_sets(batch.column("text")) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_keys(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "set"])
 
-    full_rows = near.join(texts.mapInArrow(to_sets, "c long, set binary"), "c")
+    sets_of = texts.mapInArrow(to_sets, "c long, set binary")
+    full_rows = near.join(sets_of, "c")
 
     def verify(group: pa.Table):
-        keep, pairs = _block(group, depth, threshold)
-        if not len(pairs):
-            return None
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("set").take(pa.array(keep)).to_pylist()]
-        c, w = group.column("c").to_numpy()[keep], group.column("w").to_numpy()[keep]
+        place, is_left = group.column("place").to_numpy(), group.column("bits").is_valid().to_numpy()
+        # rows of either side in order of place; several texts of one key, or copies, bring a class more than once
+        at = {True: {}, False: {}}
+        for row, (p, side) in enumerate(zip(place.tolist(), is_left.tolist(), strict=True)):
+            at[side].setdefault(p, row)
+        left, right = (np.array([own[p] for p in sorted(own)]) for own in (at[True], at[False]))
+        bits = np.frombuffer(b"".join(group.column("bits").take(pa.array(left)).to_pylist()), np.uint8).reshape(len(left), -1)
+        pairs = np.argwhere(np.unpackbits(bits, axis=1)[:, : len(right)])
+        both = np.concatenate([left, right])
+        c, own, back = np.unique(group.column("c").to_numpy()[both], return_index=True, return_inverse=True)
+        pairs = np.stack([back[pairs[:, 0]], back[len(left) + pairs[:, 1]]], axis=1)
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("set").take(pa.array(both[own])).to_pylist()]
+        w = group.column("w").to_numpy()[both[own]]
         size = np.array(list(map(len, sets)))
-        common = _overlaps(sets, pairs)
-        pairs = pairs[common >= threshold * (size[pairs[:, 0]] + size[pairs[:, 1]] - common) - 1e-9]
+        shared = _overlaps(sets, pairs)
+        total = size[pairs[:, 0]] + size[pairs[:, 1]] - shared
+        ok = shared >= threshold * total - 1e-9
+        pairs, similar = pairs[ok], (shared / total)[ok]
         if not len(pairs):
             return None
-        links = np.bincount(pairs[:, 0], w[pairs[:, 1]], len(c)) + np.bincount(pairs[:, 1], w[pairs[:, 0]], len(c))
+        count = lambda x, y: np.bincount(pairs[:, 0], x, len(c)) + np.bincount(pairs[:, 1], y, len(c))
+        links = count(w[pairs[:, 1]], w[pairs[:, 0]])
+        ones = np.ones(len(pairs))
+        inverse = [1 / met(similar, d) for d in rounds]
+        stand_for = np.stack([count(x, x) for x in inverse], axis=1)
         forest = Forest(len(c))
-        for i, j in pairs.tolist():
-            forest.join((i, j))
+        for i_, j in pairs.tolist():
+            forest.join((i_, j))
         some = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(links[some].astype(np.int64)), pa.array(c[[forest.root(int(i)) for i in some]])], names=["c", "links", "root"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c[some]), pa.array(links[some].astype(np.int64)), pa.array(c[[forest.root(int(x)) for x in some]]), pa.array(count(ones, ones)[some].astype(np.int64)), pa.array(list(stand_for[some]), pa.list_(pa.float64()))],
+            names=["c", "links", "root", "pairs", "stand_for"],
+        )
 
-    found = cut(by_key(full_rows, "block", verify, "c long, links long, root long"))
-    comps = components(found.select(F.col("c").alias("u"), F.col("root").alias("v")))
-    counted = found.groupBy("c").agg(F.sum("links").alias("links"))
-    joined = classes.select("c", "k2", "n", "rep", "w").join(counted, "c", "left").join(comps.withColumnRenamed("node", "c"), "c", "left")
-    linked = joined.where("component is not null")
-    least = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
-    result = linked.join(least, "component").select("c", "k2", "n", "class_id", (F.col("links") + F.col("w") - 1).alias("n_links"))
-    result = result.unionByName(joined.where("component is null").select("c", "k2", "n", F.col("rep").alias("class_id"), (F.col("w") - 1).alias("n_links")))
-    own = known.select("id", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("k1")).alias("c"), "k2", "n")
-    out = own.join(result, ["c", "k2", "n"], "left")
-    return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return cut(by_key(full_rows, "block", verify, "c long, links long, root long, pairs long, stand_for array<double>"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay: of each class the smallest key; of repeated keys one row; rows with a null key all."""
     classes = cut(ngram_join(docs, threshold, key, text))
-    gone = classes.where(F.col(key) != F.col("class_id")).select(key).distinct()
-    gone = F.broadcast(gone) if classes.count() <= BROADCAST_ROWS else gone
+    gone = small(cut(classes.where(F.col(key) != F.col("class_id")).select(key).distinct()))
     kept = docs.join(gone, key, "left_anti").select(*docs.columns)
     if classes.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
         kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
