@@ -182,7 +182,7 @@ def brute_join(rows, t=0.8, n=5):
     return {i: (root(i), links[i]) for i in own}
 
 
-@pytest.mark.parametrize("chunk", [4, 512])
+@pytest.mark.parametrize("chunk", [4, 256])
 def test_join_equals_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     rng = np.random.default_rng(8)
@@ -211,8 +211,34 @@ def test_join_odd_input(odd, none, docs):
     assert got == brute_join([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_forest_depth():
-    assert ngram_join.match_depth() == 4 and ngram_join.match_depth(0.95) > 4 and ngram_join.match_depth(0.1) == 1
+def test_forest_depths():
+    assert ngram_join.depths() == [8, 4] and ngram_join.depths(0.95) == [8] and ngram_join.depths(0.1) == [8, 4, 2, 1]
+    assert ngram_join.met(0.8, 4) >= ngram_join.RECALL > ngram_join.met(0.8, 8)
+
+
+@pytest.mark.parametrize("chunk", [8, 256])
+def test_join_leaves_done_classes(spark, monkeypatch, chunk):
+    """A tight group is done after the first round; a looser text that links with it is found all the same."""
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        w[int(rng.integers(0, 400))] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(6):
+        w = list(base)
+        for j in range(0, 40 + i * 20, 20):
+            w[j] = f"other{i}"
+        rows.append((1000 + i, " ".join(w)))
+    want = brute_join(rows)
+    assert len({c for c, _ in want.values()}) < 8 and max(n for _, n in want.values()) > 150
+    seen, whole = [], ngram_join._done
+    monkeypatch.setattr(ngram_join, "_done", lambda *a: seen.append(whole(*a)) or seen[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(df).collect()} == want
+    assert seen[0].count() >= 140
 
 
 # -- 5
@@ -250,7 +276,8 @@ def test_lines_equal_brute_force(spark, docs):
 
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_lines_both_ways(spark, docs, odd, none, monkeypatch, limit):
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
+    for m in (line_dedup, common):
+        monkeypatch.setattr(m, "BROADCAST_ROWS", limit)
     monkeypatch.setattr(line_dedup, "CROWD", 2)
     rows = line_dedup.dedup_lines(docs)
     total = rows.agg(F.sum("_lines"), F.sum("_dropped"), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)"))).head()
@@ -439,9 +466,15 @@ def test_bucket_boundaries_are_optimal():
 
 
 def test_packing(spark, docs, odd, none, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path(BYTE))
+    t.encode_special_tokens = True
+    ranks = packing.vocabulary()
     monkeypatch.setattr(packing, "GROUP", 7)
-    for df in (docs, odd):
-        rows = packing.pack(df, budget=2000).collect()
+    same = spark.range(60).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text in many rows").alias("text"))
+    for df in (docs, odd, odd.unionByName(same, allowMissingColumns=True)):
+        rows = packing.pack(df, ranks, budget=2000).collect()
         assert len(rows) == df.count()
         batches = defaultdict(list)
         for r in rows:
@@ -452,14 +485,64 @@ def test_packing(spark, docs, odd, none, monkeypatch):
             room = max(1, 2000 // own[0]["bucket_len"])
             assert sorted(r["slot"] for r in own) == list(range(len(own)))
             assert len(own) == room or k == last[b] and len(own) < room
-    tokens = Counter(r["n_tokens"] for r in packing.pack(odd).collect())
-    assert tokens == Counter(1 + len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for (t,) in odd.select("text").collect())
-    assert packing.pack(none).count() == 0
+    tokens = Counter(r["n_tokens"] for r in packing.pack(odd, ranks).collect())
+    assert tokens == Counter(1 + len(t.encode(x or "", add_special_tokens=False).ids) for (x,) in odd.select("text").collect())
+    assert packing.pack(none, ranks).count() == 0
+
+
+def test_equal_rows_go_to_many_tasks(spark, monkeypatch):
+    """100,000 equal rows: no group of the numbering window holds more than a few GROUP of them."""
+    monkeypatch.setattr(packing, "GROUP", 5000)
+    monkeypatch.setattr(shards, "GROUP", 5000)
+    df = spark.range(0, 100_000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    rows = packing.pack(df, packing.vocabulary(), budget=64)
+    assert rows.count() == 100_000 and rows.select("batch", "slot").distinct().count() == 100_000 and rows.agg(F.max("batch")).head()[0] == 100_000 * 8 // 64 - 1
+    rows = shards.assign(df, 9 * 1000)
+    assert rows.groupBy("shard").count().where("count <> 1000").count() == 0 and rows.count() == 100_000
 
 
 # -- shared parts
 
 
+def swapped(n, parts=b"ab"):
+    """Two strings of n bytes that differ by a swap 65,536 places apart."""
+    one = bytearray(b"x" * n)
+    one[5], one[5 + 65_536] = parts
+    two = bytearray(one)
+    two[5], two[5 + 65_536] = parts[::-1]
+    return one.decode(), two.decode()
+
+
+@pytest.mark.parametrize("n", [70_000, 200_000])
+def test_long_words_and_lines_that_differ_by_a_swap(spark, n, monkeypatch):
+    a, b = swapped(n)
+    for step in (words.STEP, 1000):  # whole, and in blocks
+        monkeypatch.setattr(words, "STEP", step)
+        data, offsets = words.raw(pa.array([a, b, a]))
+        h = words.hashes(data, offsets[:-1], offsets[1:])
+        assert h[0] == h[2] != h[1]
+    own = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{own}\n{a}\n{b}"), (2, f"{own}\nu v {a} u v {b} u v"), (3, f"{own}\n{a}\n{a}")]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for r in fertility.judge(df, *fertility.paths()).collect()}
+    assert got == {i: base(t) for i, t in rows} and got[1][3] == 0 and got[3][3] == 1
+    texts = [(1, " ".join([a, *"cdefg"])), (2, " ".join([b, *"cdefg"])), (3, " ".join([a, *"cdefg"]))]
+    links = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert links == brute_join(texts)
+    model = token_counts.load(P.path("piece_bpe_32k.model"))
+    data, offsets = words.raw(pa.array([a, b]))
+    model.of_words(data, offsets[:-1], offsets[1:])
+    assert len({int(x) for x in words.hashes(data, offsets[:-1], offsets[1:])} & set(model.known)) == 2
+
+
+def test_long_lines_that_differ_by_swapped_words():
+    line = [f"w{'x' * (i % 7)}{chr(97 + i % 26)}" for i in range(70_000)]
+    other = list(line)
+    line[9], line[9 + 32_768], other[9], other[9 + 32_768] = "left", "right", "right", "left"
+    one, two, three = (line_dedup.parse(pa.array([" ".join(x)])) for x in (line, other, line))
+    assert one["line"] == three["line"] != two["line"] and one["leaf"] == two["leaf"]
+
+
 def test_word_hashes_agree_with_words():
     texts = ODD + [None]
     data, offsets = words.raw(pa.array(texts))
@@ -511,10 +594,21 @@ def test_pipeline(spark, sf):
 
 
 def test_cuts_can_be_deleted(spark):
-    df = common.cut(spark.range(5))
-    at = df.inputFiles()[0]
-    assert df.count() == 5
-    common.clean(spark)
     import os
 
+    before = spark.conf.get(common.BATCH)
+    df = common.cut(spark.range(5))
+    at = df.inputFiles()[0]
+    assert df.count() == 5 and spark.conf.get(common.BATCH) == before
+    common.discard(df)
     assert not os.path.exists(at.removeprefix("file://"))
+
+
+def test_training_takes_bounded_passages(spark, docs, sf, monkeypatch):
+    """Texts beyond the bound are left out before anything is collected."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    monkeypatch.setattr(quality, "MAX_PASSAGES", 40)
+    seen = []
+    monkeypatch.setattr(quality.Attention, "fit", classmethod(lambda cls, x, first, y: seen.append((len(x), np.diff(first).max(), len(y))) or quality.Constant(0.5)))
+    quality.train(docs, labels)
+    assert seen[0][0] <= 40 and seen[0][1] <= 4 and seen[0][2] > 1
