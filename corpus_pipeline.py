@@ -33,7 +33,7 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bucket, batch and slot of each remaining document."""
-    return packing.pack(docs)
+    return packing.pack(docs, packing.vocabulary())
 
 
 STAGES = [("quality", stage_quality), ("rules", stage_rules), ("lines", stage_lines), ("near_duplicates", stage_near_duplicates), ("packing", stage_packing)]
