@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from urnwise.functions.scalar import FIELDS
 from urnwise.operators import bank as B
 from urnwise.operators import diagnostics as G
+from urnwise.operators import features as X
 from urnwise.operators import hypotheses as H
+from urnwise.operators import learning as L
 from urnwise.operators import tickets as T
 from urnwise.operators.sequence import lagged, last_draws, numbered, running, windowed
 from urnwise.sources import draws as S
@@ -152,29 +154,157 @@ def test_unpopular_arithmetic_progression(spark):
     assert a < 0.1 < b
 
 
-def test_diagnostics_on_known_series():
-    x = np.random.default_rng(1).random(400)
-    assert G._entropy3(x) > 0.97 and G._entropy3(np.arange(50)) == 0
-    assert G.rqa(np.zeros(30))["RR"] == 1.0
-    sine = G.rqa(np.sin(np.arange(300) / 5))
-    assert sine["DET"] > 0.9 > G.rqa(x)["DET"]
-    assert G.rqa(x, parity=True)["DET"] <= 0.5
-    logistic = [0.4]
-    for _ in range(399):
-        logistic.append(3.99 * logistic[-1] * (1 - logistic[-1]))
-    assert G.divergence(np.array(logistic)) > 0.01 and G.divergence(np.arange(5)) == 0
-    assert G.sample_entropy(np.sin(np.arange(300) / 5)) < G.sample_entropy(x)
+def brute_recurrence(x, dim=3):
+    """RR, DET, LAM and entropy of diagonal lines from the whole matrix."""
+    e = np.lib.stride_tricks.sliding_window_view(x, dim)
+    r = (np.abs(e[:, None, :] - e[None, :, :]).max(axis=2) == 0).astype(int)
+    np.fill_diagonal(r, 0)
+    n, total = len(r), r.sum()
+    lines = lambda v: [len(g) for k, group in itertools.groupby(v.tolist()) if k for g in [list(group)] if len(g) > 1]
+    diagonal = [k for i in range(1, n) for k in lines(np.diag(r, i))]
+    vertical = [k for i in range(n) for k in lines(r[:, i])]
+    _, c = np.unique(diagonal, return_counts=True)
+    p = c / c.sum()
+    return total / (n * (n - 1)), 2 * sum(diagonal) / total, sum(vertical) / total, -(p * np.log2(p)).sum(), len(diagonal), max(diagonal)
+
+
+def brute_divergence(x, apart=5, steps=50):
+    e = np.lib.stride_tricks.sliding_window_view(x, 3).astype(float)
+    n = len(e)
+    steps, gaps = min(n // 4, steps), {}
+    for i in range(n - steps):
+        d = ((e - e[i]) ** 2).sum(axis=1)
+        same = np.flatnonzero(d == 0)
+        if np.abs(same - i).max() > apart:
+            continue
+        best = None
+        for v in np.unique(e[d > 0], axis=0):
+            at = np.flatnonzero((e == v).all(axis=1))
+            j = at[0] if abs(at[0] - i) > apart else at[-1] if abs(at[-1] - i) > apart else None
+            if j is not None and (best is None or (d[j], j) < best):
+                best = (d[j], j)
+        for k in range(min(steps, n - max(i, best[1]))) if best else ():
+            own = np.sqrt(((e[i + k] - e[best[1] + k]) ** 2).sum())
+            if own > 0:
+                gaps.setdefault(k, []).append(np.log(own))
+    t = sorted(gaps)[:20]
+    return float(np.polyfit(t, [np.mean(gaps[k]) for k in t], 1)[0]) if len(t) >= 5 else 0.0
+
+
+def test_diagnostics_equal_brute_force(spark, monkeypatch):
+    from urnwise.operators import sequence
+
+    rng = np.random.default_rng(1)
+    walk = np.clip(np.cumsum(rng.integers(-1, 2, 300)), -4, 4)
+    walk[100:140] = 1  # a long island
+    flat = rng.integers(0, 5, 300)
+    own = {1: walk, 2: flat}
+    df = spark.createDataFrame([("g6_60", n, i, int(v)) for n, x in own.items() for i, v in enumerate(x)], "game string, n int, idx long, c long").cache()
+    rows = {r["n"]: r for r in G.recurrence(df).collect()}
+    lines = {r["n"]: r for r in G.line_entropy(df).collect()}
+    sample = {r["n"]: r["sample_entropy"] for r in G.sample_entropy(df).collect()}
+    slope = {r["n"]: r["lyapunov"] for r in G.divergence(df).collect()}
+    for n, x in own.items():
+        rr, det, lam, entr, count, longest = brute_recurrence(x)
+        assert np.allclose([rows[n]["RR"], rows[n]["DET"], rows[n]["LAM"]], [rr, det, lam])
+        assert (lines[n]["lines"], lines[n]["longest"]) == (count, longest) and abs(lines[n]["ENTR"] - entr) < 1e-9
+        pairs = lambda m, x=x: sum((x[i : i + m] == x[j : j + m]).all() for i in range(len(x) - m) for j in range(i))
+        assert abs(sample[n] + math.log(pairs(3) / pairs(2))) < 1e-9
+        assert abs(slope[n] - brute_divergence(x)) < 1e-9
+        order = np.argsort(np.lib.stride_tricks.sliding_window_view(x, 3), axis=1, kind="stable") @ np.array([9, 3, 1])
+        p = np.unique(order, return_counts=True)[1] / len(order)
+        assert abs(rows[n]["entropy"] + (p * np.log2(p)).sum() / math.log2(6)) < 1e-9
+    wide = df.withColumn("c", F.col("c") * 100)
+    assert all(r["RR"] is None for r in G.recurrence(wide).collect()) and not G.line_entropy(wide).count()
+
+
+def test_surrogates_of_order_and_of_chance(spark):
+    rng = np.random.default_rng(2)
+    own = {1: np.clip(np.cumsum(rng.integers(-1, 2, 400)), -5, 5), 2: rng.integers(0, 6, 400)}
+    df = spark.createDataFrame([("g6_60", n, i, int(v)) for n, x in own.items() for i, v in enumerate(x)], "game string, n int, idx long, c long").cache()
+    copies = G.shuffled(df, 3, 5).collect()
+    for copy in range(4):
+        mine = sorted((r["idx"], r["c"]) for r in copies if r["n"] == 2 and r["copy"] == copy)
+        assert [i for i, _ in mine] == list(range(400)) and sorted(c for _, c in mine) == sorted(own[2].tolist())
+    got = {(r["n"], r["measure"]): r["outside"] for r in G.surrogates(df, 20).collect()}
+    assert got[1, "PE"] and got[1, "DET"]
+    z = {r["n"]: r["z"] for r in G.entropy_z(df, 20).collect()}
+    assert abs(z[1]) > abs(z[2])
+
+
+def marked(spark, rows):
+    """A log of draws (game, idx, dezenas) with their words."""
+    from urnwise.functions.scalar import mask
+
+    return spark.createDataFrame(rows, "game string, idx long, dezenas array<int>").withColumn("numero", F.col("idx")).withColumn("mask", mask(F.col("dezenas")))
 
 
 def test_changepoint_found(spark):
-    rows = [("g6_60", i, i, n, int((n <= 30) == (i < 150))) for i in range(300) for n in range(1, 61)]
-    hit = spark.createDataFrame(rows, "game string, idx long, numero long, n int, hit int")
-    got = G.changepoints(G.changepoint_series(hit)).collect()
+    log = marked(spark, [("g6_60", i, list(range(1, 31) if i < 150 else range(31, 61))) for i in range(300)])
+    got = G.changepoints(G.changepoint_series(log)).collect()
     assert len(got) == 1 and got[0]["position"] == 150
-    flat = hit.withColumn("hit", F.lit(1))
+    flat = marked(spark, [("g6_60", i, list(range(1, 61))) for i in range(300)])
     assert not G.changepoints(G.changepoint_series(flat)).count()
 
 
+def test_bit_counters(spark):
+    from urnwise.functions.scalar import age_bits, bit_of, count_of, tally_bits
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [int(x) for x in rng.integers(0, 2**62, k)]) for i, k in enumerate((0, 1, 2, 17, 50, 63))]
+    df = spark.createDataFrame(rows, "i int, w array<long>").select("*", F.explode(F.sequence(F.lit(0), F.lit(61))).alias("n"), tally_bits(F.col("w")).alias("t"), age_bits(F.col("w")).alias("a"))
+    for r in df.select("w", "n", count_of(F.col("t"), F.col("n")).alias("c"), count_of(F.col("a"), F.col("n")).alias("age"), bit_of(F.col("a.seen"), F.col("n")).alias("seen")).collect():
+        bits = [w >> r["n"] & 1 for w in r["w"]]
+        assert r["c"] == sum(bits) and r["seen"] == (1 in bits)
+        assert not r["seen"] or r["age"] == bits[::-1].index(1)
+
+
+def test_number_series_over_long_gaps(spark):
+    """Numbers that stay away for longer than the counters' reach."""
+    rng = np.random.default_rng(6)
+    draws = [[int(x) for x in rng.choice(np.arange(1, 26), 3, replace=False)] if i % 130 < 10 else [25] for i in range(400)]
+    got = {(r["idx"], r["n"]): r for r in X.number_series(marked(spark, [("g15_25", i, sorted(d)) for i, d in enumerate(draws)])).collect()}
+    last = dict.fromkeys(range(1, 26), 0)
+    for i, d in enumerate(draws):
+        for n in range(1, 26):
+            last[n] = i if n in d else last[n]
+            r = got[i, n]
+            assert r["gap"] == i - last[n] and r["lag10"] == int(i >= 10 and n in draws[i - 10])
+            assert abs(r["freq50"] - (np.mean([n in x for x in draws[max(0, i - 50) : i]]) if i else 0)) < 1e-12
+
+
+def test_next_draw(spark, ctx):
+    coming = {r["game"]: r for r in S.next_draw(ctx).collect()}
+    for g, r in coming.items():
+        last = ctx.where(F.col("game") == g).orderBy(F.desc("idx")).limit(2).collect()
+        assert r["numero"] == last[0]["numero"] + 1 and r["idx"] == last[0]["idx"] + 1 and r["dezenas"] == []
+        assert r["prev"] == last[0]["dezenas"] and r["prev2"] == last[1]["dezenas"] and (r["data"] - last[0]["data"]).days == 3
+
+
+def test_tallies_of_any_names(spark, ctx):
+    names = [*H.unary_names()[:5], *H.binary_names()[::100], "set.prev", "window.soma_alta→altos", "fibonacci", "dia.inv>dsum", "nonsense"]
+    own = ctx.where("idx < 120")
+    plain = H.predictions(own, [n for n in names if n not in H.by_hand()]).unionByName(H.by_hand_family(own).where("nome = 'fibonacci'").drop("cat"))
+    key = lambda df: sorted(tuple(r[c] for c in ("game", "nome", "tentativas", "acertos", "previstos", "tentativas_recente", "acertos_recente", "previstos_recente")) for r in df.collect())
+    assert key(H.tallies_of(own, names, 30)) == key(H.tallies(plain, 30))
+
+
+def test_models_speak_of_the_coming_draw(spark, ctx):
+    own = ctx.where("game = 'g15_25' and idx < 120")
+    rows = L.frame(own, L.context(own)).cache()
+    top = own.agg(F.max("idx")).head()[0]
+    assert rows.where("label is null").select("idx").distinct().collect() == [(top + 1,)] and rows.where("idx = 5").count() == 25
+    hit = {(r["idx"], r["n"]): r["hit"] for r in X.hits(own).collect()}
+    assert all(r["label"] == hit[r["idx"], r["n"]] for r in rows.where("label is not null").collect())
+    probs, weights = L.discover(rows, "g15_25", trees=3, rounds=2)
+    assert probs.count() == 25 and probs.where("prob < 0 or prob > 1").count() == 0 and weights.count() == 30
+    tickets = L.suggestions(probs.cache(), 4).collect()
+    assert len({tuple(r["nums"]) for r in tickets}) == 4 and all(len(set(r["nums"])) == 15 for r in tickets)
+    assert L.backtest(rows, "g15_25", trees=3, rounds=2).count() == top + 1 - int(top * 0.8) - 1
+    told = L.forecast(X.shape(own), "g15_25", ("soma", "pares"), trees=3, rounds=2).collect()
+    assert {r["property"] for r in told} == {"soma", "pares"} and all(r["low"] < r["forecast"] < r["high"] and r["mae"] > 0 for r in told)
+
+
 def test_bank_round(spark):
     schema = B.BANK
     row = lambda n, p, s, on=True: ("g", n, "c", n, p, 1.2, 0.5, 0.4, 50, on, 0.5, 1.1, s)

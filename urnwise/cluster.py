@@ -1,12 +1,13 @@
-"""Make this package importable for Spark's Python workers."""
+"""What jobs share: this package on Spark's Python workers, and the folder for rows that several jobs read."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -27,3 +28,41 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, ROOT))
     sc.addPyFile(at)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a single machine; on a cluster it must be set."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="urnwise-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def _path(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write df to the shared folder and read it again: later work starts from files that outlive executors.
+
+    The files go when the application ends, or before with `discard`.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    files, path = _path(spark, at)
+    files.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._cut_at = at
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete the files of cuts that no later result reads."""
+    for df in cuts:
+        files, path = _path(df.sparkSession, df._cut_at)
+        files.delete(path, True)

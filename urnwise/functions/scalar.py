@@ -19,6 +19,50 @@ def wrap(v: Column, m: Column | int) -> Column:
     return F.coalesce(F.nullif(F.pmod(v.cast("long"), m.cast("long")), F.lit(0).cast("long")), m.cast("long")).cast("int")
 
 
+def mask(nums: Column) -> Column:
+    """Numbers of 0..62 as bits of a 64-bit word."""
+    return F.aggregate(nums, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x)))
+
+
+#: Planes of bit-sliced counters: 63 is the largest count.
+PLANES = 6
+
+
+def tally_bits(masks: Column) -> Column:
+    """How many of the words hold each bit, for all 64 bits at once: plane j of the struct is bit j of every count."""
+
+    def add(planes: Column, word: Column) -> Column:
+        out, carry = [], word
+        for j in range(PLANES):
+            out.append(planes[f"p{j}"].bitwiseXOR(carry).alias(f"p{j}"))
+            carry = planes[f"p{j}"].bitwiseAND(carry)
+        return F.struct(*out)
+
+    return F.aggregate(masks, F.struct(*(F.lit(0).cast("long").alias(f"p{j}") for j in range(PLANES))), add)
+
+
+def age_bits(masks: Column) -> Column:
+    """How many words ago, counted from the last one, each bit was set (planes as in tally_bits), and the word `seen` of bits that were set at all."""
+
+    def step(state: Column, word: Column) -> Column:
+        out, carry = [], F.lit(-1).cast("long")
+        for j in range(PLANES):
+            out.append(state[f"p{j}"].bitwiseXOR(carry).bitwiseAND(F.bitwise_not(word)).alias(f"p{j}"))
+            carry = state[f"p{j}"].bitwiseAND(carry)
+        return F.struct(*out, state["seen"].bitwiseOR(word).alias("seen"))
+
+    return F.aggregate(masks, F.struct(*(F.lit(0).cast("long").alias(f"p{j}") for j in range(PLANES)), F.lit(0).cast("long").alias("seen")), step)
+
+
+def bit_of(word: Column, n: Column) -> Column:
+    return F.getbit(word, n).cast("int")
+
+
+def count_of(planes: Column, n: Column) -> Column:
+    """The count of bit n."""
+    return sum((bit_of(planes[f"p{j}"], n) * (1 << j) for j in range(1, PLANES)), bit_of(planes["p0"], n))
+
+
 def digits_reversed(v: Column) -> Column:
     """The digits in reverse order, of at least two digits."""
     s = F.abs(v).cast("string")

@@ -1,26 +1,34 @@
 """Nonlinear diagnostics of the draw log: entropies, recurrence, surrogates, changepoints, divergence.
 
-Counting diagnostics run over the whole log as Spark windows. Those that compare every
-point with every other (sample entropy, recurrence, divergence) are defined on a window
-of the last draws, whose length is their parameter; one bounded series reaches a task.
+All run over whole logs and series as Spark windows and aggregations; no series is one task.
+
+Series are whole numbers on a grid (how many of the last draws hold a number). Where the
+limit under which two stretches count as alike is less than one step, alike is equal, and
+comparing every point with every other is counting equal stretches: c equal ones are
+c (c - 1) / 2 pairs. A diagonal line of recurrence is a longer equal stretch, a vertical
+line an island of equal points in time, so rates, determinism, laminarity and line
+entropy are sums over groups; no pair is ever a row. Where the limit reaches one step,
+the measures are null.
 
 Two readings are offered where the usual one is an artefact: numbers sorted inside each
-draw force rising runs (`ordered=False` takes the order of draw), and the mean of all
-numbers' shares is constant by construction (`number` takes one number's share).
+draw force rising runs (`permutation_entropy(column)` takes another order), and the mean
+of all numbers' shares is constant by construction (each number has a series of its own).
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from urnwise.cluster import cut, discard
+from urnwise.functions.scalar import count_of, tally_bits
 from urnwise.games import GAMES
-from urnwise.operators.sequence import last_draws, windowed
+from urnwise.operators.features import around, counts_before, domain
+from urnwise.operators.sequence import SLICE, running, windowed
 
 
 def permutation_entropy(ctx: DataFrame, column: str = "dezenas") -> DataFrame:
@@ -74,14 +82,18 @@ def chi2_quantile(p: float, df: int) -> float:
     return (low + high) / 2
 
 
-def changepoint_series(hit: DataFrame, width: int = 50) -> DataFrame:
-    """Rows (game, idx, chi2): the counts of the `width` draws before against those of the `width` draws from idx on."""
-    rows = windowed(hit, "game", width, width, lambda w: {"left": F.sum("hit").over(w.rowsBetween(-width, -1)), "right": F.sum("hit").over(w.rowsBetween(0, width - 1))}, ("n",))
-    top = hit.groupBy("game").agg((F.max("idx") + 1).alias("total"))
-    rows = rows.join(top, "game").where((F.col("idx") >= width) & (F.col("idx") < F.col("total") - width))
-    e = F.when(F.col("left") + F.col("right") == 0, 1e-10).otherwise((F.col("left") + F.col("right")) / 2)
-    part = (F.col("left") - e) * (F.col("left") - e) / e + (F.col("right") - e) * (F.col("right") - e) / e
-    return rows.groupBy("game", "idx").agg(F.sum(part).alias("chi2"))
+def changepoint_series(log: DataFrame, width: int = 50) -> DataFrame:
+    """Rows (game, idx, chi2): the counts of the `width` draws before against those of the `width` draws from idx on; all numbers inside a draw's row."""
+    top = log.groupBy("game").agg((F.max("idx") + 1).alias("total"))
+    rows = around(log, width, width).join(F.broadcast(top), "game").where((F.col("idx") >= width) & (F.col("idx") < F.col("total") - width))  # one row for each game
+    rows = rows.select("game", "idx", tally_bits(F.col("before")).alias("l"), tally_bits(F.col("after")).alias("r"))
+
+    def part(total: Column, n: Column) -> Column:
+        left, right = count_of(F.col("l"), n), count_of(F.col("r"), n)
+        e = F.when(left + right == 0, 1e-10).otherwise((left + right) / 2)
+        return total + ((left - e) * (left - e) + (right - e) * (right - e)) / e
+
+    return rows.select("game", "idx", F.aggregate(domain(), F.lit(0.0), part).alias("chi2"))
 
 
 def changepoints(series: DataFrame, p: float = 0.99) -> DataFrame:
@@ -92,140 +104,189 @@ def changepoints(series: DataFrame, p: float = 0.99) -> DataFrame:
     return island.groupBy("game", "island").agg(F.max_by("idx", F.struct("chi2", -F.col("idx"))).alias("position"), F.max("chi2").alias("chi2")).select("game", "position", "chi2")
 
 
-# -- bounded series in numpy
-
-
-def embed(x: np.ndarray, dim: int = 3) -> np.ndarray:
-    """Rows of `dim` successive values."""
-    return np.lib.stride_tricks.sliding_window_view(x, dim)
-
-
-def sample_entropy(x: np.ndarray, m: int = 2, r: float | None = None) -> float:
-    """-log of the share of matching stretches of m values that still match at m + 1; infinite without matches."""
-    x = np.asarray(x, float)
-    r = 0.2 * x.std() if r is None else r
-
-    def matches(size: int) -> int:
-        t = embed(x, size)[: len(x) - size]
-        total = 0
-        for i in range(0, len(t), 512):
-            d = np.abs(t[i : i + 512, None, :] - t[None, :, :]).max(axis=2) <= r
-            total += int(np.triu(d, 1 + i).sum())
-        return total
-
-    a, b = matches(m), matches(m + 1)
-    return float(-math.log(b / a)) if a and b else math.inf
-
-
-def runs_of(v: np.ndarray, parity: bool) -> list[int]:
-    """Lengths of runs of at least two; parity: an isolated point is carried into the next run, as the published figures have it."""
-    out, length = [], 0
-    for x in [*v.tolist(), None]:
-        if x:
-            length += 1
-        else:
-            if length >= 2:
-                out.append(length)
-                length = 0
-            elif not parity:
-                length = 0
-    return out
-
-
-def rqa(x: np.ndarray, dim: int = 3, parity: bool = False) -> dict[str, float]:
-    """Recurrence rate, determinism, laminarity and entropy of diagonal lines at a tenth of the deviation."""
-    e = embed(np.asarray(x, float), dim)
-    limit = 0.1 * float(np.std(x)) or 1.0
-    r = (np.abs(e[:, None, :] - e[None, :, :]).max(axis=2) <= limit).astype(int)
-    np.fill_diagonal(r, 0)
-    n, total = len(r), int(r.sum())
-    diagonal = [k for i in range(1, n) for k in runs_of(np.diag(r, i), parity)]
-    vertical = [k for i in range(n) for k in runs_of(r[:, i], parity)]
-    _, c = np.unique(diagonal, return_counts=True)
-    p = c / max(1, c.sum())
-    one = 1 if parity else 2  # both triangles count in the total
-    return {"RR": total / (n * (n - 1)) if n > 1 else 0.0, "DET": one * sum(diagonal) / total if total else 0.0, "LAM": sum(vertical) / total if total else 0.0, "ENTR": float(-(p * np.log2(p)).sum()) if len(c) else 0.0}
-
-
-def divergence(x: np.ndarray, dim: int = 3, apart: int = 5) -> float:
-    """Largest Lyapunov exponent: slope of the mean log distance of nearest neighbours (at least `apart` in time) over the first steps; 0 for too few points."""
-    e = embed(np.asarray(x, float), dim)
-    n = len(e)
-    if n < 20:
-        return 0.0
-    steps = min(n // 4, 50)
-    d = np.sqrt(((e[:, None, :] - e[None, :, :]) ** 2).sum(axis=2))
-    total, count = np.zeros(steps), np.zeros(steps)
-    for i in range(n - steps):
-        own = d[i].copy()
-        own[max(0, i - apart) : i + apart + 1] = np.inf
-        j = int(np.argmin(own))
-        if not 0 < own[j] < np.inf:
-            continue
-        k = np.arange(min(steps, n - max(i, j)))
-        gap = d[i + k, j + k]
-        some = gap > 0
-        total[k[some]] += np.log(gap[some])
-        count[k[some]] += 1
-    t = np.flatnonzero(count)[:20]
-    if len(t) < 5:
-        return 0.0
-    return float(np.polyfit(t, total[t] / count[t], 1)[0])
-
-
-def _entropy3(x: np.ndarray) -> float:
-    order = np.argsort(embed(x, 3), axis=1, kind="stable")
-    _, c = np.unique(order @ np.array([9, 3, 1]), return_counts=True)
-    p = c / c.sum()
-    return float(-(p * np.log2(p)).sum() / math.log2(6))
-
-
-def series_of(share: DataFrame, last: int, number: int | None = None) -> DataFrame:
-    """Rows (game, idx, v) of the last draws: one number's rolling share, or the mean of all."""
-    rows = share.where(F.col("n") == number).select("game", "idx", F.col("share").alias("v")) if number else share.groupBy("game", "idx").agg(F.avg("share").alias("v"))
-    return last_draws(rows, "game", last)
-
-
-def report(series: DataFrame, parity: bool = False) -> DataFrame:
-    """Per game, from a bounded series (game, idx, v): sample entropy, recurrence measures, divergence."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("idx")["v"].to_numpy()
-        q = rqa(x, parity=parity) if len(x) > 3 else {"RR": 0.0, "DET": 0.0, "LAM": 0.0, "ENTR": 0.0}
-        return pd.DataFrame([{"game": pdf["game"].iloc[0], "points": len(x), "sample_entropy": sample_entropy(x) if len(x) > 4 else math.inf, **q, "lyapunov": divergence(x)}])
-
-    return series.groupBy("game").applyInPandas(run, "game string, points long, sample_entropy double, RR double, DET double, LAM double, ENTR double, lyapunov double")
-
-
-def surrogates(series: DataFrame, count: int = 100, seed: int = 7) -> DataFrame:
-    """Per game and measure: the real value, the 2.5 and 97.5 percentiles of shuffled copies, and whether it lies outside; one task for each copy and game."""
-    copies = series.groupBy("game").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("s")).select("game", F.transform("s", lambda x: x["v"]).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(count))).alias("copy"))
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for game, s, copy in zip(pdf["game"], pdf["s"], pdf["copy"], strict=True):
-                x = np.asarray(s, float)
-                if copy:
-                    x = np.random.Generator(np.random.PCG64([seed, int(copy)])).permutation(x)
-                q = rqa(x)
-                out += [(game, copy, "PE", _entropy3(x)), (game, copy, "DET", q["DET"]), (game, copy, "LAM", q["LAM"])]
-            yield pd.DataFrame(out, columns=["game", "copy", "measure", "v"])
-
-    rows = copies.repartition(64, "copy").mapInPandas(run, "game string, copy int, measure string, v double")
-    bounds = rows.groupBy("game", "measure").agg(F.max(F.when(F.col("copy") == 0, F.col("v"))).alias("real"), F.percentile(F.when(F.col("copy") > 0, F.col("v")), 0.025).alias("low"), F.percentile(F.when(F.col("copy") > 0, F.col("v")), 0.975).alias("high"))
+# -- series of numbers: rows (game, n, idx, c), c whole
+
+#: Stretches grow by so many points in a round of match_pairs.
+STEP = 16
+#: Limits in deviations of the series.
+SAMPLE_LIMIT, RECURRENCE_LIMIT = 0.2, 0.1
+
+
+def codes(log: DataFrame, width: int = 30) -> DataFrame:
+    """Rows (game, n, idx, c) for each number: how many of the `width` draws before hold it, from the first full window on, idx from 0."""
+    return counts_before(log, width).where(F.col("idx") >= width).select("game", "n", (F.col("idx") - width).alias("idx"), F.col("f").alias("c"))
+
+
+def stretches(series: DataFrame, by: tuple[str, ...], base: int, n: int) -> DataFrame:
+    """series with `w`: its values at idx + base and the n - 1 places after, fewer at the end."""
+    return windowed(series, "game", 0, base + n, lambda w: {"w": F.collect_list("c").over(w.rowsBetween(base, base + n - 1))}, by)
+
+
+def _pairs() -> Column:
+    return (F.col("k") * (F.col("k") - 1) / 2).cast("long")
+
+
+def match_pairs(series: DataFrame) -> DataFrame:
+    """Rows (game, n, length, pairs, inner): pairs of equal stretches of each length that any have; inner: those of which neither ends the series.
+
+    Each round lengthens by STEP points those stretches that still have an equal one.
+    """
+    keys, alive, parts, base = ["game", "n"], None, [], 0
+    total = F.broadcast(series.groupBy(*keys).agg((F.max("idx") + 1).alias("total")))  # one row for each series
+    while True:
+        rows = stretches(series, ("n",), base, STEP).select(*keys, "idx", "w")
+        rows = rows.join(alive, [*keys, "idx"]) if alive is not None else rows.withColumn("h", F.lit(0).cast("long"))
+        grown = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.xxhash64(F.col("h"), F.slice("w", F.lit(1), k)))
+        long_ = cut(rows.where(F.size("w") > 0).select(*keys, "idx", F.posexplode(grown).alias("l", "h")).withColumn("length", F.col("l") + base + 1).drop("l"))
+        counts = long_.join(total, keys).groupBy(*keys, "length", "h").agg(F.count("*").alias("k"), F.count_if(F.col("idx") + F.col("length") < F.col("total")).alias("k_inner")).where("k > 1")
+        parts.append(cut(counts.groupBy(*keys, "length").agg(F.sum(_pairs()).alias("pairs"), F.sum((F.col("k_inner") * (F.col("k_inner") - 1) / 2).cast("long")).alias("inner"))))
+        base += STEP
+        again = counts.where(F.col("length") == base).select(*keys, "h")
+        alive = cut(long_.where(F.col("length") == base).join(again, [*keys, "h"], "left_semi").select(*keys, "idx", "h"))
+        discard(long_)
+        if not alive.limit(1).count():
+            return reduce(DataFrame.unionByName, parts)
+
+
+def moments(series: DataFrame, by: tuple[str, ...] = ("n",)) -> DataFrame:
+    """Per series: points, and whether both limits are less than one step."""
+    spread = F.stddev_pop("c")
+    return series.groupBy("game", *by).agg(F.count("*").alias("points"), (spread * SAMPLE_LIMIT < 1).alias("fine"))
+
+
+def islands(series: DataFrame, by: tuple[str, ...] = ("n",)) -> DataFrame:
+    """Per series, from embedded points (three values each): pairs of equal ones (n3), points of vertical lines of two or more (vertical), and the permutation entropy of the order of the three values."""
+    keys = ["game", *by]
+    rows = windowed(series, "game", 1, 2, lambda w: {"x": F.lead("c", 1).over(w), "y": F.lead("c", 2).over(w), "z": F.lag("c", 1).over(w)}, by).where("y is not null")
+    new = F.coalesce((F.col("z") != F.col("c")) | (F.col("c") != F.col("x")) | (F.col("x") != F.col("y")), F.lit(True))
+    rows = running(rows.select(*keys, "idx", "c", "x", "y", new.cast("int").alias("new")), "game", {"island": F.col("new")}, F.sum, by=by)
+    run = rows.groupBy(*keys, "c", "x", "y", "island").agg(F.count("*").alias("len"))
+    per = run.groupBy(*keys, "c", "x", "y").agg(F.sum("len").alias("k"), F.sum(F.when(F.col("len") > 1, F.col("len")).otherwise(0)).alias("lines"), F.sum(F.when(F.col("len") > 1, F.col("len") + 2).otherwise(0)).alias("own"))
+    first, last = (F.col("c") <= F.col("x")).cast("int"), (F.col("x") <= F.col("y")).cast("int")
+    order = F.concat(first, last, (F.col("c") <= F.col("y")).cast("int"))
+    cells = cut(per.withColumn("order", order))
+    # in its own column a point is no neighbour of itself: an island of len points loses len + 2 of its len^2 places
+    sums = cells.groupBy(*keys).agg(F.sum(_pairs()).alias("n3"), (F.sum(F.col("k") * F.col("lines")) - F.sum("own")).alias("vertical"))
+    patterns = cells.groupBy(*keys, "order").agg(F.sum("k").alias("k"))
+    p = F.col("k") / F.sum("k").over(Window.partitionBy(*keys))
+    entropy = patterns.withColumn("p", p).groupBy(*keys).agg((-F.sum(F.col("p") * F.log2("p")) / math.log2(6)).alias("entropy"))
+    return sums.join(entropy, keys)
+
+
+def longer(series: DataFrame, length: int, by: tuple[str, ...] = ("n",)) -> DataFrame:
+    """Per series: pairs of equal stretches of that length."""
+    rows = stretches(series, by, 0, length).where(F.size("w") == length)
+    counts = rows.groupBy("game", *by, F.xxhash64("w").alias("h")).agg(F.count("*").alias("k"))
+    return counts.groupBy("game", *by).agg(F.sum(_pairs()).alias(f"n{length}"))
+
+
+def recurrence(series: DataFrame, by: tuple[str, ...] = ("n",)) -> DataFrame:
+    """Per series: points, permutation entropy, recurrence rate (RR), determinism (DET) and laminarity (LAM) of embedded points."""
+    keys = ["game", *by]
+    rows = moments(series, by).join(islands(series, by), keys).join(longer(series, 4, by), keys).join(longer(series, 5, by), keys)
+    of = lambda x: F.when(F.col("fine"), F.when(F.col("n3") > 0, x).otherwise(0.0))
+    e = F.col("points") - 2
+    return rows.select(*keys, "points", "entropy", of(2 * F.col("n3") / (e * (e - 1))).alias("RR"), of((2 * F.col("n4") - F.col("n5")) / F.col("n3")).alias("DET"), of(F.col("vertical") / (2 * F.col("n3"))).alias("LAM"))
+
+
+def sample_entropy(series: DataFrame) -> DataFrame:
+    """Per series: -log of the share of pairs of equal stretches of two values that still are at three; null without any."""
+    total = F.broadcast(series.groupBy("game", "n").agg((F.max("idx") + 1).alias("total")))  # one row for each series
+    of = lambda m: stretches(series, ("n",), 0, m).where(F.size("w") == m).join(total, ["game", "n"]).where(F.col("idx") + m < F.col("total")).groupBy("game", "n", "w").agg(F.count("*").alias("k")).groupBy("game", "n").agg(F.sum(_pairs()).alias(f"m{m}"))
+    rows = of(2).join(of(3), ["game", "n"]).join(moments(series), ["game", "n"])
+    return rows.select("game", "n", F.when(F.col("fine") & (F.col("m2") > 0) & (F.col("m3") > 0), -F.log(F.col("m3") / F.col("m2"))).alias("sample_entropy"))
+
+
+def line_entropy(series: DataFrame) -> DataFrame:
+    """Per series: diagonal lines of two or more embedded points (lines), the longest, and the entropy of their lengths (ENTR)."""
+    n = match_pairs(series).groupBy("game", "n").agg(F.map_from_entries(F.collect_list(F.struct("length", "pairs"))).alias("m"), F.max("length").alias("top"))  # a row for each length
+    count = lambda k: F.coalesce(F.try_element_at("m", k.cast("int")), F.lit(0))
+    exact = F.transform(F.sequence(F.lit(2), F.greatest(F.col("top"), F.lit(3)) - 1), lambda k: count(k + 2) - 2 * count(k + 3) + count(k + 4))
+    rows = n.select("game", "n", F.filter(exact, lambda x: x > 0).alias("x"), F.greatest(F.col("top") - 2, F.lit(0)).alias("longest"))
+    rows = rows.withColumn("lines", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x))
+    entropy = -F.aggregate(F.transform("x", lambda x: x / F.col("lines") * F.log2(x / F.col("lines"))), F.lit(0.0), lambda a, x: a + x)
+    return rows.join(moments(series), ["game", "n"]).where("fine").select("game", "n", "lines", "longest", entropy.alias("ENTR"))
+
+
+def divergence(series: DataFrame, apart: int = 5, steps: int = 50, fitted: int = 20) -> DataFrame:
+    """Per series: the largest Lyapunov exponent after Rosenstein, Collins and De Luca (1993), the slope of the mean log distance of neighbours as time goes on.
+
+    A point (three values) has as neighbour the nearest other one, earliest first, in the
+    first occurrence of its values, or the last if the first is within `apart` places; a
+    point whose values recur farther away than that has distance 0 and no logarithm, and
+    counts for nothing, as do points too near the end. Neighbours are sought in cells
+    whose width doubles until each point left has found one.
+    """
+    keys, xyz = ["game", "n"], ["c", "x", "y"]
+    rows = windowed(series, "game", 0, 2, lambda w: {"x": F.lead("c", 1).over(w), "y": F.lead("c", 2).over(w)}, ("n",)).where("y is not null")
+    points = cut(rows.select(*keys, F.col("idx").alias("i"), *xyz))
+    size = points.groupBy(*keys).agg(F.count("*").alias("size"), (F.max("c") - F.min("c") + 1).alias("span"))
+    widest = size.agg(F.max("span")).head()[0] or 0
+    size = size.withColumn("steps", F.least(F.floor(F.col("size") / 4), F.lit(steps)))
+    classes = cut(points.groupBy(*keys, *xyz).agg(F.min("i").alias("first"), F.max("i").alias("last")))
+    rare = points.join(classes, [*keys, *xyz]).join(F.broadcast(size), keys).where((F.col("i") - F.col("first") <= apart) & (F.col("last") - F.col("i") <= apart) & (F.col("i") < F.col("size") - F.col("steps")) & (F.col("size") >= 20))
+    left, found, width = cut(rare.select(*keys, "i", *xyz)), [], 1
+    while width < 2 * widest and left.limit(1).count():
+        cell = lambda df, tag="": df.select("*", *(F.floor(F.col(v) / width).alias(f"b{v}{tag}") for v in xyz))  # noqa: B023, E731
+        near = cell(left)
+        for v in xyz:
+            near = near.withColumn(f"b{v}", F.explode(F.array(F.col(f"b{v}") - 1, F.col(f"b{v}"), F.col(f"b{v}") + 1)))
+        other = cell(classes).select(*keys, *(F.col(v).alias(f"o{v}") for v in xyz), *(f"b{v}" for v in xyz), "first", "last")
+        d = sum(((F.col(v) - F.col(f"o{v}")) * (F.col(v) - F.col(f"o{v}")) for v in xyz), F.lit(0))
+        j = F.when(F.abs(F.col("i") - F.col("first")) > apart, F.col("first")).when(F.abs(F.col("i") - F.col("last")) > apart, F.col("last"))
+        met = near.join(other, [*keys, *(f"b{v}" for v in xyz)]).select(*keys, "i", d.alias("d"), j.alias("j")).where((F.col("d") > 0) & (F.col("d") <= width * width) & F.col("j").isNotNull())
+        got = cut(met.groupBy(*keys, "i").agg(F.min(F.struct("d", "j")).alias("x")).select(*keys, "i", "x.j"))
+        found.append(got)
+        left = cut(left.join(got, [*keys, "i"], "left_anti"))
+        width *= 2
+    empty = size.select(*keys)
+    if found:
+        walk = reduce(DataFrame.unionByName, found).join(F.broadcast(size), keys).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("steps"), F.col("size") - F.greatest("i", "j")) - 1)))
+        at = lambda side: points.select(*keys, F.col("i").alias(f"at_{side}"), *(F.col(v).alias(f"{v}_{side}") for v in xyz))
+        walk = walk.select(*keys, "k", (F.col("i") + F.col("k")).alias("at_i"), (F.col("j") + F.col("k")).alias("at_j")).join(at("i"), [*keys, "at_i"]).join(at("j"), [*keys, "at_j"])
+        d = sum(((F.col(f"{v}_i") - F.col(f"{v}_j")) * (F.col(f"{v}_i") - F.col(f"{v}_j")) for v in xyz), F.lit(0))
+        mean = walk.withColumn("d", d).where("d > 0").groupBy(*keys, "k").agg(F.avg(F.log("d") / 2).alias("y"))
+        first = mean.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("k"))).where(F.col("r") <= fitted)  # `steps` rows a series
+        slope = first.groupBy(*keys).agg(F.when(F.count("*") >= 5, F.regr_slope("y", "k")).alias("lyapunov"))
+        empty = empty.join(slope, keys, "left")
+    else:
+        empty = empty.withColumn("lyapunov", F.lit(None).cast("double"))
+    return empty.withColumn("lyapunov", F.coalesce("lyapunov", F.lit(0.0)))
+
+
+def shuffled(series: DataFrame, copies: int, seed: int) -> DataFrame:
+    """Rows (game, n, copy, idx, c): each series (copy 0) and `copies` seeded random orders of it; places are counted in slices, whose sizes are added."""
+    size = series.groupBy("game", "n").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    rows = series.join(F.broadcast(size), ["game", "n"]).select("game", "n", "idx", "c", "slices", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))  # one row for each series
+    rows = cut(rows.withColumn("u", F.xxhash64("game", "n", "copy", "idx", F.lit(seed))).withColumn("slice", F.pmod("u", "slices")))
+    sizes = rows.groupBy("game", "n", "copy", "slice").agg(F.count("*").alias("k"))
+    before = sizes.select("game", "n", "copy", "slice", (F.sum("k").over(Window.partitionBy("game", "n", "copy").orderBy("slice")) - F.col("k")).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("game", "n", "copy", "slice").orderBy("u", "idx")) - 1
+    own = rows.join(before, ["game", "n", "copy", "slice"]).select("game", "n", "copy", place.alias("idx"), "c")
+    return series.select("game", "n", F.lit(0).alias("copy"), "idx", "c").unionByName(own)
+
+
+def surrogates(series: DataFrame, copies: int = 100, seed: int = 7) -> DataFrame:
+    """Per series and measure: the real value, the 2.5 and 97.5 percentiles of shuffled copies, and whether it lies outside."""
+    rows = recurrence(cut(shuffled(series, copies, seed)), ("n", "copy"))
+    each = rows.select("game", "n", "copy", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(c).alias("v")) for m, c in (("PE", "entropy"), ("DET", "DET"), ("LAM", "LAM"))))).alias("x")).select("game", "n", "copy", "x.*")
+    bounds = each.groupBy("game", "n", "measure").agg(F.max(F.when(F.col("copy") == 0, F.col("v"))).alias("real"), F.percentile(F.when(F.col("copy") > 0, F.col("v")), 0.025).alias("low"), F.percentile(F.when(F.col("copy") > 0, F.col("v")), 0.975).alias("high"))
     return bounds.withColumn("outside", (F.col("real") < F.col("low")) | (F.col("real") > F.col("high")))
 
 
-def entropy_z(series: DataFrame, count: int = 30, seed: int = 11) -> DataFrame:
-    """Per game: permutation entropy of a bounded series, its mean and deviation over shuffled copies, z and significance."""
+def entropy_z(series: DataFrame, copies: int = 30, seed: int = 11) -> DataFrame:
+    """Per series: permutation entropy, its mean and deviation over shuffled copies, z and significance."""
+    per = islands(cut(shuffled(series, copies, seed)), ("n", "copy")).groupBy("game", "n").agg(
+        F.max(F.when(F.col("copy") == 0, F.col("entropy"))).alias("pe"), F.avg(F.when(F.col("copy") > 0, F.col("entropy"))).alias("pe_mean"), F.stddev_pop(F.when(F.col("copy") > 0, F.col("entropy"))).alias("pe_std"))
+    z = F.when(F.col("pe_std") > 0, (F.col("pe") - F.col("pe_mean")) / F.col("pe_std")).otherwise(0.0)
+    return per.withColumn("z", z).withColumn("significant", F.abs("z") > 1.96)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("idx")["v"].to_numpy(float)
-        rng = np.random.Generator(np.random.PCG64(seed))
-        base = np.array([_entropy3(rng.permutation(x)) for _ in range(count)])
-        pe, std = _entropy3(x), float(base.std())
-        z = (pe - float(base.mean())) / std if std > 0 else 0.0
-        return pd.DataFrame([{"game": pdf["game"].iloc[0], "pe": pe, "pe_mean": float(base.mean()), "z": z, "significant": abs(z) > 1.96}])
 
-    return series.groupBy("game").applyInPandas(run, "game string, pe double, pe_mean double, z double, significant boolean")
+def signals(recurrences: DataFrame, entropies: DataFrame, slopes: DataFrame, points: DataFrame, tests: DataFrame) -> DataFrame:
+    """Per game, of five signals of order, how many hold for the median number or the log: low permutation entropy, determinism over half, a positive exponent, changepoints, measures outside their surrogates; and the verdict in words."""
+    per = recurrences.join(entropies.drop("points"), ["game", "n"]).join(slopes, ["game", "n"]).groupBy("game").agg(F.median("entropy").alias("pe"), F.median("DET").alias("det"), F.median("LAM").alias("lam"), F.median("sample_entropy").alias("sample_entropy"), F.median("lyapunov").alias("lyapunov"))
+    changes = points.groupBy("game").agg(F.count("*").alias("changepoints"))
+    outside = tests.groupBy("game").agg((F.count_if("outside") / F.count("*")).alias("outside"))
+    rows = per.join(changes, "game", "left").join(outside, "game", "left").fillna({"changepoints": 0, "outside": 0.0})
+    held = sum((x.cast("int") for x in (F.col("pe") < 0.9, F.col("det") > 0.5, F.col("lyapunov") > 0.01, F.col("changepoints") > 0, F.col("outside") > 0.5)), F.lit(0))
+    return rows.withColumn("signals", held).withColumn("verdict", F.when(F.col("signals") >= 3, "order").when(F.col("signals") == 2, "weak signs of order").otherwise("at the level of chance"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from urnwise.functions.scalar import moon_age, moon_phase, state_of
+from urnwise.functions.scalar import age_bits, bit_of, count_of, moon_age, moon_phase, state_of, tally_bits
 from urnwise.games import GAMES, PRIMES
 from urnwise.operators.sequence import lagged, running, windowed
 
@@ -54,27 +54,65 @@ def calendar(ctx: DataFrame) -> DataFrame:
     )
 
 
-def hits(ctx: DataFrame) -> DataFrame:
+def domain() -> Column:
+    """Column: the numbers of the row's game."""
+    return F.sequence(F.lit(1), size_of())
+
+
+def hits(log: DataFrame) -> DataFrame:
     """The long one-hot frame (game, idx, numero, n, hit): a row for each draw and number of the domain."""
-    return ctx.select("game", "idx", "numero", F.explode(F.sequence(F.lit(1), size_of())).alias("n"), "dezenas").select("game", "idx", "numero", "n", F.array_contains("dezenas", F.col("n")).cast("int").alias("hit"))
+    return log.select("game", "idx", "numero", "mask", F.explode(domain()).alias("n")).select("game", "idx", "numero", "n", bit_of(F.col("mask"), F.col("n")).alias("hit"))
 
 
-def number_series(hit: DataFrame) -> DataFrame:
-    """Per draw and number: lags 1, 2, 3, 5, 10; mean of the 5, 10, 20, 50 draws before; trend; running gap (this draw included)."""
+# Series of numbers are made on draws, not on draws times numbers: the draws around a draw are
+# an array of bit words, all numbers are counted in it at once, and rows are multiplied last.
+
+
+def around(log: DataFrame, back: int, ahead: int = 0) -> DataFrame:
+    """log with `before`, the words of the `back` draws before (oldest first), and `after`, those of the `ahead` draws from this one on."""
+    make = lambda w: {"before": F.collect_list("mask").over(w.rowsBetween(-back, -1))} | ({"after": F.collect_list("mask").over(w.rowsBetween(0, ahead - 1))} if ahead else {})
+    return windowed(log, "game", back, ahead, make)
+
+
+def latest(words: Column, n: int) -> Column:
+    """The last n words, or all if there are fewer."""
+    return F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n))
+
+
+def last_seen(aged: DataFrame, block: int) -> DataFrame:
+    """Rows (game, block, seen): by number, the last place with it up to the end of the block of draws before; aged: a log with `age` over `block` draws."""
+    n = F.col("n")
+    ends = aged.where(F.col("idx") % block == block - 1).select("game", F.expr(f"idx div {block}").alias("idx"), F.col("idx").alias("at"), "age", F.explode(domain()).alias("n"))
+    ends = ends.select("game", "idx", "n", F.when(bit_of(F.col("age.seen"), n) == 1, F.col("at") - count_of(F.col("age"), n)).alias("own"))
+    ends = running(ends, "game", {"last": F.col("own")}, F.max, by=("n",))
+    per = ends.groupBy("game", (F.col("idx") + 1).alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "last"))).alias("seen"))
+    return per.select("game", "block", F.transform("seen", lambda x: x["last"]).alias("seen"))
+
+
+def number_series(log: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Per draw and number: lags 1, 2, 3, 5, 10; mean of the 5, 10, 20, 50 draws before; trend; running gap (this draw included); more: further columns of the log."""
+    rows, n = around(log, 50), F.col("n")
+    rows = rows.withColumn("age", age_bits(F.concat("before", F.array("mask"))))
+    seen = last_seen(rows, 50)
+    rows = rows.withColumn("block", F.expr("idx div 50")).join(seen, ["game", "block"], "left")
+    lags = {f"lag{k}": F.coalesce(F.get("before", F.size("before") - k), F.lit(0).cast("long")) for k in (1, 2, 3, 5, 10)}
+    means = {f"freq{k}": tally_bits(latest(F.col("before"), k)) for k in (5, 10, 20, 50)}
+    rows = rows.select("game", "idx", "numero", "mask", "age", "seen", *more, *(c.alias(f"_{k}") for k, c in (lags | means).items()), F.explode(domain()).alias("n"))
+    last = F.when(bit_of(F.col("age.seen"), n) == 1, F.col("idx") - count_of(F.col("age"), n)).otherwise(F.coalesce(F.get("seen", n - 1), F.lit(0)))
+    mean = lambda k: F.when(F.col("idx") == 0, 0.0).otherwise(count_of(F.col(f"_freq{k}"), n) / F.least(F.col("idx"), F.lit(k)))
+    out = rows.select("game", "idx", "numero", "n", *more, bit_of(F.col("mask"), n).alias("hit"), *(bit_of(F.col(f"_{k}"), n).alias(k) for k in lags), *(mean(k).alias(f"freq{k}") for k in (5, 10, 20, 50)), (F.col("idx") - last).alias("gap"))
+    return out.withColumn("trend", F.col("freq5") - F.col("freq50"))
 
-    def make(w):
-        out = {f"lag{n}": F.coalesce(F.lag("hit", n).over(w), F.lit(0)) for n in (1, 2, 3, 5, 10)}
-        out |= {f"freq{n}": F.coalesce(F.avg("hit").over(w.rowsBetween(-n, -1)), F.lit(0.0)) for n in (5, 10, 20, 50)}
-        return out
 
-    rows = windowed(hit, "game", 50, 0, make, ("n",))
-    rows = running(rows, "game", {"last": F.when(F.col("hit") == 1, F.col("idx"))}, F.max, by=("n",))
-    return rows.withColumn("trend", F.col("freq5") - F.col("freq50")).withColumn("gap", F.col("idx") - F.coalesce("last", F.lit(0))).drop("last")
+def counts_before(log: DataFrame, width: int) -> DataFrame:
+    """Per draw and number: how many of the `width` draws before (fewer at the start) hold it, as f."""
+    rows = around(log, width).select("game", "idx", "numero", tally_bits(F.col("before")).alias("p"), F.explode(domain()).alias("n"))
+    return rows.select("game", "idx", "numero", "n", count_of(F.col("p"), F.col("n")).alias("f"))
 
 
-def rolling_share(hit: DataFrame, width: int = 30) -> DataFrame:
+def rolling_share(log: DataFrame, width: int = 30) -> DataFrame:
     """Per draw and number, from draw `width` on: the share of the `width` draws before that hold it."""
-    return windowed(hit, "game", width, 0, lambda w: {"share": F.sum("hit").over(w.rowsBetween(-width, -1)) / width}, ("n",)).where(F.col("idx") >= width).select("game", "idx", "numero", "n", "share")
+    return counts_before(log, width).where(F.col("idx") >= width).select("game", "idx", "numero", "n", (F.col("f") / width).alias("share"))
 
 
 PROFILE = ("soma", "amplitude", "pares", "impares", "primos", "consecutivos", "baixo", "medio", "alto", "media", "desvio", "repetidos")

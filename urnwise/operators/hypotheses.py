@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from urnwise.functions.scalar import BINARY, FIELDS, SETS, UNARY, digit_sum, extractors, fields, money_digits, moon_age, moon_phase, reversed_or_null, within, wrap
+from urnwise.functions.scalar import BINARY, FIELDS, SETS, UNARY, bit_of, digit_sum, extractors, fields, money_digits, moon_age, moon_phase, reversed_or_null, within, wrap
 from urnwise.games import GAMES, PRIMES
 from urnwise.operators.features import size_of
 from urnwise.operators.sequence import last_draws
@@ -152,6 +152,64 @@ def binary_family(ctx: DataFrame) -> DataFrame:
     return rows.select("game", "numero", "idx", "dezenas", F.concat_ws(".", "f", "o.op").alias("nome"), F.array(wrap(F.col("o.r"), F.col("m"))).alias("pred"))
 
 
+def _counted(rows: DataFrame, keys: list[str], hit: dict[str, Column], since: int | None, low: DataFrame | None) -> DataFrame:
+    """Per game and keys: draws and hits of every operation, for predictions of one number each; rows hold draws after the first."""
+    sums = [F.count("*").alias("n"), *(F.sum(h).alias(f"hit_{op}") for op, h in hit.items())]
+    if since is not None:
+        rows = rows.join(F.broadcast(low), "game")  # one row for each game
+        late = F.col("idx") > F.col("_low")
+        sums += [F.count_if(late).alias("n_recente"), *(F.sum(F.when(late, h).otherwise(0)).alias(f"hit_{op}_recente") for op, h in hit.items())]
+    per = rows.groupBy("game", *keys).agg(*sums)
+    one = lambda op, tail: [F.col(f"n{tail}").alias(f"tentativas{tail}"), F.col(f"hit_{op}{tail}").alias(f"acertos{tail}"), F.col(f"n{tail}").alias(f"previstos{tail}")]
+    each = F.array(*(F.struct(F.lit(op).alias("op"), *one(op, ""), *(one(op, "_recente") if since is not None else ())) for op in hit))
+    return per.select("game", *keys, F.explode(each).alias("x")).select("game", *keys, "x.*")
+
+
+def _lows(ctx: DataFrame, since: int | None) -> DataFrame | None:
+    return None if since is None else ctx.groupBy("game").agg(F.greatest(F.max("idx") + 1 - since, F.lit(0)).alias("_low"))
+
+
+def unary_tallies(ctx: DataFrame, since: int | None = None) -> DataFrame:
+    """tallies(unary_family(ctx), since), counted by numbers of fields and a bit test for each operation; names are made last."""
+    f, m = fields(), size_of()
+    rows = ctx.where("idx > 0").select("game", "idx", "mask", m.alias("m"), F.posexplode(F.array(*(f[n] for n in FIELDS))).alias("f", "v"))
+    hit = {op: bit_of(F.col("mask"), wrap(do(F.col("v")).cast("long"), F.col("m"))) for op, do in UNARY.items()}
+    per = _counted(rows, ["f"], hit, since, _lows(ctx, since))
+    return per.withColumn("nome", F.concat_ws(".", F.element_at(F.array(*map(F.lit, FIELDS)), F.col("f") + 1), "op")).drop("f", "op")
+
+
+def binary_tallies(ctx: DataFrame, since: int | None = None) -> DataFrame:
+    """tallies(binary_family(ctx), since), as unary_tallies does it for pairs of fields."""
+    f = fields()
+    rows = ctx.where("idx > 0").select("game", "idx", "mask", size_of().alias("m"), F.array(*(f[n] for n in FIELDS)).alias("v"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(FIELDS) - 2))).alias("i")).select("*", F.explode(F.sequence(F.col("i") + 1, F.lit(len(FIELDS) - 1))).alias("j"))
+    rows = rows.select("game", "idx", "mask", "m", "i", "j", F.get("v", F.col("i")).alias("a"), F.get("v", F.col("j")).alias("b"))
+    hit = {op: bit_of(F.col("mask"), wrap(do(F.col("a"), F.col("b")).cast("long"), F.col("m"))) for op, do in BINARY.items()}
+    per = _counted(rows, ["i", "j"], hit, since, _lows(ctx, since))
+    name = lambda k: F.element_at(F.array(*map(F.lit, FIELDS)), F.col(k) + 1)
+    return per.withColumn("nome", F.concat(name("i"), F.lit("+"), name("j"), F.lit("."), F.col("op"))).drop("i", "j", "op")
+
+
+def programmatic_names() -> list[str]:
+    return unary_names() + binary_names() + set_names() + window_names()
+
+
+def tallies_of(ctx: DataFrame, names: list[str], since: int | None = None) -> DataFrame:
+    """Tallies of any names: of the unary and the binary family at once, of hand-written predictors (known by their names) and of further names of the grammar."""
+    wanted, parts = set(names), []
+    for every, family in ((unary_names(), unary_tallies), (binary_names(), binary_tallies)):
+        own = sorted(wanted & set(every))
+        if own:
+            parts.append(family(ctx, since).where(F.col("nome").isin(own)))
+    hand = sorted(wanted & set(by_hand()))
+    if hand:
+        parts.append(tallies(by_hand_family(ctx).where(F.col("nome").isin(hand)).drop("cat"), since))
+    rest = sorted(wanted - set(unary_names()) - set(binary_names()) - set(hand))
+    if rest or not parts:
+        parts.append(tallies(predictions(ctx, rest), since))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def by_hand() -> dict[str, tuple[str, Column]]:
     """The 40 hand-written predictors: name -> (category, prediction)."""
     m = size_of()

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from urnwise.functions.scalar import bit_of
 from urnwise.games import GAMES
 from urnwise.operators.descriptive import sum_stats
+from urnwise.operators.features import counts_before
 from urnwise.operators.recommend import basic_weights, ticket_scores
-from urnwise.operators.sequence import last_draws, windowed
+from urnwise.operators.sequence import last_draws
 from urnwise.operators.tickets import best_of_equal, evaluate, per_game, prized, unpopularity, weighted
 from urnwise.operators.validation import prefix_scores, roi
 
@@ -49,14 +51,13 @@ def per_draw(weights: DataFrame, count: int, seed: int) -> DataFrame:
     return race.where(F.col("r") <= k_of()).groupBy("game", "numero", "ticket").agg(F.array_sort(F.collect_list("dezena")).alias("nums"))
 
 
-def roi_branches(hit: DataFrame, ctx: DataFrame, last: int = 20, count: int = 5, pool: int = 18, seed: int = 7) -> DataFrame:
+def roi_branches(ctx: DataFrame, last: int = 20, count: int = 5, pool: int = 18, seed: int = 7) -> DataFrame:
     """Return of three branches on the last draws: A, weighted by frequency and gap before the draw; B, valid and unpopular tickets of the numbers that were hot before it; random."""
     own = Window.partitionBy("game", "numero")
-    scores = prefix_scores(hit, last)
+    scores = prefix_scores(ctx, last)
     a = per_draw(scores.withColumn("weight", F.col("score") - F.min("score").over(own) + 0.01), count, seed).withColumn("branch", F.lit("A"))
     r = per_draw(scores.withColumn("weight", F.lit(1.0)), count, seed + 1).withColumn("branch", F.lit("random"))
-    hot = windowed(hit, "game", 30, 0, lambda w: {"f": F.coalesce(F.sum("hit").over(w.rowsBetween(-30, -1)), F.lit(0))}, ("n",))
-    hot = last_draws(hot, "game", last).withColumn("r", F.row_number().over(own.orderBy(F.desc("f"), "n"))).where(F.col("r") <= F.greatest(F.lit(pool), k_of() + 2))
+    hot = last_draws(counts_before(ctx, 30), "game", last).withColumn("r", F.row_number().over(own.orderBy(F.desc("f"), "n"))).where(F.col("r") <= F.greatest(F.lit(pool), k_of() + 2))
     b = per_draw(hot.select("game", "numero", F.col("n").alias("dezena"), F.lit(1.0).alias("weight")), count * 10, seed + 2)
     b = evaluate(b.join(ctx.select("game", "numero", "prev"), ["game", "numero"]), "prev")
     b = unpopularity(b).withColumn("r", F.row_number().over(own.orderBy(F.desc("score"), F.desc("impopularidade"), "nums"))).where(F.col("r") <= count).select("game", "numero", "ticket", "nums").withColumn("branch", F.lit("B"))
@@ -64,7 +65,15 @@ def roi_branches(hit: DataFrame, ctx: DataFrame, last: int = 20, count: int = 5,
     return roi(prized(tickets))
 
 
-def one_hot(hit: DataFrame, game: str) -> DataFrame:
-    """The wide frame of a game, n01 to nMM, from the long one."""
-    m = GAMES[game].m
-    return hit.where(F.col("game") == game).groupBy("game", "numero").agg(*(F.max(F.when(F.col("n") == i, F.col("hit"))).alias(f"n{i:02d}") for i in range(1, m + 1)))
+def one_hot(log: DataFrame, game: str) -> DataFrame:
+    """The wide frame of a game, n01 to nMM: bits of the draw's word, no shuffle."""
+    return log.where(F.col("game") == game).select("game", "numero", *(bit_of(F.col("mask"), F.lit(i)).alias(f"n{i:02d}") for i in range(1, GAMES[game].m + 1)))
+
+
+def retro_tickets(log: DataFrame, ranking: DataFrame, count: int = 5, seed: int = 1) -> DataFrame:
+    """Per recent draw: hits of the best of `count` tickets, drawn in proportion to the scores that the draw's own past gives."""
+    own = Window.partitionBy("game", "numero")
+    low, high = F.min("score").over(own), F.max("score").over(own)
+    weights = ranking.withColumn("weight", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(F.col("score")) + 0.01)
+    tickets = per_draw(weights, count, seed).join(log.select("game", "numero", "dezenas"), ["game", "numero"])
+    return tickets.groupBy("game", "numero").agg(F.max(F.size(F.array_intersect("nums", "dezenas"))).alias("best_hits"), F.count("*").alias("tickets"))

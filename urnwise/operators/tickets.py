@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from urnwise.functions.scalar import mask
 from urnwise.games import GAMES
 from urnwise.operators.features import size_of
 
@@ -116,11 +117,6 @@ def combinations(pool: DataFrame, k: int, pool_size: int) -> DataFrame:
     return named.join(arrays, "game").select("game", F.transform("places", lambda i: F.get(F.col("pool"), i)).alias("nums"))
 
 
-def mask(nums: Column) -> Column:
-    """The numbers as bits of a 64-bit word."""
-    return F.aggregate(nums, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x)))
-
-
 def covered(tickets: DataFrame, targets: DataFrame, at_least: int) -> DataFrame:
     """Per game: targets, and those of which some ticket holds at_least numbers.
 

@@ -44,12 +44,40 @@ def hit_distribution(hits: DataFrame) -> DataFrame:
     return hits.groupBy("game", "hits").agg(F.count("*").alias("draws"))
 
 
-def retro(ranking: DataFrame, ctx: DataFrame, last: int = 10, tops: tuple[int, ...] = (10, 15, 20)) -> DataFrame:
-    """Per recent draw and size of the top list (also k): hits of the ranking's best numbers and the expectation."""
-    rows = last_draws(ctx.select("game", "idx", "numero", "dezenas"), "game", last)
+def before(log: DataFrame, last: int) -> DataFrame:
+    """Per recent draw and number, from earlier draws only: times drawn (f), last place (seen, -1 for never) and last draw number (seen_numero, 0), and the number of the draw before (top).
+
+    Earlier draws are counted once; only the last ones, `last` for each game, are rows.
+    """
+    split = F.max("idx") - last
+    edge = log.groupBy("game").agg(split.alias("_edge"))
+    rows = log.select("game", "idx", "numero", "dezenas", "mask").join(F.broadcast(edge), "game")  # one row for each game
+    old = rows.where("idx <= _edge").select("game", "idx", "numero", F.explode("dezenas").alias("n")).groupBy("game", "n").agg(F.count("*").alias("f0"), F.max("idx").alias("s0"), F.max("numero").alias("d0"))
+    late = rows.where("idx > _edge").select("game", "idx", "numero", "mask", F.explode(per_game(lambda g: F.sequence(F.lit(1), F.lit(g.m)))).alias("n"))
+    hit = F.getbit(F.col("mask"), F.col("n")) == 1
+    w = Window.partitionBy("game", "n").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)  # `last` rows
+    top = F.lag("numero").over(Window.partitionBy("game", "n").orderBy("idx"))
+    rows = late.join(F.broadcast(old), ["game", "n"], "left").select(
+        "game", "idx", "numero", "n", (F.coalesce("f0", F.lit(0)) + F.coalesce(F.sum(hit.cast("int")).over(w), F.lit(0))).alias("f"),
+        F.coalesce(F.max(F.when(hit, F.col("idx"))).over(w), "s0", F.lit(-1)).alias("seen"), F.coalesce(F.max(F.when(hit, F.col("numero"))).over(w), "d0", F.lit(0)).alias("seen_numero"), top.alias("top"),
+    )
+    known = log.join(F.broadcast(edge), "game").where("idx <= _edge").groupBy("game").agg(F.max("numero").alias("_top"))
+    return rows.join(F.broadcast(known), "game", "left").withColumn("top", F.coalesce("top", "_top")).drop("_top")
+
+
+def retro_ranking(log: DataFrame, last: int = 10) -> DataFrame:
+    """Rows (game, numero, idx, dezena, score, rank) for each recent draw: frequency and gap as the draws before it have them."""
+    rows = before(log, last).where("idx > 0")
+    rows = rows.withColumn("score", F.col("f") / F.col("idx") * 0.3 + F.least((F.col("top") - F.col("seen_numero")) / 15, F.lit(0.5)) * 0.2)
+    rank = F.row_number().over(Window.partitionBy("game", "idx").orderBy(F.desc(F.round("score", 9)), "n"))
+    return rows.select("game", "numero", "idx", F.col("n").alias("dezena"), "score", rank.alias("rank"))
+
+
+def retro(ranking: DataFrame, log: DataFrame, tops: tuple[int, ...] = (10, 15, 20)) -> DataFrame:
+    """Per recent draw and size of the top list (also k): hits of the best numbers of its own ranking (game, idx, dezena, rank) and the expectation."""
     sizes = F.array_distinct(F.concat(F.array(per_game(lambda g: F.lit(g.k))), F.array(*map(F.lit, tops))))
-    lists = ranking.groupBy("game").agg(F.sort_array(F.collect_list(F.struct("rank", "dezena"))).alias("r")).select("game", F.transform("r", lambda x: x["dezena"]).alias("best"))
-    out = rows.join(lists, "game").select("game", "numero", "dezenas", "best", F.explode(sizes).alias("top"))
+    lists = ranking.groupBy("game", "idx").agg(F.sort_array(F.collect_list(F.struct("rank", "dezena"))).alias("r")).select("game", "idx", F.transform("r", lambda x: x["dezena"]).alias("best"))
+    out = log.select("game", "idx", "numero", "dezenas").join(F.broadcast(lists), ["game", "idx"]).select("game", "numero", "dezenas", "best", F.explode(sizes).alias("top"))
     return out.select("game", "numero", "top", F.size(F.array_intersect(F.slice("best", F.lit(1), F.col("top")), F.col("dezenas"))).alias("hits"), (F.col("top") * per_game(lambda g: F.lit(g.k / g.m))).alias("expected"))
 
 
@@ -69,14 +97,7 @@ def roi(checked: DataFrame) -> DataFrame:
     return per.withColumn("profit", F.col("won") - F.col("cost")).withColumn("roi_pct", F.when(F.col("cost") > 0, (F.col("won") / F.col("cost") - 1) * 100).otherwise(0.0))
 
 
-def prefix_scores(hit: DataFrame, last: int = 20) -> DataFrame:
+def prefix_scores(log: DataFrame, last: int = 20) -> DataFrame:
     """Branch A's score of each number before each recent draw: 0.6 of its frequency share and 0.4 of its gap in units of 20 draws, at most a half, from earlier draws only."""
-    rows = running(hit, "game", {"f": F.col("hit").cast("long")}, by=("n",))
-    rows = running(rows, "game", {"seen": F.when(F.col("hit") == 1, F.col("idx"))}, F.max, by=("n",))
-    before = rows.select("game", (F.col("idx") + 1).alias("idx"), "n", "f", F.coalesce("seen", F.lit(-1)).alias("seen"))
-    own = last_draws(hit, "game", last).select("game", "idx", "numero", "n")
-    joined = own.join(before, ["game", "idx", "n"])
     score = F.col("f") / F.col("idx") * 0.6 + F.least((F.col("idx") - 1 - F.col("seen")) / 20, F.lit(0.5)) * 0.4
-    return joined.select("game", "numero", F.col("n").alias("dezena"), score.alias("score"))
-
-
+    return before(log, last).where("idx > 0").select("game", "numero", F.col("n").alias("dezena"), score.alias("score"))

@@ -184,7 +184,61 @@ sql("recent_test", "select * from rtest", *_T, f"{UN}, {RECENT}")
 EXACT = "select game, nome, e as taxa_esp, acertos / tentativas::double / e as lift, (acertos - tentativas * e) ** 2 / (tentativas * e) + (acertos - tentativas * e) ** 2 / (tentativas * (1 - e)) as chi2 from (select *, case when c <= 0 or c >= 1 then k / m::double else c end as e from (select *, 1 - list_product([greatest(0, m - cast(round(previstos / tentativas::double) as bigint) - i) / (m - i)::double for i in range(0, k)]) as c from tally where tentativas >= 30)) where tentativas * e >= 5 and tentativas * (1 - e) >= 5"
 sql("hyp_exact", EXACT, "", "taxa_esp lift chi2", "game nome", f"{SETS}, {TALLY}")
 
-BANK = f"""{UN}, {TALLY}, {TEST}, {RECENT},
+_AS = lambda text, name: text.replace("preds as (", f"{name} as (", 1)
+EVERY = f"{_AS(UN, 'pu')}{_AS(BIN[len(FIELDS_SQL) :], 'pb')}, {_AS(SETS, 'ps')}, {_AS(WINDOWS, 'pw')}, preds as (select * from pu union all select * from pb union all select * from ps union all select * from pw)"
+#: Upper tail of chi-square with one degree of freedom: one less the regularised lower gamma function of 1/2, as a series of positive terms.
+P = "case when chi2 <= 0 then 1.0::double when chi2 > 600 then 0.0 else greatest(0, 1 - list_sum([exp(-chi2 / 2 + (i + 0.5) * ln(chi2 / 2) - lgamma(i + 1.5)) for i in range(0, 400)])) end"
+sql("hyp_p_values", f"select *, {P} as p_valor from test", _T[0], _T[1] + " p_valor", _T[2], f"{UN}, {TALLY}, {TEST}")
+
+# -- the hand-written predictors
+_IN_M = lambda *v: f"list_distinct(list_filter([{', '.join(f'cast({x} as bigint)' for x in v)}], lambda x: x is not null and x >= 1 and x <= m))"
+_REV = lambda v: f"nullif({INV.format('(' + v + ')')}, 0)"
+_DIGITS = lambda t: f"[cast(c as bigint) for c in string_split({t}, '')]"
+_PAIRS_OF = lambda t: f"[cast(substr({t}, i, 2) as bigint) for i in range(1, length({t}))]"
+_OF_M = lambda e: f"list_distinct(list_filter({e}, lambda x: x >= 1 and x <= m))"
+
+
+def _money(c: str) -> str:
+    t = f"cast(cast(trunc({c}) as bigint) as varchar)"
+    return f"case when {c} > 0 then {_OF_M(f'list_concat({_DIGITS(t)}, {_PAIRS_OF(t)})')} else [] end"
+
+
+def _const(of) -> str:
+    return "case game " + " ".join(f"when '{g.key}' then {sorted(of(g.m))}" for g in GAMES.values()) + " end"
+
+
+_DAY, _MONTH, _NUM = "day(data)", "month(data)", "cast(numero as varchar)"
+_SMALL = f"{_DAY} < 10 and {_MONTH} < 10"
+_SQUARES = _const(lambda m: [i * i for i in range(1, m) if i * i <= m])
+_GOLD = (1 + 5**0.5) / 2
+BY_HAND = {
+    "dia_invertido": _IN_M(_REV(_DAY)), "mes_invertido": _IN_M(_REV(_MONTH)), "dia_mes_combo": _IN_M(_DAY, _MONTH, _REV(_DAY), _REV(_MONTH)),
+    "soma_digitos_data": _IN_M(f"list_sum({_DIGITS(chr(115) + 'trftime(data, ' + repr('%d%m%Y') + ')')})"), "diff_dia_mes": _IN_M(f"abs({_DAY} - {_MONTH})"), "produto_dia_mes": _IN_M(f"{_DAY} * {_MONTH}"),
+    "dia_mes_aritmetica": _IN_M(f"{_DAY} + {_MONTH}", f"abs({_DAY} - {_MONTH})", f"case when {_SMALL} then {_DAY} * 10 + {_MONTH} end", f"case when {_SMALL} then {_MONTH} * 10 + {_DAY} end"),
+    "digitos_concurso": _OF_M(_DIGITS(_NUM)), "concurso_mod": _ONE("numero"), "soma_digitos_concurso": _IN_M(f"list_sum({_DIGITS(_NUM)})"), "pares_digitos_concurso": _OF_M(_PAIRS_OF(_NUM)),
+    "dia_do_ano_mod": _ONE("dayofyear(data)"), "semana_do_ano": _ONE("weekofyear(data)"), "fase_lua": _IN_M(f"floor({MOON}) + 1"), "lua_metade": f"case when {PHASE} in ('nova', 'cheia') then {HALF['baixos']} else {HALF['altos']} end",
+    "digitos_acumulado": _money("valor_estimado"), "digitos_estimado": _money("valor_estimado"), "digitos_arrecadado": _money("valor_arrecadado"),
+    "magnitude_premio": f"case when valor_estimado > 0 then {_IN_M('trunc(log10(case when valor_estimado > 0 then valor_estimado end))')} else [] end",
+    "repeticoes_anterior": _S["prev"], "complemento": _S["prev_comp"], "vizinhos_anterior": _S["prev_viz"], "espelho_anterior": _S["prev_esp"], "soma_pares_consecutivos": _S["prev_soma2"], "gaps_anterior": _S["prev_gaps"],
+    "media_anterior": _IN_M("round_even(list_avg(prev), 0)"), "mediana_anterior": _IN_M("prev[len(prev) // 2 + 1]"), "dobro_max_anterior": _ONE("list_max(prev) * 2"),
+    "fibonacci": _const(lambda m: [x for x in (1, 2, 3, 5, 8, 13, 21, 34, 55) if x <= m]), "golden_ratio": _const(lambda m: {round(m * i / _GOLD) % m or m for i in range(1, 10)}),
+    "primos": _const(lambda m: [p for p in PRIMES if p <= m]), "quadrados_perfeitos": _SQUARES, "multiplos_7": _const(lambda m: range(7, m + 1, 7)),
+    "vizinhos_primeira_bola": _IN_M("ordem[1] - 1", "ordem[1] + 1"), "quadrados_apos_quadrados": f"case when len(list_intersect(prev, {_SQUARES})) >= 2 then {_SQUARES} else [] end",
+    "soma_anterior_mod": _ONE("list_sum(prev)"), "xor_anterior": _S["prev_xor"], "centesimos_concurso": _IN_M("numero % 100", _REV("numero % 100")), "amplitude_anterior": _IN_M("list_max(prev) - list_min(prev)"),
+    "ausentes_2_pares": f"list_filter({_S['ausentes2']}, lambda x: x % 2 = 0)",
+}
+ORDERED = "od as (select game, numero, list(dezena order by line, dezena) as ordem from items join (select game, l_orderkey // block as numero, cast(l_partkey % m + 1 as int) as dezena, min(l_linenumber) as line from lineitem, games group by all) using (game, numero, dezena) group by all), cto as (select * from ctx join od using (game, numero) where idx > 0)"
+HAND = ORDERED + ", preds as (" + " union all ".join(f"select game, numero, idx, dezenas, m, k, '{n}' as nome, cast({e} as bigint[]) as pred from cto" for n, e in BY_HAND.items()) + ")"
+sql("hyp_handwritten", "select * from tally", _T[0], "", _T[2], f"{HAND}, {TALLY}")
+_PAST = "over (partition by game, nome order by idx rows between unbounded preceding and 1 preceding)"
+WALK = f"""{HAND}, past as (select *, coalesce(sum(case when len(pred) > 0 then 1 else 0 end) {_PAST}, 0) as tentativas, coalesce(sum(case when list_has_any(pred, dezenas::bigint[]) then 1 else 0 end) {_PAST}, 0) as acertos, coalesce(sum(len(pred)) {_PAST}, 0) as previstos from preds),
+goal as (select past.* from past join tot using (game) where idx >= t - 50 and idx >= 30), wtally as (select game, nome || '@' || idx as nome, k, m, tentativas, acertos, previstos from goal), {tests('wtally', 'wtest')},
+weight as (select game, split_part(nome, '@', 1) as nome, cast(split_part(nome, '@', 2) as bigint) as idx, (1 - p) * abs(lift - 1) * case when lift > 1 then 1 else -0.5 end as w from (select *, {P} as p from wtest) where p < 0.15),
+voted as (select game, idx, dezena, sum(w) as s from (select game, nome, idx, unnest(pred) as dezena from goal) join weight using (game, nome, idx) group by all),
+ranks as (select g.game, g.idx, numero, dezenas, dezena, k, m, row_number() over (partition by g.game, g.idx order by round(coalesce(s, 0), 9) desc, dezena) as rank from (select distinct game, idx, numero, dezenas, k, m from goal) g join domain using (game) left join voted using (game, idx, dezena))"""
+sql("walk_forward", "select game, numero, count(*) filter (list_contains(dezenas, dezena)) as hits, any_value(k * k / m::double) as baseline from ranks where rank <= k group by game, numero", "numero hits", "baseline", "game", WALK)
+
+BANK = f"""{EVERY}, {TALLY}, {TEST}, {RECENT},
 bank as (select game, nome, p_valor, lift, taxa_obs, pr as p_valor_recente, lr as lift_recente, greatest(0, 1 - p_valor / 0.05) * 0.25 + greatest(0, 1 - pr / 0.1) * 0.35 + least(abs(lift - 1), 0.5) * 2 * 0.15 + least(abs(lr - 1), 0.5) * 2 * 0.25 as score_confianca, length(nome) % 3 as third
   from (select t.game, t.nome, exp(-t.chi2 / 2) as p_valor, t.lift, t.taxa_obs, coalesce(exp(-r.chi2 / 2), 1) as pr, coalesce(r.lift, 1) as lr from test t left join rtest r using (game, nome))),
 merged as (select game, nome, p_valor, p_valor_recente, case when third = 1 then score_confianca / 2 else score_confianca end as score_confianca, third = 0 or third = 1 or score_confianca > 0.1 as ativo from bank),
@@ -203,12 +257,17 @@ WEIGHT = "select game, dezena, raw / sum(raw) over (partition by game) as weight
 sql("basic_weights", WEIGHT, "dezena", "weight", "game", f"{PAIRS}, {PAIRED}")
 FG = f"select game, dezena, freq / t::double * 0.3 + least(gap / 15.0::double, 0.5) * 0.2 as score from ({REC}) join tot using (game)"
 sql("frequency_gap", FG, "dezena", "score", "game")
+NEXT = "nx as (select game, numero + 1 as numero, idx + 1 as idx, []::int[] as dezenas, dezenas as prev, prev as prev2, cast(data + 3 as date) as data, local, acumulado, 0.0::double as valor_arrecadado, valor_estimado, k, m from ctx join tot using (game) where idx = t - 1)"
+sql("next_row", "select game, numero, idx, strftime(data, '%Y-%m-%d') as data, local, acumulado, valor_arrecadado, valor_estimado, '' as dezenas, array_to_string(prev, ',') as prev, array_to_string(prev2, ',') as prev2 from nx", "numero idx acumulado", "valor_arrecadado valor_estimado", "game data local dezenas prev prev2", NEXT)
+NSETS = SETS.replace("from ctx", "from nx").replace("preds as (", "npreds as (", 1)
+_NEVO = EVO.replace("from ctx", "from nx").replace("join ctx c", "join nx c").replace(", preds as (", ", epreds as (", 1)
+sql("next_predictions", "select game, numero, nome, array_to_string(list_sort(pred), ',') as pred from (select * from npreds union all select * from epreds)", "numero", "", "game nome pred", f"{NEXT}, {NSETS}, {_NEVO}")
 META = "select preds.game, nome, case when count(*) filter (len(pred) > 0) = 0 then 0.5 else count(*) filter (len(pred) > 0 and list_has_any(pred, dezenas::bigint[])) / count(*) filter (len(pred) > 0)::double end as meta from preds join tot using (game) where idx >= t - 10 group by all"
 BOTH = SETS.replace("preds as (", "p1 as (", 1) + ", " + WINDOWS.replace("preds as (", "p2 as (", 1) + ", preds as (select * from p1 union all select * from p2)"
 sql("meta_weights", META, "", "meta", "game nome", BOTH)
 CROSS = f"select domain.game, dezena, bonus from domain join (select dezena, sum(bonus) as bonus from (select dezena, 0.02::double as bonus from {LAST.format(3)} where game = 'g15_25' union all select 61 - dezena, 0.01 from {LAST.format(3)} where game = 'g6_60') group by all) using (dezena)"
 sql("cross_bonus", CROSS, "dezena", "bonus", "game")
-SBANK = f"{SETS}, {TALLY}, {TEST}, meta as ({META}), parts as (select game, nome, unnest(pred) as dezena from preds join tot using (game) where idx = t - 1)"
+SBANK = f"{SETS}, {TALLY}, {TEST}, meta as ({META}), {NEXT}, {NSETS}, parts as (select game, nome, unnest(pred) as dezena from npreds)"
 _BONUS = "(1 - exp(-chi2 / 2)) * abs(lift - 1) * {} * case when lift > 1 then 1 else -0.5 end"
 FUSED = f"fused as (select game, dezena, sum(score) as score from (select game, dezena, {_BONUS.format('(0.5 + coalesce(meta, 0.5))')} as score from parts join test using (game, nome) left join meta using (game, nome) union all select * from ({CROSS}) union all select * from ({FG})) group by all), ranking as (select *, row_number() over (partition by game order by round(score, 9) desc, dezena) as rank from fused)"
 sql("score_fusion", "select * from ranking", "dezena rank", "score", "game", f"{SBANK}, {FUSED}")
@@ -261,7 +320,11 @@ sql(
     "draws tickets best prizes", "mean_hits won cost profit roi_pct", "game branch", CHECKED,
 )
 sql("prefix_scores", "select game, numero, n as dezena, f / idx::double * 0.6 + least((idx - 1 - coalesce(seen, -1)) / 20.0::double, 0.5) * 0.4 as score from (select hits.*, t, sum(hit) over w as f, max(case when hit = 1 then idx end) over w as seen from hits join tot using (game) window w as (partition by hits.game, n order by idx rows between unbounded preceding and 1 preceding)) where idx >= t - 20", "numero dezena", "score", "game", HITS)
-RETRO = f"fg as ({FG}), fr2 as (select *, row_number() over (partition by game order by round(score, 9) desc, dezena) as rank from fg), tops as (select distinct game, unnest([k, 10, 15, 20]) as top, k, m from games), retro as (select q.game, numero, q.top, (select count(*) from fr2 f where f.game = q.game and f.rank <= q.top and list_contains(q.dezenas, f.dezena)) as hits, q.top * (k / m::double) as expected from (select d.game, d.numero, d.dezenas, tops.top, k, m from d join tot using (game) join tops using (game) where idx >= t - 10) q)"
+RETRO = f"""{HITS}, rk0 as (select hits.*, t, sum(hit) over w as f, max(case when hit = 1 then numero end) over w as seen from hits join tot using (game) window w as (partition by hits.game, n order by idx rows between unbounded preceding and 1 preceding)),
+former as (select game, idx, lag(numero) over (partition by game order by idx) as top from d),
+rk as (select game, idx, n as dezena, row_number() over (partition by game, idx order by round(f / idx::double * 0.3 + least((top - coalesce(seen, 0)) / 15.0::double, 0.5) * 0.2, 9) desc, n) as rank from rk0 join former using (game, idx) where idx >= t - 10 and idx > 0),
+tops as (select distinct game, unnest([k, 10, 15, 20]) as top, k, m from games),
+retro as (select d.game, d.numero, tops.top, count(*) filter (rank <= tops.top and list_contains(dezenas, dezena)) as hits, any_value(tops.top * (k / m::double)) as expected from d join rk using (game, idx) join tops on tops.game = d.game group by all)"""
 sql("retro", "select * from retro", "numero top hits", "expected", "game", RETRO)
 sql("retro_verdict", "select *, case when mean > expected * 1.1 then 'above chance' when mean < expected * 0.9 then 'below chance' else 'at the level of chance' end as verdict from (select game, top, avg(hits) as mean, avg(expected) as expected from retro group by all)", "top", "mean expected", "game verdict", RETRO)
 
@@ -273,8 +336,22 @@ sql(
 )
 CHANGE = f"{HITS}, ch as (select game, idx, sum((l - e) ** 2 / e + (r - e) ** 2 / e) as chi2 from (select *, case when l + r = 0 then 1e-10 else (l + r) / 2.0::double end as e from (select hits.*, t, sum(hit) over (partition by hits.game, n order by idx rows between 50 preceding and 1 preceding) as l, sum(hit) over (partition by hits.game, n order by idx rows between current row and 49 following) as r from hits join tot using (game)) where idx >= 50 and idx < t - 50) group by all)"
 sql("changepoint_series", "select * from ch", "idx", "chi2", "game", CHANGE)
-_LIMIT = "case game " + " ".join(f"when '{g.key}' then {chi2_quantile(0.99, g.m - 1)!r}" for g in GAMES.values()) + " end"
+_LIMIT = "case game " + " ".join(f"when '{g.key}' then {chi2_quantile(0.9, g.m - 1)!r}" for g in GAMES.values()) + " end"
 sql("changepoints", f"select game, arg_max(idx, chi2) as position, max(chi2) as chi2 from (select game, idx, chi2, idx - row_number() over (partition by game order by idx) as g from ch where chi2 > {_LIMIT}) group by game, g", "position", "chi2", "game", CHANGE)
+CODES = f"""{HITS}, co as (select game, n, idx - 30 as i, c from (select game, n, idx, sum(hit) over (partition by game, n order by idx rows between 30 preceding and 1 preceding) as c from hits) where idx >= 30),
+st as (select *, lead(c, 1) over v as x, lead(c, 2) over v as y, lead(c, 3) over v as z3, lead(c, 4) over v as z4, lag(c) over v as b, count(*) over (partition by game, n) as points from co window v as (partition by game, n order by i)),
+mo as (select game, n, count(*) as points, stddev_pop(c) * 0.2 < 1 as fine from co group by all)"""
+_PAIR = lambda cols, cond, name: f"{name} as (select game, n, sum(k * (k - 1) // 2) as {name} from (select game, n, count(*) as k from st where {cond} group by game, n, {cols}) group by all)"
+sql("sample_entropy", "select game, n, case when fine and m2 > 0 and m3 > 0 then -ln(m3 / m2::double) end as sample_entropy from m2 join m3 using (game, n) join mo using (game, n)", "n", "sample_entropy", "game", f"{CODES}, {_PAIR('c, x', 'i + 2 < points', 'm2')}, {_PAIR('c, x, y', 'i + 3 < points', 'm3')}")
+# points of vertical lines: for each point, the others with its three values that have such a one beside them (itself left out)
+RECUR = f"""{CODES}, {_PAIR('c, x, y', 'y is not null', 'n3')}, {_PAIR('c, x, y, z3', 'z3 is not null', 'n4')}, {_PAIR('c, x, y, z3, z4', 'z4 is not null', 'n5')},
+em as (select game, n, i, c, x, y, (b = c and c = x and x = y) as up, (c = x and x = y and y = z3) as down from st where y is not null),
+cls as (select game, n, c, x, y, count(*) as k, count(*) filter (coalesce(up, false) or coalesce(down, false)) as lined from em group by all),
+near as (select a.game, a.n, a.i, o.i as j, (coalesce(o.up, false) and o.i - 1 <> a.i) or (coalesce(o.down, false) and o.i + 1 <> a.i) as ok from em a join em o on a.game = o.game and a.n = o.n and a.c = o.c and a.x = o.x and a.y = o.y and o.i between a.i - 1 and a.i + 1),
+fix as (select game, n, i, sum(case when j = i then 0 else ok::int end) as beside, sum((up_or_down)::int) as was from (select near.*, (select coalesce(e.up, false) or coalesce(e.down, false) from em e where e.game = near.game and e.n = near.n and e.i = near.j) as up_or_down from near) group by all),
+ver as (select game, n, sum(lined - was + beside) as vertical from em join cls using (game, n, c, x, y) join fix using (game, n, i) group by all),
+pe as (select game, n, -sum(p * log2(p)) / log2(6) as entropy from (select game, n, count(*) / sum(count(*)) over (partition by game, n)::double as p from em group by game, n, (c <= x), (x <= y), (c <= y)) group by all)"""
+sql("recurrence", "select game, n, points, entropy, case when fine then case when n3 > 0 then 2.0::double * n3 / ((points - 2.0::double) * (points - 3)) else 0 end end as RR, case when fine then case when n3 > 0 then (2 * coalesce(n4, 0) - coalesce(n5, 0)) / n3::double else 0 end end as DET, case when fine then case when n3 > 0 then vertical / (2.0::double * n3) else 0 end end as LAM from mo join n3 using (game, n) join n4 using (game, n) join n5 using (game, n) join ver using (game, n) join pe using (game, n)", "n points", "entropy RR DET LAM", "game", RECUR)
 SQL["event_windows"] = "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all"
 _N25 = [f"n{i:02d}" for i in range(1, 26)]
 sql("one_hot", "select game, numero, " + ", ".join(f"max(case when n = {i} then hit end) as n{i:02d}" for i in range(1, 26)) + " from hits where game = 'g15_25' group by all", " ".join(["numero", *_N25]), "", "game", HITS)

@@ -7,12 +7,13 @@ across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urnwise.cluster import ship
-from urnwise.games import prizes
+from urnwise.cluster import cut, ship
+from urnwise.games import GAMES, prizes
 from urnwise.operators import bank as B
 from urnwise.operators import descriptive as D
 from urnwise.operators import diagnostics as G
@@ -179,12 +180,12 @@ def deviations(spark, d):
 
 @query
 def number_series(spark, d):
-    return X.number_series(X.hits(S.log(spark, d)))
+    return X.number_series(S.log(spark, d))
 
 
 @query
 def rolling_share(spark, d):
-    return X.rolling_share(X.hits(S.log(spark, d)))
+    return X.rolling_share(S.log(spark, d))
 
 
 @query
@@ -209,12 +210,12 @@ def hot_pool(spark, d):
 
 @query
 def hyp_unary(spark, d):
-    return H.test(H.tallies(H.unary_family(S.ctx(spark, d))))
+    return H.test(H.unary_tallies(S.ctx(spark, d)))
 
 
 @query
 def hyp_binary(spark, d):
-    return H.test(H.tallies(H.binary_family(S.ctx(spark, d))))
+    return H.test(H.binary_tallies(S.ctx(spark, d)))
 
 
 @query
@@ -234,13 +235,12 @@ def hyp_evolved(spark, d):
 
 @query
 def hyp_handwritten(spark, d):
-    ordered = S.order_drawn(spark, d).groupBy("game", "numero").agg(F.sort_array(F.collect_list(F.struct("place", "dezena"))).alias("o")).select("game", "numero", F.transform("o", lambda x: x["dezena"]).alias("ordem"))
-    return H.tallies(H.by_hand_family(S.ctx(spark, d).join(ordered, ["game", "numero"])))
+    return H.tallies(H.by_hand_family(S.with_order(S.ctx(spark, d), spark, d)))
 
 
 @query
 def hyp_p_values(spark, d):
-    return H.with_p(H.test(H.tallies(H.unary_family(S.ctx(spark, d)))))
+    return H.with_p(H.test(H.unary_tallies(S.ctx(spark, d))))
 
 
 @query
@@ -252,7 +252,7 @@ def hyp_exact(spark, d):
 def hyp_top(spark, d):
     from pyspark.sql.window import Window
 
-    rows = H.test(H.tallies(H.unary_family(S.ctx(spark, d))))
+    rows = H.test(H.unary_tallies(S.ctx(spark, d)))
     order = Window.partitionBy("game").orderBy(F.desc(F.round("chi2", 6)), "nome")
     return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("game", "rank", "nome", "chi2")
 
@@ -266,7 +266,7 @@ def recent_test(spark, d):
 
 
 def _tests(spark, d):
-    both = H.tallies(H.unary_family(S.ctx(spark, d)), since=500)
+    both = cut(H.tallies_of(S.ctx(spark, d), H.programmatic_names(), since=500))  # some rows for each name
     p = F.exp(-F.col("chi2") / 2)
     old = H.test(both).withColumn("p_valor", p)
     new = H.test(both.select("game", "nome", *(F.col(f"{c}_recente").alias(c) for c in ("tentativas", "acertos", "previstos")))).withColumn("p_valor", p)
@@ -276,7 +276,7 @@ def _tests(spark, d):
 def _bank(spark, d):
     overall, recent = _tests(spark, d)
     s = B.scored(overall, recent)
-    return s.select("game", "nome", F.lit("prog").alias("cat"), F.col("nome").alias("descr"), "p_valor", "lift", "taxa_obs", "taxa_esp", "tentativas", F.lit(True).alias("ativo"), "p_valor_recente", "lift_recente", "score_confianca")
+    return cut(s.select("game", "nome", F.lit("prog").alias("cat"), F.col("nome").alias("descr"), "p_valor", "lift", "taxa_obs", "taxa_esp", "tentativas", F.lit(True).alias("ativo"), "p_valor_recente", "lift_recente", "score_confianca"))
 
 
 @query
@@ -345,33 +345,45 @@ def cross_bonus(spark, d):
     return R.cross_bonus(S.log(spark, d))
 
 
-def _set_bank(spark, d):
-    rows = H.test(H.tallies(H.predictions(S.log(spark, d), H.set_names())))
+def _set_bank(ctx):
+    rows = H.test(H.tallies(H.predictions(ctx, H.set_names())))
     return rows.select("game", "nome", F.lit(True).alias("ativo"), F.exp(-F.col("chi2") / 2).alias("p_valor"), "lift", F.lit(0.0).alias("score_confianca"))
 
 
-def _fused(spark, d):
-    ctx = S.log(spark, d)
-    last = last_draws(H.predictions(ctx, H.set_names()), "game", 1)
-    patterns = R.pattern_scores(last, _set_bank(spark, d), R.meta_weights(H.predictions(ctx, H.set_names())))
-    return R.fuse(patterns.select("game", "dezena", "bonus"), R.cross_bonus(ctx), R.frequency_gap(S.draw_items(spark, d)))
+def _fused(ctx):
+    """Scores of the numbers for the draw that is still to come."""
+    coming = H.predictions(S.next_draw(ctx), H.set_names())
+    patterns = R.pattern_scores(coming, _set_bank(ctx), R.meta_weights(H.predictions(ctx, H.set_names())))
+    return cut(R.fuse(patterns.select("game", "dezena", "bonus"), R.cross_bonus(ctx), R.frequency_gap(S.items_of(ctx))))
+
+
+@query
+def next_row(spark, d):
+    rows = S.next_draw(S.ctx(spark, d))
+    return rows.select("game", "numero", "idx", F.date_format("data", "yyyy-MM-dd").alias("data"), "local", "acumulado", "valor_arrecadado", "valor_estimado", F.array_join("dezenas", ",").alias("dezenas"), F.array_join("prev", ",").alias("prev"), F.array_join("prev2", ",").alias("prev2"))
+
+
+@query
+def next_predictions(spark, d):
+    rows = H.predictions(S.next_draw(S.ctx(spark, d)), H.set_names() + EVOLVED)
+    return rows.select("game", "numero", "nome", F.array_join(F.array_sort("pred"), ",").alias("pred"))
 
 
 @query
 def score_fusion(spark, d):
-    return _fused(spark, d)
+    return _fused(S.log(spark, d))
 
 
 @query
 def score_explained(spark, d):
     ctx = S.log(spark, d)
-    last = last_draws(H.predictions(ctx, H.set_names()), "game", 1)
-    return R.explained(R.pattern_scores(last, _set_bank(spark, d))).select("game", "dezena", "score", F.size("parts").alias("patterns"), F.array_join(F.array_sort(F.transform("parts", lambda p: p["nome"])), ",").alias("names"))
+    coming = H.predictions(S.next_draw(ctx), H.set_names())
+    return R.explained(R.pattern_scores(coming, _set_bank(ctx))).select("game", "dezena", "score", F.size("parts").alias("patterns"), F.array_join(F.array_sort(F.transform("parts", lambda p: p["nome"])), ",").alias("names"))
 
 
 @query
 def suggested_ticket(spark, d):
-    return R.picks(_fused(spark, d)).select("game", F.array_join("nums", ",").alias("nums"))
+    return R.picks(_fused(S.log(spark, d))).select("game", F.array_join("nums", ",").alias("nums"))
 
 
 @query
@@ -379,25 +391,28 @@ def recent_profile(spark, d):
     return R.recent_profile(X.shape(S.log(spark, d)))
 
 
-def _tickets(spark, d):
+def _tickets(ctx):
     """Every draw as a ticket."""
-    return S.log(spark, d).select("game", F.col("numero").alias("ticket"), F.col("dezenas").alias("nums"), "prev")
+    return ctx.select("game", F.col("numero").alias("ticket"), F.col("dezenas").alias("nums"), "prev")
 
 
 @query
 def profile_fit(spark, d):
-    return R.profile_fit(_tickets(spark, d), R.recent_profile(X.shape(S.log(spark, d)))).select("game", "ticket", "fit")
+    ctx = S.log(spark, d)
+    return R.profile_fit(_tickets(ctx), R.recent_profile(X.shape(ctx))).select("game", "ticket", "fit")
 
 
 @query
 def ticket_scores(spark, d):
-    return R.ticket_scores(_tickets(spark, d), S.draw_items(spark, d))
+    ctx = S.log(spark, d)
+    return R.ticket_scores(_tickets(ctx), S.items_of(ctx))
 
 
 @query
 def integrated_scores(spark, d):
-    items = S.draw_items(spark, d)
-    own = last_draws(S.log(spark, d).select("game", "numero", "idx", "dezenas"), "game", 50).select("game", "numero", F.explode("dezenas").alias("dezena"))
+    ctx = S.log(spark, d)
+    items = S.items_of(ctx)
+    own = last_draws(ctx.select("game", "numero", "idx", "dezenas"), "game", 50).select("game", "numero", F.explode("dezenas").alias("dezena"))
     share = D.frequency(own).join(R.total_draws(own), "game").select("game", "dezena", (F.col("freq") / F.col("t")).alias("share"))
     return R.integrated(R.frequency_gap(items), share, D.bias(own))
 
@@ -407,28 +422,28 @@ def integrated_scores(spark, d):
 
 @query
 def filter_ticket(spark, d):
-    rows = T.evaluate(_tickets(spark, d).where("prev is not null"), "prev")
+    rows = T.evaluate(_tickets(S.log(spark, d)).where("prev is not null"), "prev")
     return rows.select("game", "ticket", "soma", "impares", "max_seq", "repetidos", F.array_join("faixas", ",").alias("faixas"), "score", F.col("passou").cast("int").alias("passou"))
 
 
 @query
 def valid_tickets(spark, d):
-    return T.valid(_tickets(spark, d).drop("prev")).select("game", "ticket")
+    return T.valid(_tickets(S.log(spark, d)).drop("prev")).select("game", "ticket")
 
 
 @query
 def unpopularity(spark, d):
-    return T.ranked(T.unpopularity(_tickets(spark, d)), "impopularidade").select("game", "ticket", "impopularidade")
+    return T.ranked(T.unpopularity(_tickets(S.log(spark, d))), "impopularidade").select("game", "ticket", "impopularidade")
 
 
 @query
 def sequence_penalty(spark, d):
-    return _tickets(spark, d).select("game", "ticket", T.longest_run(F.col("nums")).alias("run"), T.sequence_penalty(F.col("nums")).alias("penalty"))
+    return _tickets(S.log(spark, d)).select("game", "ticket", T.longest_run(F.col("nums")).alias("run"), T.sequence_penalty(F.col("nums")).alias("penalty"))
 
 
 @query
 def best_of_equal(spark, d):
-    rows = _tickets(spark, d).select("game", "ticket", F.slice("nums", 1, 3).alias("nums"), F.col("ticket").cast("double").alias("v"))
+    rows = _tickets(S.log(spark, d)).select("game", "ticket", F.slice("nums", 1, 3).alias("nums"), F.col("ticket").cast("double").alias("v"))
     return T.best_of_equal(rows, "v").select("game", "ticket", F.array_join("nums", ",").alias("nums"))
 
 
@@ -482,17 +497,19 @@ def hit_distribution(spark, d):
 
 @query
 def prefix_scores(spark, d):
-    return V.prefix_scores(X.hits(S.log(spark, d)))
+    return V.prefix_scores(S.log(spark, d))
 
 
 @query
 def retro(spark, d):
-    return V.retro(R.fuse(R.frequency_gap(S.draw_items(spark, d))), S.log(spark, d))
+    ctx = S.log(spark, d)
+    return V.retro(V.retro_ranking(ctx), ctx)
 
 
 @query
 def retro_verdict(spark, d):
-    return V.verdict(V.retro(R.fuse(R.frequency_gap(S.draw_items(spark, d))), S.log(spark, d)))
+    ctx = S.log(spark, d)
+    return V.verdict(V.retro(V.retro_ranking(ctx), ctx))
 
 
 # -- diagnostics
@@ -505,27 +522,53 @@ def perm_entropy(spark, d):
 
 @query
 def changepoint_series(spark, d):
-    return G.changepoint_series(X.hits(S.log(spark, d)))
+    return G.changepoint_series(S.log(spark, d))
 
 
 @query
 def changepoints(spark, d):
-    return G.changepoints(G.changepoint_series(X.hits(S.log(spark, d))))
+    return G.changepoints(cut(G.changepoint_series(S.log(spark, d))), 0.9)
+
+
+def _codes(spark, d):
+    return cut(G.codes(S.log(spark, d)))
 
 
 @query
-def diagnostic_report(spark, d):
-    return G.report(G.series_of(X.rolling_share(X.hits(S.log(spark, d))), 400, 7))
+def recurrence(spark, d):
+    return G.recurrence(_codes(spark, d))
+
+
+@query
+def sample_entropy(spark, d):
+    return G.sample_entropy(_codes(spark, d))
+
+
+@query
+def line_entropy(spark, d):
+    return G.line_entropy(_codes(spark, d))
+
+
+@query
+def divergence(spark, d):
+    return G.divergence(_codes(spark, d))
 
 
 @query
 def surrogates(spark, d):
-    return G.surrogates(G.series_of(X.rolling_share(X.hits(S.log(spark, d))), 300, 7), 40)
+    return G.surrogates(_codes(spark, d))
 
 
 @query
 def entropy_z(spark, d):
-    return G.entropy_z(G.series_of(X.rolling_share(X.hits(S.log(spark, d))), 400, 7))
+    return G.entropy_z(_codes(spark, d))
+
+
+@query
+def diagnostic_report(spark, d):
+    ctx = S.log(spark, d)
+    own = cut(G.codes(ctx))
+    return G.signals(G.recurrence(own), G.sample_entropy(own), G.divergence(own), G.changepoints(cut(G.changepoint_series(ctx))), G.surrogates(own))
 
 
 @query
@@ -543,7 +586,8 @@ def weighted_tickets(spark, d):
 
 @query
 def optimised_tickets(spark, d):
-    return R.optimised(_fused(spark, d), S.draw_items(spark, d), R.recent_profile(X.shape(S.log(spark, d))))
+    ctx = S.log(spark, d)
+    return R.optimised(_fused(ctx), S.items_of(ctx), R.recent_profile(X.shape(ctx)))
 
 
 @query
@@ -553,24 +597,30 @@ def basic_tickets(spark, d):
 
 @query
 def integrated_tickets(spark, d):
-    last = last_draws(S.log(spark, d), "game", 1).select("game", F.col("dezenas").alias("prev"))
-    return M.integrated_tickets(R.frequency_gap(S.draw_items(spark, d)), last)
+    ctx = S.log(spark, d)
+    return M.integrated_tickets(R.frequency_gap(S.items_of(ctx)), S.next_draw(ctx).select("game", "prev"))
+
+
+@query
+def retro_tickets(spark, d):
+    ctx = S.log(spark, d)
+    return M.retro_tickets(ctx, V.retro_ranking(ctx))
 
 
 @query
 def roi_branches(spark, d):
     ctx = S.log(spark, d)
-    return M.roi_branches(X.hits(ctx), ctx)
+    return M.roi_branches(ctx)
 
 
 @query
 def one_hot(spark, d):
-    return M.one_hot(X.hits(S.log(spark, d)), "g15_25")
+    return M.one_hot(S.log(spark, d), "g15_25")
 
 
 @query
 def walk_forward(spark, d):
-    return V.walk_forward(H.predictions(S.log(spark, d), H.set_names()), 20)
+    return V.walk_forward(H.by_hand_family(cut(S.with_order(S.ctx(spark, d), spark, d))).drop("cat"))
 
 
 @query
@@ -580,24 +630,43 @@ def greedy_cover(spark, d):
     return spark.createDataFrame([(i, t, float(out["covered"]), float(out["cost"])) for i, t in enumerate(out["tickets"])], "ticket int, nums array<int>, covered double, cost double")
 
 
+def _frame(spark, d):
+    ctx = S.ctx(spark, d)
+    return cut(L.frame(ctx, L.context(ctx)))
+
+
 @query
 def ml_probs(spark, d):
-    rows = L.frame(X.hits(S.log(spark, d)))
-    return L.discover(rows, "g15_25", trees=10, rounds=5)[0]
+    """Probabilities of the numbers in the coming draw, and importances of the features."""
+    rows = _frame(spark, d)
+    both = [L.discover(rows, g) for g in GAMES]
+    probs = [p.select("game", F.lit("number").alias("kind"), F.col("dezena").cast("string").alias("name"), F.col("prob").alias("value")) for p, _ in both]
+    return reduce(lambda a, b: a.unionByName(b), [*probs, *(i.select("game", F.lit("feature").alias("kind"), F.col("feature").alias("name"), F.col("importance").alias("value")) for _, i in both)])
+
+
+@query
+def ml_tickets(spark, d):
+    return L.suggestions(cut(L.discover(_frame(spark, d), "g15_25")[0])).select("game", "rank", F.array_join("nums", ",").alias("nums"), "score")
+
+
+@query
+def ml_backtest(spark, d):
+    return L.backtest(_frame(spark, d), "g15_25")
 
 
 @query
 def profile_forecast(spark, d):
-    return L.forecast(X.shape(S.log(spark, d)), "g15_25", ("soma", "pares", "amplitude"), trees=10, rounds=5)
+    shapes = cut(X.shape(S.log(spark, d)))
+    return reduce(lambda a, b: a.unionByName(b), [L.forecast(shapes, g) for g in GAMES])
 
 
 @query
 def profile_tickets(spark, d):
-    return L.profile_tickets(spark, {"soma": (150.0, 215.0), "amplitude": (35.0, 55.0), "pares": (2.0, 4.0)}, "g6_60", candidates=20_000)
+    return L.profile_tickets(spark, {"soma": (150.0, 215.0), "amplitude": (35.0, 55.0), "pares": (2.0, 4.0)}, "g6_60")
 
 
 @query
 def prospect_round(spark, d):
-    ctx = S.ctx(spark, d)
-    names = H.unary_names() + B.evolve(H.unary_names(), 20, 1)
+    ctx = cut(S.with_order(S.ctx(spark, d), spark, d))
+    names = [*H.by_hand(), *H.programmatic_names(), *B.evolve(H.programmatic_names(), 80, 1)]
     return loop.prospect(ctx, spark.createDataFrame([], B.BANK), names)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from urnwise.cluster import cut
+from urnwise.functions.scalar import mask
 from urnwise.games import GAMES
 from urnwise.operators.sequence import lagged, numbered
 
@@ -31,26 +33,38 @@ DRAW_JSON = T.StructType(
 
 
 def _games(per_game) -> F.Column:
-    """One array of structs, an element for each game, to be exploded: no join with a dimension."""
-    return F.explode(F.array(*(F.struct(F.lit(g.key).alias("game"), F.lit(g.k).alias("k"), F.lit(g.m).alias("m"), *per_game(g)) for g in GAMES.values())))
+    """One array of structs, an element for each game (a small number for its key), to be exploded: no join with a dimension."""
+    return F.explode(F.array(*(F.struct(F.lit(i).alias("g"), *per_game(g)) for i, g in enumerate(GAMES.values()))))
+
+
+def _key(f) -> F.Column:
+    """f(game) of the row's game number."""
+    return F.element_at(F.array(*(F.lit(f(g)) for g in GAMES.values())), F.col("g") + 1)
 
 
 def draw_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (game, numero, dezenas): k distinct numbers, sorted, for each block of orders that has so many.
+    """Rows (game, numero, dezenas, mask): k distinct numbers, sorted, and as bits, for each block of orders that has so many.
 
-    One shuffle: a block's distinct numbers are collected (at most m of them), and choice
-    and order happen inside the array.
+    One shuffle: a block's distinct numbers are bits of one word, whose partial
+    aggregates are single longs, and choice and order happen inside the row.
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
-    raw = lines.select(_games(lambda g: (F.expr(f"l_orderkey div {g.block}").alias("numero"), (F.col("l_partkey") % g.m + 1).cast("int").alias("dezena"))).alias("x")).select("x.*")
-    sets = raw.groupBy("game", "numero", "k").agg(F.collect_set("dezena").alias("s")).where(F.size("s") >= F.col("k"))
-    ranked = F.array_sort(F.transform("s", lambda d: F.struct(((d * 37 + F.col("numero") * 11) % 61).alias("r"), d.alias("d"))))
-    return sets.select("game", "numero", F.array_sort(F.transform(F.slice(ranked, F.lit(1), F.col("k")), lambda x: x["d"])).alias("dezenas"))
+    raw = lines.select(_games(lambda g: (F.expr(f"l_orderkey div {g.block}").alias("numero"), F.expr(f"shiftleft(1L, cast(l_partkey % {g.m} + 1 as int))").alias("bit"))).alias("x")).select("x.*")
+    sets = raw.groupBy("g", "numero").agg(F.bit_or("bit").alias("all")).where(F.bit_count("all") >= _key(lambda g: g.k))
+    held = F.filter(F.sequence(F.lit(1), _key(lambda g: g.m)), lambda d: F.getbit(F.col("all"), d) == 1)
+    ranked = F.array_sort(F.transform(held, lambda d: F.struct(((d * 37 + F.col("numero") * 11) % 61).alias("r"), d.alias("d"))))
+    rows = sets.select(_key(lambda g: g.key).alias("game"), "numero", F.array_sort(F.transform(F.slice(ranked, F.lit(1), _key(lambda g: g.k)), lambda x: x["d"])).alias("dezenas"))
+    return rows.withColumn("mask", mask(F.col("dezenas")))
+
+
+def items_of(drawn: DataFrame) -> DataFrame:
+    """Rows (game, numero, dezena, posicao) of draws, posicao 0-based in sorted order."""
+    return drawn.select("game", "numero", F.posexplode("dezenas").alias("posicao", "dezena")).select("game", "numero", "dezena", "posicao")
 
 
 def draw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (game, numero, dezena, posicao) of the same draws, posicao 0-based in sorted order."""
-    return draw_arrays(spark, sf_dir).select("game", "numero", F.posexplode("dezenas").alias("posicao", "dezena")).select("game", "numero", "dezena", "posicao")
+    """Items of the mapped draws, which are written once: results that look at them more than once don't map them again."""
+    return items_of(cut(draw_arrays(spark, sf_dir)))
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,24 +90,48 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each draw, without attributes: idx (0-based place in the game), dezenas, prev and prev2 (sorted arrays)."""
-    rows = numbered(draw_arrays(spark, sf_dir), "game", "numero")
-    return lagged(rows, "game", {"prev": ("dezenas", 1), "prev2": ("dezenas", 2)})
+    """One row for each draw, without attributes: idx (0-based place in the game), dezenas, mask, prev and prev2 (sorted arrays); written once."""
+    rows = numbered(cut(draw_arrays(spark, sf_dir)), "game", "numero")
+    return cut(lagged(rows, "game", {"prev": ("dezenas", 1), "prev2": ("dezenas", 2)}))
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log with the attributes of its draws."""
-    return log(spark, sf_dir).join(draws(spark, sf_dir), ["game", "numero"])
+    """The log with the attributes of its draws; written once."""
+    return cut(log(spark, sf_dir).join(draws(spark, sf_dir), ["game", "numero"]))
 
 
-def order_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (game, numero, dezena, place): the order in which a draw's numbers came, by first line, then number."""
+def next_draw(rows: DataFrame, days: int = 3) -> DataFrame:
+    """A row for each game's draw that is still to come, from a log with or without attributes.
+
+    It has the next number and place and no numbers; the two last draws are its draws
+    before. Attributes are the last draw's, as they are known by then, but for sales
+    (0) and the date (`days` after the last one).
+    """
+    last = rows.groupBy("game").agg(F.max_by(F.struct(*(F.col(c) for c in rows.columns if c != "game")), "idx").alias("x"))
+    new = {
+        "numero": F.col("x.numero") + 1, "idx": F.col("x.idx") + 1, "dezenas": F.array().cast("array<int>"), "mask": F.lit(0).cast("long"),
+        "prev": F.col("x.dezenas"), "prev2": F.col("x.prev"), "ordem": F.array().cast("array<int>"), "valor_arrecadado": F.lit(0.0),
+    }
+    if "data" in rows.columns:
+        new["data"] = F.date_add(F.col("x.data"), days)
+    return last.select(*("game" if c == "game" else new.get(c, F.col(f"x.{c}")).alias(c) for c in rows.columns))
+
+
+def order_drawn(spark: SparkSession, sf_dir: str, drawn: DataFrame | None = None) -> DataFrame:
+    """Rows (game, numero, dezena, place): the order in which a draw's numbers came, by first line, then number; drawn: the draws, if they are at hand."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber")
-    raw = lines.select(_games(lambda g: (F.expr(f"l_orderkey div {g.block}").alias("numero"), (F.col("l_partkey") % g.m + 1).cast("int").alias("dezena"))).alias("x"), "l_linenumber").groupBy("x.game", "x.numero", "x.dezena").agg(F.min("l_linenumber").alias("line"))
-    kept = raw.join(draw_items(spark, sf_dir), ["game", "numero", "dezena"])
+    each = _games(lambda g: (F.expr(f"l_orderkey div {g.block}").alias("numero"), (F.col("l_partkey") % g.m + 1).cast("int").alias("dezena")))
+    raw = lines.select(each.alias("x"), "l_linenumber").groupBy("x.g", "x.numero", "x.dezena").agg(F.min("l_linenumber").alias("line")).withColumn("game", _key(lambda g: g.key))
+    kept = raw.join(items_of(drawn if drawn is not None else draw_arrays(spark, sf_dir)), ["game", "numero", "dezena"])
     return kept.select("game", "numero", "dezena", F.row_number().over(Window.partitionBy("game", "numero").orderBy("line", "dezena")).alias("place"))
 
 
+def with_order(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows (a log with attributes) with `ordem`, each draw's numbers in order of draw."""
+    ordered = order_drawn(spark, sf_dir, rows).groupBy("game", "numero").agg(F.sort_array(F.collect_list(F.struct("place", "dezena"))).alias("o"))
+    return rows.join(ordered.select("game", "numero", F.transform("o", lambda x: x["dezena"]).alias("ordem")), ["game", "numero"])
+
+
 def normalise(documents: DataFrame, game: str, column: str = "value") -> DataFrame:
     """Draws with their items from JSON texts: renamed, items cast, missing money as 0, dates parsed."""
     x = F.from_json(F.col(column), DRAW_JSON)

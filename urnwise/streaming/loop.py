@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
 
+from urnwise.cluster import cut
 from urnwise.operators import bank as B
 from urnwise.operators import hypotheses as H
 from urnwise.sources.draws import correct_late, normalise
@@ -61,7 +62,7 @@ def prospect(ctx: DataFrame, bank: DataFrame, names: list[str], again: float = 0
     if not own:
         return B.prune(bank)
     # a name is tested in every game; one of a share that only another game holds is tested again, harmlessly
-    both = H.tallies(H.predictions(ctx, own), since=50)
+    both = cut(H.tallies_of(ctx, own, since=50))
     overall = H.with_p(H.test(both)).where(F.col("p_valor") < B.threshold(len(own))).join(todo, ["game", "nome"], "left_semi")
     recent = H.with_p(H.test(both.select("game", "nome", *(F.col(f"{c}_recente").alias(c) for c in ("tentativas", "acertos", "previstos")))))
     scored = B.scored(overall, recent).where("score_confianca > 0.1")
