@@ -129,16 +129,46 @@ def test_run_distribution_of_15_of_25(spark):
     assert got == want
 
 
-def test_covers():
+def test_covers(spark):
     pool = list(range(1, 9))
     c = [list(x) for x in itertools.combinations(pool, 4)]
     t = [list(x) for x in itertools.combinations(pool, 3)]
     exact = T.exact_cover(c, t, 2, 12, 20_000)
     covers = lambda chosen, need: all(any(len(set(a) & set(b)) >= need for a in chosen) for b in t)
     assert exact and covers(exact, 2)
-    chosen, left = T.greedy_cover(c, t, 3, 100)
-    assert left == 0 and covers(chosen, 3) and len(chosen) < 40
-    assert T.greedy_cover(c, t, 3, 2)[1] > 0 and T.exact_cover(c, [[20, 21, 22]], 2, 5) is None
+    frame = lambda rows: spark.createDataFrame([(x,) for x in rows], "nums array<int>")
+    chosen, left = T.greedy_cover(frame(c), frame(t), 3, 40)
+    chosen = [r["nums"] for r in chosen.orderBy("step").collect()]
+    assert left == 0 and covers(chosen, 3) and chosen == plain_greedy(c, t, 3)
+    assert T.greedy_cover(frame(c), frame(t), 3, 2)[1] > 0 and T.exact_cover(c, [[20, 21, 22]], 2, 5) is None
+    assert T.exact_cover(c, t, 2, 12, 3) is None  # not proven the smallest
+    numbers = spark.createDataFrame([("g6_60", n) for n in (3, 14, 25, 36, 47, 58, 9)], "game string, dezena int")
+    rows = T.wheel(numbers, "g6_60", 3, 4, 10).collect()
+    assert rows[0]["method"] == "exact" and rows[0]["covered"] == rows[0]["targets"] == 35 and rows[0]["cost"] == 5.0 * len(rows)
+
+
+def plain_greedy(candidates, targets, need, overlap=0.4):
+    chosen, left = [], [set(t) for t in targets]
+    while left:
+        def score(c):
+            gain = sum(len(set(c) & t) >= need for t in left)
+            near = 1 - abs(sum(len(set(c) & set(x)) / len(c) for x in chosen) / len(chosen) - overlap) if chosen else 1
+            return round(gain * 0.7 + near * gain * 0.3, 9)
+
+        best = max((c for c in candidates if c not in chosen), key=lambda c: (score(c), [-x for x in c]))
+        chosen.append(best)
+        left = [t for t in left if len(set(best) & t) < need]
+    return chosen
+
+
+def test_later_family_wins_and_sinks(spark, tmp_path):
+    a, b = (spark.createDataFrame(x, "nome string, cat string") for x in ([("p", "a"), ("q", "a")], [("q", "b")]))
+    assert sorted(map(tuple, H.later_wins(a, b).collect())) == [("p", "a"), ("q", "b")]
+    at = str(tmp_path / "probs")
+    rows = spark.createDataFrame([("g6_60", 1, 0.5), ("g15_25", 1, 0.2)], "game string, dezena int, prob double")
+    S.write_probabilities(rows, at)
+    S.write_probabilities(rows.where("game = 'g6_60'").withColumn("prob", F.lit(0.1)), at)
+    assert {r["game"]: r["prob"] for r in spark.read.parquet(at).collect()} == {"g6_60": 0.1, "g15_25": 0.2}
 
 
 def test_weighted_tickets_are_valid_and_seeded(spark):
@@ -367,7 +397,7 @@ def test_sources(spark, tmp_path):
     assert "".join(p.read_text() for p in (tmp_path / "report").glob("part*")) == "a\nb\n"
 
 
-def test_http_source(spark):
+def test_http_source(spark, tmp_path):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -395,6 +425,12 @@ def test_http_source(spark):
     assert S.normalise(rows.where("error is null"), "g6_60").count() == 6
     stored = spark.createDataFrame([("g6_60", 1), ("g6_60", 5)], "game string, numero int")
     assert sorted(r["numero"] for r in http.missing(stored, "g6_60", 7).collect()) == [2, 3, 4, 6, 7]
+    from urnwise.__main__ import collect
+
+    at = str(tmp_path / "store")
+    collect(spark, base, "six", "g6_60", "1", "4", at)
+    collect(spark, base, "six", "g6_60", "1", "6", at)
+    assert sorted(r["numero"] for r in loop.stored(spark, at).collect()) == [1, 2, 4, 5, 6]
     server.shutdown()
 
 
@@ -404,3 +440,11 @@ def test_families_agree_with_the_parser(spark, ctx):
     key = lambda df: sorted((r["game"], r["numero"], r["nome"], tuple(r["pred"])) for r in df.collect())
     assert key(H.predictions(own, some)) == key(H.predictions(own, some, wide=0))
     assert H.predictions(own, []).count() == 0
+
+
+def test_commands_name_queries():
+    from urnwise.__main__ import COMMANDS, main
+    from urnwise.plans.queries import QUERIES
+
+    assert all(n in QUERIES for names in COMMANDS.values() for n in names)
+    assert main([]) == 0 and main(["nothing"]) == 1 and main(["coletar"]) == 1

@@ -1,5 +1,7 @@
 """Every registered query runs; those with SQL give DuckDB's rows."""
 
+import functools
+
 import duckdb
 import pytest
 
@@ -7,7 +9,18 @@ from urnwise.plans.oracle import SQL
 from urnwise.plans.queries import QUERIES
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-SLOW = {"ml_probs", "profile_forecast"}
+SLOW = {"ml_probs", "ml_tickets", "ml_backtest", "profile_forecast", "surrogates", "diagnostic_report"}  # tested with fewer trees and copies in test_operators
+
+
+@pytest.fixture(scope="module", autouse=True)
+def one_log():
+    """The mapped log is made once for all queries of this module."""
+    from urnwise.sources import draws as S
+
+    with pytest.MonkeyPatch.context() as m:
+        for name in ("log", "ctx", "draw_items"):
+            m.setattr(S, name, functools.cache(getattr(S, name)))
+        yield
 
 
 @pytest.fixture(scope="module")

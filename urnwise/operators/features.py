@@ -97,7 +97,8 @@ def number_series(log: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     rows = rows.withColumn("block", F.expr("idx div 50")).join(seen, ["game", "block"], "left")
     lags = {f"lag{k}": F.coalesce(F.get("before", F.size("before") - k), F.lit(0).cast("long")) for k in (1, 2, 3, 5, 10)}
     means = {f"freq{k}": tally_bits(latest(F.col("before"), k)) for k in (5, 10, 20, 50)}
-    rows = rows.select("game", "idx", "numero", "mask", "age", "seen", *more, *(c.alias(f"_{k}") for k, c in (lags | means).items()), F.explode(domain()).alias("n"))
+    rows = rows.select("game", "idx", "numero", "mask", "age", "seen", *more, *(c.alias(f"_{k}") for k, c in (lags | means).items()))
+    rows = rows.select("*", F.explode(domain()).alias("n"))  # in a step of its own, or the words would be counted anew for each number
     last = F.when(bit_of(F.col("age.seen"), n) == 1, F.col("idx") - count_of(F.col("age"), n)).otherwise(F.coalesce(F.get("seen", n - 1), F.lit(0)))
     mean = lambda k: F.when(F.col("idx") == 0, 0.0).otherwise(count_of(F.col(f"_freq{k}"), n) / F.least(F.col("idx"), F.lit(k)))
     out = rows.select("game", "idx", "numero", "n", *more, bit_of(F.col("mask"), n).alias("hit"), *(bit_of(F.col(f"_{k}"), n).alias(k) for k in lags), *(mean(k).alias(f"freq{k}") for k in (5, 10, 20, 50)), (F.col("idx") - last).alias("gap"))
@@ -106,7 +107,7 @@ def number_series(log: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 
 def counts_before(log: DataFrame, width: int) -> DataFrame:
     """Per draw and number: how many of the `width` draws before (fewer at the start) hold it, as f."""
-    rows = around(log, width).select("game", "idx", "numero", tally_bits(F.col("before")).alias("p"), F.explode(domain()).alias("n"))
+    rows = around(log, width).select("game", "idx", "numero", tally_bits(F.col("before")).alias("p")).select("*", F.explode(domain()).alias("n"))
     return rows.select("game", "idx", "numero", "n", count_of(F.col("p"), F.col("n")).alias("f"))
 
 

@@ -59,9 +59,14 @@ def halves(m: Column) -> dict[str, Column]:
     return {"baixos": F.sequence(F.lit(1), half), "altos": F.sequence(half + 1, m), "pares": F.sequence(F.lit(2), m, F.lit(2)), "impares": F.sequence(F.lit(1), m, F.lit(2))}
 
 
-def parse(name: str, m: Column) -> Column | None:
+def vocabulary(m: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Fields and set extractors, to be built once for many names."""
+    return fields(), extractors(m)
+
+
+def parse(name: str, m: Column, words: tuple[dict[str, Column], dict[str, Column]] | None = None) -> Column | None:
     """The prediction of a name as an array column over ctx; null for a name outside the grammar."""
-    f = fields()
+    f, sets = words or vocabulary(m)
     one = lambda v: F.array(wrap(v, m))
     head, _, rest = name.partition(".")
     if head == "window":
@@ -77,7 +82,6 @@ def parse(name: str, m: Column) -> Column | None:
             high = f[cond] > F.floor(m / 2)
             return F.when(high if way == "alto" else ~high, halves(m)[part]).otherwise(empty())
         return None
-    sets = extractors(m)
     if head == "set":
         s, at, tail = rest.partition("@")
         if s not in sets:
@@ -124,7 +128,8 @@ def predictions(ctx: DataFrame, names: list[str], wide: int = 24) -> DataFrame:
         if len(own) > wide:
             parts.append(family(ctx).where(F.col("nome").isin(own)))
             rest = [n for n in rest if n not in set(own)]
-    each = [F.struct(F.lit(n).alias("nome"), p.alias("pred")) for n in rest if (p := parse(n, m)) is not None]
+    words = vocabulary(m) if rest else None
+    each = [F.struct(F.lit(n).alias("nome"), p.alias("pred")) for n in rest if (p := parse(n, m, words)) is not None]
     if each or not parts:
         x = F.explode(F.array(*each) if each else F.array().cast("array<struct<nome:string,pred:array<int>>>")).alias("x")
         parts.append(ctx.select("game", "numero", "idx", "dezenas", x).select("game", "numero", "idx", "dezenas", "x.nome", "x.pred"))
@@ -194,6 +199,13 @@ def programmatic_names() -> list[str]:
     return unary_names() + binary_names() + set_names() + window_names()
 
 
+def later_wins(*families: DataFrame, keys: tuple[str, ...] = ("nome",)) -> DataFrame:
+    """The union of families of equal columns; of rows with one key, that of the last family that has it."""
+    rows = reduce(DataFrame.unionByName, (f.withColumn("_family", F.lit(i)) for i, f in enumerate(families)))
+    rest = [c for c in rows.columns if c not in (*keys, "_family")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_family").alias("x")).select(*keys, "x.*")
+
+
 def tallies_of(ctx: DataFrame, names: list[str], since: int | None = None) -> DataFrame:
     """Tallies of any names: of the unary and the binary family at once, of hand-written predictors (known by their names) and of further names of the grammar."""
     wanted, parts = set(names), []
@@ -201,10 +213,10 @@ def tallies_of(ctx: DataFrame, names: list[str], since: int | None = None) -> Da
         own = sorted(wanted & set(every))
         if own:
             parts.append(family(ctx, since).where(F.col("nome").isin(own)))
-    hand = sorted(wanted & set(by_hand()))
+    hand = sorted(n for n in wanted if "." not in n)  # the grammar's names have a point
     if hand:
         parts.append(tallies(by_hand_family(ctx).where(F.col("nome").isin(hand)).drop("cat"), since))
-    rest = sorted(wanted - set(unary_names()) - set(binary_names()) - set(hand))
+    rest = sorted(wanted - set(unary_names()) - set(binary_names()) - set(hand))  # few
     if rest or not parts:
         parts.append(tallies(predictions(ctx, rest), since))
     return reduce(DataFrame.unionByName, parts)

@@ -16,15 +16,20 @@ from pyspark.sql.window import Window
 SLICE, CHUNK = 4096, 4096
 
 
-def numbered(df: DataFrame, game: str = "game", order: str = "numero", name: str = "idx") -> DataFrame:
-    """df with the 0-based place of each row among its game's, by `order` (unique whole numbers)."""
-    sliced = df.withColumn("_slice", F.expr(f"{order} div {SLICE}"))
+def placed(df: DataFrame, game: str, slice_: Column, order: list, name: str) -> DataFrame:
+    """df with the 0-based place of each row among its game's, by `order`; slice_ ascends with that order, and only a slice is sorted in one task."""
+    sliced = df.withColumn("_slice", slice_)
     sizes = sliced.groupBy(game, "_slice").agg(F.count("*").alias("_n"))
     before = sizes.select(game, "_slice", (F.sum("_n").over(Window.partitionBy(game).orderBy("_slice")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(game, "_slice").orderBy(order)) - 1
+    own = F.row_number().over(Window.partitionBy(game, "_slice").orderBy(*order)) - 1
     return sliced.withColumn("_own", own).join(before, [game, "_slice"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_slice", "_own", "_before")
 
 
+def numbered(df: DataFrame, game: str = "game", order: str = "numero", name: str = "idx") -> DataFrame:
+    """df with the 0-based place of each row among its game's, by `order` (unique whole numbers)."""
+    return placed(df, game, F.expr(f"{order} div {SLICE}"), [order], name)
+
+
 def windowed(df: DataFrame, game: str, back: int, ahead: int, make, by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
     """df with the columns make(window) -> {name: Column}, whose frames reach at most so many rows back and ahead of idx.
 
@@ -62,4 +67,4 @@ def running(df: DataFrame, game: str, columns: dict[str, Column], how=F.sum, joi
 def last_draws(df: DataFrame, game: str, n: int) -> DataFrame:
     """The last n draws of each game by idx."""
     top = df.groupBy(game).agg((F.max("idx") - n).alias("_from"))
-    return df.join(top, game).where("idx > _from").drop("_from")
+    return df.join(F.broadcast(top), game).where("idx > _from").drop("_from")  # one row for each game

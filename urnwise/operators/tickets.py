@@ -5,14 +5,15 @@ from __future__ import annotations
 from functools import reduce
 from math import comb
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from urnwise.cluster import cut
 from urnwise.functions.scalar import mask
 from urnwise.games import GAMES
 from urnwise.operators.features import size_of
+from urnwise.operators.sequence import placed
 
 
 def per_game(f) -> Column:
@@ -80,9 +81,10 @@ def unpopularity(tickets: DataFrame) -> DataFrame:
     return tickets.withColumn("impopularidade", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
-def ranked(tickets: DataFrame, by: str) -> DataFrame:
-    """Tickets with their rank in the game, the largest value first, ties by smaller numbers."""
-    return tickets.withColumn("rank", F.row_number().over(Window.partitionBy("game").orderBy(F.desc(F.round(by, 9)), "nums")))
+def ranked(tickets: DataFrame, by: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """Tickets with their rank in the game, the largest value (of low..high, or beyond) first, ties by smaller numbers, then by ticket; sorted in slices of the value."""
+    slice_ = F.floor((high - F.round(by, 9)) / (high - low) * 4096)
+    return placed(tickets, "game", slice_, [F.desc(F.round(by, 9)), "nums", "ticket"], "_place").withColumn("rank", F.col("_place") + 1).drop("_place")
 
 
 def best_of_equal(tickets: DataFrame, by: str) -> DataFrame:
@@ -129,34 +131,40 @@ def covered(tickets: DataFrame, targets: DataFrame, at_least: int) -> DataFrame:
     return rows.groupBy("game").agg(F.count("*").alias("targets"), F.count_if(hit).alias("covered")).withColumn("share", F.col("covered") / F.col("targets"))
 
 
-def greedy_cover(candidates: list[list[int]], targets: list[list[int]], at_least: int, limit: int, overlap: float = 0.4) -> tuple[list[list[int]], int]:
-    """(chosen tickets, targets left): each step takes the candidate with the best gain, weighted by how near its mean overlap with those chosen is to `overlap`.
+def greedy_cover(candidates: DataFrame, targets: DataFrame, at_least: int, limit: int, overlap: float = 0.4) -> tuple[DataFrame, int]:
+    """(rows (step, nums) of chosen tickets, targets left) for candidates and targets (nums) of one pool.
 
-    Candidates and targets are combinations of one pool, a few ten thousand at most; the
-    coverage is a bit matrix. The first candidate wins ties.
+    Each step takes the candidate with the best gain, weighted by how near its mean
+    overlap with those chosen is to `overlap`, the smallest numbers on ties. A target is
+    taken off the gains once, in the step that covers it, so all steps together look at
+    every candidate and target once. The driver gets the chosen ticket of each step.
     """
-    m = 1 + max((max(c) for c in [*candidates, *targets]), default=0)
-    hot = lambda rows: np.array([np.bincount(r, minlength=m)[:m] for r in rows], np.float32).reshape(len(rows), m)
-    c, t = hot(candidates), hot(targets)
-    cover = (c @ t.T) >= at_least
-    open_, out, score_of = np.ones(len(targets), bool), [], np.zeros(len(candidates))
-    free = np.ones(len(candidates), bool)
-    while open_.any() and len(out) < limit:
-        gain = cover[:, open_].sum(axis=1).astype(float)
-        near = 1.0 - np.abs(score_of / len(out) - overlap) if out else np.ones(len(candidates))
-        score = np.where(free & (gain > 0), gain * 0.7 + near * gain * 0.3, -1.0)
-        best = int(np.argmax(score))
-        if score[best] <= 0:
+    spark = candidates.sparkSession
+    word = lambda df: df.select("nums", mask(F.col("nums")).alias("m"))
+    meets = lambda a, b: F.bit_count(a.bitwiseAND(b)) >= at_least
+    many = lambda df: F.broadcast(df.agg(F.collect_list("m").alias("ms")).withColumn("_one", F.lit(1)))  # noqa: E731  combinations of one pool
+    gained = lambda c: F.size(F.filter("ms", lambda t: meets(t, c)))
+    open_ = cut(word(targets))
+    state = word(candidates).withColumn("_one", F.lit(1)).join(many(open_), "_one").select("nums", "m", gained(F.col("m")).alias("gain"), F.lit(0.0).alias("near"))
+    out, left = [], open_.count()
+    while left and len(out) < limit:
+        state = cut(state)
+        score = F.col("gain") * 0.7 + (F.lit(1.0) - F.abs(F.col("near") / max(len(out), 1) - overlap) if out else F.lit(1.0)) * F.col("gain") * 0.3
+        best = state.where("gain > 0").withColumn("score", F.round(score, 9)).orderBy(F.desc("score"), "nums").limit(1).collect()
+        if not best:
             break
-        out.append(candidates[best])
-        free[best] = False
-        open_ &= ~cover[best]
-        score_of += (c @ c[best]) / c.sum(axis=1)
-    return out, int(open_.sum())
+        out.append((len(out), best[0]["nums"]))
+        chosen = F.lit(best[0]["m"])
+        covers = cut(open_.withColumn("hit", meets(F.col("m"), chosen)))
+        open_ = covers.where("not hit")
+        state = state.where(F.col("m") != chosen).withColumn("_one", F.lit(1)).join(many(covers.where("hit")), "_one")
+        state = state.select("nums", "m", (F.col("gain") - gained(F.col("m"))).alias("gain"), (F.col("near") + F.bit_count(F.col("m").bitwiseAND(chosen)) / F.size("nums")).alias("near"))
+        left = open_.count()
+    return spark.createDataFrame(out, "step int, nums array<int>"), left
 
 
 def exact_cover(candidates: list[list[int]], targets: list[list[int]], at_least: int, limit: int, nodes: int = 200_000) -> list[list[int]] | None:
-    """A smallest set of candidates that covers every target, by branch and bound on the target with the fewest candidates; None beyond `limit` tickets or `nodes` steps."""
+    """A smallest set of candidates that covers every target, by branch and bound on the target with the fewest candidates; None beyond `limit` tickets, or if `nodes` steps don't prove one the smallest."""
     sets = [frozenset(c) for c in candidates]
     of = [frozenset(i for i, s in enumerate(sets) if len(s & frozenset(t)) >= at_least) for t in targets]
     if not all(of):
@@ -181,22 +189,46 @@ def exact_cover(candidates: list[list[int]], targets: list[list[int]], at_least:
             search([*chosen, i], open_ - covers[i])
 
     search([], frozenset(range(len(targets))))
-    return [candidates[i] for i in best] if best is not None else None
-
-
-def wheel(pool: list[int], game: str, at_least: int, condition: int, limit: int, filtered: bool = True, spark: SparkSession | None = None) -> dict:
-    """A covering design over a pool: tickets, coverage, cost. Exact for at most 200 candidates and targets, else greedy."""
-    from itertools import combinations as subsets
-
-    g = GAMES[game]
-    every = [list(c) for c in subsets(sorted(pool), g.k)]
-    if filtered and spark is not None:
-        frame = spark.createDataFrame([(game, c) for c in every], "game string, nums array<int>")
-        every = [r["nums"] for r in valid(frame).orderBy("nums").collect()] or every
-    targets = [list(c) for c in subsets(sorted(pool), condition)]
-    exact = exact_cover(every, targets, at_least, limit) if len(every) <= 200 and len(targets) <= 200 else None
-    chosen, left = (exact, 0) if exact is not None else greedy_cover(every, targets, at_least, limit)
-    return {"tickets": chosen, "covered": 1 - left / max(1, len(targets)), "cost": len(chosen) * g.ticket}
+    return [candidates[i] for i in best] if best is not None and left > 0 else None
+
+
+def wheel(pool: DataFrame, game: str, at_least: int, condition: int, limit: int, prev: list[int] | None = None, filtered: bool = True) -> DataFrame:
+    """A covering design over a pool (game, dezena): rows (ticket, nums, method, pool_size, targets, covered, coverage, cost).
+
+    Tickets are combinations of the pool that pass the structural filter (all, if none
+    does), targets its subsets of `condition` numbers. A smallest set is sought for at
+    most 200 of each; else, or if none is proven, a greedy one.
+    """
+    g, spark = GAMES[game], pool.sparkSession
+    size = pool.where(F.col("game") == game).count()
+    every = combinations(pool.where(F.col("game") == game), g.k, size)
+    kept = valid(every.withColumn("prev", F.array(*map(F.lit, prev))), "prev").drop("prev") if filtered and prev else valid(every) if filtered else every
+    candidates = cut(kept)
+    candidates = candidates if candidates.limit(1).count() else cut(every)
+    targets = cut(combinations(pool.where(F.col("game") == game), condition, size))
+    n = targets.count()
+    exact = None
+    if candidates.count() <= 200 and n <= 200:
+        rows = [[r["nums"] for r in df.orderBy("nums").collect()] for df in (candidates, targets)]
+        exact = exact_cover(*rows, at_least, limit)
+    if exact is not None:
+        chosen, left = spark.createDataFrame(list(enumerate(exact)), "step int, nums array<int>"), 0
+    else:
+        chosen, left = greedy_cover(candidates, targets, at_least, limit)
+    tickets = chosen.count()
+    return chosen.select(F.col("step").alias("ticket"), "nums", F.lit("greedy" if exact is None else "exact").alias("method"), F.lit(size).alias("pool_size"), F.lit(n).alias("targets"), F.lit(n - left).alias("covered"), F.lit((n - left) / max(1, n)).alias("coverage"), F.lit(tickets * g.ticket).alias("cost"))
+
+
+def simulate(tickets: DataFrame, pool: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Per draw of the pool's game: tickets, the best one's hits, and how many of the pool (game, dezena) were drawn; the tickets (game, nums) of a wheel are few and go along as one array."""
+    words = tickets.groupBy("game").agg(F.collect_list(mask(F.col("nums"))).alias("ms")).join(pool.groupBy("game").agg(mask(F.collect_list("dezena")).alias("p")), "game")
+    rows = drawn.select("game", "numero", "mask").join(F.broadcast(words), "game")
+    return rows.select("game", "numero", F.size("ms").alias("tickets"), F.array_max(F.transform("ms", lambda m: F.bit_count(m.bitwiseAND(F.col("mask"))))).alias("best"), F.bit_count(F.col("p").bitwiseAND(F.col("mask"))).alias("pool_hits"))
+
+
+def best_of_group(checked: DataFrame) -> DataFrame:
+    """Per draw, the ticket with the most hits, the smallest ticket on ties."""
+    return checked.groupBy("game", "numero").agg(F.max_by(F.struct("ticket", "hits", "prize"), F.struct("hits", -F.col("ticket"))).alias("x")).select("game", "numero", "x.*")
 
 
 def prized(tickets: DataFrame) -> DataFrame:

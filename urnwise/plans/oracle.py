@@ -293,7 +293,7 @@ CHECKS = f"{SHAPE}, {RUNS}, ev0 as (select game, numero as ticket, soma, impares
 sql("filter_ticket", "select game, ticket, soma, impares, max_seq, repetidos, array_to_string(faixas, ',') as faixas, (four + rep) / 5.0::double as score, four + rep = 5 as passou from ev where prev is not null", "ticket soma impares max_seq repetidos passou", "score", "game faixas", CHECKS)
 sql("valid_tickets", "select game, ticket from ev where four = 4", "ticket", "", "game", CHECKS)
 _POP = "least(1, case when x <= 31 then 0.3::double else 0 end + case when x <= 12 then 0.2::double else 0 end + case when x % 10 = 0 then 0.15::double else 0 end + case when x % 5 = 0 then 0.1::double else 0 end + (1 - abs(x - m / 2.0::double) / (m / 2.0::double)) * 0.1::double + case when x >= 10 and x // 10 = x % 10 then 0.15::double else 0 end)"
-sql("unpopularity", f"select game, numero as ticket, greatest(0, least(1, (1 - list_avg([{_POP} for x in dezenas])) - penalty + least(abs(list_sum(dezenas) - k * (m + 1) / 2.0::double) / (k * (m + 1) / 2.0::double) * 0.3, 0.15))) as impopularidade from ctx join pen using (game, numero)", "ticket", "impopularidade", "game", RUNS)
+sql("unpopularity", f"select *, row_number() over (partition by game order by round(impopularidade, 9) desc, dezenas, ticket) as rank from (select game, dezenas, numero as ticket, greatest(0, least(1, (1 - list_avg([{_POP} for x in dezenas])) - penalty + least(abs(list_sum(dezenas) - k * (m + 1) / 2.0::double) / (k * (m + 1) / 2.0::double) * 0.3, 0.15))) as impopularidade from ctx join pen using (game, numero))", "ticket rank", "impopularidade", "game", RUNS)
 sql("sequence_penalty", "select game, numero as ticket, run, penalty from pen", "ticket run", "penalty", "game", RUNS)
 sql("best_of_equal", "select game, max(numero) as ticket, nums from (select game, numero, array_to_string(dezenas[1:3], ',') as nums from d) group by game, nums", "ticket", "", "game nums")
 
@@ -306,6 +306,7 @@ def subsets(k: int) -> str:
 
 _PG = f"{POOL}, p as (select dezena from pool where game = 'g6_60'), c6 as ({subsets(6)}), c5 as ({subsets(5)})"
 sql("combos_pool", "select 'g6_60' as game, array_to_string(nums, ',') as nums from c6", "", "", "game nums", _PG)
+sql("wheel_simulation", "select game, numero, (select count(*) from c6 where list_sum(nums) % 10 = 0) as tickets, (select max(len(list_intersect(nums, dezenas))) from c6 where list_sum(nums) % 10 = 0) as best, (select count(*) from p where list_contains(dezenas, p.dezena)) as pool_hits from d where game = 'g6_60'", "numero tickets best pool_hits", "", "game", _PG)
 sql("coverage", "select 'g6_60' as game, count(*) as targets, count(*) filter (hit) as covered, count(*) filter (hit) / count(*)::double as share from (select c5.nums, coalesce(max(len(list_intersect(c5.nums, c6.nums))), 0) >= 4 as hit from c5 left join c6 on list_sum(c6.nums) % 10 = 0 group by c5.nums)", "targets covered", "share", "game", _PG)
 _PLAYED = ", ".join(f"('{g}', {i}, {n})" for g, ts in PLAYED.items() for i, n in enumerate(ts))
 _PRIZE = "case " + " ".join(f"when game = '{g.key}' and hits = {h} then {p}" for g in GAMES.values() for h, p in g.prizes.items()) + " else 0 end"
@@ -314,6 +315,7 @@ _COST = "case game " + " ".join(f"when '{g.key}' then {g.ticket}" for g in GAMES
 CHECKED = f"played(game, ticket, nums) as (values {_PLAYED}), checked as (select *, {_PRIZE} as prize, hits >= {_FROM} as won from (select game, ticket, numero, idx, len(list_intersect(nums, dezenas)) as hits from played join d using (game)))"
 sql("bet_check", "select * from checked", "ticket numero hits won", "prize", "game", CHECKED)
 sql("hit_distribution", "select game, hits, count(*) as draws from checked group by all", "hits draws", "", "game", CHECKED)
+sql("best_bet", "select game, numero, min(ticket) as ticket, any_value(hits) as hits, any_value(prize) as prize from (select *, max(hits) over (partition by game, numero) as most from checked) where hits = most group by game, numero", "numero ticket hits", "prize", "game", CHECKED)
 sql(
     "roi_summary",
     f"select *, won - cost as profit, (won / cost - 1) * 100 as roi_pct from (select game, branch, count(distinct numero) as draws, count(*) as tickets, avg(hits) as mean_hits, max(hits) as best, count(*) filter (prize > 0) as prizes, sum(prize)::double as won, sum({_COST})::double as cost from (select checked.game, 'played' as branch, numero, hits, prize from checked join tot using (game) where idx >= t - 20 union all select game, 'previous', numero, hits, {_PRIZE} from (select d.game, numero, len(list_intersect(prev, dezenas)) as hits from d join tot using (game) where idx >= t - 20)) group by all)",
@@ -355,3 +357,6 @@ sql("recurrence", "select game, n, points, entropy, case when fine then case whe
 SQL["event_windows"] = "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all"
 _N25 = [f"n{i:02d}" for i in range(1, 26)]
 sql("one_hot", "select game, numero, " + ", ".join(f"max(case when n = {i} then hit end) as n{i:02d}" for i in range(1, 26)) + " from hits where game = 'g15_25' group by all", " ".join(["numero", *_N25]), "", "game", HITS)
+_CATS = {n: c for names, c in ((BY_HAND, None), ([f"{f}.{op}" for f in FIELDS for op in UNARY], "prog"), ([f"{a}+{b}.{op}" for a, b in combinations(FIELDS, 2) for op in BINARY], "prog"), ([f"set.{x}" for x in SET], "prog"), ([f"window.soma_{t}→{h}" for t in ("alta", "baixa") for h in ("baixos", "altos")], "prog"), (EVOLVED, "evo"), (["dia.id", "dia.mod10", "dia.mod7", "set.prev"], "evo")) for n in names}
+_CATS |= {n: c for c, names in {"data": "dia_invertido mes_invertido dia_mes_combo soma_digitos_data diff_dia_mes produto_dia_mes dia_mes_aritmetica", "concurso": "digitos_concurso concurso_mod soma_digitos_concurso pares_digitos_concurso centesimos_concurso", "temporal": "dia_do_ano_mod semana_do_ano fase_lua lua_metade", "financeiro": "digitos_acumulado digitos_estimado digitos_arrecadado magnitude_premio", "inter-sorteio": "repeticoes_anterior complemento vizinhos_anterior espelho_anterior soma_pares_consecutivos gaps_anterior media_anterior mediana_anterior dobro_max_anterior", "matemática": "fibonacci golden_ratio primos quadrados_perfeitos multiplos_7", "ordem": "vizinhos_primeira_bola", "2a-ordem": "quadrados_apos_quadrados soma_anterior_mod xor_anterior amplitude_anterior ausentes_2_pares"}.items() for n in names.split()}
+SQL["family_union"] = "select * from (values " + ", ".join(f"('{n}', '{c}')" for n, c in _CATS.items()) + ") t(nome, cat)"

@@ -337,7 +337,7 @@ def frequency_gap(spark, d):
 
 @query
 def meta_weights(spark, d):
-    return R.meta_weights(H.predictions(S.log(spark, d), H.set_names() + H.window_names()))
+    return R.meta_weights(H.predictions(last_draws(S.log(spark, d), "game", 10), H.set_names() + H.window_names()))
 
 
 @query
@@ -353,7 +353,7 @@ def _set_bank(ctx):
 def _fused(ctx):
     """Scores of the numbers for the draw that is still to come."""
     coming = H.predictions(S.next_draw(ctx), H.set_names())
-    patterns = R.pattern_scores(coming, _set_bank(ctx), R.meta_weights(H.predictions(ctx, H.set_names())))
+    patterns = R.pattern_scores(coming, _set_bank(ctx), R.meta_weights(H.predictions(last_draws(ctx, "game", 10), H.set_names())))
     return cut(R.fuse(patterns.select("game", "dezena", "bonus"), R.cross_bonus(ctx), R.frequency_gap(S.items_of(ctx))))
 
 
@@ -433,7 +433,7 @@ def valid_tickets(spark, d):
 
 @query
 def unpopularity(spark, d):
-    return T.ranked(T.unpopularity(_tickets(S.log(spark, d))), "impopularidade").select("game", "ticket", "impopularidade")
+    return T.ranked(T.unpopularity(_tickets(S.log(spark, d))), "impopularidade").select("game", "ticket", "impopularidade", "rank")
 
 
 @query
@@ -447,19 +447,19 @@ def best_of_equal(spark, d):
     return T.best_of_equal(rows, "v").select("game", "ticket", F.array_join("nums", ",").alias("nums"))
 
 
-def _pool(spark, d, game):
-    own = last_draws(S.log(spark, d).select("game", "numero", "idx", "dezenas"), "game", 30).select("game", "numero", F.explode("dezenas").alias("dezena"))
+def _pool(ctx, game):
+    own = last_draws(ctx.select("game", "numero", "idx", "dezenas"), "game", 30).select("game", "numero", F.explode("dezenas").alias("dezena"))
     return D.hot_pool(own, POOLS).where(F.col("game") == game)
 
 
 @query
 def combos_pool(spark, d):
-    return T.combinations(_pool(spark, d, "g6_60"), 6, POOLS["g6_60"]).select("game", F.array_join("nums", ",").alias("nums"))
+    return T.combinations(_pool(S.log(spark, d), "g6_60"), 6, POOLS["g6_60"]).select("game", F.array_join("nums", ",").alias("nums"))
 
 
 @query
 def coverage(spark, d):
-    pool = _pool(spark, d, "g6_60")
+    pool = cut(_pool(S.log(spark, d), "g6_60"))
     every = T.combinations(pool, 6, POOLS["g6_60"])
     chosen = every.where(F.aggregate("nums", F.lit(0), lambda a, x: a + x) % 10 == 0)
     return T.covered(chosen, T.combinations(pool, 5, POOLS["g6_60"]), 4)
@@ -625,9 +625,30 @@ def walk_forward(spark, d):
 
 @query
 def greedy_cover(spark, d):
-    pool = [r["dezena"] for r in _pool(spark, d, "g6_60").collect()]  # ten numbers
-    out = T.wheel(pool, "g6_60", 3, 4, 30, spark=spark)
-    return spark.createDataFrame([(i, t, float(out["covered"]), float(out["cost"])) for i, t in enumerate(out["tickets"])], "ticket int, nums array<int>, covered double, cost double")
+    ctx = S.log(spark, d)
+    prev = S.next_draw(ctx).where("game = 'g6_60'").head()["prev"]
+    return T.wheel(cut(_pool(ctx, "g6_60")), "g6_60", 3, 4, 30, prev)
+
+
+@query
+def wheel_simulation(spark, d):
+    ctx = S.log(spark, d)
+    pool = _pool(ctx, "g6_60")
+    chosen = T.combinations(pool, 6, POOLS["g6_60"]).where(F.aggregate("nums", F.lit(0), lambda a, x: a + x) % 10 == 0)
+    return T.simulate(chosen, pool, ctx)
+
+
+@query
+def best_bet(spark, d):
+    return T.best_of_group(T.check(_played(spark), S.log(spark, d)))
+
+
+@query
+def family_union(spark, d):
+    """Names of all families with their category; evolved ones win over those they share a name with."""
+    evolved = [*EVOLVED, *H.unary_names()[:3], "set.prev"]
+    named = lambda rows: spark.createDataFrame(rows, "nome string, cat string")
+    return H.later_wins(named([(n, c) for n, (c, _) in H.by_hand().items()]), named([(n, "prog") for n in H.programmatic_names()]), named([(n, "evo") for n in evolved]))
 
 
 def _frame(spark, d):

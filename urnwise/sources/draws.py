@@ -89,15 +89,20 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("data", F.date_add(F.lit("2000-01-01").cast("date"), (F.col("numero") * 3).cast("int")))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a log over as many tasks as the session shuffles into: what follows multiplies each of them, so their bytes say little about the work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "game", "numero")
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each draw, without attributes: idx (0-based place in the game), dezenas, mask, prev and prev2 (sorted arrays); written once."""
     rows = numbered(cut(draw_arrays(spark, sf_dir)), "game", "numero")
-    return cut(lagged(rows, "game", {"prev": ("dezenas", 1), "prev2": ("dezenas", 2)}))
+    return cut(spread(lagged(rows, "game", {"prev": ("dezenas", 1), "prev2": ("dezenas", 2)})))
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log with the attributes of its draws; written once."""
-    return cut(log(spark, sf_dir).join(draws(spark, sf_dir), ["game", "numero"]))
+    return cut(spread(log(spark, sf_dir).join(draws(spark, sf_dir), ["game", "numero"])))
 
 
 def next_draw(rows: DataFrame, days: int = 3) -> DataFrame:
@@ -129,7 +134,7 @@ def order_drawn(spark: SparkSession, sf_dir: str, drawn: DataFrame | None = None
 def with_order(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """rows (a log with attributes) with `ordem`, each draw's numbers in order of draw."""
     ordered = order_drawn(spark, sf_dir, rows).groupBy("game", "numero").agg(F.sort_array(F.collect_list(F.struct("place", "dezena"))).alias("o"))
-    return rows.join(ordered.select("game", "numero", F.transform("o", lambda x: x["dezena"]).alias("ordem")), ["game", "numero"])
+    return spread(rows.join(ordered.select("game", "numero", F.transform("o", lambda x: x["dezena"]).alias("ordem")), ["game", "numero"]))
 
 
 def normalise(documents: DataFrame, game: str, column: str = "value") -> DataFrame:
@@ -181,6 +186,11 @@ def write_draws(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("game").parquet(path)
 
 
+def write_probabilities(rows: DataFrame, path: str) -> None:
+    """Probabilities of numbers (game, dezena, prob, further columns), Parquet by game; a later run for some games replaces those alone."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("game").parquet(path)
+
+
 def write_report(lines: DataFrame, path: str, column: str = "line") -> None:
     """A text report (Markdown) in order of `place`."""
     lines.orderBy("place").select(column).coalesce(1).write.mode("overwrite").text(path)
