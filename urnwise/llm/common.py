@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -12,10 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urnwise.cluster import cut, discard, shared_dir, ship  # noqa: F401
+
 #: Bytes of text that one step of a Python stage works on (one document at least).
 CHUNK_BYTES = 2 << 20
-#: Rows of one Arrow batch where a job is run here, so that a batch of usual documents stays near 1 MB.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 256
+#: Bytes of rows in one Arrow batch (one row at least).
+BATCH_BYTES = 1 << 20
 #: Rows of a table that may be broadcast after its rows have been counted (8 to 40 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -25,47 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a single machine; on a cluster it must be set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="urnwise-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def _path(spark: SparkSession, at: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it again: later work starts from files that outlive executors.
+def small_batches(spark: SparkSession) -> None:
+    """Before Python stages: this package on the workers, and at most BATCH_BYTES of rows in an Arrow batch.
 
-    The files go when the application ends, or before with `discard`.
+    Results run when their caller asks for them, so the session keeps that setting; it
+    bounds memory and changes no result.
     """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH, None)
-    try:  # few rows of whole texts in an Arrow batch, for this job alone
-        spark.conf.set(BATCH, str(BATCH_ROWS))
-        df.write.parquet(at)
-    finally:
-        spark.conf.set(BATCH, before) if before else spark.conf.unset(BATCH)
-    files, path = _path(spark, at)
-    files.deleteOnExit(path)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._cut_at = at
-    return out
-
-
-def discard(*cuts: DataFrame) -> None:
-    """Delete the files of cuts that no later result reads."""
-    for df in cuts:
-        files, path = _path(df.sparkSession, df._cut_at)
-        files.delete(path, True)
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def small(df: DataFrame) -> DataFrame:

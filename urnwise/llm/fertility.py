@@ -25,9 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urnwise.cluster import ship
-
-from .common import byte_level, cut, pieces, table
+from .common import byte_level, cut, pieces, small_batches, table
 from .words import SPACE, hashes, raw, spans, windows, word_spans
 
 CACHE_WORDS = 300_000
@@ -187,7 +185,7 @@ def paths() -> tuple[str, str]:
 
 def measured(rows: DataFrame, ranks: str, model: str, text: str) -> DataFrame:
     """rows (of plain column names) with the counts and metrics of their texts in one struct column `_fertility`."""
-    ship(rows.sparkSession)
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):

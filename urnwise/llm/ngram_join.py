@@ -42,9 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urnwise.cluster import ship
-
-from .common import by_key, components, cut, pieces, small, table
+from .common import by_key, components, cut, pieces, small, small_batches, table
 from .near_vectors import Forest
 from .words import hashes, mix, raw, windows, word_spans
 
@@ -182,7 +180,7 @@ def _overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, class_id, n_links), one for each row of docs: the smallest key reachable by links, and the rows linked directly."""
-    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     known = cut(signed(rows))
     classes = cut(known.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("sig").alias("sig")).withColumnRenamed("k1", "c"))

@@ -26,9 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from urnwise.cluster import ship
-
-from .common import byte_level, cut, pieces, small, table
+from .common import byte_level, cut, pieces, small, small_batches, table
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -38,7 +36,7 @@ STEPS = ((4096, 8), (65_536, 64), (None, 1024))
 
 def lengths(docs: DataFrame, ranks: str, key: str, text: str) -> DataFrame:
     """Rows (id, n_tokens, h, r): tokens and end mark, a hash of the row, and a number of the row."""
-    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("h"), F.monotonically_increasing_id().alias("r"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +107,7 @@ def pack(docs: DataFrame, ranks: str, buckets: int = BUCKETS, budget: int = BUDG
 def vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urnwise.cluster import ship
-
-from .common import cut, discard, fresh, pieces, table
+from .common import cut, discard, fresh, pieces, small_batches, table
 from .words import hashes, raw, windows, word_spans
 
 PASSAGE = 512
@@ -163,7 +161,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> Attention | Constant:
     """A model from labels (key, label) of documents in docs that are not held out."""
-    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).where(~held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     pick = known.withColumn("o", F.xxhash64(F.col("key").cast("string"), F.lit("fit")))
     low = pick.where("y = 0").orderBy("o", "key").limit(max_train // 2)
@@ -196,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Attention | Constant, text: str = "text") -> DataFrame:
     """docs with the column `_score` (`_score_` and so on if it has one); whole texts, all columns kept."""
-    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     at, names = docs.columns.index(text), docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
 
