@@ -1,14 +1,22 @@
-"""The corpus pipeline: stages over `documents`, each written and read by the next."""
+"""The corpus pipeline: stages over `documents`, each written and read by the next.
+
+Every stage but the last keeps the columns of `documents` and works on all rows that the
+one before kept. Defined results, stage by stage: a null or empty text gets a score like
+any other (quality), fails the base rules (rules), has no lines and stays (lines), links
+with nothing and stays (near_duplicates), and has length 1 (packing). Ties go to the
+smaller doc_id. Repeated rows are judged alike and stay, until near_duplicates keeps one
+row of each doc_id; rows with a null doc_id are judged too, lose no lines and all stay.
+An empty table gives an empty result. Further columns are carried through, whatever
+their names.
+"""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urnwise.llm import fertility, line_dedup, ngram_join, packing, quality
-from urnwise.llm.common import shared_dir, table
+from urnwise.llm.common import cut, table
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-            docs.write.parquet(at)
-            docs = spark.read.schema(docs.schema).parquet(at)
+            docs = cut(docs, f"pipeline-{name}")
     return docs
