@@ -278,12 +278,12 @@ def test_changepoint_found(spark):
 
 
 def test_bit_counters(spark):
-    from urnwise.functions.scalar import age_bits, bit_of, count_of, tally_bits
+    from urnwise.functions.scalar import age_bits, count_of, seen_bit, tally_bits
 
     rng = np.random.default_rng(4)
     rows = [(i, [int(x) for x in rng.integers(0, 2**62, k)]) for i, k in enumerate((0, 1, 2, 17, 50, 63))]
     df = spark.createDataFrame(rows, "i int, w array<long>").select("*", F.explode(F.sequence(F.lit(0), F.lit(61))).alias("n"), tally_bits(F.col("w")).alias("t"), age_bits(F.col("w")).alias("a"))
-    for r in df.select("w", "n", count_of(F.col("t"), F.col("n")).alias("c"), count_of(F.col("a"), F.col("n")).alias("age"), bit_of(F.col("a.seen"), F.col("n")).alias("seen")).collect():
+    for r in df.select("w", "n", count_of(F.col("t"), F.col("n")).alias("c"), count_of(F.col("a"), F.col("n")).alias("age"), seen_bit(F.col("a"), F.col("n")).alias("seen")).collect():
         bits = [w >> r["n"] & 1 for w in r["w"]]
         assert r["c"] == sum(bits) and r["seen"] == (1 in bits)
         assert not r["seen"] or r["age"] == bits[::-1].index(1)

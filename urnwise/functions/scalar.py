@@ -29,38 +29,43 @@ PLANES = 6
 
 
 def tally_bits(masks: Column) -> Column:
-    """How many of the words hold each bit, for all 64 bits at once: plane j of the struct is bit j of every count."""
+    """How many of the words hold each bit, for all 64 bits at once: element j of the array is bit j of every count."""
 
     def add(planes: Column, word: Column) -> Column:
         out, carry = [], word
         for j in range(PLANES):
-            out.append(planes[f"p{j}"].bitwiseXOR(carry).alias(f"p{j}"))
-            carry = planes[f"p{j}"].bitwiseAND(carry)
-        return F.struct(*out)
+            out.append(planes[j].bitwiseXOR(carry))
+            carry = planes[j].bitwiseAND(carry)
+        return F.array(*out)
 
-    return F.aggregate(masks, F.struct(*(F.lit(0).cast("long").alias(f"p{j}") for j in range(PLANES))), add)
+    return F.aggregate(masks, F.array(*[F.lit(0).cast("long")] * PLANES), add)
 
 
 def age_bits(masks: Column) -> Column:
-    """How many words ago, counted from the last one, each bit was set (planes as in tally_bits), and the word `seen` of bits that were set at all."""
+    """How many words ago, counted from the last one, each bit was set (elements as in tally_bits); the last element holds the bits that were set at all."""
 
     def step(state: Column, word: Column) -> Column:
         out, carry = [], F.lit(-1).cast("long")
         for j in range(PLANES):
-            out.append(state[f"p{j}"].bitwiseXOR(carry).bitwiseAND(F.bitwise_not(word)).alias(f"p{j}"))
-            carry = state[f"p{j}"].bitwiseAND(carry)
-        return F.struct(*out, state["seen"].bitwiseOR(word).alias("seen"))
+            out.append(state[j].bitwiseXOR(carry).bitwiseAND(F.bitwise_not(word)))
+            carry = state[j].bitwiseAND(carry)
+        return F.array(*out, state[PLANES].bitwiseOR(word))
 
-    return F.aggregate(masks, F.struct(*(F.lit(0).cast("long").alias(f"p{j}") for j in range(PLANES)), F.lit(0).cast("long").alias("seen")), step)
+    return F.aggregate(masks, F.array(*[F.lit(0).cast("long")] * (PLANES + 1)), step)
 
 
 def bit_of(word: Column, n: Column) -> Column:
     return F.getbit(word, n).cast("int")
 
 
+def seen_bit(ages: Column, n: Column) -> Column:
+    """Whether bit n was set in any word that age_bits saw."""
+    return bit_of(ages[PLANES], n) == 1
+
+
 def count_of(planes: Column, n: Column) -> Column:
     """The count of bit n."""
-    return sum((bit_of(planes[f"p{j}"], n) * (1 << j) for j in range(1, PLANES)), bit_of(planes["p0"], n))
+    return sum((bit_of(planes[j], n) * (1 << j) for j in range(1, PLANES)), bit_of(planes[0], n))
 
 
 def digits_reversed(v: Column) -> Column:

@@ -88,12 +88,10 @@ def changepoint_series(log: DataFrame, width: int = 50) -> DataFrame:
     rows = around(log, width, width).join(F.broadcast(top), "game").where((F.col("idx") >= width) & (F.col("idx") < F.col("total") - width))  # one row for each game
     rows = rows.select("game", "idx", tally_bits(F.col("before")).alias("l"), tally_bits(F.col("after")).alias("r"))
 
-    def part(total: Column, n: Column) -> Column:
-        left, right = count_of(F.col("l"), n), count_of(F.col("r"), n)
-        e = F.when(left + right == 0, 1e-10).otherwise((left + right) / 2)
-        return total + ((left - e) * (left - e) + (right - e) * (right - e)) / e
-
-    return rows.select("game", "idx", F.aggregate(domain(), F.lit(0.0), part).alias("chi2"))
+    # both halves expect e = (l + r) / 2, so their squares over e add up to (l - r)^2 / (l + r)
+    both = F.transform(domain(), lambda n: F.struct(count_of(F.col("l"), n).alias("l"), count_of(F.col("r"), n).alias("r")))
+    part = lambda total, x: total + F.coalesce((x["l"] - x["r"]) * (x["l"] - x["r"]) / F.nullif(x["l"] + x["r"], F.lit(0)), F.lit(2e-10))
+    return rows.select("game", "idx", F.aggregate(both, F.lit(0.0), part).alias("chi2"))
 
 
 def changepoints(series: DataFrame, p: float = 0.99) -> DataFrame:

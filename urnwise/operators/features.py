@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from urnwise.functions.scalar import age_bits, bit_of, count_of, moon_age, moon_phase, state_of, tally_bits
+from urnwise.functions.scalar import age_bits, bit_of, count_of, moon_age, moon_phase, seen_bit, state_of, tally_bits
 from urnwise.games import GAMES, PRIMES
 from urnwise.operators.sequence import lagged, running, windowed
 
@@ -83,7 +83,7 @@ def last_seen(aged: DataFrame, block: int) -> DataFrame:
     """Rows (game, block, seen): by number, the last place with it up to the end of the block of draws before; aged: a log with `age` over `block` draws."""
     n = F.col("n")
     ends = aged.where(F.col("idx") % block == block - 1).select("game", F.expr(f"idx div {block}").alias("idx"), F.col("idx").alias("at"), "age", F.explode(domain()).alias("n"))
-    ends = ends.select("game", "idx", "n", F.when(bit_of(F.col("age.seen"), n) == 1, F.col("at") - count_of(F.col("age"), n)).alias("own"))
+    ends = ends.select("game", "idx", "n", F.when(seen_bit(F.col("age"), n), F.col("at") - count_of(F.col("age"), n)).alias("own"))
     ends = running(ends, "game", {"last": F.col("own")}, F.max, by=("n",))
     per = ends.groupBy("game", (F.col("idx") + 1).alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "last"))).alias("seen"))
     return per.select("game", "block", F.transform("seen", lambda x: x["last"]).alias("seen"))
@@ -99,7 +99,7 @@ def number_series(log: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     means = {f"freq{k}": tally_bits(latest(F.col("before"), k)) for k in (5, 10, 20, 50)}
     rows = rows.select("game", "idx", "numero", "mask", "age", "seen", *more, *(c.alias(f"_{k}") for k, c in (lags | means).items()))
     rows = rows.select("*", F.explode(domain()).alias("n"))  # in a step of its own, or the words would be counted anew for each number
-    last = F.when(bit_of(F.col("age.seen"), n) == 1, F.col("idx") - count_of(F.col("age"), n)).otherwise(F.coalesce(F.get("seen", n - 1), F.lit(0)))
+    last = F.when(seen_bit(F.col("age"), n), F.col("idx") - count_of(F.col("age"), n)).otherwise(F.coalesce(F.get("seen", n - 1), F.lit(0)))
     mean = lambda k: F.when(F.col("idx") == 0, 0.0).otherwise(count_of(F.col(f"_freq{k}"), n) / F.least(F.col("idx"), F.lit(k)))
     out = rows.select("game", "idx", "numero", "n", *more, bit_of(F.col("mask"), n).alias("hit"), *(bit_of(F.col(f"_{k}"), n).alias(k) for k in lags), *(mean(k).alias(f"freq{k}") for k in (5, 10, 20, 50)), (F.col("idx") - last).alias("gap"))
     return out.withColumn("trend", F.col("freq5") - F.col("freq50"))
