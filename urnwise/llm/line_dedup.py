@@ -38,9 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from urnwise.cluster import ship
-
-from .common import BROADCAST_ROWS, by_key, cut, fresh, pieces, small, table
+from .common import BROADCAST_ROWS, by_key, cut, fresh, pieces, small, small_batches, table
 from .words import hashes, mix, raw, spans, weights, word_spans
 
 LEAD = 3
@@ -219,7 +217,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILA
         grouped = cut(reduce(DataFrame.unionByName, parts).where("line <> template"))
     else:
         grouped = cut(compared(weighed, similar).where("line <> template"))
-    named = pairs.join(grouped, "line", "left").select("line", F.coalesce("template", "line").alias("template"), "id")
+    named = pairs.join(small(grouped), "line", "left").select("line", F.coalesce("template", "line").alias("template"), "id")
     docs_of = named.select("template", "id").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= min_docs)
     own = docs_of.select("template", "first_id")
     out = own.select(F.col("template").alias("line"), "template", "first_id").unionByName(grouped.join(own, "template").select("line", "template", "first_id"))
@@ -233,7 +231,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILA
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, key: str = "doc_id", text: str = "text", passage_docs: int | None = None) -> DataFrame:
     """docs with recurring lines taken out of `text`, and the columns `_lines`, `_dropped` (with further `_` if docs has such)."""
     spark = docs.sparkSession
-    ship(spark)
+    small_batches(spark)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     drop = recurring(rows, min_docs, similar, passage_docs)
     names = docs.columns
