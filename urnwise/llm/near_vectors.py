@@ -40,8 +40,9 @@ from .common import by_key, components, cut, small_batches, table
 THRESHOLD = 0.93
 BLOCK = 2048
 PIVOTS, SAMPLE, MOST_SAMPLED, MOST_PIVOTS = 16, 2000, 40_000, 8192
-LEAF = 16
-SLACK = 1e-9
+LEAF, FLAT, NET = 16, 256, 128
+#: Distances of unit vectors come from products, whose rounding moves small ones by up to some 1e-8; bounds keep this clear of both limits.
+SLACK = 1e-7
 
 
 class Tree:
@@ -73,22 +74,36 @@ class Tree:
             i += 1
 
     def split(self, node: int) -> None:
-        """Children: a net of half the radius over the node's rows; each row goes to the first net point near enough."""
+        """Children: a net of half the radius over the node's rows; each row goes to the first net point near enough.
+
+        Net points are tried in order, NET at a time: one product gives their distances to
+        all rows that are left. A node of at most FLAT rows of which most would be children of
+        their own stays a leaf.
+        """
         low, high, radius = self.low[node], self.high[node], self.radius[node]
         if high - low <= LEAF or radius <= SLACK:
             return
-        rows, c, out, at = self.order[low:high], self.center[node], [], low
+        rows, at = self.order[low:high], low
+        here = int(np.flatnonzero(rows == self.center[node])[0])
+        rows = np.concatenate([rows[here : here + 1], rows[:here], rows[here + 1 :]])  # the node's own centre is the first
+        out = []
         while len(rows):
-            gaps = self.gaps(c, rows)
-            near = gaps <= radius / 2
-            own = rows[near]
-            out.append((c, gaps[near], own))
-            rows = rows[~near]
-            c = int(rows[0]) if len(rows) else -1
-        for c, gaps, own in out:
+            gaps = np.sqrt(np.maximum(0, 2 - 2 * (self.x[rows[:NET]] @ self.x[rows].T)))
+            near, free = gaps <= radius / 2, np.ones(len(rows), bool)
+            for k in range(len(near)):
+                if free[k]:
+                    own = near[k] & free
+                    own[k] = True
+                    free ^= own
+                    pick = np.flatnonzero(own)
+                    out.append((int(rows[k]), gaps[k, pick], rows[pick]))
+            rows = rows[free]
+        if high - low <= FLAT and 2 * len(out) > high - low:
+            return
+        for c, gap, own in out:
             self.order[at : at + len(own)] = own
             self.children[node].append(len(self.center))
-            self.add(c, gaps, at, at + len(own))
+            self.add(c, gap, at, at + len(own))
             at += len(own)
 
     def rows(self, node: int) -> np.ndarray:
@@ -108,6 +123,14 @@ class Forest:
             i = int(up[i])
         return i
 
+    def join_pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Join i[k] with j[k]; only pairs of different trees are walked."""
+        while not np.array_equal(up := self.up[self.up], self.up):
+            self.up = up
+        a, b = self.up[i], self.up[j]
+        for pair in np.unique(np.stack([a, b], axis=1)[a != b], axis=0):
+            self.join(pair)
+
     def join(self, rows: np.ndarray) -> None:
         roots = {self.root(int(i)) for i in rows}
         least = min(roots)
@@ -157,8 +180,9 @@ def links(a: np.ndarray, b: np.ndarray | None, wa: np.ndarray, wb: np.ndarray |
             else:
                 ca[i] += hit @ wb[j]
                 cb[j] += wa[i] @ hit
-            for p, q in zip(*np.nonzero(hit), strict=True):
-                forest.join(np.array([i[p], j[q] + shift]))
+            p, q = np.nonzero(hit)
+            if len(p):
+                forest.join_pairs(i[p], j[q] + shift)
             continue
         if own:
             kids_b = kids_a

@@ -286,8 +286,7 @@ def _round(rows: DataFrame, classes: DataFrame, done: DataFrame | None, rounds:
         inverse = [1 / met(similar, d) for d in rounds]
         stand_for = np.stack([count(x, x) for x in inverse], axis=1)
         forest = Forest(len(c))
-        for i_, j in pairs.tolist():
-            forest.join((i_, j))
+        forest.join_pairs(pairs[:, 0], pairs[:, 1])
         some = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays(
             [pa.array(c[some]), pa.array(links[some].astype(np.int64)), pa.array(c[[forest.root(int(x)) for x in some]]), pa.array(count(ones, ones)[some].astype(np.int64)), pa.array(list(stand_for[some]), pa.list_(pa.float64()))],
