@@ -660,7 +660,7 @@ def _frame(spark, d):
 def ml_probs(spark, d):
     """Probabilities of the numbers in the coming draw, and importances of the features."""
     rows = _frame(spark, d)
-    both = [L.discover(rows, g) for g in GAMES]
+    both = L.at_once(lambda g: L.discover(rows, g), GAMES)
     probs = [p.select("game", F.lit("number").alias("kind"), F.col("dezena").cast("string").alias("name"), F.col("prob").alias("value")) for p, _ in both]
     return reduce(lambda a, b: a.unionByName(b), [*probs, *(i.select("game", F.lit("feature").alias("kind"), F.col("feature").alias("name"), F.col("importance").alias("value")) for _, i in both)])
 
@@ -678,7 +678,7 @@ def ml_backtest(spark, d):
 @query
 def profile_forecast(spark, d):
     shapes = cut(X.shape(S.log(spark, d)))
-    return reduce(lambda a, b: a.unionByName(b), [L.forecast(shapes, g) for g in GAMES])
+    return reduce(lambda a, b: a.unionByName(b), L.at_once(lambda g: L.forecast(shapes, g), GAMES))
 
 
 @query
