@@ -71,7 +71,9 @@ def hits(log: DataFrame) -> DataFrame:
 def around(log: DataFrame, back: int, ahead: int = 0) -> DataFrame:
     """log with `before`, the words of the `back` draws before (oldest first), and `after`, those of the `ahead` draws from this one on."""
     make = lambda w: {"before": F.collect_list("mask").over(w.rowsBetween(-back, -1))} | ({"after": F.collect_list("mask").over(w.rowsBetween(0, ahead - 1))} if ahead else {})
-    return windowed(log, "game", back, ahead, make)
+    rows = windowed(log, "game", back, ahead, make)
+    # counting is work by the word, not by the byte: over as many tasks as the session shuffles into
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "game", "idx")
 
 
 def latest(words: Column, n: int) -> Column:
