@@ -9,10 +9,11 @@ from .line_dedup import op5_line_dedup
 from .near_vectors import op2_near_vectors
 from .ngram_join import op4_ngram_join
 from .packing import op10_packing
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality import op3_quality
 from .shards import OP6_SQL, op6_shards
 from .token_counts import op7_token_counts
 from .url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_near_vectors, op3_quality, op4_ngram_join, op5_line_dedup, op6_shards, op7_token_counts, op8_url_filter, op9_fertility, op10_packing, op13_decontamination)}
-ORACLE_SQL = {"op6_shards": OP6_SQL, "op8_url_filter": OP8_SQL, "op13_decontamination": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_near_vectors, op3_quality, op4_ngram_join, op5_line_dedup, op6_shards, op7_token_counts, op8_url_filter, op9_fertility, op10_packing, op11_prefix_trie, op13_decontamination)}
+ORACLE_SQL = {"op6_shards": OP6_SQL, "op8_url_filter": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op13_decontamination": OP13_SQL}
