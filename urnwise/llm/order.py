@@ -49,7 +49,7 @@ def placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy(key).orderBy("_part")) - F.col("n")  # a row for each range of a group
     offsets = own.groupBy(key, "_part").agg(F.count("*").alias("n")).select(F.col(key).alias("_key"), "_part", before.alias("_before")).where("_before > 0")
     joined = own.join(F.broadcast(offsets), "_part", "left")  # a range has one at most: its first group
-    return joined.select(*names, (F.col("_own") + F.when(F.col(key).eqNullSafe(F.col("_key")), F.col("_before")).otherwise(0)).alias(name))
+    return joined.select(*names, (F.col("_own") + F.when(F.col(key).eqNullSafe(F.col("_key")), F.coalesce("_before", F.lit(0))).otherwise(0)).alias(name))
 
 
 def named(distinct: DataFrame, first: int = 0) -> tuple[DataFrame, int]:
