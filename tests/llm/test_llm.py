@@ -211,14 +211,31 @@ def test_join_odd_input(odd, none, docs):
     assert got == brute_join([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_forest_depths():
-    assert ngram_join.depths() == [8, 4] and ngram_join.depths(0.95) == [8] and ngram_join.depths(0.1) == [8, 4, 2, 1]
-    assert ngram_join.met(0.8, 4) >= ngram_join.RECALL > ngram_join.met(0.8, 8)
+def test_forest_depth():
+    assert ngram_join.shortened() == 4 and ngram_join.shortened(0.95) == 8 and ngram_join.shortened(0.1) == 1
+    assert ngram_join.met(0.8, 4) >= ngram_join.RECALL > ngram_join.met(0.8, 5)
+
+
+def test_join_of_pairs_of_tight_groups(spark):
+    """Twenty pairs of tight groups, all linked, whose base texts share no whole label string: no link is lost."""
+    rows, found, seed = [], 0, 0
+    while found < 20:
+        seed += 1
+        rng = np.random.default_rng(seed)
+        base = [f"s{seed}w{x}" for x in rng.integers(0, 10**6, 600)]
+        other = base[:544] + [f"s{seed}v{x}" for x in rng.integers(0, 10**6, 56)]
+        sets = ngram_join.window_sets(pa.array([" ".join(base), " ".join(other)]))
+        a, b = ngram_join.signatures(sets, ngram_join.TREES * ngram_join.DEPTH).reshape(2, ngram_join.TREES, ngram_join.DEPTH)
+        if (a == b).all(axis=1).any():
+            continue
+        rows += [(1000 * found + 100 * g + i, " ".join([*text, f"s{seed}x{g}y{i}"])) for g, text in enumerate((base, other)) for i in range(12)]
+        found += 1
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i // 1000 * 1000, 23) for i, _ in rows}
 
 
 @pytest.mark.parametrize("chunk", [8, 256])
-def test_join_leaves_done_classes(spark, monkeypatch, chunk):
-    """A tight group is done after the first round; a looser text that links with it is found all the same."""
+def test_join_of_a_tight_group_and_looser_texts(spark, monkeypatch, chunk):
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
@@ -234,11 +251,8 @@ def test_join_leaves_done_classes(spark, monkeypatch, chunk):
         rows.append((1000 + i, " ".join(w)))
     want = brute_join(rows)
     assert len({c for c, _ in want.values()}) < 8 and max(n for _, n in want.values()) > 150
-    seen, whole = [], ngram_join._done
-    monkeypatch.setattr(ngram_join, "_done", lambda *a: seen.append(whole(*a)) or seen[-1])
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(df).collect()} == want
-    assert seen[0].count() >= 140
 
 
 # -- 5

@@ -5,14 +5,14 @@ of fewer words is one window). Texts with equal sets are one class, aggregated b
 any join. Each class has TREES label strings of DEPTH MinHash values; a tree is the
 prefix trie of one string, compressed: only nodes that branch bring new pairs together.
 
-Matched prefixes are shortened in rounds, from the whole string by halves. In a round,
-classes under one branching node are candidates; a pair belongs to the first tree in
-which it meets, and not to a round if it met under a longer prefix, so no pair counts
-twice. Verified pairs tell each class's recall so far: a pair of similarity s is met at
-depth d with probability 1 - (1 - s^d)^TREES, so the links found stand for the sum of
-the inverses, and one unseen pair at the threshold is added. A class whose recall
-reaches the target is done: later rounds compare it only with classes that are not. All
-is done at the depth where even a pair at the threshold meets with the target recall.
+Matched prefixes are shortened value by value, from the whole string, until even a pair
+at the threshold meets with the target recall: a pair of similarity s shares a prefix of
+d values in some tree with probability 1 - (1 - s^d)^TREES. Links already found never
+end this earlier, for classes or nodes: between two tight groups all pairs share their
+fate, so what a class has found says nothing about what it has not. What lies below the
+shortened node needs no walk of its own, as all its classes meet in it; nodes with a
+single class are left out. In a task the label strings of each tree are sorted into its
+nodes, and a pair belongs to the first tree in which it meets, so no pair counts twice.
 
 A node's classes are dealt into chunks of at most CHUNK classes and about WINDOWS
 windows, and chunks meet in pairs, each pair of chunks one task; so a node under which a
@@ -33,7 +33,6 @@ their windows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -58,12 +57,11 @@ def met(similarity, depth: int, trees: int = TREES):
     return 1 - (1 - similarity**depth) ** trees
 
 
-def depths(threshold: float = THRESHOLD, depth: int = DEPTH, recall: float = RECALL) -> list[int]:
-    """The prefix lengths of the rounds: the last is the first at which a pair at the threshold is met with the target recall."""
-    out = [depth]
-    while out[-1] > 1 and met(threshold, out[-1]) < recall:
-        out.append(out[-1] // 2)
-    return out
+def shortened(threshold: float = THRESHOLD, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """The prefix length of the nodes: the first, from `depth` down, at which a pair at the threshold is met with the target recall."""
+    while depth > 1 and met(threshold, depth) < recall:
+        depth -= 1
+    return depth
 
 
 def least_matches(n: int, threshold: float) -> int:
@@ -127,13 +125,28 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n long, sig binary")
 
 
-def _pairs(group: pa.Table, depth: int, before: int | None, threshold: float):
-    """Candidates of a task: (rows of the group, class by class; its left rows, its right rows, a matrix of bits); before: the prefix length of the round before."""
+def _agreeing(sig: np.ndarray, a: np.ndarray, b: np.ndarray, ok: np.ndarray, least: int) -> np.ndarray:
+    """ok, where so many signature values agree."""
+    if ok.sum() * 4 > ok.size:
+        same = np.zeros(ok.shape, np.int16)
+        for j in range(sig.shape[1]):
+            same += sig[a, j][:, None] == sig[b, j][None, :]
+        return ok & (same >= least)
+    out = np.zeros_like(ok)
+    pairs = np.argwhere(ok)
+    for low in range(0, len(pairs), 1 << 14):
+        i, j = pairs[low : low + (1 << 14)].T
+        out[i, j] = (sig[a[i]] == sig[b[j]]).sum(axis=1) >= least
+    return out
+
+
+def _pairs(group: pa.Table, depth: int, threshold: float):
+    """Candidates of a task: (rows of the group, class by class; its left rows, its right rows, a matrix of bits)."""
     c = group.column("c").to_numpy()
     own = group.column("own")[0].as_py()
     tree = group.column("tree")[0].as_py()
     _, keep = np.unique(c, return_index=True)  # a class is one member, however many rows bring it
-    left, done = (group.column(x).to_numpy(zero_copy_only=False)[keep] for x in ("left", "done"))
+    left = group.column("left").to_numpy(zero_copy_only=False)[keep]
     a = np.arange(len(keep)) if own else np.flatnonzero(left)
     b = a if own else np.flatnonzero(~left)
     if not len(a) or not len(b):
@@ -141,20 +154,13 @@ def _pairs(group: pa.Table, depth: int, before: int | None, threshold: float):
     sig = np.frombuffer(b"".join(group.column("sig").take(pa.array(keep)).to_pylist()), np.uint32).reshape(len(keep), TREES * DEPTH)
     n = group.column("n").to_numpy()[keep]
     ok = np.minimum(n[a][:, None], n[b][None, :]) >= threshold * np.maximum(n[a][:, None], n[b][None, :])
-    ok &= ~(done[a][:, None] & done[b][None, :])
     if own:
         ok &= ~np.tri(len(a), dtype=bool)
-    same = np.zeros((len(a), len(b)), np.int16)
-    for t in range(TREES):
-        prefix = np.ones((len(a), len(b)), bool)
-        for j in range(DEPTH):
-            eq = sig[a, t * DEPTH + j][:, None] == sig[b, t * DEPTH + j][None, :]
-            same += eq
-            prefix &= eq
-            if j + 1 == depth and t < tree or j + 1 == before:  # met in an earlier tree, or in an earlier round
-                ok &= ~prefix
-    ok &= same >= least_matches(TREES * DEPTH, threshold)
-    return keep, a, b, ok
+    for t in range(tree):  # met in an earlier tree
+        labels = np.ascontiguousarray(sig[:, t * DEPTH : t * DEPTH + depth]).view(f"V{4 * depth}").ravel()
+        node = np.unique(labels, return_inverse=True)[1]
+        ok &= node[a][:, None] != node[b][None, :]
+    return keep, a, b, _agreeing(sig, a, b, ok, least_matches(TREES * DEPTH, threshold))
 
 
 def _overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -184,12 +190,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     known = cut(signed(rows))
     classes = cut(known.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("sig").alias("sig")).withColumnRenamed("k1", "c"))
-    rounds, found, done = depths(threshold), [], None
-    for i, depth in enumerate(rounds):
-        found.append(_round(rows, classes, done, rounds, i, threshold))
-        if i + 1 < len(rounds):
-            done = _done(found, rounds, i, threshold)
-    every = reduce(DataFrame.unionByName, found)
+    every = _links(rows, classes, shortened(threshold), threshold)
     comps = components(every.select(F.col("c").alias("u"), F.col("root").alias("v")))
     counted = every.groupBy("c").agg(F.sum("links").alias("links"))
     joined = classes.select("c", "k2", "n", "rep", "w").join(counted, "c", "left").join(comps.withColumnRenamed("node", "c"), "c", "left")
@@ -202,38 +203,22 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id
     return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _done(found: list[DataFrame], rounds: list[int], i: int, threshold: float) -> DataFrame:
-    """Classes (c) whose recall after round i reaches the target."""
-    own = reduce(DataFrame.unionByName, (f.select("c", "pairs", F.col("stand_for")[i].alias("all")) for f in found))
-    sums = own.groupBy("c").agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("all"))
-    return cut(sums.where(F.col("pairs") >= RECALL * (F.col("all") + 1 - met(threshold, rounds[i]))).select("c"))
-
-
-def _round(rows: DataFrame, classes: DataFrame, done: DataFrame | None, rounds: list[int], i: int, threshold: float) -> DataFrame:
-    """Verified links of one round: rows (c, links, root, pairs, stand_for) of classes, some for each pair of chunks."""
-    depth, before = rounds[i], rounds[i - 1] if i else None
+def _links(rows: DataFrame, classes: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """Verified links: rows (c, links, root) of classes, some for each pair of chunks."""
     kind = rows.schema["id"].dataType.simpleString()
-    state = classes.withColumn("done", F.lit(False)) if done is None else classes.join(small(done.withColumn("done", F.lit(True))), "c", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    # -- branching nodes of the tries, and the classes under each
+    # -- nodes of the tries, and the classes under each
     width = 4 * DEPTH
-    prefix = lambda t, d: F.xxhash64(t, F.substring(F.col("sig"), t * width + 1, F.lit(4 * d)))
-    nodes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(prefix(t, depth).alias("node"), (F.col("c") if before is None else prefix(t, before)).alias("child")))
-    under = state.select("c", "n", "done", F.posexplode(nodes).alias("tree", "x")).select("c", "n", "done", "tree", "x.node", "x.child")
-    size = lambda open_: F.count_if(F.col("done") != open_)
-    weight = lambda open_: F.sum(F.when(F.col("done") != open_, F.col("n")).otherwise(0))
-    chunks = lambda m, s: F.greatest(F.ceil(F.col(m) / CHUNK), F.least(F.col(m), F.ceil(F.col(s) / WINDOWS))).cast("int")
-    full = under.groupBy("node").agg(size(True).alias("m"), size(False).alias("m_done"), weight(True).alias("s"), weight(False).alias("s_done"), F.min("child").alias("low"), F.max("child").alias("high"))
-    full = full.where("low <> high and m > 0").select("node", chunks("m", "s").alias("k"), chunks("m_done", "s_done").alias("k_done"))
-    # -- chunks of open classes meet all chunks, those of done ones the open ones
-    members = under.join(full, "node")
-    deal = lambda k: F.pmod(F.xxhash64("c", F.lit("chunk")), k).cast("int")
-    placed = members.withColumn("chunk", F.when(F.col("done"), F.col("k") + deal("k_done")).otherwise(deal("k")))
-    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("done"), F.col("k")).otherwise(F.col("k") + F.col("k_done")) - 1)))
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * width + 1, F.lit(4 * depth))))
+    under = classes.select("c", "n", F.posexplode(nodes).alias("tree", "node"))
+    chunks = F.greatest(F.ceil(F.col("m") / CHUNK), F.least("m", F.ceil(F.col("s") / WINDOWS))).cast("int")
+    full = under.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1").select("node", chunks.alias("k"))
+    # -- every chunk of a node meets every other
+    placed = under.join(full, "node").withColumn("chunk", F.pmod(F.xxhash64("c", F.lit("chunk")), "k").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     placed = placed.select("c", "tree", (F.col("chunk") <= F.col("o")).alias("left"), (F.col("chunk") == F.col("o")).alias("own"), F.concat_ws("/", "node", F.least("chunk", "o"), F.greatest("chunk", "o")).alias("block"))
-    placed = placed.join(state.select("c", "n", "w", "rep", "sig", "done"), "c")
+    placed = placed.join(classes.select("c", "n", "w", "rep", "sig"), "c")
 
     def candidates(group: pa.Table):
-        made = _pairs(group, depth, before, threshold) if group.num_rows > 1 else None
+        made = _pairs(group, depth, threshold) if group.num_rows > 1 else None
         if made is None:
             return None
         keep, a, b, ok = made
@@ -277,23 +262,16 @@ def _round(rows: DataFrame, classes: DataFrame, done: DataFrame | None, rounds:
         shared = _overlaps(sets, pairs)
         total = size[pairs[:, 0]] + size[pairs[:, 1]] - shared
         ok = shared >= threshold * total - 1e-9
-        pairs, similar = pairs[ok], (shared / total)[ok]
+        pairs = pairs[ok]
         if not len(pairs):
             return None
-        count = lambda x, y: np.bincount(pairs[:, 0], x, len(c)) + np.bincount(pairs[:, 1], y, len(c))
-        links = count(w[pairs[:, 1]], w[pairs[:, 0]])
-        ones = np.ones(len(pairs))
-        inverse = [1 / met(similar, d) for d in rounds]
-        stand_for = np.stack([count(x, x) for x in inverse], axis=1)
+        links = np.bincount(pairs[:, 0], w[pairs[:, 1]], len(c)) + np.bincount(pairs[:, 1], w[pairs[:, 0]], len(c))
         forest = Forest(len(c))
         forest.join_pairs(pairs[:, 0], pairs[:, 1])
         some = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c[some]), pa.array(links[some].astype(np.int64)), pa.array(c[[forest.root(int(x)) for x in some]]), pa.array(count(ones, ones)[some].astype(np.int64)), pa.array(list(stand_for[some]), pa.list_(pa.float64()))],
-            names=["c", "links", "root", "pairs", "stand_for"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(links[some].astype(np.int64)), pa.array(c[[forest.root(int(x)) for x in some]])], names=["c", "links", "root"])
 
-    return cut(by_key(full_rows, "block", verify, "c long, links long, root long, pairs long, stand_for array<double>"))
+    return cut(by_key(full_rows, "block", verify, "c long, links long, root long"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
