@@ -17,6 +17,7 @@ from urnwise.operators import diagnostics as G
 from urnwise.operators import features as X
 from urnwise.operators import hypotheses as H
 from urnwise.operators import learning as L
+from urnwise.operators import surrogates as U
 from urnwise.operators import tickets as T
 from urnwise.operators.sequence import lagged, last_draws, numbered, running, windowed
 from urnwise.sources import draws as S
@@ -248,18 +249,83 @@ def test_diagnostics_equal_brute_force(spark, monkeypatch):
     assert all(r["RR"] is None for r in G.recurrence(wide).collect()) and not G.line_entropy(wide).count()
 
 
+def series_frame(spark, own, game="g6_60"):
+    """Series of one game as draws (game, idx, codes)."""
+    table = np.stack(list(own), axis=1)
+    return spark.createDataFrame([(game, i, [int(v) for v in row]) for i, row in enumerate(table)], "game string, idx long, codes array<tinyint>")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 30, 397])
+def test_permutations_are_bijections(spark, n):
+    a, b = U.halves(n)
+    assert a * b >= n
+    rows = spark.range(n).select(F.lit("g6_60").alias("game"), F.col("id").alias("idx"))
+    got = U.permuted(rows, 5, 3).collect()
+    orders = {}
+    for r in got:
+        orders.setdefault(r["copy"], {})[r["p"]] = r["idx"]
+    assert len(got) == 6 * n and all(sorted(o) == list(range(n)) and sorted(o.values()) == list(range(n)) for o in orders.values())
+    assert orders[0] == {i: i for i in range(n)}
+    if n > 100:  # neighbours are torn apart, and copies differ
+        assert len({tuple(o[i] for i in range(n)) for o in orders.values()}) == 6
+        assert all(sum(abs(o[i + 1] - o[i]) < 3 for i in range(n - 1)) < n / 8 for c, o in orders.items() if c)
+
+
 def test_surrogates_of_order_and_of_chance(spark):
     rng = np.random.default_rng(2)
-    own = {1: np.clip(np.cumsum(rng.integers(-1, 2, 400)), -5, 5), 2: rng.integers(0, 6, 400)}
-    df = spark.createDataFrame([("g6_60", n, i, int(v)) for n, x in own.items() for i, v in enumerate(x)], "game string, n int, idx long, c long").cache()
-    copies = G.shuffled(df, 3, 5).collect()
-    for copy in range(4):
-        mine = sorted((r["idx"], r["c"]) for r in copies if r["n"] == 2 and r["copy"] == copy)
-        assert [i for i, _ in mine] == list(range(400)) and sorted(c for _, c in mine) == sorted(own[2].tolist())
-    got = {(r["n"], r["measure"]): r["outside"] for r in G.surrogates(df, 20).collect()}
-    assert got[1, "PE"] and got[1, "DET"]
-    z = {r["n"]: r["z"] for r in G.entropy_z(df, 20).collect()}
-    assert abs(z[1]) > abs(z[2])
+    walk = np.clip(np.cumsum(rng.integers(-1, 2, 400)), -5, 5) + 5
+    walk[60:90] = 4
+    own = (walk, rng.integers(0, 6, 400), np.full(400, 3))
+    rows = U.permuted(series_frame(spark, own), 20, 5).cache()
+    orders = {}
+    for r in rows.collect():
+        orders.setdefault(r["copy"], {})[r["p"]] = r["codes"]
+    got = {(r["n"], r["copy"]): r for r in U.stretch_counts(rows).collect()}
+    assert len(got) == 63
+    for n in (1, 2, 3):
+        for copy in (0, 1, 7):
+            x = np.array([orders[copy][i][n - 1] for i in range(400)])
+            assert copy or (x == own[n - 1]).all()
+            rr, det, lam, *_ = brute_recurrence(x)
+            r = got[n, copy]
+            assert np.allclose([2 * r["n3"] / (398 * 397), (2 * r["n4"] - r["n5"]) / r["n3"], r["vertical"] / (2 * r["n3"])], [rr, det, lam])
+            pattern = np.lib.stride_tricks.sliding_window_view(x, 3)
+            order = (pattern[:, 0] <= pattern[:, 1]) + 2 * (pattern[:, 1] <= pattern[:, 2]) + 4 * (pattern[:, 0] <= pattern[:, 2])
+            assert [r[f"o{i}"] for i in range(8)] == np.bincount(order, minlength=8).tolist()
+    same = sorted(map(tuple, U.stretch_counts(rows).collect()))
+    for chunk in (5, 64, 399):
+        assert sorted(map(tuple, U.stretch_counts(rows, chunk).collect())) == same
+
+
+def test_measures_of_a_log(spark, ctx):
+    """The order as it is gives what `recurrence` gives; a walk stands out from its copies, chance does not."""
+    rows = U.measures(ctx, 20, 7).cache()
+    real = {(r["game"], r["n"]): r for r in rows.where("copy = 0").collect()}
+    for r in G.recurrence(G.codes(ctx)).collect():
+        own = real[r["game"], r["n"]]
+        assert all(a is None and b is None or abs(a - b) < 1e-9 for a, b in ((own["PE"], r["entropy"]), (own["DET"], r["DET"]), (own["LAM"], r["LAM"]), (own["RR"], r["RR"])))
+    tests = U.bounds(rows).collect()
+    assert sum(r["outside"] for r in tests if r["measure"] == "PE") > len(real) / 2  # overlapping windows make order
+    z = U.z_scores(rows).collect()
+    assert len(z) == len(real) and all((r["pe_std"] > 0) and abs(r["z"] - (r["pe"] - r["pe_mean"]) / r["pe_std"]) < 1e-9 for r in z)
+
+
+def test_report_holds_any_of_five(spark):
+    keys = "game string, n int, "
+    of = lambda rows, cols: spark.createDataFrame(rows, keys + cols)
+    n = range(1, 8)
+    recurrences = of([("g6_60", i, 100, 0.1, 0.2 if i == 3 else 0.05, 0.0) if i != 7 else ("g6_60", 7, 100, None, None, None) for i in n] + [("g15_25", 1, 9, 0.1, 0.01, 0.0)], "points long, RR double, DET double, LAM double")
+    both = [("g6_60", i) for i in n] + [("g15_25", 1)]
+    samples = of([(*k, 1.0) for k in both], "sample_entropy double")
+    slopes = of([(*k, 0.02 if k[1] == 4 else 0.01) for k in both], "lyapunov double")
+    tests = of([(*k, m, m == "LAM" and k[1] == 2) for k in both for m in ("PE", "LAM")] + [("g6_60", 7, "DET", None)], "measure string, outside boolean")
+    scores = of([(*k, 0.9, 2.0, k[1] == 5) for k in both], "pe double, z double, significant boolean")
+    none = spark.createDataFrame([], "game string, position long, chi2 double")
+    one = spark.createDataFrame([("g15_25", 70, 99.0), ("g15_25", 90, 99.0)], none.schema)
+    got = {(r["game"], r["n"]): (r["signals"], r["verdict"]) for r in G.report(recurrences, samples, slopes, none, tests, scores).collect()}
+    assert got == {("g15_25", 1): ("", "compatible with chance")} | {("g6_60", i): ({2: "surrogate", 3: "determinism", 4: "chaos", 5: "entropy"}.get(i, ""), "structure" if i in (2, 3, 4, 5) else "compatible with chance") for i in n}
+    got = {(r["game"], r["n"]): (r["signals"], r["changepoints"]) for r in G.report(recurrences, samples, slopes, one, tests, scores).collect()}
+    assert got["g15_25", 1] == ("changepoints", 2) and got["g6_60", 1] == ("", 0)
 
 
 def marked(spark, rows):

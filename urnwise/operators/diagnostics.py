@@ -28,7 +28,7 @@ from urnwise.cluster import cut, discard
 from urnwise.functions.scalar import count_of, tally_bits
 from urnwise.games import GAMES
 from urnwise.operators.features import around, counts_before, domain
-from urnwise.operators.sequence import SLICE, running, windowed
+from urnwise.operators.sequence import running, windowed
 
 
 def permutation_entropy(ctx: DataFrame, column: str = "dezenas") -> DataFrame:
@@ -252,39 +252,13 @@ def divergence(series: DataFrame, apart: int = 5, steps: int = 50, fitted: int =
     return empty.withColumn("lyapunov", F.coalesce("lyapunov", F.lit(0.0)))
 
 
-def shuffled(series: DataFrame, copies: int, seed: int) -> DataFrame:
-    """Rows (game, n, copy, idx, c): each series (copy 0) and `copies` seeded random orders of it; places are counted in slices, whose sizes are added."""
-    size = series.groupBy("game", "n").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
-    rows = series.join(F.broadcast(size), ["game", "n"]).select("game", "n", "idx", "c", "slices", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))  # one row for each series
-    rows = cut(rows.withColumn("u", F.xxhash64("game", "n", "copy", "idx", F.lit(seed))).withColumn("slice", F.pmod("u", "slices")))
-    sizes = rows.groupBy("game", "n", "copy", "slice").agg(F.count("*").alias("k"))
-    before = sizes.select("game", "n", "copy", "slice", (F.sum("k").over(Window.partitionBy("game", "n", "copy").orderBy("slice")) - F.col("k")).alias("before"))
-    place = F.col("before") + F.row_number().over(Window.partitionBy("game", "n", "copy", "slice").orderBy("u", "idx")) - 1
-    own = rows.join(before, ["game", "n", "copy", "slice"]).select("game", "n", "copy", place.alias("idx"), "c")
-    return series.select("game", "n", F.lit(0).alias("copy"), "idx", "c").unionByName(own)
-
-
-def surrogates(series: DataFrame, copies: int = 100, seed: int = 7) -> DataFrame:
-    """Per series and measure: the real value, the 2.5 and 97.5 percentiles of shuffled copies, and whether it lies outside."""
-    rows = recurrence(cut(shuffled(series, copies, seed)), ("n", "copy"))
-    each = rows.select("game", "n", "copy", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(c).alias("v")) for m, c in (("PE", "entropy"), ("DET", "DET"), ("LAM", "LAM"))))).alias("x")).select("game", "n", "copy", "x.*")
-    bounds = each.groupBy("game", "n", "measure").agg(F.max(F.when(F.col("copy") == 0, F.col("v"))).alias("real"), F.percentile(F.when(F.col("copy") > 0, F.col("v")), 0.025).alias("low"), F.percentile(F.when(F.col("copy") > 0, F.col("v")), 0.975).alias("high"))
-    return bounds.withColumn("outside", (F.col("real") < F.col("low")) | (F.col("real") > F.col("high")))
-
-
-def entropy_z(series: DataFrame, copies: int = 30, seed: int = 11) -> DataFrame:
-    """Per series: permutation entropy, its mean and deviation over shuffled copies, z and significance."""
-    per = islands(cut(shuffled(series, copies, seed)), ("n", "copy")).groupBy("game", "n").agg(
-        F.max(F.when(F.col("copy") == 0, F.col("entropy"))).alias("pe"), F.avg(F.when(F.col("copy") > 0, F.col("entropy"))).alias("pe_mean"), F.stddev_pop(F.when(F.col("copy") > 0, F.col("entropy"))).alias("pe_std"))
-    z = F.when(F.col("pe_std") > 0, (F.col("pe") - F.col("pe_mean")) / F.col("pe_std")).otherwise(0.0)
-    return per.withColumn("z", z).withColumn("significant", F.abs("z") > 1.96)
-
-
-def signals(recurrences: DataFrame, entropies: DataFrame, slopes: DataFrame, points: DataFrame, tests: DataFrame) -> DataFrame:
-    """Per game, of five signals of order, how many hold for the median number or the log: low permutation entropy, determinism over half, a positive exponent, changepoints, measures outside their surrogates; and the verdict in words."""
-    per = recurrences.join(entropies.drop("points"), ["game", "n"]).join(slopes, ["game", "n"]).groupBy("game").agg(F.median("entropy").alias("pe"), F.median("DET").alias("det"), F.median("LAM").alias("lam"), F.median("sample_entropy").alias("sample_entropy"), F.median("lyapunov").alias("lyapunov"))
-    changes = points.groupBy("game").agg(F.count("*").alias("changepoints"))
-    outside = tests.groupBy("game").agg((F.count_if("outside") / F.count("*")).alias("outside"))
-    rows = per.join(changes, "game", "left").join(outside, "game", "left").fillna({"changepoints": 0, "outside": 0.0})
-    held = sum((x.cast("int") for x in (F.col("pe") < 0.9, F.col("det") > 0.5, F.col("lyapunov") > 0.01, F.col("changepoints") > 0, F.col("outside") > 0.5)), F.lit(0))
-    return rows.withColumn("signals", held).withColumn("verdict", F.when(F.col("signals") >= 3, "order").when(F.col("signals") == 2, "weak signs of order").otherwise("at the level of chance"))
+def report(recurrences: DataFrame, samples: DataFrame, slopes: DataFrame, points: DataFrame, tests: DataFrame, scores: DataFrame) -> DataFrame:
+    """Per series, which of five signals of structure hold: a significant entropy, a measure outside its shuffled copies, determinism over 0.05, changepoints of the log, an exponent over 0.01; any of them is structure."""
+    keys = ["game", "n"]
+    outside = tests.groupBy(*keys).agg(F.coalesce(F.max("outside"), F.lit(False)).alias("outside"))
+    rows = recurrences.select(*keys, "points", "RR", "DET", "LAM").join(samples, keys).join(slopes, keys).join(outside, keys).join(scores.select(*keys, "pe", "z", "significant"), keys)
+    changes = points.groupBy("game").agg(F.count("*").alias("changepoints"))  # a row for each game
+    rows = rows.join(F.broadcast(changes), "game", "left").fillna({"changepoints": 0})
+    held = [("entropy", F.col("significant")), ("surrogate", F.col("outside")), ("determinism", F.coalesce(F.col("DET") > 0.05, F.lit(False))), ("changepoints", F.col("changepoints") > 0), ("chaos", F.col("lyapunov") > 0.01)]
+    signals = F.array_join(F.array_compact(F.array(*(F.when(x, name) for name, x in held))), ",")
+    return rows.withColumn("signals", signals).withColumn("verdict", F.when(signals == "", "compatible with chance").otherwise("structure"))

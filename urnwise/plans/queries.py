@@ -22,6 +22,7 @@ from urnwise.operators import hypotheses as H
 from urnwise.operators import learning as L
 from urnwise.operators import recommend as R
 from urnwise.operators import simulation as M
+from urnwise.operators import surrogates as U
 from urnwise.operators import tickets as T
 from urnwise.operators import validation as V
 from urnwise.operators.sequence import last_draws
@@ -556,19 +557,19 @@ def divergence(spark, d):
 
 @query
 def surrogates(spark, d):
-    return G.surrogates(_codes(spark, d))
+    return U.bounds(U.measures(S.log(spark, d), 100, 7))
 
 
 @query
 def entropy_z(spark, d):
-    return G.entropy_z(_codes(spark, d))
+    return U.z_scores(U.measures(S.log(spark, d), 30, 11))
 
 
 @query
 def diagnostic_report(spark, d):
     ctx = S.log(spark, d)
-    own = cut(G.codes(ctx))
-    return G.signals(G.recurrence(own), G.sample_entropy(own), G.divergence(own), G.changepoints(cut(G.changepoint_series(ctx))), G.surrogates(own))
+    own, copies = cut(G.codes(ctx)), cut(U.measures(ctx, 100, 7))
+    return G.report(G.recurrence(own), G.sample_entropy(own), G.divergence(own), G.changepoints(cut(G.changepoint_series(ctx))), U.bounds(copies), U.z_scores(copies.where("copy <= 30")))
 
 
 @query
