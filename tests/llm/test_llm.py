@@ -304,6 +304,79 @@ def test_lines_both_ways(spark, docs, odd, none, monkeypatch, limit):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def brute_templates(rows, min_docs=3):
+    """{doc: (lines, dropped)} by the operator's rules, line by line; rows: (doc, text)."""
+    parsed = []
+    for i, t in rows:
+        p = line_dedup.parse(pa.array([t]))
+        short = (p["words"] >> np.uint64(32)).astype("<u4")
+        parsed.append((i, [(int(leaf), int(np.uint64(line).view(np.int64)), tuple(short[a:b])) for leaf, line, a, b in zip(p["leaf"], p["line"], p["at"], p["at"][1:], strict=False)]))
+    docs_of, leaves = defaultdict(set), defaultdict(dict)
+    for i, lines in parsed:
+        for leaf, line, w in lines:
+            docs_of[line].add(i)
+            leaves[leaf][line] = w
+    template = {}
+    for own in leaves.values():
+        seeds = []
+        for line in sorted(own, key=lambda x: (-len(docs_of[x]), x)):
+            w = own[line]
+            template[line] = next((s for s, x in seeds if sum(a == b for a, b in zip(w, x, strict=True)) / len(w) >= 0.8), line)
+            if template[line] == line:
+                seeds.append((line, w))
+    merged = defaultdict(set)
+    for line, t in template.items():
+        merged[t] |= docs_of[line]
+    out = {}
+    for i, lines in parsed:
+        seen, dropped = set(), 0
+        for _, line, _ in lines:
+            t = template[line]
+            if len(merged[t]) >= min_docs:
+                dropped += not (i == min(merged[t]) and t not in seen)
+                seen.add(t)
+        out[i] = (len(lines), dropped)
+    return out
+
+
+@pytest.mark.parametrize("crowd", [2, 16, 256])
+def test_merged_templates_equal_brute_force(spark, docs, monkeypatch, crowd):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    rng = np.random.default_rng(9)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.limit(60).collect()]
+    for n in (4, 5, 6, 9, 10, 12, 15, 21, 60):  # leaves of one word count and one start, some of whose words vary
+        for i in range(60):
+            w = ["all", "begin", "alike", *rng.choice(list("pqrs"), n - 3, p=(0.85, 0.05, 0.05, 0.05))]
+            rows.append((10_000 + 100 * n + i, "\n".join([" ".join(w), f"also begin alike {'z' * (i % 11 + 1)} " + " ".join(rng.choice(list("pq"), n - 3, p=(0.9, 0.1)))])))
+    got = {r["doc_id"]: (r["_lines"], r["_dropped"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_templates(rows)
+
+
+def test_keys_join_similar_lines():
+    rng = np.random.default_rng(4)
+    for n in (3, 4, 5, 8, 9, 10, 14, 15, 20, 33, 80, 200):
+        base = rng.integers(1, 2**32, n, dtype=np.uint32)
+        words_ = np.tile(base, (300, 1))
+        for row in words_[1:]:
+            row[3 + rng.choice(max(1, n - 3), min(n - 3, int(rng.integers(0, n // 5 + 2))), replace=False) if n > 3 else []] = rng.integers(1, 2**32)
+        k = line_dedup.keys(words_)
+        alike = (words_ == base).mean(axis=1) >= 0.8
+        different = (words_ != base).any(axis=1)
+        assert k.shape[1] <= max(line_dedup.KEYS, n // 5 + 1) and (k == k[0]).any(axis=1)[alike & different].all()
+
+
+@pytest.mark.parametrize("names", [2_000, 20_000])
+def test_short_lines_need_no_rounds(spark, monkeypatch, names):
+    """Lines of four words that all begin alike are their own templates: no round, however many there are."""
+    rounds = []
+    whole = line_dedup.crowded
+    monkeypatch.setattr(line_dedup, "crowded", lambda *a: rounds.append(1) or whole(*a))
+    rows = spark.range(names).select(F.col("id").alias("doc_id"), F.concat(F.lit("posted by user "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    more = spark.createDataFrame([(names + i, f"Posted on our public board by member {'abcdefghij'[i % 10] * (1 + i // 10)} under general topics today") for i in range(300)], rows.schema)
+    got = line_dedup.dedup_lines(rows.unionByName(more))
+    assert got.where(f"_dropped > 0 and doc_id < {names}").count() == 0 and got.where("_dropped > 0").count() == 299 and len(rounds) == 1
+
+
 def test_lines_at_any_crowd(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, f"Posted on our public board by member {'abcdefghij'[i % 10] * (1 + i // 10)} under general topics today") for i in range(60)]

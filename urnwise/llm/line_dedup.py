@@ -13,11 +13,15 @@ Whole texts are reduced to one leaf hash and one line hash for each line; distin
 (line, document) pairs are counted before anything else is joined. A leaf without
 MIN_DOCS documents can't hold a recurring template, and one with a single distinct line
 is its own template; only the words of lines in other leaves are compared. A leaf with
-more than CROWD distinct lines is compared in rounds with the same result: its first lines
-in order give their templates, the other lines are dealt into chunks that each meet these
-templates, and those that join none are left for the next round, so no task holds an
-unbounded leaf. There, lines are paired by blocks: two lines that differ in d positions at
-most are equal in one of d + 1 blocks. Recurring lines are broadcast as hashes if their
+more than CROWD distinct lines is parted first, with the same result: its lines get keys
+such that any two that agree enough share one (the words at some of the places behind the
+leading ones, as many choices of places as may differ), and only lines joined by shared keys, however
+indirectly, can bear on each other's template. So lines that share no key are their own
+template uncompared, among them all lines of so few words that none may differ, and the
+joined ones are compared by themselves. Parts that are still larger than CROWD are compared
+in rounds: their first lines in order give their templates, the others are dealt into
+chunks that each meet these, by blocks of words, and those that join none are left for the next round, so
+no task holds an unbounded part. Recurring lines are broadcast as hashes if their
 counted number allows, else joined.
 
 Defined results: blank lines are no lines, never dropped and not counted; null texts
@@ -31,6 +35,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, by_key, cut, fresh, pieces, small, small_batches, table
+from .common import BROADCAST_ROWS, by_key, components, cut, fresh, pieces, small, small_batches, table
 from .words import hashes, mix, raw, spans, weights, word_spans
 
 LEAD = 3
@@ -46,6 +52,8 @@ MIN_DOCS, SIMILAR = 3, 0.8
 #: Distinct lines of a leaf that a task holds in the first round; four times as many in each further one, up to MOST.
 CROWD, MOST = 256, 4096
 PASSAGE, PASSAGE_DOCS = 50, 2
+#: A line's keys in a crowded leaf, at most (but one more than its words that may differ, where that is more).
+KEYS = 66
 #: Pairs of lines that are compared at once, in words.
 PAIR_WORDS = 4 << 20
 VARIABLE = np.uint64(0x3C2A)
@@ -122,7 +130,7 @@ def templates(lines: np.ndarray, weight: np.ndarray, words: np.ndarray, similar:
 def nearest(seeds: np.ndarray, words: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
     """The first seed that each line joins, or -1; seeds and words: one row of hashes for each line."""
     n = words.shape[1]
-    need = next(k for k in range(1, n + 1) if k / n >= similar)
+    need = _least(n, similar)
     bounds = np.linspace(0, n, n - need + 2).astype(int)
     best = np.full(len(words), len(seeds))
     for a, b in zip(bounds, bounds[1:], strict=False):
@@ -143,6 +151,26 @@ def nearest(seeds: np.ndarray, words: np.ndarray, similar: float = SIMILAR) -> n
     return np.where(best < len(seeds), best, -1)
 
 
+def _least(n: int, similar: float) -> int:
+    """How many of n words agree in two lines that are similar."""
+    return next(k for k in range(1, n + 1) if k / n >= similar)
+
+
+def keys(words: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
+    """A row of keys for each line of a leaf (rows of word hashes): different lines that are similar share one."""
+    n = words.shape[1]
+    differ, rest = n - _least(n, similar), max(0, n - LEAD)
+    if not differ:
+        return np.zeros((len(words), 0), np.uint64)
+    # places are parted into groups, of which two similar lines agree on all but `differ`: the finer, the rarer the keys
+    parts = next((p for p in (rest, differ + 2, differ + 1) if p > differ and p <= rest and comb(p, differ) <= KEYS), min(differ + 1, rest))
+    bounds = n - rest + np.linspace(0, rest, parts + 1).astype(int)
+    term = words.astype(np.uint64) * weights(np.arange(n))
+    sums = np.stack([term[:, a:b].sum(axis=1, dtype=np.uint64) for a, b in zip(bounds, bounds[1:], strict=False)], axis=1) if parts else np.zeros((len(words), 0), np.uint64)
+    out = [mix(sums[:, list(own)].sum(axis=1, dtype=np.uint64) + np.uint64(i)) for i, own in enumerate(combinations(range(parts), max(0, parts - differ)))]
+    return np.stack(out, axis=1)
+
+
 def _matrix(words: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(words.to_pylist()), "<u4").reshape(len(words), -1)
 
@@ -157,6 +185,25 @@ def compared(weighed: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return by_key(weighed, "leaf", task, "line long, template long")
 
 
+def parted(weighed: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Lines (leaf, line, n, words) of crowded leaves with the part they belong to as leaf; those that are alone are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "words"):
+            sizes = np.array([len(x) for x in batch.column("words").to_pylist()]) // 4
+            for n in np.unique(sizes):
+                own = batch.filter(pa.array(sizes == n))
+                k = keys(np.frombuffer(b"".join(own.column("words").to_pylist()), "<u4").reshape(-1, n), similar)
+                if k.shape[1]:
+                    leaf = own.column("leaf").to_numpy().view(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own.column("line").to_numpy(), k.shape[1])), _longs(mix(k + mix(leaf)[:, None]).ravel())], names=["line", "key"])
+
+    keyed = cut(weighed.mapInArrow(run, "line long, key long"))
+    firsts = keyed.groupBy("key").agg(F.min("line").alias("first"), F.max("line").alias("last")).where("first <> last").select("key", "first")
+    edges = keyed.join(firsts, "key").where("line <> first").select(F.col("line").alias("u"), F.col("first").alias("v"))
+    return weighed.join(components(edges), F.col("line") == F.col("node")).select(F.col("component").alias("leaf"), "line", "n", "words")
+
+
 def crowded(weighed: DataFrame, similar: float = SIMILAR) -> list[DataFrame]:
     """What `compared` gives for leaves of any size, in parts."""
 
@@ -213,7 +260,11 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILA
     full = cut(leaves.where((F.col("lines") > CROWD) & (F.col("n") >= min_docs)).select("leaf"))
     if full.limit(1).count():
         weighed = cut(weighed)
-        parts = [compared(weighed.join(small(full), "leaf", "left_anti"), similar), *crowded(weighed.join(small(full), "leaf", "left_semi"), similar)]
+        part = cut(parted(weighed.join(small(full), "leaf", "left_semi"), similar))
+        large = cut(part.groupBy("leaf").count().where(F.col("count") > CROWD).select("leaf"))
+        parts = [compared(weighed.join(small(full), "leaf", "left_anti"), similar), compared(part.join(small(large), "leaf", "left_anti"), similar)]
+        if large.limit(1).count():
+            parts += crowded(part.join(small(large), "leaf", "left_semi"), similar)
         grouped = cut(reduce(DataFrame.unionByName, parts).where("line <> template"))
     else:
         grouped = cut(compared(weighed, similar).where("line <> template"))
