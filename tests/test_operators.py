@@ -514,3 +514,25 @@ def test_commands_name_queries():
 
     assert all(n in QUERIES for names in COMMANDS.values() for n in names)
     assert main([]) == 0 and main(["nothing"]) == 1 and main(["coletar"]) == 1
+
+
+@pytest.mark.parametrize("chunk", [3, 40, 1 << 16])
+def test_repeats_equal_brute_force(spark, monkeypatch, chunk):
+    from urnwise.operators import suffixes
+
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    own = {1: np.clip(np.cumsum(rng.integers(-1, 2, 130)), -3, 3) + 3, 2: rng.integers(0, 3, 120), 3: np.zeros(60, int), 4: np.tile([1, 2, 0, 5], 16), 5: np.array([3]), 6: np.arange(100)}
+    df = spark.createDataFrame([("g6_60", n, i, int(v)) for n, x in own.items() for i, v in enumerate(x)], "game string, n int, idx long, c long")
+    got = {}
+    for r in suffixes.repeats(df).collect():
+        got.setdefault(r["n"], {})[r["length"]] = r["pairs"]
+    for n, x in own.items():
+        want = {}
+        for i in range(len(x)):
+            for j in range(i):
+                k = 0
+                while i + k < len(x) and x[i + k] == x[j + k]:
+                    k += 1
+                    want[k] = want.get(k, 0) + 1
+        assert got.get(n, {}) == want, n

@@ -1,6 +1,7 @@
 """Nonlinear diagnostics of the draw log: entropies, recurrence, surrogates, changepoints, divergence.
 
 All run over whole logs and series as Spark windows and aggregations; no series is one task.
+Lengths of repeats come from `suffixes`, shuffled copies from `surrogates`.
 
 Series are whole numbers on a grid (how many of the last draws hold a number). Where the
 limit under which two stretches count as alike is less than one step, alike is equal, and
@@ -24,11 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from urnwise.cluster import cut, discard
+from urnwise.cluster import cut
 from urnwise.functions.scalar import count_of, tally_bits
 from urnwise.games import GAMES
 from urnwise.operators.features import around, counts_before, domain
 from urnwise.operators.sequence import running, windowed
+from urnwise.operators.suffixes import repeats
 
 
 def permutation_entropy(ctx: DataFrame, column: str = "dezenas") -> DataFrame:
@@ -104,8 +106,6 @@ def changepoints(series: DataFrame, p: float = 0.99) -> DataFrame:
 
 # -- series of numbers: rows (game, n, idx, c), c whole
 
-#: Stretches grow by so many points in a round of match_pairs.
-STEP = 16
 #: Limits in deviations of the series.
 SAMPLE_LIMIT, RECURRENCE_LIMIT = 0.2, 0.1
 
@@ -124,28 +124,6 @@ def _pairs() -> Column:
     return (F.col("k") * (F.col("k") - 1) / 2).cast("long")
 
 
-def match_pairs(series: DataFrame) -> DataFrame:
-    """Rows (game, n, length, pairs, inner): pairs of equal stretches of each length that any have; inner: those of which neither ends the series.
-
-    Each round lengthens by STEP points those stretches that still have an equal one.
-    """
-    keys, alive, parts, base = ["game", "n"], None, [], 0
-    total = F.broadcast(series.groupBy(*keys).agg((F.max("idx") + 1).alias("total")))  # one row for each series
-    while True:
-        rows = stretches(series, ("n",), base, STEP).select(*keys, "idx", "w")
-        rows = rows.join(alive, [*keys, "idx"]) if alive is not None else rows.withColumn("h", F.lit(0).cast("long"))
-        grown = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.xxhash64(F.col("h"), F.slice("w", F.lit(1), k)))
-        long_ = cut(rows.where(F.size("w") > 0).select(*keys, "idx", F.posexplode(grown).alias("l", "h")).withColumn("length", F.col("l") + base + 1).drop("l"))
-        counts = long_.join(total, keys).groupBy(*keys, "length", "h").agg(F.count("*").alias("k"), F.count_if(F.col("idx") + F.col("length") < F.col("total")).alias("k_inner")).where("k > 1")
-        parts.append(cut(counts.groupBy(*keys, "length").agg(F.sum(_pairs()).alias("pairs"), F.sum((F.col("k_inner") * (F.col("k_inner") - 1) / 2).cast("long")).alias("inner"))))
-        base += STEP
-        again = counts.where(F.col("length") == base).select(*keys, "h")
-        alive = cut(long_.where(F.col("length") == base).join(again, [*keys, "h"], "left_semi").select(*keys, "idx", "h"))
-        discard(long_)
-        if not alive.limit(1).count():
-            return reduce(DataFrame.unionByName, parts)
-
-
 def moments(series: DataFrame, by: tuple[str, ...] = ("n",)) -> DataFrame:
     """Per series: points, and whether both limits are less than one step."""
     spread = F.stddev_pop("c")
@@ -197,7 +175,7 @@ def sample_entropy(series: DataFrame) -> DataFrame:
 
 def line_entropy(series: DataFrame) -> DataFrame:
     """Per series: diagonal lines of two or more embedded points (lines), the longest, and the entropy of their lengths (ENTR)."""
-    n = match_pairs(series).groupBy("game", "n").agg(F.map_from_entries(F.collect_list(F.struct("length", "pairs"))).alias("m"), F.max("length").alias("top"))  # a row for each length
+    n = repeats(series).groupBy("game", "n").agg(F.map_from_entries(F.collect_list(F.struct("length", "pairs"))).alias("m"), F.max("length").alias("top"))  # a row for each length
     count = lambda k: F.coalesce(F.try_element_at("m", k.cast("int")), F.lit(0))
     exact = F.transform(F.sequence(F.lit(2), F.greatest(F.col("top"), F.lit(3)) - 1), lambda k: count(k + 2) - 2 * count(k + 3) + count(k + 4))
     rows = n.select("game", "n", F.filter(exact, lambda x: x > 0).alias("x"), F.greatest(F.col("top") - 2, F.lit(0)).alias("longest"))

@@ -11,6 +11,7 @@ from itertools import combinations
 
 from urnwise.functions.scalar import FIELDS
 from urnwise.games import GAMES, PRIMES
+from urnwise.operators import surrogates as U
 from urnwise.operators.diagnostics import chi2_quantile
 from urnwise.plans.queries import BASE, PLAYED, POOLS
 
@@ -354,6 +355,62 @@ fix as (select game, n, i, sum(case when j = i then 0 else ok::int end) as besid
 ver as (select game, n, sum(lined - was + beside) as vertical from em join cls using (game, n, c, x, y) join fix using (game, n, i) group by all),
 pe as (select game, n, -sum(p * log2(p)) / log2(6) as entropy from (select game, n, count(*) / sum(count(*)) over (partition by game, n)::double as p from em group by game, n, (c <= x), (x <= y), (c <= y)) group by all)"""
 sql("recurrence", "select game, n, points, entropy, case when fine then case when n3 > 0 then 2.0::double * n3 / ((points - 2.0::double) * (points - 3)) else 0 end end as RR, case when fine then case when n3 > 0 then (2 * coalesce(n4, 0) - coalesce(n5, 0)) / n3::double else 0 end end as DET, case when fine then case when n3 > 0 then vertical / (2.0::double * n3) else 0 end end as LAM from mo join n3 using (game, n) join n4 using (game, n) join n5 using (game, n) join ver using (game, n) join pe using (game, n)", "n points", "entropy RR DET LAM", "game", RECUR)
+# repeats, one value longer in each step, of the places that still have an equal one
+LINES = f"""{CODES}, rep as (select game, n, i, hash(c) as h, 1 as len from co qualify count(*) over (partition by game, n, c) > 1
+  union all select r.game, r.n, r.i, hash(r.h, co.c), r.len + 1 from rep r join co on co.game = r.game and co.n = r.n and co.i = r.i + r.len qualify count(*) over (partition by r.game, r.n, r.h, co.c) > 1),
+prs as (select game, n, len, sum(k * (k - 1) // 2)::bigint as pairs from (select game, n, len, h, count(*) as k from rep group by all) group by all),
+lns as (select game, n, l - 2 as len, sum(s * pairs) as k from (select game, n, pairs, unnest([len, len - 1, len - 2]) as l, unnest([1, -2, 1]) as s from prs) group by all having l >= 4 and k > 0)"""
+sql("line_entropy", "select game, n, sum(k) as lines, max(longest) as longest, -sum(k / total * log2(k / total)) as ENTR from (select *, sum(k) over (partition by game, n)::double as total from lns) join (select game, n, max(len) - 2 as longest from prs group by all) using (game, n) join mo using (game, n) where fine group by all", "n lines longest", "ENTR", "game", LINES)
+SQL["line_entropy"] = SQL["line_entropy"].replace("\nwith ", "\nwith recursive ", 1)
+
+
+def _turn(name: str, after: str, seed: int) -> str:
+    """Common tables of one pass of the places p of `after` through the network; the last is `name`."""
+    out, last = [f"{name}_s as (select *, p // b as l, p % b as r from {after})"], f"{name}_s"
+    for k in range(U.ROUNDS):
+        side, other, size = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        a, b, c = U.SPREAD
+        t = f"((copy * {a} + {k * b + seed * c}) % {U.PRIME})"
+        out.append(f"{name}_k{k} as (select *, ({t} * {t} + {U.TIMES}) % {U.PRIME} as k from {last})")
+        out.append(f"{name}_u{k} as (select *, ({other} * {U.TIMES} + k) % {U.PRIME} as u from {name}_k{k})")
+        out.append(f"{name}_v{k} as (select *, (u * u + k) % {U.PRIME} as v from {name}_u{k})")
+        out.append(f"{name}_{k} as (select * exclude (k, u, v) replace (({side} + (v * v + u) % {U.PRIME}) % {size} as {side}) from {name}_v{k})")
+        last = f"{name}_{k}"
+    walked = "l * b + r" if after == "q0" else "case when p >= size then l * b + r else p end"
+    return ",\n".join([*out, f"{name} as (select * exclude (l, r) replace ({walked} as p) from {last})"])
+
+
+def copies(n: int, seed: int) -> str:
+    """Common tables up to `ms`, the measures of every series and its n copies."""
+    w = {"c": "cs", "x": "lead(cs) over v", "y": "lead(cs, 2) over v", "z3": "lead(cs, 3) over v", "z4": "lead(cs, 4) over v", "b": "lag(cs) over v"}
+    pairs = lambda name, cols, some: f"{name} as (select game, n, copy, sum(k * (k - 1) // 2)::bigint as {name} from (select game, n, copy, count(*) as k from un where {some} group by game, n, copy, {cols}) group by all)"
+    return f"""{CODES}, cl as (select game, i, list(c::utinyint order by n) as cs from co group by all),
+hv as (select game, size, a, (size + a - 1) // a as b from (select game, size, unnest(range(greatest(1, root // 4), root + 1)) as a from (select game, count(*) as size, greatest(1, floor(sqrt(count(*)))::bigint) as root from cl group by game))
+  qualify row_number() over (partition by game order by (a - size % a) % a, a desc) = 1),
+q0 as (select game, size, a, b, i, copy, i as p from hv join cl using (game), range({n + 1}) t(copy)),
+{_turn('q1', 'q0', seed)},
+{_turn('q2', 'q1', seed)},
+{_turn('q3', 'q2', seed)},
+pc as (select game, copy, case when copy = 0 then i else p end as p, cs from q3 join cl using (game, i)),
+wi as (select game, copy, {', '.join(f'{x} as {k}' for k, x in w.items())} from pc window v as (partition by game, copy order by p)),
+un as (select game, copy, unnest(range(1, len(c) + 1)) as n, {', '.join(f'unnest({k}) as {k}' for k in w)} from wi),
+ce as (select game, n, copy, c, x, y, count(*) as k, count(*) filter (coalesce(b = c and c = x and x = y, false) or coalesce(c = x and x = y and y = z3, false)) as lined, count(*) filter (coalesce(c = x and x = y and y = z3, false) and not coalesce(b = c and c = x and x = y, false)) as starts
+  from un where y is not null group by all),
+n3 as (select game, n, copy, sum(k * (k - 1) // 2)::bigint as n3, (sum(k * lined) - sum(lined) - 2 * sum(starts))::bigint as vertical from ce group by all),
+{pairs('n4', 'c, x, y, z3', 'z3 is not null')}, {pairs('n5', 'c, x, y, z3, z4', 'z4 is not null')},
+pe as (select game, n, copy, -sum(p * log2(p)) / log2(6) as pe from (select game, n, copy, sum(k) / sum(sum(k)) over (partition by game, n, copy)::double as p from ce group by game, n, copy, (c <= x), (x <= y), (c <= y)) group by all),
+ms as (select game, n, copy, pe, case when fine then case when n3 > 0 then (2 * coalesce(n4, 0) - coalesce(n5, 0)) / n3::double else 0 end end as det, case when fine then case when n3 > 0 then vertical / (2.0::double * n3) else 0 end end as lam
+  from n3 join pe using (game, n, copy) left join n4 using (game, n, copy) left join n5 using (game, n, copy) join mo using (game, n))"""
+
+
+sql(
+    "surrogates",
+    """select game, n, measure, any_value(v) filter (copy = 0) as real, quantile_cont(v, 0.025) filter (copy > 0) as low, quantile_cont(v, 0.975) filter (copy > 0) as high, real < low or real > high as outside
+  from (select game, n, copy, unnest(['PE', 'DET', 'LAM']) as measure, unnest([pe, det, lam]) as v from ms) group by game, n, measure""",
+    "n", "real low high", "game measure outside", copies(100, 7),
+)
+_Z = "select game, n, any_value(pe) filter (copy = 0) as pe, avg(pe) filter (copy > 0) as pe_mean, stddev_pop(pe) filter (copy > 0) as pe_std from ms group by all"
+sql("entropy_z", f"select *, case when pe_std > 0 then (pe - pe_mean) / pe_std else 0 end as z, abs(z) > 1.96 as significant from ({_Z})", "n", "pe pe_mean pe_std z", "game significant", copies(30, 11))
 SQL["event_windows"] = "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all"
 _N25 = [f"n{i:02d}" for i in range(1, 26)]
 sql("one_hot", "select game, numero, " + ", ".join(f"max(case when n = {i} then hit end) as n{i:02d}" for i in range(1, 26)) + " from hits where game = 'g15_25' group by all", " ".join(["numero", *_N25]), "", "game", HITS)
