@@ -17,6 +17,7 @@ from urnwise.operators import diagnostics as G
 from urnwise.operators import features as X
 from urnwise.operators import hypotheses as H
 from urnwise.operators import learning as L
+from urnwise.operators import refits as W
 from urnwise.operators import surrogates as U
 from urnwise.operators import tickets as T
 from urnwise.operators.sequence import lagged, last_draws, numbered, running, windowed
@@ -396,7 +397,9 @@ def test_models_speak_of_the_coming_draw(spark, ctx):
     assert probs.count() == 25 and probs.where("prob < 0 or prob > 1").count() == 0 and weights.count() == 30
     tickets = L.suggestions(probs.cache(), 4).collect()
     assert len({tuple(r["nums"]) for r in tickets}) == 4 and all(len(set(r["nums"])) == 15 for r in tickets)
-    assert L.backtest(rows, "g15_25", trees=3, rounds=2).count() == top + 1 - int(top * 0.8) - 1
+    scores = W.refits(W.draw_rows(rows, list(L.CONTEXT), list(L.SERIES)), last=3)
+    made = W.hits(scores).collect()
+    assert len(made) == 3 and all(0 <= r["hits"] <= r["hits_wide"] <= 15 for r in made) and scores.count() == 75
     told = L.forecast(X.shape(own), "g15_25", ("soma", "pares"), trees=3, rounds=2).collect()
     assert {r["property"] for r in told} == {"soma", "pares"} and all(r["low"] < r["forecast"] < r["high"] and r["mae"] > 0 for r in told)
 
@@ -536,3 +539,21 @@ def test_repeats_equal_brute_force(spark, monkeypatch, chunk):
                     k += 1
                     want[k] = want.get(k, 0) + 1
         assert got.get(n, {}) == want, n
+
+
+def test_refits_equal_fits_on_earlier_rows(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(40, 6)) * [1, 5, 0, 1, 1, 100] + 3, (rng.random((40, 4)) < 0.4).astype(float)
+    x[:, 4] = x[:, 3]  # twice the same
+    df = spark.createDataFrame([("g6_60", i, 100 + i, x[i].tolist(), y[i].tolist() if i < 39 else None) for i in range(40)], "game string, idx long, numero long, x array<double>, y array<double>").repartition(5)
+    for ridge in (10.0, 0.0):
+        got = {(r["numero"], r["n"]): (r["label"], r["score"]) for r in W.refits(df, 8, ridge).collect()}
+        assert len(got) == 32
+        for t in range(31, 39):
+            mean, spread = x[:t].mean(axis=0), x[:t].std(axis=0)
+            some = spread > 1e-6
+            z = (x[:t, some] - mean[some]) / spread[some]
+            beta = np.linalg.lstsq(np.vstack([z, np.sqrt(ridge) * np.eye(some.sum())]), np.vstack([y[:t] - y[:t].mean(axis=0), np.zeros((some.sum(), 4))]), rcond=None)[0]
+            score = np.clip(y[:t].mean(axis=0) + (x[t, some] - mean[some]) / spread[some] @ beta, 0, 1)
+            for n in range(4):
+                assert got[100 + t, n + 1][0] == y[t, n] and abs(got[100 + t, n + 1][1] - score[n]) < 1e-6

@@ -411,6 +411,14 @@ sql(
 )
 _Z = "select game, n, any_value(pe) filter (copy = 0) as pe, avg(pe) filter (copy > 0) as pe_mean, stddev_pop(pe) filter (copy > 0) as pe_std from ms group by all"
 sql("entropy_z", f"select *, case when pe_std > 0 then (pe - pe_mean) / pe_std else 0 end as z, abs(z) > 1.96 as significant from ({_Z})", "n", "pe pe_mean pe_std z", "game significant", copies(30, 11))
+sql(
+    "ml_refit_sum",
+    """select game, numero, n, greatest(0, least(1, coalesce(my - (case when vx > 1e-12 then cxy / vx else 0 end) * mx + (case when vx > 1e-12 then cxy / vx else 0 end) * x, my))) as score from (
+  select *, avg(x) over w as mx, avg(y) over w as my, var_pop(x) over w as vx, covar_pop(x, y) over w as cxy, max(idx) over (partition by game) as top from (
+    select a.game, b.numero, b.idx, n, list_sum(a.dezenas)::double as x, list_contains(b.dezenas, n)::int::double as y from d a join d b on a.game = b.game and b.idx = a.idx + 1 join (select game, dezena as n from domain) dm on dm.game = a.game)
+  window w as (partition by game, n order by idx rows between unbounded preceding and 1 preceding)) where idx >= greatest(top - 49, floor(top * 0.6))""",
+    "numero n", "score", "game",
+)
 SQL["event_windows"] = "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all"
 _N25 = [f"n{i:02d}" for i in range(1, 26)]
 sql("one_hot", "select game, numero, " + ", ".join(f"max(case when n = {i} then hit end) as n{i:02d}" for i in range(1, 26)) + " from hits where game = 'g15_25' group by all", " ".join(["numero", *_N25]), "", "game", HITS)

@@ -21,6 +21,7 @@ from urnwise.operators import features as X
 from urnwise.operators import hypotheses as H
 from urnwise.operators import learning as L
 from urnwise.operators import recommend as R
+from urnwise.operators import refits as W
 from urnwise.operators import simulation as M
 from urnwise.operators import surrogates as U
 from urnwise.operators import tickets as T
@@ -668,12 +669,21 @@ def ml_probs(spark, d):
 
 @query
 def ml_tickets(spark, d):
-    return L.suggestions(cut(L.discover(_frame(spark, d), "g15_25")[0])).select("game", "rank", F.array_join("nums", ",").alias("nums"), "score")
+    rows = _frame(spark, d)
+    probs = reduce(DataFrame.unionByName, L.at_once(lambda g: cut(L.discover(rows, g)[0]), GAMES))
+    return L.suggestions(probs).select("game", "rank", F.array_join("nums", ",").alias("nums"), "score")
 
 
 @query
 def ml_backtest(spark, d):
-    return L.backtest(_frame(spark, d), "g15_25")
+    """Hits of the numbers that a model refitted at each of the last draws likes best, from all numbers' series."""
+    return W.hits(W.refits(W.draw_rows(_frame(spark, d), list(L.CONTEXT), list(L.SERIES))))
+
+
+@query
+def ml_refit_sum(spark, d):
+    """Scores of the last draws from regressions on the sum of the draw before alone, refitted at each."""
+    return W.refits(W.draw_rows(_frame(spark, d), ["soma"], []), ridge=0.0).select("game", "numero", "n", "score")
 
 
 @query
