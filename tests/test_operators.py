@@ -557,3 +557,80 @@ def test_refits_equal_fits_on_earlier_rows(spark):
             score = np.clip(y[:t].mean(axis=0) + (x[t, some] - mean[some]) / spread[some] @ beta, 0, 1)
             for n in range(4):
                 assert got[100 + t, n + 1][0] == y[t, n] and abs(got[100 + t, n + 1][1] - score[n]) < 1e-6
+
+
+def test_http_stream_with_offsets(spark, tmp_path):
+    """A load that fails between commits loses and repeats nothing, goes on from its offset, and takes late money."""
+    import threading
+    import time
+    from collections import Counter
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    state = {"last": 23, "broken": 13, "money": 0.0}
+    asked = Counter()
+
+    class Draws(BaseHTTPRequestHandler):
+        def do_GET(self):
+            last = self.path.rsplit("/", 1)[-1]
+            n = int(last) if last.isdigit() else state["last"]
+            if last.isdigit():
+                asked[n] += 1
+            self.send_response(500 if last.isdigit() and n == state["broken"] else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"numero": n, "dataApuracao": "05/03/2024", "listaDezenas": ["02", "01"], "valorArrecadado": state["money"]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Draws)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, store, mark = f"http://127.0.0.1:{server.server_port}", str(tmp_path / "store"), str(tmp_path / "mark")
+
+    def go(done, per_batch=5):
+        q = loop.ingest_http(spark, base, "six", store, mark, "g6_60", per_batch=per_batch, per_task=2, processingTime="200 milliseconds")
+        end = time.time() + 120
+        while time.time() < end and q.isActive and not done():
+            time.sleep(0.5)
+        failed = q.exception()
+        q.stop()
+        rows = loop.stored(spark, store)
+        return failed, sorted(r["numero"] for r in rows.collect()) if rows is not None else []
+
+    have = lambda n: lambda: (rows := loop.stored(spark, store)) is not None and rows.count() >= n
+    failed, got = go(have(23))
+    assert failed is not None and got == list(range(1, 11))  # two batches are committed, the third is not
+    state["broken"] = None
+    asked.clear()
+    failed, got = go(have(23))
+    assert failed is None and got == list(range(1, 24)) and spark.read.parquet(store).count() == 23
+    assert set(asked) == set(range(11, 24)) and set(asked.values()) == {1}
+    loop.compact(spark, store)
+    loop.compact(spark, store)
+    assert spark.read.parquet(store).select("batch").distinct().count() == 1
+    state["last"] = 25
+    asked.clear()
+    loop.load_http(spark, base, "six", store, mark, "g6_60")
+    assert sorted(r["numero"] for r in loop.stored(spark, store).collect()) == list(range(1, 26)) and set(asked) == {24, 25}
+    server.shutdown()
+
+
+def test_merge_keeps_state_by_draw(spark, tmp_path):
+    landing, store, mark = (str(tmp_path / x) for x in ("landing", "store", "mark"))
+    (tmp_path / "landing").mkdir()
+    draw = lambda n, **more: json.dumps({"numero": n, "dataApuracao": "05/03/2024", "listaDezenas": ["01", "09"], **more})
+
+    def go(name, *lines):
+        (tmp_path / "landing" / name).write_text("\n".join(lines))
+        q = loop.ingest(spark, landing, store, mark, "g6_60")
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return {r["numero"]: r["valor_arrecadado"] for r in loop.stored(spark, store).collect()}
+
+    assert go("a.json", *(draw(n) for n in range(1, 9))) == dict.fromkeys(range(1, 9), 0.0)
+    got = go("b.json", draw(2), draw(3, valorArrecadado=5.0), draw(3, valorArrecadado=5.0), draw(9))
+    assert got == dict.fromkeys(range(1, 10), 0.0) | {3: 5.0}
+    written = spark.read.parquet(store)
+    assert written.groupBy("batch").count().orderBy("batch").collect()[-1]["count"] == 2  # the new one and the corrected one
+    got = go("c.json", draw(3, valorArrecadado=6.0, valorAcumuladoProximoConcurso=1.0), draw(3, valorArrecadado=9.0))
+    loop.compact(spark, store)
+    assert got[3] in (6.0, 9.0) and loop.stored(spark, store).count() == 9

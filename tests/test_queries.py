@@ -9,7 +9,7 @@ from urnwise.plans.oracle import SQL
 from urnwise.plans.queries import QUERIES
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-SLOW = {"ml_probs", "ml_tickets", "ml_backtest", "profile_forecast", "surrogates", "diagnostic_report"}  # tested with fewer trees and copies in test_operators
+SLOW = {"ml_probs", "ml_tickets", "profile_forecast"}  # tested with fewer trees in test_operators
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -44,7 +44,11 @@ def test_same_rows_as_sql(spark, duck, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+    df = QUERIES[name](spark, sf)
+    rows = df.collect()
+    assert rows and any(any(v is not None for v in r) for r in rows), "no result at the smallest size"
+    for c in df.columns:  # every column says something
+        assert any(r[c] is not None for r in rows), c
 
 
 def test_contract(spark):

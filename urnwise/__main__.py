@@ -2,7 +2,8 @@
 
     python -m urnwise                                list of commands and queries
     python -m urnwise NAME FOLDER [ROWS]             a command's queries, or one query
-    python -m urnwise coletar URL PATH GAME FIRST LAST OUT    draws from HTTP to Parquet, those that OUT lacks
+    python -m urnwise coletar URL PATH GAME OUT               draws from HTTP to Parquet, from the largest stored one on, committed as they come
+    python -m urnwise coletar URL PATH GAME FIRST LAST OUT    the same for given numbers, those that OUT lacks
 """
 
 from __future__ import annotations
@@ -49,17 +50,22 @@ def collect(spark, url: str, path: str, game: str, first: str, last: str, out: s
 
 def main(args: list[str]) -> int:
     known = args and (args[0] in COMMANDS or args[0] in QUERIES or args[0] == "coletar")
-    if not known or len(args) != 7 and args[0] == "coletar" or len(args) < 2:
+    if not known or len(args) not in (5, 7) and args[0] == "coletar" or len(args) < 2:
         print("\n".join(["coletar", *COMMANDS, *sorted(QUERIES)]))
         return int(bool(args))
     from pyspark.sql import SparkSession
 
     from urnwise.cluster import ship
+    from urnwise.streaming.loop import load_http
 
     spark = SparkSession.builder.appName("urnwise").getOrCreate()
     if args[0] == "coletar":
         ship(spark)
-        collect(spark, *args[1:])
+        if len(args) == 5:
+            url, path, game, out = args[1:]
+            load_http(spark, url, path, out, f"{out.rstrip('/')}-offsets", game)
+        else:
+            collect(spark, *args[1:])
         return 0
     for name in COMMANDS.get(args[0], [args[0]]):
         print(name)

@@ -41,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def _path(spark: SparkSession, at: str):
+def path_of(spark: SparkSession, at: str):
+    """The file system of a path, and the path as that system has it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
@@ -54,7 +55,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    files, path = _path(spark, at)
+    files, path = path_of(spark, at)
     files.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(at)
     out._cut_at = at
@@ -64,5 +65,5 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 def discard(*cuts: DataFrame) -> None:
     """Delete the files of cuts that no later result reads."""
     for df in cuts:
-        files, path = _path(df.sparkSession, df._cut_at)
+        files, path = path_of(df.sparkSession, df._cut_at)
         files.delete(path, True)

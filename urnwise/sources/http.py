@@ -1,4 +1,10 @@
-"""Draws over HTTP as a Spark data source, and which draws are still to be fetched."""
+"""Draws over HTTP as a Spark data source, batch and streaming, and which draws are still to be fetched.
+
+As a stream the offset is the next draw's number: a load begins after the largest stored
+draw (or where the reach begins), each batch is at most `draws_per_batch` draws, planned
+in tasks of `draws_per_task`, and Spark's checkpoint commits it. A draw that can't be
+fetched fails its batch, which is then run again; nothing is passed over.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 TIMEOUT = 15
 #: Draws a year of each game, for the reach of a first load.
@@ -45,6 +51,33 @@ class DrawReader(DataSourceReader):
                 yield n, None, str(e)[:200]
 
 
+class DrawStream(DataSourceStreamReader):
+    """Options besides those of a batch: `after`, the largest number that needs no fetching, and `draws_per_batch`."""
+
+    def __init__(self, options: dict[str, str]):
+        self.batch = DrawReader({**options, "skip_errors": "false"})
+        self.many = int(options.get("draws_per_batch", 100))
+        self.next = int(options.get("after", 0)) + 1
+
+    def initialOffset(self) -> dict:
+        return {"next": self.next}
+
+    def latestOffset(self) -> dict:
+        """At most `draws_per_batch` beyond what was planned last, as far as there are draws."""
+        end = min(latest(self.batch.base, self.batch.path) + 1, self.next + self.many)
+        return {"next": max(self.next, end)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.next = max(self.next, end["next"])
+        return [Numbers(a, min(end["next"] - 1, a + self.batch.size - 1)) for a in range(start["next"], end["next"], self.batch.size)]
+
+    def read(self, part: Numbers) -> Iterator[tuple]:
+        return self.batch.read(part)
+
+    def commit(self, end: dict) -> None:
+        self.next = max(self.next, end["next"])
+
+
 class DrawSource(DataSource):
     """spark.read.format("draws_http").option("base", url).option("first", 1).option("last", 9).load(): rows (numero, value, error)."""
 
@@ -58,6 +91,9 @@ class DrawSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return DrawReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return DrawStream(self.options)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(DrawSource)
@@ -67,8 +103,25 @@ def latest(base: str, path: str) -> int:
     return int(json.loads(fetch(base, path))["numero"])
 
 
+def first_of_reach(latest: int, game: str, years: int = 5) -> int:
+    """The smallest number that a first load fetches."""
+    return max(1, latest - PER_YEAR[game] * years)
+
+
+def planned(spark: SparkSession, checkpoint: str) -> int:
+    """The largest number that a stream with that checkpoint has planned, 0 for none."""
+    try:
+        lines = spark.read.text(f"{checkpoint}/offsets")
+    except Exception as e:  # the stream hasn't run yet
+        if "PATH_NOT_FOUND" in str(e):
+            return 0
+        raise
+    top = lines.select(F.max(F.get_json_object("value", "$.next").cast("int"))).head()[0]
+    return (top or 1) - 1
+
+
 def missing(stored: DataFrame, game: str, latest: int, years: int = 5) -> DataFrame:
     """Rows (numero) within reach that the store lacks: also gaps that an interrupted load left, not only those after the largest."""
-    first = max(1, latest - PER_YEAR[game] * years)
+    first = first_of_reach(latest, game, years)
     every = stored.sparkSession.range(first, latest + 1).select(F.col("id").cast("int").alias("numero"))
     return every.join(stored.where(F.col("game") == game).select(F.col("numero").cast("int").alias("numero")), "numero", "left_anti")

@@ -2,24 +2,31 @@
 
 Stored draws are an append-only log of batches: a batch writes (or rewrites) only its own
 folder, so a batch that is run again after a failure leaves the same rows; reading takes
-the latest version of each draw.
+the latest version of each draw. What a new draw is merged with is keyed state, not the
+store. `compact` turns many batches into one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
 
-from urnwise.cluster import cut
+from urnwise.cluster import cut, path_of, ship
 from urnwise.operators import bank as B
 from urnwise.operators import hypotheses as H
-from urnwise.sources.draws import correct_late, normalise
+from urnwise.sources import http
+from urnwise.sources.draws import high_water, normalise
 
 KEYS = ["game", "numero"]
+#: The columns of a stored draw besides its key, and those that may come late.
+DRAW = "data date, dezenas array<int>, local string, acumulado boolean, valor_acumulado double, valor_estimado double, valor_arrecadado double, ordem_sorteio array<int>"
+NAMES = [c.split()[0] for c in DRAW.split(", ")]
+LATE = ("valor_acumulado", "valor_estimado", "valor_arrecadado", "ordem_sorteio")
 
 
 def stored(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
@@ -34,20 +41,89 @@ def stored(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     return log.withColumn("_r", latest).where("_r = 1").drop("_r", "batch")
 
 
+class Merge(StatefulProcessor):
+    """What is stored of a draw: the first version, with late money and order as long as no accumulated value is known."""
+
+    def init(self, handle) -> None:
+        self.draw = handle.getValueState("draw", DRAW)
+
+    def handleInputRows(self, key, rows, timerValues):
+        old = self.draw.get() if self.draw.exists() else None
+        now = None if old is None else dict(zip(NAMES, old, strict=True))
+        before = dict(now) if now else None
+        for row in rows:
+            new = {c: row[c] for c in NAMES}
+            if now is None:
+                now = new
+            elif not now["valor_acumulado"] and (new["valor_arrecadado"] or 0) > 0:
+                now |= {c: new[c] for c in LATE}
+        if now != before:
+            self.draw.update(tuple(now[c] for c in NAMES))
+            yield Row(game=key[0], numero=key[1], **now)
+
+    def close(self) -> None:
+        pass
+
+
+def merged(draws: DataFrame) -> DataFrame:
+    """A stream of normalised draws as a stream of new and corrected ones; what is stored is state by draw, so a batch's work is its own rows.
+
+    Keeps its state in RocksDB, on the executors and in the query's checkpoint.
+    """
+    draws.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return draws.groupBy(*KEYS).transformWithState(Merge(), f"game string, numero int, {DRAW}", "append", "none")
+
+
+def _store(rows: DataFrame, store: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    return merged(rows).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str, game: str, **trigger) -> StreamingQuery:
     """Draws as JSON texts from a landing folder into the store: new ones inserted, late money corrected, stored ones left."""
+    ship(spark)
+    return _store(normalise(spark.readStream.format("text").load(landing), game), store, checkpoint, trigger or {"availableNow": True})
+
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = normalise(batch, game)
-        old = stored(spark, store)
-        if old is not None:
-            absent = new.dropDuplicates(KEYS).join(old.select(*KEYS), KEYS, "left_anti")
-            changed = correct_late(old, new, KEYS).exceptAll(old.select(*old.columns))
-            new = absent.unionByName(changed)
-        new.dropDuplicates(KEYS).write.mode("overwrite").parquet(f"{store}/batch={number}")
-
-    source = spark.readStream.format("text").load(landing)
-    return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def ingest_http(spark: SparkSession, url: str, path: str, store: str, checkpoint: str, game: str, years: int = 5, per_batch: int = 100, per_task: int = 25, **trigger) -> StreamingQuery:
+    """Draws from HTTP into the store, from the one after the largest that is stored or planned (or the beginning of the reach) on, committed every per_batch draws."""
+    ship(spark)
+    http.register(spark)
+    old = stored(spark, store)
+    mark = high_water(old, game).head()[0] if old is not None else 0
+    after = max(mark, http.planned(spark, checkpoint), http.first_of_reach(http.latest(url, path), game, years) - 1)
+    source = spark.readStream.format("draws_http").option("base", url).option("game_path", path).option("after", after).option("draws_per_batch", per_batch).option("draws_per_task", per_task).load()
+    return _store(normalise(source, game), store, checkpoint, trigger or {"processingTime": "1 second"})
+
+
+def load_http(spark: SparkSession, url: str, path: str, store: str, checkpoint: str, game: str, **options) -> None:
+    """`ingest_http` up to the latest draw there is."""
+    query = ingest_http(spark, url, path, store, checkpoint, game, **options)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def compact(spark: SparkSession, store: str) -> None:
+    """All batches so far as one: the latest versions, under a number between the last batch and the next, and only then the old folders go.
+
+    A run that fails in between leaves rows twice, of which reading takes the latest; so it may be run again.
+    """
+    rows = stored(spark, store)
+    if rows is None:
+        return
+    last = spark.read.parquet(store).agg(F.max("batch")).head()[0]
+    kept = int(last) + 0.5
+    if last != kept:
+        rows.write.mode("overwrite").parquet(f"{store}/batch={kept}")
+    files, folder = path_of(spark, store)
+    for entry in files.listStatus(folder):  # a folder for each batch
+        name = entry.getPath().getName()
+        if name.startswith("batch=") and float(name.removeprefix("batch=")) < kept:
+            files.delete(entry.getPath(), True)
 
 
 def prospect(ctx: DataFrame, bank: DataFrame, names: list[str], again: float = 0.15, seed: int = 0) -> DataFrame:
