@@ -80,8 +80,9 @@ def reversed_or_null(v: Column) -> Column:
 
 
 def digit_sum(v: Column) -> Column:
-    s = F.regexp_replace(v.cast("string"), "[^0-9]", "")
-    return F.aggregate(F.split(s, ""), F.lit(0).cast("long"), lambda a, c: a + F.coalesce(F.when(c == "", 0).otherwise(c.cast("int")), F.lit(0)))
+    """The sum of the decimal digits of a whole number, its sign left aside."""
+    x = F.abs(v.cast("long"))
+    return sum((F.call_function("div", x, F.lit(10**k)) % 10 for k in range(1, 19)), x % 10)
 
 
 def moon_age(date: Column) -> Column:

@@ -33,19 +33,22 @@ from urnwise.operators.sequence import running, windowed
 from urnwise.operators.suffixes import repeats
 
 
+def _times(values: str, k: int) -> Column:
+    return F.coalesce(F.size(F.filter(values, lambda v: v == k)), F.lit(0))
+
+
 def permutation_entropy(ctx: DataFrame, column: str = "dezenas") -> DataFrame:
     """Per game: entropy of the order patterns of three successive values of the flat series, over log2(6); equal values keep their order."""
     rows = windowed(ctx.select("game", "idx", F.col(column).alias("d")), "game", 0, 1, lambda w: {"next": F.lead("d", 1).over(w)})
     series = F.concat("d", F.coalesce(F.slice("next", 1, 2), F.array().cast("array<int>")))
     n = F.size(series)
-    triples = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.get(series, i).alias("a"), F.get(series, i + 1).alias("b"), F.get(series, i + 2).alias("c"))))
-    t = rows.select("game", F.explode(triples).alias("t")).select("game", "t.*")
-    rank = lambda x, *before: sum((F.when(y <= x if first else y < x, 1).otherwise(0) for y, first in before), F.lit(0))
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    pattern = F.concat(rank(a, (b, False), (c, False)).cast("string"), rank(b, (a, True), (c, False)).cast("string"), rank(c, (a, True), (b, True)).cast("string"))
-    counts = t.groupBy("game", pattern.alias("pattern")).agg(F.count("*").alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy("game"))
-    return counts.withColumn("p", p).groupBy("game").agg((-F.sum(F.col("p") * F.log2("p")) / math.log2(6)).alias("entropy"))
+    # a pattern is the outcome of three comparisons; a row gives how many triples have each of the eight, six of which can occur
+    code = lambda i: (F.get(series, i) <= F.get(series, i + 1)).cast("int") + 2 * (F.get(series, i + 1) <= F.get(series, i + 2)).cast("int") + 4 * (F.get(series, i) <= F.get(series, i + 2)).cast("int")
+    coded = rows.select("game", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), code)).alias("codes"))
+    sums = coded.groupBy("game").agg(*(F.sum(_times("codes", k)).alias(f"o{k}") for k in range(8)))
+    total = sum((F.col(f"o{k}") for k in range(8)), F.lit(0))
+    part = lambda k: F.when(F.col(f"o{k}") > 0, F.col(f"o{k}") / total * F.log2(F.col(f"o{k}") / total)).otherwise(0.0)
+    return sums.where(total > 0).select("game", (-sum((part(k) for k in range(8)), F.lit(0.0)) / math.log2(6)).alias("entropy"))
 
 
 def chi2_tail(x: float, df: int) -> float:

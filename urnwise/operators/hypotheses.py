@@ -215,10 +215,13 @@ def tallies_of(ctx: DataFrame, names: list[str], since: int | None = None) -> Da
             parts.append(family(ctx, since).where(F.col("nome").isin(own)))
     hand = sorted(n for n in wanted if "." not in n)  # the grammar's names have a point
     if hand:
-        parts.append(tallies(by_hand_family(ctx).where(F.col("nome").isin(hand)).drop("cat"), since))
+        every = by_hand()
+        parts.append(named_tallies(ctx if "ordem" in ctx.columns else ctx.withColumn("ordem", empty()), {n: every[n][1] for n in hand if n in every}, since))
     rest = sorted(wanted - set(unary_names()) - set(binary_names()) - set(hand))  # few
     if rest or not parts:
-        parts.append(tallies(predictions(ctx, rest), since))
+        m = size_of()
+        words = vocabulary(m)
+        parts.append(named_tallies(ctx, {n: p for n in rest if (p := parse(n, m, words)) is not None}, since))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -313,6 +316,21 @@ def tallies(rows: DataFrame, since: int | None = None) -> DataFrame:
     return some.groupBy("game", "nome").agg(*sums)
 
 
+def named_tallies(ctx: DataFrame, predictors: dict[str, Column], since: int | None = None) -> DataFrame:
+    """tallies() of predictors (name -> prediction over ctx): of a draw's predictions only sizes and hits become rows, counted by place; names come last."""
+    names = list(predictors)
+    rows = ctx.where("idx > 0").select("game", "idx", "dezenas", F.array(*predictors.values()).cast("array<array<int>>").alias("p"))
+    each = F.transform("p", lambda p: F.struct(F.size(p).alias("s"), F.arrays_overlap(p, F.col("dezenas")).cast("int").alias("h")))
+    parts = {"tentativas": F.lit(1), "acertos": F.col("x.h"), "previstos": F.col("x.s")}
+    rows = rows.select("game", "idx", F.posexplode(each).alias("i", "x")).where("x.s > 0")
+    sums = [F.sum(c).alias(n) for n, c in parts.items()]
+    if since is not None:
+        rows = rows.join(F.broadcast(_lows(ctx, since)), "game")  # one row for each game
+        sums += [F.sum(F.when(F.col("idx") > F.col("_low"), c).otherwise(0)).alias(f"{n}_recente") for n, c in parts.items()]
+    name = F.element_at(F.array(*map(F.lit, names)).cast("array<string>"), F.col("i") + 1)
+    return rows.groupBy("game", "i").agg(*sums).select("game", name.alias("nome"), *(c for c in (*parts, *(f"{n}_recente" for n in parts if since is not None))))
+
+
 def test(tally: DataFrame, least: int = 30, exact: bool = False) -> DataFrame:
     """Observed and expected rate, lift and chi-square of one degree of freedom for each tally that is large enough.
 

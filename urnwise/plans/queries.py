@@ -222,7 +222,7 @@ def hyp_binary(spark, d):
 
 @query
 def hyp_sets(spark, d):
-    return H.tallies(H.predictions(S.log(spark, d), H.set_names()))
+    return H.tallies_of(S.log(spark, d), H.set_names())
 
 
 @query
@@ -237,7 +237,7 @@ def hyp_evolved(spark, d):
 
 @query
 def hyp_handwritten(spark, d):
-    return H.tallies(H.by_hand_family(S.with_order(S.ctx(spark, d), spark, d)))
+    return H.named_tallies(S.with_order(S.ctx(spark, d), spark, d), {n: p for n, (_, p) in H.by_hand().items()})
 
 
 @query
