@@ -634,3 +634,27 @@ def test_merge_keeps_state_by_draw(spark, tmp_path):
     got = go("c.json", draw(3, valorArrecadado=6.0, valorAcumuladoProximoConcurso=1.0), draw(3, valorArrecadado=9.0))
     loop.compact(spark, store)
     assert got[3] in (6.0, 9.0) and loop.stored(spark, store).count() == 9
+
+
+def test_tallies_by_increments(spark, ctx):
+    """Three rounds on a growing log give the sums of one count, and read neither old draws nor more names than asked for."""
+    from urnwise.operators import increments
+
+    own = ctx.where("idx < 160").cache()
+    names = [*H.unary_names()[:6], *H.set_names()[:3], "dia_invertido", H.binary_names()[0]]
+    state = None
+    for top, asked in ((70, names[:8]), (95, names), (95, []), (159, names[:1])):
+        have = own.where(f"idx <= {top}")
+        if state is not None:  # old draws outside the window may be anything
+            last = state.agg(F.max("top")).head()[0]
+            have = have.withColumn("dezenas", F.when(F.col("idx") <= last - 20, F.array(F.lit(1))).otherwise(F.col("dezenas"))) if top > last else have
+            have = have.withColumn("mask", F.when(F.col("idx") <= last - 20, F.lit(1)).otherwise(F.col("mask")).cast("long")) if top > last else have
+        state = spark.createDataFrame(increments.advance(state, have, asked, 20).collect(), increments.STATE).cache()
+        # a name that comes later is counted from the start, on a log that is still whole
+        if top == 95 and asked:
+            late = [n for n in names if n not in names[:8]]
+            whole = increments.advance(None, own.where("idx <= 95"), late, 20)
+            state = spark.createDataFrame([*state.where(~F.col("nome").isin(late)).collect(), *whole.collect()], increments.STATE).cache()
+    want = {(r["game"], r["nome"]): [r[c] for c in increments.SUMS] + [r[f"{c}_recente"] for c in increments.SUMS] for r in H.tallies_of(own, names, 20).collect()}
+    got = {(r["game"], r["nome"]): [r[c] for c in increments.SUMS] + [r[f"{c}_recente"] for c in increments.SUMS] for r in state.collect()}
+    assert got == want and max(r["top"] for r in state.collect()) == 159

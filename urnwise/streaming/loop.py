@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from urnwise.cluster import cut, path_of, ship
 from urnwise.operators import bank as B
 from urnwise.operators import hypotheses as H
+from urnwise.operators import increments as I  # noqa: E741
 from urnwise.sources import http
 from urnwise.sources.draws import high_water, normalise
 
@@ -26,6 +27,8 @@ KEYS = ["game", "numero"]
 #: The columns of a stored draw besides its key, and those that may come late.
 DRAW = "data date, dezenas array<int>, local string, acumulado boolean, valor_acumulado double, valor_estimado double, valor_arrecadado double, ordem_sorteio array<int>"
 NAMES = [c.split()[0] for c in DRAW.split(", ")]
+#: Draws that count as recent in a round of mining.
+RECENT = 50
 LATE = ("valor_acumulado", "valor_estimado", "valor_arrecadado", "ordem_sorteio")
 
 
@@ -126,8 +129,11 @@ def compact(spark: SparkSession, store: str) -> None:
             files.delete(entry.getPath(), True)
 
 
-def prospect(ctx: DataFrame, bank: DataFrame, names: list[str], again: float = 0.15, seed: int = 0) -> DataFrame:
-    """One round of mining: tests names that the bank lacks and a share of those it has, scores, merges, invalidates, prunes."""
+def prospect(ctx: DataFrame, bank: DataFrame, names: list[str], again: float = 0.15, seed: int = 0, tallied: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> DataFrame:
+    """One round of mining: tests names that the bank lacks and a share of those it has, scores, merges, invalidates, prunes.
+
+    tallied(ctx, names) gives the names' tallies; where it is left out they are counted over the whole log.
+    """
     spark = ctx.sparkSession
     games = ctx.select("game").distinct()
     every = games.join(spark.createDataFrame([(n,) for n in names], "nome string"))
@@ -138,7 +144,7 @@ def prospect(ctx: DataFrame, bank: DataFrame, names: list[str], again: float = 0
     if not own:
         return B.prune(bank)
     # a name is tested in every game; one of a share that only another game holds is tested again, harmlessly
-    both = cut(H.tallies_of(ctx, own, since=50))
+    both = cut(tallied(ctx, own) if tallied else H.tallies_of(ctx, own, since=RECENT))
     overall = H.with_p(H.test(both)).where(F.col("p_valor") < B.threshold(len(own))).join(todo, ["game", "nome"], "left_semi")
     recent = H.with_p(H.test(both.select("game", "nome", *(F.col(f"{c}_recente").alias(c) for c in ("tentativas", "acertos", "previstos")))))
     scored = B.scored(overall, recent).where("score_confianca > 0.1")
@@ -148,18 +154,31 @@ def prospect(ctx: DataFrame, bank: DataFrame, names: list[str], again: float = 0
 
 
 def mine(spark: SparkSession, ctx: Callable[[], DataFrame], bank_path: str, checkpoint: str, names: Callable[[int], list[str]], every: str = "5 seconds") -> StreamingQuery:
-    """The endless loop: each tick of a rate source is one round on the log as it is then; round r writes bank_path/round=r."""
+    """The endless loop: each tick of a rate source is one round on the log as it is then; round r writes bank_path/round=r.
 
-    def step(batch: DataFrame, number: int) -> None:
+    Tallies are kept beside the bank, so a round counts the draws that came since the last one; round r writes them to bank_path-tallies/round=r.
+    """
+
+    def before(path: str, number: int) -> DataFrame | None:
+        """The rows of the last round before that number; None in the first."""
         try:
-            last = spark.read.parquet(bank_path)
-            top = last.where(F.col("round") < number).agg(F.max("round")).head()[0]
-            bank = last.where(F.col("round") == top).drop("round") if top is not None else spark.createDataFrame([], B.BANK)
+            every = spark.read.parquet(path)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            bank = spark.createDataFrame([], B.BANK)
-        prospect(ctx(), bank, names(number), seed=number).write.mode("overwrite").parquet(f"{bank_path}/round={number}")
+            return None
+        top = every.where(F.col("round") < number).agg(F.max("round")).head()[0]
+        return every.where(F.col("round") == top).drop("round") if top is not None else None
+
+    def step(batch: DataFrame, number: int) -> None:
+        def tallied(rows: DataFrame, own: list[str]) -> DataFrame:
+            at = f"{bank_path}-tallies/round={number}"
+            I.advance(before(f"{bank_path}-tallies", number), rows, own, RECENT).write.mode("overwrite").parquet(at)
+            return spark.read.parquet(at).where(F.col("nome").isin(own) & (F.col("tentativas") > 0)).drop("top")
+
+        bank = before(bank_path, number)
+        bank = bank if bank is not None else spark.createDataFrame([], B.BANK)
+        prospect(ctx(), bank, names(number), seed=number, tallied=tallied).write.mode("overwrite").parquet(f"{bank_path}/round={number}")
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
