@@ -658,3 +658,26 @@ def test_tallies_by_increments(spark, ctx):
     want = {(r["game"], r["nome"]): [r[c] for c in increments.SUMS] + [r[f"{c}_recente"] for c in increments.SUMS] for r in H.tallies_of(own, names, 20).collect()}
     got = {(r["game"], r["nome"]): [r[c] for c in increments.SUMS] + [r[f"{c}_recente"] for c in increments.SUMS] for r in state.collect()}
     assert got == want and max(r["top"] for r in state.collect()) == 159
+
+
+def test_transactional_store(spark, tmp_path):
+    """Versions appear whole or not at all; a failing task leaves the last one, a repeated run changes nothing."""
+    from urnwise.sources import store
+
+    at = str(tmp_path / "store")
+    rows = spark.range(100).repartition(4).select(F.col("id").alias("numero"), F.lit("g6_60").alias("game"), F.array(F.lit(1), F.lit(2)).alias("dezenas"))
+    assert store.read(spark, at) is None
+    store.write(rows, at, "first")
+    assert store.read(spark, at).count() == 100
+    store.write(rows, at, "first")
+    assert store.read(spark, at).count() == 100 and len(store.manifests(at)) == 1
+    broken = rows.withColumn("numero", F.when(F.col("numero") == 57, F.raise_error(F.lit("no")).cast("long")).otherwise(F.col("numero")))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception):
+            store.write(broken, at, "second", mode)
+        assert store.read(spark, at).count() == 100 and len(store.manifests(at)) == 1
+    store.write(rows.where("numero < 10"), at, "second")
+    assert store.read(spark, at).count() == 110 and store.read(spark, at, 1).count() == 100
+    store.write(rows.where("numero < 7"), f"file://{at}", "third", "overwrite")
+    got = store.read(spark, f"file://{at}")
+    assert got.count() == 7 and got.schema["dezenas"].dataType.simpleString() == "array<int>" and [m["run"] for m in store.manifests(at)] == ["first", "second", "third"]

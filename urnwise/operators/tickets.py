@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations as subsets
 from math import comb
 
 from pyspark.sql import Column, DataFrame
@@ -131,22 +132,34 @@ def covered(tickets: DataFrame, targets: DataFrame, at_least: int) -> DataFrame:
     return rows.groupBy("game").agg(F.count("*").alias("targets"), F.count_if(hit).alias("covered")).withColumn("share", F.col("covered") / F.col("targets"))
 
 
+def meetings(candidates: DataFrame, targets: DataFrame, at_least: int) -> DataFrame:
+    """Distinct (m, t): the words of candidates and targets (nums) that share at_least numbers, through a key for each subset of so many."""
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        sizes = sorted(r["n"] for r in df.select(F.size("nums").alias("n")).distinct().collect())  # sizes of tickets and targets: one each
+        places = {n: [list(c) for c in subsets(range(n), at_least)] for n in sizes if n >= at_least}
+        parts = [df.where(F.size("nums") == n).select(mask(F.col("nums")).alias(name), F.explode(F.array(*(F.array(*map(F.lit, c)) for c in own))).alias("c"), "nums") for n, own in places.items()]
+        rows = reduce(DataFrame.unionByName, parts) if parts else df.select(mask(F.col("nums")).alias(name), F.array().cast("array<int>").alias("c"), "nums").limit(0)
+        return rows.select(name, mask(F.transform("c", lambda i: F.get(F.col("nums"), i))).alias("key"))
+
+    return keyed(candidates, "m").join(keyed(targets, "t"), "key").select("m", "t").distinct()
+
+
 def greedy_cover(candidates: DataFrame, targets: DataFrame, at_least: int, limit: int, overlap: float = 0.4) -> tuple[DataFrame, int]:
     """(rows (step, nums) of chosen tickets, targets left) for candidates and targets (nums) of one pool.
 
     Each step takes the candidate with the best gain, weighted by how near its mean
-    overlap with those chosen is to `overlap`, the smallest numbers on ties. A target is
-    taken off the gains once, in the step that covers it, so all steps together look at
-    every candidate and target once. The driver gets the chosen ticket of each step.
+    overlap with those chosen is to `overlap`, the smallest numbers on ties. Which
+    candidate meets which target is joined once (`meetings`); a target is taken off the gains of
+    those that meet it once, in the step that covers it. The driver gets the chosen ticket
+    of each step.
     """
     spark = candidates.sparkSession
-    word = lambda df: df.select("nums", mask(F.col("nums")).alias("m"))
-    meets = lambda a, b: F.bit_count(a.bitwiseAND(b)) >= at_least
-    many = lambda df: F.broadcast(df.agg(F.collect_list("m").alias("ms")).withColumn("_one", F.lit(1)))  # noqa: E731  combinations of one pool
-    gained = lambda c: F.size(F.filter("ms", lambda t: meets(t, c)))
-    open_ = cut(word(targets))
-    state = word(candidates).withColumn("_one", F.lit(1)).join(many(open_), "_one").select("nums", "m", gained(F.col("m")).alias("gain"), F.lit(0.0).alias("near"))
-    out, left = [], open_.count()
+    left = targets.select(mask(F.col("nums")).alias("t")).distinct().count()
+    met = cut(meetings(candidates, targets, at_least))
+    gains = met.groupBy("m").agg(F.count("*").alias("gain"))
+    state = candidates.select("nums", mask(F.col("nums")).alias("m")).join(gains, "m").withColumn("near", F.lit(0.0))
+    out, hits = [], []
     while left and len(out) < limit:
         state = cut(state)
         score = F.col("gain") * 0.7 + (F.lit(1.0) - F.abs(F.col("near") / max(len(out), 1) - overlap) if out else F.lit(1.0)) * F.col("gain") * 0.3
@@ -155,11 +168,13 @@ def greedy_cover(candidates: DataFrame, targets: DataFrame, at_least: int, limit
             break
         out.append((len(out), best[0]["nums"]))
         chosen = F.lit(best[0]["m"])
-        covers = cut(open_.withColumn("hit", meets(F.col("m"), chosen)))
-        open_ = covers.where("not hit")
-        state = state.where(F.col("m") != chosen).withColumn("_one", F.lit(1)).join(many(covers.where("hit")), "_one")
-        state = state.select("nums", "m", (F.col("gain") - gained(F.col("m"))).alias("gain"), (F.col("near") + F.bit_count(F.col("m").bitwiseAND(chosen)) / F.size("nums")).alias("near"))
-        left = open_.count()
+        left -= best[0]["gain"]
+        own = met.where(F.col("m") == chosen).select("t")
+        hit = cut(own.join(reduce(DataFrame.unionByName, hits), "t", "left_anti") if hits else own)
+        hits.append(hit)
+        lost = met.join(hit, "t").groupBy("m").agg(F.count("*").alias("lost"))
+        near = F.col("near") + F.bit_count(F.col("m").bitwiseAND(chosen)) / F.size("nums")
+        state = state.where(F.col("m") != chosen).join(lost, "m", "left").select("nums", "m", (F.col("gain") - F.coalesce("lost", F.lit(0))).alias("gain"), near.alias("near"))
     return spark.createDataFrame(out, "step int, nums array<int>"), left
 
 

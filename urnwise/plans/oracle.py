@@ -340,6 +340,7 @@ sql(
 CHANGE = f"{HITS}, ch as (select game, idx, sum((l - e) ** 2 / e + (r - e) ** 2 / e) as chi2 from (select *, case when l + r = 0 then 1e-10 else (l + r) / 2.0::double end as e from (select hits.*, t, sum(hit) over (partition by hits.game, n order by idx rows between 50 preceding and 1 preceding) as l, sum(hit) over (partition by hits.game, n order by idx rows between current row and 49 following) as r from hits join tot using (game)) where idx >= 50 and idx < t - 50) group by all)"
 sql("changepoint_series", "select * from ch", "idx", "chi2", "game", CHANGE)
 _LIMIT = "case game " + " ".join(f"when '{g.key}' then {chi2_quantile(0.9, g.m - 1)!r}" for g in GAMES.values()) + " end"
+_LIMIT99 = "case game " + " ".join(f"when '{g.key}' then {chi2_quantile(0.99, g.m - 1)!r}" for g in GAMES.values()) + " end"
 sql("changepoints", f"select game, arg_max(idx, chi2) as position, max(chi2) as chi2 from (select game, idx, chi2, idx - row_number() over (partition by game order by idx) as g from ch where chi2 > {_LIMIT}) group by game, g", "position", "chi2", "game", CHANGE)
 CODES = f"""{HITS}, co as (select game, n, idx - 30 as i, c from (select game, n, idx, sum(hit) over (partition by game, n order by idx rows between 30 preceding and 1 preceding) as c from hits) where idx >= 30),
 st as (select *, lead(c, 1) over v as x, lead(c, 2) over v as y, lead(c, 3) over v as z3, lead(c, 4) over v as z4, lag(c) over v as b, count(*) over (partition by game, n) as points from co window v as (partition by game, n order by i)),
@@ -411,6 +412,26 @@ sql(
 )
 _Z = "select game, n, any_value(pe) filter (copy = 0) as pe, avg(pe) filter (copy > 0) as pe_mean, stddev_pop(pe) filter (copy > 0) as pe_std from ms group by all"
 sql("entropy_z", f"select *, case when pe_std > 0 then (pe - pe_mean) / pe_std else 0 end as z, abs(z) > 1.96 as significant from ({_Z})", "n", "pe pe_mean pe_std z", "game significant", copies(30, 11))
+# a point whose values recur farther away than 5 places has a neighbour at distance 0; of the others each has the nearest class of points, at its first or last place
+NEIGHBOURS = f"""{CODES}, pt as (select game, n, i, c, x, y from st where y is not null),
+sz as (select game, n, count(*) as size, least(count(*) // 4, 50) as steps from pt group by all),
+kl as (select game, n, c, x, y, min(i) as first, max(i) as last from pt group by all),
+ra as (select pt.*, size, steps from pt join kl using (game, n, c, x, y) join sz using (game, n) where i - first <= 5 and last - i <= 5 and i < size - steps and size >= 20),
+nb as (select game, n, i, size, steps, min(struct_pack(d := d, j := j)).j as j from (
+  select ra.game, ra.n, ra.i, size, steps, (ra.c - kl.c) ** 2 + (ra.x - kl.x) ** 2 + (ra.y - kl.y) ** 2 as d, case when abs(ra.i - first) > 5 then first when abs(ra.i - last) > 5 then last end as j
+  from ra join kl on ra.game = kl.game and ra.n = kl.n) where d > 0 and j is not null group by all),
+wk as (select game, n, k, i + k as a, j + k as b from (select game, n, i, j, unnest(range(0, least(steps, size - greatest(i, j)))) as k from nb)),
+dv as (select wk.game, wk.n, k, avg(ln((p.c - q.c) ** 2 + (p.x - q.x) ** 2 + (p.y - q.y) ** 2) / 2) as m from wk join pt p on p.game = wk.game and p.n = wk.n and p.i = a join pt q on q.game = wk.game and q.n = wk.n and q.i = b
+  where (p.c - q.c) ** 2 + (p.x - q.x) ** 2 + (p.y - q.y) ** 2 > 0 group by all),
+sl as (select game, n, case when count(*) >= 5 then regr_slope(m, k) end as slope from (select * from dv qualify row_number() over (partition by game, n order by k) <= 20) group by all)"""
+sql("divergence", "select game, n, coalesce(slope, 0) as lyapunov from sz left join sl using (game, n)", "n", "lyapunov", "game", NEIGHBOURS)
+sql("_z30", f"select *, case when pe_std > 0 then (pe - pe_mean) / pe_std else 0 end as z, abs(z) > 1.96 as significant from ({_Z.replace('from ms', 'from ms where copy <= 30')})", "n", "pe pe_mean pe_std z", "game significant", copies(100, 7))
+sql("_changes", "select game, count(*) as changepoints from (select game, idx, idx - row_number() over (partition by game order by idx) as g from ch where chi2 > " + _LIMIT99 + ") group by game, g", "changepoints", "", "game", CHANGE)
+_HELD = "case when significant then 'entropy' end, case when outside then 'surrogate' end, case when DET > 0.05 then 'determinism' end, case when changepoints > 0 then 'changepoints' end, case when lyapunov > 0.01 then 'chaos' end"
+SQL["diagnostic_report"] = f"""select game, n, points, RR, DET, LAM, sample_entropy, lyapunov, outside, pe, z, significant, coalesce(changepoints, 0) as changepoints, array_to_string(list_filter([{_HELD}], lambda x: x is not null), ',') as signals,
+  case when signals = '' then 'compatible with chance' else 'structure' end as verdict
+from ({SQL['recurrence']}) join ({SQL['sample_entropy']}) using (game, n) join ({SQL['divergence']}) using (game, n) join ({SQL.pop('_z30')}) using (game, n)
+join (select game, n, coalesce(bool_or(outside), false) as outside from ({SQL['surrogates']}) group by all) using (game, n) left join (select game, count(*)::bigint as changepoints from ({SQL.pop('_changes')}) group by game) using (game)"""
 sql(
     "ml_refit_sum",
     """select game, numero, n, greatest(0, least(1, coalesce(my - (case when vx > 1e-12 then cxy / vx else 0 end) * mx + (case when vx > 1e-12 then cxy / vx else 0 end) * x, my))) as score from (
@@ -424,4 +445,6 @@ _N25 = [f"n{i:02d}" for i in range(1, 26)]
 sql("one_hot", "select game, numero, " + ", ".join(f"max(case when n = {i} then hit end) as n{i:02d}" for i in range(1, 26)) + " from hits where game = 'g15_25' group by all", " ".join(["numero", *_N25]), "", "game", HITS)
 _CATS = {n: c for names, c in ((BY_HAND, None), ([f"{f}.{op}" for f in FIELDS for op in UNARY], "prog"), ([f"{a}+{b}.{op}" for a, b in combinations(FIELDS, 2) for op in BINARY], "prog"), ([f"set.{x}" for x in SET], "prog"), ([f"window.soma_{t}→{h}" for t in ("alta", "baixa") for h in ("baixos", "altos")], "prog"), (EVOLVED, "evo"), (["dia.id", "dia.mod10", "dia.mod7", "set.prev"], "evo")) for n in names}
 _CATS |= {n: c for c, names in {"data": "dia_invertido mes_invertido dia_mes_combo soma_digitos_data diff_dia_mes produto_dia_mes dia_mes_aritmetica", "concurso": "digitos_concurso concurso_mod soma_digitos_concurso pares_digitos_concurso centesimos_concurso", "temporal": "dia_do_ano_mod semana_do_ano fase_lua lua_metade", "financeiro": "digitos_acumulado digitos_estimado digitos_arrecadado magnitude_premio", "inter-sorteio": "repeticoes_anterior complemento vizinhos_anterior espelho_anterior soma_pares_consecutivos gaps_anterior media_anterior mediana_anterior dobro_max_anterior", "matemática": "fibonacci golden_ratio primos quadrados_perfeitos multiplos_7", "ordem": "vizinhos_primeira_bola", "2a-ordem": "quadrados_apos_quadrados soma_anterior_mod xor_anterior amplitude_anterior ausentes_2_pares"}.items() for n in names.split()}
-SQL["family_union"] = "select * from (values " + ", ".join(f"('{n}', '{c}')" for n, c in _CATS.items()) + ") t(nome, cat)"
+_HAND = " ".join(f"when '{n}' then '{_CATS[n]}'" for n in BY_HAND)
+_FROM = lambda name, cat, where="true": f"select game, nome, {cat} as cat, tentativas, acertos, previstos from ({SQL[name]}) where {where}"
+SQL["family_union"] = " union all ".join([_FROM("hyp_handwritten", f"case nome {_HAND} end"), _FROM("hyp_sets", "case when nome = 'set.prev' then 'evo' else 'prog' end"), _FROM("hyp_window", "'prog'"), _FROM("hyp_evolved", "'evo'", "nome <> 'set.prev'")])

@@ -647,10 +647,12 @@ def best_bet(spark, d):
 
 @query
 def family_union(spark, d):
-    """Names of all families with their category; evolved ones win over those they share a name with."""
-    evolved = [*EVOLVED, *H.unary_names()[:3], "set.prev"]
-    named = lambda rows: spark.createDataFrame(rows, "nome string, cat string")
-    return H.later_wins(named([(n, c) for n, (c, _) in H.by_hand().items()]), named([(n, "prog") for n in H.programmatic_names()]), named([(n, "evo") for n in evolved]))
+    """Tallies of the hand-written, set, window and evolved families in one table; of names that several have, the last family's row."""
+    rows = cut(S.with_order(S.ctx(spark, d), spark, d))
+    hand = {n: p for n, (_, p) in H.by_hand().items()}
+    cat = F.element_at(F.create_map(*(F.lit(x) for n, (c, _) in H.by_hand().items() for x in (n, c))), F.col("nome"))
+    prog, evolved = H.tallies_of(rows, H.set_names() + H.window_names()), H.tallies_of(rows, [*EVOLVED, "set.prev"])
+    return H.later_wins(H.named_tallies(rows, hand).withColumn("cat", cat), prog.withColumn("cat", F.lit("prog")), evolved.withColumn("cat", F.lit("evo")), keys=("game", "nome"))
 
 
 def _frame(spark, d):
@@ -694,7 +696,10 @@ def profile_forecast(spark, d):
 
 @query
 def profile_tickets(spark, d):
-    return L.profile_tickets(spark, {"soma": (150.0, 215.0), "amplitude": (35.0, 55.0), "pares": (2.0, 4.0)}, "g6_60")
+    """Random tickets that fit the profile of the games' logs."""
+    shapes = cut(X.shape(S.log(spark, d)))
+    made = reduce(DataFrame.unionByName, [L.profile_tickets(spark, w, g) for g, w in L.profile_windows(shapes).items()])
+    return made.select("game", F.array_join("nums", ",").alias("nums"), "penalty")
 
 
 @query
