@@ -40,6 +40,8 @@ from .common import by_key, components, cut, small_batches, table
 THRESHOLD = 0.93
 BLOCK = 2048
 PIVOTS, SAMPLE, MOST_SAMPLED, MOST_PIVOTS = 16, 2000, 40_000, 8192
+#: Bytes of the sampled vectors that the driver holds (at least 4 PIVOTS vectors of each label); they place centres and change no result.
+SAMPLE_BYTES = 64 << 20
 LEAF, FLAT, NET = 16, 256, 128
 #: Distances of unit vectors come from products, whose rounding moves small ones by up to some 1e-8; bounds keep this clear of both limits.
 SLACK = 1e-7
@@ -217,18 +219,21 @@ def pivots(distinct: DataFrame, large: DataFrame, sizes: list, reach: float, blo
     """Centres of each label that needs more than one cell: dense places of a bounded sample of it (by hash, about `sample` vectors, fewer for very many labels), then the farthest."""
     if not sizes:
         return {}
-    share = max(4 * PIVOTS, min(sample, MOST_SAMPLED // len(sizes)))
+    widest = max(width for _, width, _ in sizes)
+    share = max(4 * PIVOTS, min(sample, MOST_SAMPLED // len(sizes), SAMPLE_BYTES // (8 * widest * len(sizes))))
     own = distinct.withColumn("width", F.size("e")).join(F.broadcast(large), ["label", "width"])
     own = own.where(F.pmod(F.xxhash64("rep", F.lit("fit")), F.lit(1 << 30)) < F.lit(float(share << 30)) / F.col("n"))
-    of: dict = {}
-    for r in own.select("label", "width", "e", F.xxhash64("rep").alias("o")).collect():
-        of.setdefault((r["label"], r["width"]), []).append((r["o"], r["e"]))
+    got = own.select("label", "width", "e", F.xxhash64("rep").alias("o")).toArrow().combine_chunks()  # about share vectors of each label
+    order, places = got.column("o").to_numpy(), {}
+    for i, k in enumerate(zip(got.column("label").to_pylist(), got.column("width").to_pylist(), strict=True)):
+        places.setdefault(k, []).append(i)
     out = {}
     for label, width, n in sizes:
-        some = sorted(of.get((label, width), []))[: 2 * share]
-        if not some:
+        some = np.array(places.get((label, width), []), np.int64)
+        some = some[np.argsort(order[some], kind="stable")][: 2 * share]
+        if not len(some):
             continue
-        x = unit([e for _, e in some])
+        x = matrix(got.column("e").take(pa.array(some)))
         many = min(PIVOTS, len(x), -(-n // block))
         near = 2 - 2 * (x @ x.T) <= (reach / 2) ** 2
         chosen, free = [], np.ones(len(x), bool)
@@ -383,7 +388,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reps = distinct.join(counted, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(reps, ["label", "e"], "left")
+    # rows that link with nothing have no vector to be joined by, however many they are
+    apart = rows.where("e is null").select("id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    out = rows.where("e is not null").join(reps, ["label", "e"]).select("id", "n_links", F.col("component_id").cast("long").alias("component_id")).unionByName(apart)
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col(key)))
 
 
