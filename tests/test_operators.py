@@ -527,6 +527,8 @@ def test_repeats_equal_brute_force(spark, monkeypatch, chunk):
     rng = np.random.default_rng(4)
     own = {1: np.clip(np.cumsum(rng.integers(-1, 2, 130)), -3, 3) + 3, 2: rng.integers(0, 3, 120), 3: np.zeros(60, int), 4: np.tile([1, 2, 0, 5], 16), 5: np.array([3]), 6: np.arange(100)}
     df = spark.createDataFrame([("g6_60", n, i, int(v)) for n, x in own.items() for i, v in enumerate(x)], "game string, n int, idx long, c long")
+    if chunk == 40:  # values below 0 and far apart
+        df = df.withColumn("c", F.col("c") * 1000 - 7)
     got = {}
     for r in suffixes.repeats(df).collect():
         got.setdefault(r["n"], {})[r["length"]] = r["pairs"]

@@ -1,8 +1,8 @@
 """Repeats of series: how many pairs of places agree for at least so many values, by prefix doubling.
 
 Every place of a series stands for the stretch that begins there. Places are ranked by
-their first CHARS values (packed into one long), then by pairs of ranks at distances
-that double, until no two are equal: as many rounds as the longest repeat, over CHARS,
+their first values (as many as go into one long), then by pairs of ranks at distances
+that double, until no two are equal: as many rounds as the longest repeat, over as many,
 has binary digits. Ranks count the smaller places inside slices, so a series that is one
 group of equal stretches is no single task. What two neighbours in that order share is
 found from the longest stretch down, one pair of joins a length.
@@ -25,16 +25,21 @@ from pyspark.sql.window import Window
 from urnwise.cluster import cut, ship
 from urnwise.operators.sequence import running, windowed
 
-#: Values in one long (a byte each, 0 beyond the end), and places of the order in a chunk.
-CHARS, CHUNK = 7, 1 << 16
+#: (bits of a value, values in one long), the first that is wide enough for the series; 0 stands beyond the end.
+PACKS = ((8, 7), (16, 3), (56, 1))
+#: Places of the order in a chunk.
+CHUNK = 1 << 16
 KEYS = ["game", "n"]
 
 
-def packed(series: DataFrame) -> DataFrame:
-    """Rows (game, n, i, head): the CHARS values from each place on, first value highest; values are whole, 0 to 254."""
-    rows = windowed(series, "game", 0, CHARS, lambda w: {"w": F.collect_list("c").over(w.rowsBetween(0, CHARS - 1))}, ("n",))
-    head = sum(((F.coalesce(F.get("w", F.lit(j)).cast("long") + 1, F.lit(0)) * (1 << 8 * (CHARS - 1 - j))) for j in range(CHARS)), F.lit(0).cast("long"))
-    return rows.select(*KEYS, F.col("idx").alias("i"), head.alias("head"))
+def packed(series: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """(rows (game, n, i, head): the values from each place on, first value highest; bits of a value and values in a head)."""
+    low, high = series.agg(F.min("c").cast("long"), F.max("c").cast("long")).head()
+    low, high = low or 0, high or 0
+    bits, chars = next(p for p in PACKS if high - low + 2 <= 1 << p[0])
+    rows = windowed(series, "game", 0, chars, lambda w: {"w": F.collect_list("c").over(w.rowsBetween(0, chars - 1))}, ("n",))
+    head = sum(((F.coalesce(F.get("w", F.lit(j)).cast("long") - low + 1, F.lit(0)) * (1 << bits * (chars - 1 - j))) for j in range(chars)), F.lit(0).cast("long"))
+    return rows.select(*KEYS, F.col("idx").alias("i"), head.alias("head")), (bits, chars)
 
 
 def _ranked(rows: DataFrame, within: list[str], by: str, first: Column, chunk: int) -> DataFrame:
@@ -44,18 +49,18 @@ def _ranked(rows: DataFrame, within: list[str], by: str, first: Column, chunk: i
     return rows.join(below.select(*KEYS, *within, by, (F.col("upto") - F.col("k")).alias("below")), [*KEYS, *within, by]).withColumn("r", first + F.col("below"))
 
 
-def ranks(heads: DataFrame) -> list[DataFrame]:
-    """Rows (game, n, i, r) for stretches of CHARS values, of twice as many and so on: equal stretches have one rank; in the last all differ."""
+def ranks(heads: DataFrame, chars: int) -> list[DataFrame]:
+    """Rows (game, n, i, r) for stretches of so many values, of twice as many and so on: equal stretches have one rank; in the last all differ."""
     out = [cut(_ranked(heads, [], "head", F.lit(0), 1 << 32).select(*KEYS, "i", "r"))]
     while out[-1].groupBy(*KEYS, "r").count().where("count > 1").limit(1).count():
-        apart = CHARS << (len(out) - 1)
+        apart = chars << (len(out) - 1)
         next_ = out[-1].select(*KEYS, (F.col("i") - apart).alias("i"), F.col("r").alias("r2"))
         pairs = out[-1].withColumnRenamed("r", "r1").join(next_, [*KEYS, "i"], "left").withColumn("r2", F.coalesce("r2", F.lit(-1)) + 1)
         out.append(cut(_ranked(cut(pairs), ["r1"], "r2", F.col("r1"), 4096).select(*KEYS, "i", "r")))
     return out
 
 
-def shared(heads: DataFrame, levels: list[DataFrame]) -> DataFrame:
+def shared(heads: DataFrame, levels: list[DataFrame], bits: int, chars: int) -> DataFrame:
     """Rows (game, n, at, h): how many values the places of rank at - 1 and at share."""
     last = levels[-1]
     rows = last.select(*KEYS, (F.col("r") + 1).alias("at"), F.col("i").alias("a")).join(last.select(*KEYS, F.col("r").alias("at"), F.col("i").alias("b")), [*KEYS, "at"]).withColumn("h", F.lit(0).cast("long"))
@@ -68,10 +73,10 @@ def shared(heads: DataFrame, levels: list[DataFrame]) -> DataFrame:
         return out
 
     for k in reversed(range(len(levels) - 1)):
-        rows = cut(both(levels[k]).withColumn("h", F.col("h") + F.when(F.col("a_") == F.col("b_"), CHARS << k).otherwise(0)).drop("a_", "b_"))
-    byte = lambda c, j: F.shiftright(c, 8 * (CHARS - 1 - j)).bitwiseAND(F.lit(255))
+        rows = cut(both(levels[k]).withColumn("h", F.col("h") + F.when(F.col("a_") == F.col("b_"), chars << k).otherwise(0)).drop("a_", "b_"))
+    byte = lambda c, j: F.shiftright(c, bits * (chars - 1 - j)).bitwiseAND(F.lit((1 << bits) - 1))
     more = F.lit(0)
-    for j in reversed(range(CHARS)):  # 0 stands beyond the end and agrees with nothing
+    for j in reversed(range(chars)):  # 0 stands beyond the end and agrees with nothing
         more = F.when((byte("a_", j) == byte("b_", j)) & (byte("a_", j) > 0), more + 1).otherwise(0)
     return both(heads).select(*KEYS, "at", (F.col("h") + more).alias("h"))
 
@@ -94,8 +99,9 @@ def _intervals(at: np.ndarray, h: np.ndarray, left: np.ndarray, inner: bool) ->
 def repeats(series: DataFrame) -> DataFrame:
     """Rows (game, n, length, pairs): pairs of places whose stretches agree for at least `length` values, for each length that any pair has."""
     ship(series.sparkSession)
-    heads = cut(packed(series))
-    rows = shared(heads, ranks(heads)).withColumn("chunk", F.expr(f"at div {CHUNK}"))
+    made, (bits, chars) = packed(series)
+    heads = cut(made)
+    rows = shared(heads, ranks(heads, chars), bits, chars).withColumn("chunk", F.expr(f"at div {CHUNK}"))
 
     def table(group: pa.Table, found: list, open_: list) -> pa.Table:
         # a pair count from u + 1 on, and as many less from v + 1 on
