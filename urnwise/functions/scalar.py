@@ -85,6 +85,19 @@ def digit_sum(v: Column) -> Column:
     return sum((F.call_function("div", x, F.lit(10**k)) % 10 for k in range(1, 19)), x % 10)
 
 
+def date_text(date: Column, form: str = "ymd") -> Column:
+    """A date as 2000-01-31 (ymd) or 31/01/2000 (dmy); a year of more than four digits has no sign, as date_format would give it."""
+    year, month, day = F.year(date), F.month(date), F.day(date)
+    text = F.format_string("%04d-%02d-%02d", year, month, day) if form == "ymd" else F.format_string("%02d/%02d/%04d", day, month, year)
+    return F.when(date.isNotNull(), text)
+
+
+def date_of(text: Column) -> Column:
+    """The date of 31/01/2000, also with a year of more than four digits, which to_date does not read."""
+    part = lambda i: F.get(F.split(text, "/"), F.lit(i)).cast("int")
+    return F.when(F.rlike(text, F.lit(r"^\d{1,2}/\d{1,2}/\d{5,6}$")), F.make_date(part(2), part(1), part(0))).otherwise(F.to_date(text, "dd/MM/yyyy"))
+
+
 def moon_age(date: Column) -> Column:
     return F.pmod(F.date_diff(date, F.lit(NEW_MOON).cast("date")).cast("double"), F.lit(MOON))
 

@@ -253,7 +253,7 @@ def by_hand() -> dict[str, tuple[str, Column]]:
         "dia_invertido": ("data", inside(reversed_or_null(day))),
         "mes_invertido": ("data", inside(reversed_or_null(month))),
         "dia_mes_combo": ("data", inside(day, month, reversed_or_null(day), reversed_or_null(month))),
-        "soma_digitos_data": ("data", inside(digit_sum(F.date_format("data", "ddMMyyyy")))),
+        "soma_digitos_data": ("data", inside(digit_sum(day) + digit_sum(month) + digit_sum(F.year("data")))),
         "diff_dia_mes": ("data", inside(F.abs(day - month))),
         "produto_dia_mes": ("data", inside(day * month)),
         "dia_mes_aritmetica": ("data", inside(day + month, F.abs(day - month), F.when((day < 10) & (month < 10), day * 10 + month), F.when((day < 10) & (month < 10), month * 10 + day))),
