@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urnwise.cluster import cut, ship
+from urnwise.functions.scalar import date_text
 from urnwise.games import GAMES, prizes
 from urnwise.operators import bank as B
 from urnwise.operators import descriptive as D
@@ -68,7 +69,7 @@ def item_recency(spark, d):
 
 @query
 def draw_log(spark, d):
-    return S.ctx(spark, d).select("game", "numero", "idx", F.date_format("data", "yyyy-MM-dd").alias("data"), "local", "acumulado", "valor_arrecadado", "valor_estimado", F.array_join("dezenas", ",").alias("dezenas"), F.coalesce(F.array_join("prev", ","), F.lit("")).alias("prev"), F.coalesce(F.array_join("prev2", ","), F.lit("")).alias("prev2"))
+    return S.ctx(spark, d).select("game", "numero", "idx", date_text(F.col("data")).alias("data"), "local", "acumulado", "valor_arrecadado", "valor_estimado", F.array_join("dezenas", ",").alias("dezenas"), F.coalesce(F.array_join("prev", ","), F.lit("")).alias("prev"), F.coalesce(F.array_join("prev2", ","), F.lit("")).alias("prev2"))
 
 
 @query
@@ -89,8 +90,8 @@ def draw_count(spark, d):
 @query
 def json_draws(spark, d):
     own = S.ctx(spark, d).where("game = 'g6_60'")
-    text = F.to_json(F.struct("numero", F.date_format("data", "dd/MM/yyyy").alias("dataApuracao"), F.transform("dezenas", lambda x: F.lpad(x.cast("string"), 2, "0")).alias("listaDezenas"), F.col("local").alias("nomeMunicipioUFSorteio"), (F.col("acumulado") == 1).alias("acumulado"), F.col("valor_arrecadado").alias("valorArrecadado")))
-    return S.normalise(own.select(text.alias("value")), "g6_60").select("game", "numero", F.date_format("data", "yyyy-MM-dd").alias("data"), F.array_join("dezenas", ",").alias("dezenas"), "local", F.col("acumulado").cast("int").alias("acumulado"), "valor_acumulado", "valor_arrecadado", F.size("ordem_sorteio").alias("order_known"))
+    text = F.to_json(F.struct("numero", date_text(F.col("data"), "dmy").alias("dataApuracao"), F.transform("dezenas", lambda x: F.lpad(x.cast("string"), 2, "0")).alias("listaDezenas"), F.col("local").alias("nomeMunicipioUFSorteio"), (F.col("acumulado") == 1).alias("acumulado"), F.col("valor_arrecadado").alias("valorArrecadado")))
+    return S.normalise(own.select(text.alias("value")), "g6_60").select("game", "numero", date_text(F.col("data")).alias("data"), F.array_join("dezenas", ",").alias("dezenas"), "local", F.col("acumulado").cast("int").alias("acumulado"), "valor_acumulado", "valor_arrecadado", F.size("ordem_sorteio").alias("order_known"))
 
 
 @query
@@ -362,7 +363,7 @@ def _fused(ctx):
 @query
 def next_row(spark, d):
     rows = S.next_draw(S.ctx(spark, d))
-    return rows.select("game", "numero", "idx", F.date_format("data", "yyyy-MM-dd").alias("data"), "local", "acumulado", "valor_arrecadado", "valor_estimado", F.array_join("dezenas", ",").alias("dezenas"), F.array_join("prev", ",").alias("prev"), F.array_join("prev2", ",").alias("prev2"))
+    return rows.select("game", "numero", "idx", date_text(F.col("data")).alias("data"), "local", "acumulado", "valor_arrecadado", "valor_estimado", F.array_join("dezenas", ",").alias("dezenas"), F.array_join("prev", ",").alias("prev"), F.array_join("prev2", ",").alias("prev2"))
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from urnwise.cluster import cut
-from urnwise.functions.scalar import mask
+from urnwise.functions.scalar import date_of, mask
 from urnwise.games import GAMES
 from urnwise.operators.sequence import lagged, numbered
 
@@ -145,7 +145,7 @@ def normalise(documents: DataFrame, game: str, column: str = "value") -> DataFra
     return own.select(
         F.lit(game).alias("game"),
         F.col("x.numero").alias("numero"),
-        F.to_date("x.dataApuracao", "dd/MM/yyyy").alias("data"),
+        date_of(F.col("x.dataApuracao")).alias("data"),
         F.array_sort(ints(F.col("x.listaDezenas"))).alias("dezenas"),
         F.coalesce("x.nomeMunicipioUFSorteio", F.lit("")).alias("local"),
         F.coalesce("x.acumulado", F.lit(False)).alias("acumulado"),
