@@ -8,29 +8,33 @@ numbered or joined, and as one bijection shuffles all numbers of a game, rows ar
 that carry every number's value: draws x copies, never times numbers.
 
 What a copy is measured by are counts of equal stretches of three, four and five values
-(`diagnostics` says why). They are counted in chunks of CHUNK places that hold the few
-places around them too; a copy of one chunk is summed there, the cells of longer ones
-are summed by Spark first.
+(`diagnostics` says why). A task places some draws in all copies and hands on, for each
+copy and a few numbers, their places (sorted, as steps) and values, a byte each; these
+meet by copy and block of numbers, where a table of all stretches of five is counted,
+whose margins are those of four and three. So no row is a draw of a copy, and a task's
+memory is BLOCK bytes for each draw and one table.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urnwise.cluster import ship
+from urnwise.cluster import cut, ship
 from urnwise.functions.scalar import count_of, tally_bits
 from urnwise.operators.features import around, domain
 
 #: The modulus and the multipliers of the rounds' function, and how many rounds there are.
 PRIME, TIMES, SPREAD = 2147483647, 48271, (7919, 104729, 1299709)
 ROUNDS = 6
-#: Places of a copy that a task counts.
-CHUNK = 1 << 18
+#: Draws that a task places at once; numbers whose series go to one task; places of a series that are counted at once.
+CHUNK, BLOCK, PART = 1 << 16, 5, 1 << 20
 
 
 def coded(log: DataFrame, width: int = 30) -> DataFrame:
@@ -81,107 +85,196 @@ def permuted(rows: DataFrame, copies: int, seed: int) -> DataFrame:
 
 
 KINDS = (3, 4, 5)
+SUMS = ("n3", "n4", "n5", "vertical", *(f"o{i}" for i in range(8)), "m2", "m3")
+
+
+def _pairs(counts: np.ndarray) -> int:
+    return int((counts * (counts - 1) // 2).sum())
+
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    return np.diff(np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])))
+
+
+def _summed(c: np.ndarray) -> list[int]:
+    """SUMS of one series of small whole numbers; m2 and m3 leave out the last stretch, which nothing follows."""
+    c = c.astype(np.uint8) - np.uint8(c.min())
+    n, b = len(c), int(c.max()) + 1
+    base = b + 1  # b stands beyond the end, so stretches that reach there are each alone
+    ended = np.concatenate([c, np.full(4, b, np.uint8)])
+
+    def stretch(first: int, last: int) -> np.ndarray:
+        value = ended[first:last].astype(np.int64)
+        for k in range(1, 5):
+            value *= base
+            value += ended[first + k : last + k]
+        return value
+
+    parts = range(0, n, PART)
+    if base**5 <= max(8 * n, 1 << 16):
+        five = np.zeros(base**5, np.int64)
+        for first in parts:
+            five += np.bincount(stretch(first, min(n, first + PART)), minlength=base**5)
+        four = five.reshape(-1, base).sum(axis=1)
+        three, n4, n5 = four.reshape(-1, base).sum(axis=1), _pairs(four), _pairs(five)
+    else:
+        value = np.concatenate([stretch(first, min(n, first + PART)) for first in parts])
+        value.sort()
+        n5, n4 = _pairs(_runs(value)), _pairs(_runs(value // base))
+        three = np.bincount(value // base**2, minlength=base**3)
+    cube = three.reshape(base, base, base)[:b, :b, :b]
+    # equal neighbours among points of three are runs of four equal values or more
+    at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    run = np.diff(np.append(at, n))
+    at, run = at[run > 3], run[run > 3]
+    lines = np.bincount(c[at], run - 2, b).astype(np.int64)
+    same = np.arange(b)
+    vertical = int((cube[same, same, same] * lines).sum() - run.sum())
+    x, y, z = np.ogrid[:b, :b, :b]
+    pattern = (x <= y) + 2 * (y <= z).astype(np.int64) + 4 * (x <= z)
+    order = np.bincount(pattern.ravel(), cube.ravel(), 8).astype(np.int64)
+    followed = cube.copy()
+    if n > 2:
+        followed[tuple(c[-3:])] -= 1
+    return [_pairs(cube), n4, n5, vertical, *order.tolist(), _pairs(cube.sum(axis=2)), _pairs(followed)]
+
+
+def _moved(idx: np.ndarray, copy: int, seed: int, size: int, a: int, b: int) -> np.ndarray:
+    """The places of a copy, as `permuted` has them."""
+    if copy == 0:
+        return idx
+    keys = []
+    for r in range(ROUNDS):
+        t = (copy * SPREAD[0] + r * SPREAD[1] + seed * SPREAD[2]) % PRIME
+        keys.append((t * t + TIMES) % PRIME)
+
+    def turned(p: np.ndarray) -> np.ndarray:
+        sides, sizes = [p // b, p % b], (a, b)
+        for r, key in enumerate(keys):
+            own, other = r % 2, 1 - r % 2
+            u = (sides[other] * TIMES + key) % PRIME
+            v = (u * u + key) % PRIME
+            sides[own] = (sides[own] + (v * v + u) % PRIME) % sizes[own]
+        return sides[0] * b + sides[1]
+
+    p = turned(idx)
+    while len(beyond := np.flatnonzero(p >= size)):
+        p[beyond] = turned(p[beyond])
+    return p
+
+
+PIECE = "game string, copy int, block int, size long, width int, first long, steps binary, codes binary"
+
+
+def _pieces(game: str, copy: int, size: int, p: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    """Draws of one copy, in order of their places: a row for each block of numbers, with the steps between places and the values, a byte each."""
+    order = np.argsort(p, kind="stable")
+    p, codes = p[order], codes[order]
+    steps = np.diff(p, prepend=p[:1])
+    steps = steps.astype(np.uint16 if len(p) < 2 or steps.max() < 1 << 16 else np.uint32).tobytes()
+    blocks = range(0, codes.shape[1], BLOCK)
+    one = lambda x, kind: pa.array([x] * len(blocks), kind)
+    return pa.RecordBatch.from_arrays(
+        [one(game, pa.string()), one(copy, pa.int32()), pa.array([k // BLOCK for k in blocks], pa.int32()), one(size, pa.int64()), pa.array([min(BLOCK, codes.shape[1] - k) for k in blocks], pa.int32()),
+         one(int(p[0]), pa.int64()), one(steps, pa.binary()), pa.array([codes[:, k : k + BLOCK].tobytes() for k in blocks], pa.binary())],
+        names=["game", "copy", "block", "size", "width", "first", "steps", "codes"],
+    )
 
 
-def _cells(codes: np.ndarray, first: int, own: int) -> dict[int, tuple]:
-    """Counts of equal stretches that begin in the `own` places from `first` on; codes: a row of values for each place.
+def _codes_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("codes").flatten().to_numpy().astype(np.uint8).reshape(batch.num_rows, -1)
 
-    {3: (cell, count, points of lines), 4: (cell, count), 5: .., 0: (number, points of lines and two for each line)}; cell: number and values, a byte each.
-    """
-    c, m = codes.astype(np.int64), codes.shape[1]
-    number = np.arange(m, dtype=np.int64) << 40
-    out = {}
-    for kind in KINDS:
-        n = max(0, min(first + own, len(c) - kind + 1) - first)
-        value = sum((c[first + j : first + n + j] << (8 * j) for j in range(kind)), np.zeros((n, m), np.int64)) + number
-        if kind > 3:
-            out[kind] = np.unique(value, return_counts=True)
-            continue
-        every = c[: max(0, len(c) - 2)]
-        triple = every + (c[1 : len(every) + 1] << 8) + (c[2 : len(every) + 2] << 16)
-        up, down = np.zeros(triple.shape, bool), np.zeros(triple.shape, bool)
-        up[1:] = down[:-1] = triple[1:] == triple[:-1]
-        up, down = up[first : first + n], down[first : first + n]
-        cell, back, count = np.unique(value, return_inverse=True, return_counts=True)
-        out[3] = (cell, count, np.bincount(back.ravel(), (up | down).ravel(), len(cell)).astype(np.int64))
-        out[0] = (np.arange(m), (up | down).sum(axis=0) + 2 * (down & ~up).sum(axis=0))
-    return out
-
-
-def _patterns(cell: np.ndarray) -> np.ndarray:
-    a, b, c = (cell >> s & 255 for s in (0, 8, 16))
-    return (a <= b).astype(np.int64) + 2 * (b <= c) + 4 * (a <= c)
-
-
-SUMS = ("n3", "n4", "n5", "vertical", *(f"o{i}" for i in range(8)))
-
-
-def _summed(cells: dict[int, tuple], m: int) -> list[np.ndarray]:
-    """SUMS of a whole copy, for each of m numbers."""
-    pairs = lambda k: np.bincount(cells[k][0] >> 40, cells[k][1] * (cells[k][1] - 1) // 2, m).astype(np.int64)
-    cell, count, lines = cells[3]
-    vertical = np.bincount(cell >> 40, count * lines, m).astype(np.int64) - cells[0][1]
-    order = np.bincount((cell >> 40) * 8 + _patterns(cell), count, 8 * m).astype(np.int64).reshape(m, 8)
-    return [*(pairs(k) for k in KINDS), vertical, *order.T]
+
+def _counted(pieces: DataFrame) -> DataFrame:
+    """Rows (game, n, copy, size, SUMS) of PIECEs: a task has a few numbers of one copy, a byte for each draw and number."""
+
+    def count(group: pa.Table) -> pa.Table:
+        head = {x: group.column(x)[0].as_py() for x in ("game", "copy", "block", "size", "width")}
+        series = np.zeros((head["size"], head["width"]), np.uint8)
+        for batch in group.select(["first", "steps", "codes"]).to_batches():
+            for first, steps, codes in zip(*batch.columns, strict=True):
+                values = np.frombuffer(codes.as_buffer(), np.uint8).reshape(-1, head["width"])
+                steps = np.frombuffer(steps.as_buffer(), np.uint16 if len(steps.as_buffer()) == 2 * len(values) else np.uint32)
+                series[first.as_py() + np.cumsum(steps, dtype=np.int64)] = values
+        sums = [_summed(series[:, j]) for j in range(head["width"])]
+        one = lambda x, kind: pa.array([head[x]] * len(sums), kind)
+        n = head["block"] * BLOCK + 1 + np.arange(len(sums), dtype=np.int32)
+        return pa.table([one("game", pa.string()), pa.array(n), one("copy", pa.int32()), one("size", pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*sums, strict=True))], names=["game", "n", "copy", "size", *SUMS])
+
+    return pieces.groupBy("game", "copy", "block").applyInArrow(count, "game string, n int, copy int, size long, " + ", ".join(f"{x} long" for x in SUMS))
 
 
 def stretch_counts(placed: DataFrame, chunk: int | None = None) -> DataFrame:
-    """Rows (game, n, copy, size, SUMS) of rows (game, copy, p, size, codes): pairs of equal stretches of 3, 4, 5 values, points beside vertical lines, and how many points have each order of three values."""
+    """Rows (game, n, copy, size, SUMS) of rows (game, copy, p, size, codes): pairs of equal stretches of 3, 4, 5 values, points beside vertical lines, how many points have each order of three values, and pairs of 2 and 3 values that another follows.
+
+    chunk: rows of one batch that are packed at once.
+    """
     ship(placed.sparkSession)
     chunk = chunk or CHUNK
-    at, home = F.col("p") % chunk, F.expr(f"p div {chunk}")
-    spread = placed.select("game", "copy", "p", "size", "codes", F.explode(F.array_compact(F.array(home, F.when((at < 4) & (home > 0), home - 1), F.when((at == chunk - 1) & (F.col("p") + 1 < F.col("size")), home + 1)))).alias("chunk"))
-
-    def count(group: pa.Table):
-        p = group.column("p").to_numpy()
-        order = np.argsort(p)
-        column = group.column("codes").combine_chunks()
-        codes = column.values.to_numpy().reshape(len(p), -1)[order]
-        low = group.column("chunk")[0].as_py() * chunk
-        first = int(p[order[0]] < low)
-        return _cells(codes, first, min(chunk, len(p))), codes.shape[1]
-
-    def sums(group: pa.Table) -> pa.Table:
-        cells, m = count(group)
-        one = lambda x, kind: pa.array([group.column(x)[0].as_py()] * m, kind)
-        return pa.table([one("game", pa.string()), pa.array(np.arange(1, m + 1, dtype=np.int32)), one("copy", pa.int32()), one("size", pa.int64()), *map(pa.array, _summed(cells, m))], names=["game", "n", "copy", "size", *SUMS])
-
-    def parts(group: pa.Table) -> pa.Table:
-        cells, _ = count(group)
-        none = lambda a: np.zeros(len(a), np.int64)
-        of = [(0, cells[0][0] << 40, cells[0][1], none(cells[0][0])), (3, *cells[3]), *((k, *cells[k], none(cells[k][0])) for k in (4, 5))]
-        kind, cell, k, lines = (np.concatenate(x) for x in zip(*((np.full(len(c), kind), c, k, lines) for kind, c, k, lines in of), strict=True))
-        one = lambda x, t: pa.array([group.column(x)[0].as_py()] * len(kind), t)
-        return pa.table([one("game", pa.string()), one("copy", pa.int32()), one("size", pa.int64()), *map(pa.array, (kind.astype(np.int64), cell, k.astype(np.int64), lines))], names=["game", "copy", "size", "kind", "cell", "k", "lines"])
-
-    keys = ["game", "copy", "chunk"]
-    whole = spread.where(F.col("size") <= chunk).groupBy(*keys).applyInArrow(sums, "game string, n int, copy int, size long, " + ", ".join(f"{x} long" for x in SUMS))
-    cells = spread.where(F.col("size") > chunk).groupBy(*keys).applyInArrow(parts, "game string, copy int, size long, kind long, cell long, k long, lines long")
-    cells = cells.groupBy("game", "copy", "size", "kind", "cell").agg(F.sum("k").alias("k"), F.sum("lines").alias("lines"))
-    value = lambda i: F.shiftright("cell", 8 * i).bitwiseAND(F.lit(255))
-    order = (value(0) <= value(1)).cast("int") + 2 * (value(1) <= value(2)).cast("int") + 4 * (value(0) <= value(2)).cast("int")
-    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0)).cast("long")
-    pairs = F.expr("k * (k - 1) div 2")
-    made = cells.withColumn("order", order).groupBy("game", (F.shiftright("cell", 40) + 1).cast("int").alias("n"), "copy", "size").agg(
-        *(of(k, pairs).alias(f"n{k}") for k in KINDS), (of(3, F.col("k") * F.col("lines")) - of(0, F.col("k"))).alias("vertical"), *(F.sum(F.when((F.col("kind") == 3) & (F.col("order") == i), F.col("k")).otherwise(0)).alias(f"o{i}") for i in range(8))
-    )
-    return whole.unionByName(made.select(*whole.columns))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(k, chunk) for k in range(0, whole.num_rows, chunk)):
+                keys = pa.table({"game": batch.column("game"), "copy": batch.column("copy")}).group_by(["game", "copy"]).aggregate([]).to_pylist()
+                for key in keys:
+                    own = batch.filter(pc.and_(pc.equal(batch.column("game"), key["game"]), pc.equal(batch.column("copy"), key["copy"])))
+                    yield _pieces(key["game"], key["copy"], own.column("size")[0].as_py(), own.column("p").to_numpy().astype(np.int64), _codes_of(own))
+
+    return _counted(placed.select("game", F.col("copy").cast("int").alias("copy"), F.col("p").cast("long").alias("p"), F.col("size").cast("long").alias("size"), "codes").mapInArrow(pack, PIECE))
+
+
+def copied_counts(rows: DataFrame, copies: int, seed: int) -> DataFrame:
+    """stretch_counts(permuted(rows, copies, seed)) without a row for each draw and copy: tasks place CHUNK draws at a time in all copies and hand on packed bytes."""
+    ship(rows.sparkSession)
+    sizes = {r["game"]: (r["n"], *halves(r["n"])) for r in rows.groupBy("game").agg((F.max("idx") + 1).alias("n")).collect()}  # one for each game
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+
+        def packed(game: str) -> Iterator[pa.RecordBatch]:
+            idx, codes = (np.concatenate(x) for x in zip(*held.pop(game), strict=True))
+            for copy in range(copies + 1):
+                yield _pieces(game, copy, sizes[game][0], _moved(idx, copy, seed, *sizes[game]), codes)
+
+        for batch in batches:
+            for game in batch.column("game").unique().to_pylist():
+                own = batch.filter(pc.equal(batch.column("game"), game))
+                held.setdefault(game, []).append((own.column("idx").to_numpy().astype(np.int64), _codes_of(own)))
+                if sum(len(i) for i, _ in held[game]) >= CHUNK:
+                    yield from packed(game)
+        for game in list(held):
+            yield from packed(game)
+
+    return _counted(rows.select("game", "idx", "codes").mapInArrow(place, PIECE))
+
+
+def _fine(rows: DataFrame) -> DataFrame:
+    """Per series of rows (game, idx, codes), whether both limits are less than one step; a row for each series."""
+    from urnwise.operators.diagnostics import RECURRENCE_LIMIT, SAMPLE_LIMIT
+
+    limit = max(SAMPLE_LIMIT, RECURRENCE_LIMIT)
+    spread = rows.select("game", F.posexplode("codes").alias("n", "c")).groupBy("game", (F.col("n") + 1).alias("n")).agg((F.stddev_pop("c") * limit < 1).alias("fine"))
+    return F.broadcast(spread)
+
+
+def own_measures(log: DataFrame, width: int = 30) -> DataFrame:
+    """Rows (game, n, points, entropy, RR, DET, LAM, sample_entropy) of every number's series: `diagnostics.recurrence` and `sample_entropy` of `codes(log, width)`, from packed series."""
+    return _measured(cut(coded(log, width)), 0, 0).select("game", "n", F.col("size").alias("points"), F.col("PE").alias("entropy"), "RR", "DET", "LAM", "sample_entropy")
 
 
 def measures(log: DataFrame, copies: int, seed: int, width: int = 30) -> DataFrame:
     """Rows (game, n, copy, PE, DET, LAM, RR) of every number's series (copy 0) and its copies; recurrence is null where its limit reaches a step of the grid."""
-    from urnwise.cluster import cut
-    from urnwise.operators.diagnostics import RECURRENCE_LIMIT, SAMPLE_LIMIT
+    return _measured(cut(coded(log, width)), copies, seed).select("game", "n", "copy", "PE", "DET", "LAM", "RR")
+
 
-    rows = cut(coded(log, width))
-    spread = rows.select("game", F.posexplode("codes").alias("n", "c")).groupBy("game", (F.col("n") + 1).alias("n")).agg(F.stddev_pop("c").alias("s"))
-    fine = F.broadcast(spread.select("game", "n", (F.col("s") * max(SAMPLE_LIMIT, RECURRENCE_LIMIT) < 1).alias("fine")))  # one row for each series
-    counts = stretch_counts(permuted(rows, copies, seed)).join(fine, ["game", "n"])
+def _measured(rows: DataFrame, copies: int, seed: int) -> DataFrame:
+    counts = copied_counts(rows, copies, seed).join(_fine(rows), ["game", "n"])
     total = sum((F.col(f"o{i}") for i in range(8)), F.lit(0))
     entropy = -sum((F.when(F.col(f"o{i}") > 0, F.col(f"o{i}") / total * F.log2(F.col(f"o{i}") / total)).otherwise(0.0) for i in range(8)), F.lit(0.0)) / math.log2(6)
     of = lambda x: F.when(F.col("fine"), F.when(F.col("n3") > 0, x).otherwise(0.0))
     e = F.col("size") - 2
-    return counts.select("game", "n", "copy", entropy.alias("PE"), of((2 * F.col("n4") - F.col("n5")) / F.col("n3")).alias("DET"), of(F.col("vertical") / (2 * F.col("n3"))).alias("LAM"), of(2 * F.col("n3") / (e * (e - 1))).alias("RR"))
+    sample = F.when(F.col("fine") & (F.col("m2") > 0) & (F.col("m3") > 0), -F.log(F.col("m3") / F.col("m2")))
+    return counts.select("game", "n", "copy", "size", sample.alias("sample_entropy"), entropy.alias("PE"), of((2 * F.col("n4") - F.col("n5")) / F.col("n3")).alias("DET"), of(F.col("vertical") / (2 * F.col("n3"))).alias("LAM"), of(2 * F.col("n3") / (e * (e - 1))).alias("RR"))
 
 
 def bounds(rows: DataFrame) -> DataFrame:
