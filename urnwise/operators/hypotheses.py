@@ -17,14 +17,19 @@ of them; no plan has a column for each hypothesis.
 """
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from urnwise.cluster import ship
 from urnwise.functions.scalar import BINARY, FIELDS, SETS, UNARY, bit_of, digit_sum, extractors, fields, money_digits, moon_age, moon_phase, reversed_or_null, within, wrap
 from urnwise.games import GAMES, PRIMES
 from urnwise.operators.features import size_of
@@ -183,16 +188,48 @@ def unary_tallies(ctx: DataFrame, since: int | None = None) -> DataFrame:
     return per.withColumn("nome", F.concat_ws(".", F.element_at(F.array(*map(F.lit, FIELDS)), F.col("f") + 1), "op")).drop("f", "op")
 
 
+def _pair_results(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """BINARY on arrays of numbers that are not negative."""
+    return {"add": a + b, "sub": np.abs(a - b), "mul": a * b, "xor": a ^ b, "mod": np.where(b != 0, a % np.where(b != 0, b, 1), 0)}
+
+
 def binary_tallies(ctx: DataFrame, since: int | None = None) -> DataFrame:
-    """tallies(binary_family(ctx), since), as unary_tallies does it for pairs of fields."""
-    f = fields()
-    rows = ctx.where("idx > 0").select("game", "idx", "mask", size_of().alias("m"), F.array(*(f[n] for n in FIELDS)).alias("v"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(FIELDS) - 2))).alias("i")).select("*", F.explode(F.sequence(F.col("i") + 1, F.lit(len(FIELDS) - 1))).alias("j"))
-    rows = rows.select("game", "idx", "mask", "m", "i", "j", F.get("v", F.col("i")).alias("a"), F.get("v", F.col("j")).alias("b"))
-    hit = {op: bit_of(F.col("mask"), wrap(do(F.col("a"), F.col("b")).cast("long"), F.col("m"))) for op, do in BINARY.items()}
-    per = _counted(rows, ["i", "j"], hit, since, _lows(ctx, since))
-    name = lambda k: F.element_at(F.array(*map(F.lit, FIELDS)), F.col(k) + 1)
-    return per.withColumn("nome", F.concat(name("i"), F.lit("+"), name("j"), F.lit("."), F.col("op"))).drop("i", "j", "op")
+    """tallies(binary_family(ctx), since): tasks count the pairs of fields of their draws at once and hand on a row for each game, pair and operation."""
+    ship(ctx.sparkSession)
+    f, pairs = fields(), list(combinations(range(len(FIELDS)), 2))
+    rows = ctx.where("idx > 0")
+    late = F.lit(False)
+    if since is not None:
+        rows = rows.join(F.broadcast(_lows(ctx, since)), "game")  # one row for each game
+        late = F.col("idx") > F.col("_low")
+    rows = rows.select("game", size_of().cast("long").alias("m"), "mask", late.alias("late"), F.array(*(f[n] for n in FIELDS)).alias("v"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for game in batch.column("game").unique().to_pylist():
+                own = batch.filter(pc.equal(batch.column("game"), game))
+                m, mask = own.column("m")[0].as_py(), own.column("mask").to_numpy()
+                recent, v = own.column("late").to_numpy(zero_copy_only=False), own.column("v").flatten().to_numpy().reshape(own.num_rows, -1).T.copy()
+                out = np.zeros((len(pairs), len(BINARY), 3), np.int64)  # hits, recent draws, hits among those
+                for k, (a, b) in enumerate(pairs):
+                    for o, r in enumerate(_pair_results(v[a], v[b]).values()):
+                        r = r % m
+                        r[r == 0] = m
+                        hit = (mask >> r & 1).astype(bool)
+                        out[k, o] = hit.sum(), recent.sum(), (hit & recent).sum()
+                n, total = sums.get(game, (0, 0))
+                sums[game] = n + own.num_rows, total + out
+        for game, (n, total) in sums.items():
+            k, o = np.divmod(np.arange(len(pairs) * len(BINARY)), len(BINARY))
+            columns = [pa.array([game] * len(k)), pa.array(k.astype(np.int32)), pa.array(o.astype(np.int32)), pa.array(np.full(len(k), n)), *map(pa.array, total.reshape(-1, 3).T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["game", "k", "o", "n", "hits", "late", "late_hits"])
+
+    made = rows.mapInArrow(count, "game string, k int, o int, n long, hits long, late long, late_hits long")
+    per = made.groupBy("game", "k", "o").agg(*(F.sum(c).alias(c) for c in ("n", "hits", "late", "late_hits")))
+    name = F.concat(F.element_at(F.array(*(F.lit(f"{FIELDS[a]}+{FIELDS[b]}.") for a, b in pairs)), F.col("k") + 1), F.element_at(F.array(*map(F.lit, BINARY)), F.col("o") + 1))
+    recent = [F.col("late").alias("tentativas_recente"), F.col("late_hits").alias("acertos_recente"), F.col("late").alias("previstos_recente")] if since is not None else []
+    return per.select("game", F.col("n").alias("tentativas"), F.col("hits").alias("acertos"), F.col("n").alias("previstos"), *recent, name.alias("nome"))
 
 
 def programmatic_names() -> list[str]:
