@@ -246,10 +246,22 @@ def best_of_group(checked: DataFrame) -> DataFrame:
     return checked.groupBy("game", "numero").agg(F.max_by(F.struct("ticket", "hits", "prize"), F.struct("hits", -F.col("ticket"))).alias("x")).select("game", "numero", "x.*")
 
 
+def best_of_tickets(tickets: DataFrame, drawn: DataFrame) -> DataFrame:
+    """best_of_group(check(tickets, drawn)) inside the draw's row: a game's tickets (few) are an array beside it, so no draw is multiplied or grouped."""
+    held = tickets.groupBy("game").agg(F.collect_list(F.struct("ticket", "nums")).alias("tickets"))  # a row for each game
+    rows = drawn.select("game", "numero", "dezenas").join(F.broadcast(held), "game")
+    each = F.transform("tickets", lambda t: F.struct(F.size(F.array_intersect(t["nums"], F.col("dezenas"))).alias("hits"), (-t["ticket"]).alias("t")))
+    best = rows.select("game", "numero", F.array_max(each).alias("x")).select("game", "numero", (-F.col("x.t")).alias("ticket"), "x.hits")
+    return best.withColumn("prize", _prize())
+
+
+def _prize() -> Column:
+    return per_game(lambda g: F.coalesce(*(F.when(F.col("hits") == h, F.lit(p)) for h, p in g.prizes.items()), F.lit(0.0)))
+
+
 def prized(tickets: DataFrame) -> DataFrame:
     """Tickets that stand beside their draw's `dezenas`, with hits, prize and whether they won."""
-    prize = per_game(lambda g: F.coalesce(*(F.when(F.col("hits") == h, F.lit(p)) for h, p in g.prizes.items()), F.lit(0.0)))
-    return tickets.withColumn("hits", F.size(F.array_intersect("nums", "dezenas"))).withColumn("prize", prize).withColumn("won", per_game(lambda g: F.col("hits") >= g.check_from)).drop("dezenas")
+    return tickets.withColumn("hits", F.size(F.array_intersect("nums", "dezenas"))).withColumn("prize", _prize()).withColumn("won", per_game(lambda g: F.col("hits") >= g.check_from)).drop("dezenas")
 
 
 def check(tickets: DataFrame, drawn: DataFrame) -> DataFrame:
