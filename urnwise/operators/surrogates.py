@@ -4,8 +4,7 @@ A copy's order is a seeded bijection of the places 0..n-1, worked out from the p
 alone: a Feistel network on the places written as (left, right) with a x b >= n of
 them, in whole-number arithmetic; a place that falls among the few beyond n walks on
 until it is back (no more steps than there are such places). So no copy is sorted,
-numbered or joined, and as one bijection shuffles all numbers of a game, rows are draws
-that carry every number's value: draws x copies, never times numbers.
+numbered or joined, and one bijection shuffles all numbers of a game.
 
 What a copy is measured by are counts of equal stretches of three, four and five values
 (`diagnostics` says why). A task places some draws in all copies and hands on, for each
