@@ -21,14 +21,17 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from urnwise.cluster import cut
-from urnwise.functions.scalar import count_of, tally_bits
 from urnwise.games import GAMES
-from urnwise.operators.features import around, counts_before, domain
+from urnwise.operators.blocks import Block, by_chunk, typed
+from urnwise.operators.features import counts_before
 from urnwise.operators.sequence import running, windowed
 from urnwise.operators.suffixes import repeats
 
@@ -89,14 +92,18 @@ def chi2_quantile(p: float, df: int) -> float:
 
 def changepoint_series(log: DataFrame, width: int = 50) -> DataFrame:
     """Rows (game, idx, chi2): the counts of the `width` draws before against those of the `width` draws from idx on; all numbers inside a draw's row."""
-    top = log.groupBy("game").agg((F.max("idx") + 1).alias("total"))
-    rows = around(log, width, width).join(F.broadcast(top), "game").where((F.col("idx") >= width) & (F.col("idx") < F.col("total") - width))  # one row for each game
-    rows = rows.select("game", "idx", tally_bits(F.col("before")).alias("l"), tally_bits(F.col("after")).alias("r"))
+    schema = T.StructType([T.StructField("game", T.StringType()), T.StructField("idx", T.LongType()), T.StructField("chi2", T.DoubleType())])
+
+    def compare(block: Block) -> pa.Table:
+        l, r = block.count(-width, 0).astype(np.float64), block.count(0, width)
+        both = l + r
+        # both halves expect e = (l + r) / 2, so their squares over e add up to (l - r)^2 / (l + r)
+        part = np.where(both > 0, (l - r) * (l - r) / np.maximum(both, 1), 2e-10)
+        return typed({"game": block.rows.column("game"), "idx": block.idx, "chi2": np.cumsum(part, axis=1)[:, -1]}, schema)
 
-    # both halves expect e = (l + r) / 2, so their squares over e add up to (l - r)^2 / (l + r)
-    both = F.transform(domain(), lambda n: F.struct(count_of(F.col("l"), n).alias("l"), count_of(F.col("r"), n).alias("r")))
-    part = lambda total, x: total + F.coalesce((x["l"] - x["r"]) * (x["l"] - x["r"]) / F.nullif(x["l"] + x["r"], F.lit(0)), F.lit(2e-10))
-    return rows.select("game", "idx", F.aggregate(both, F.lit(0.0), part).alias("chi2"))
+    rows = by_chunk(log, [], width, width, compare, schema)
+    top = log.groupBy("game").agg((F.max("idx") + 1).alias("total"))
+    return rows.join(F.broadcast(top), "game").where((F.col("idx") >= width) & (F.col("idx") < F.col("total") - width)).select("game", "idx", "chi2")  # one row for each game
 
 
 def changepoints(series: DataFrame, p: float = 0.99) -> DataFrame:
