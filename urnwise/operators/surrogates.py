@@ -26,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urnwise.cluster import cut, ship
-from urnwise.functions.scalar import count_of, tally_bits
-from urnwise.operators.features import around, domain
+from urnwise.operators.blocks import Block, by_chunk, lists
 
 #: The modulus and the multipliers of the rounds' function, and how many rounds there are.
 PRIME, TIMES, SPREAD = 2147483647, 48271, (7919, 104729, 1299709)
@@ -38,9 +37,13 @@ CHUNK, BLOCK, PART = 1 << 16, 5, 1 << 20
 
 def coded(log: DataFrame, width: int = 30) -> DataFrame:
     """Rows (game, idx, codes) of draws from the first full window on, idx from 0: how many of the `width` draws before hold each number, in an array."""
-    rows = around(log, width).where(F.col("idx") >= width)
-    tally = rows.select("game", (F.col("idx") - width).alias("idx"), tally_bits(F.col("before")).alias("p"))
-    return tally.select("game", "idx", F.transform(domain(), lambda n: count_of(F.col("p"), n).cast("tinyint")).alias("codes"))
+
+    def code(block: Block) -> pa.Table:
+        some = block.idx >= width
+        own = pa.table({"game": block.rows.column("game").filter(pa.array(some)), "idx": block.idx[some] - width})
+        return own.append_column("codes", lists(block.count(-width, 0)[some].astype(np.int8)))
+
+    return by_chunk(log, [], width, 0, code, "game string, idx long, codes array<tinyint>")
 
 
 def halves(n: int) -> tuple[int, int]:
