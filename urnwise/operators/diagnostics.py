@@ -185,13 +185,14 @@ def sample_entropy(series: DataFrame) -> DataFrame:
 
 def line_entropy(series: DataFrame) -> DataFrame:
     """Per series: diagonal lines of two or more embedded points (lines), the longest, and the entropy of their lengths (ENTR)."""
-    n = repeats(series).groupBy("game", "n").agg(F.map_from_entries(F.collect_list(F.struct("length", "pairs"))).alias("m"), F.max("length").alias("top"))  # a row for each length
-    count = lambda k: F.coalesce(F.try_element_at("m", k.cast("int")), F.lit(0))
-    exact = F.transform(F.sequence(F.lit(2), F.greatest(F.col("top"), F.lit(3)) - 1), lambda k: count(k + 2) - 2 * count(k + 3) + count(k + 4))
-    rows = n.select("game", "n", F.filter(exact, lambda x: x > 0).alias("x"), F.greatest(F.col("top") - 2, F.lit(0)).alias("longest"))
-    rows = rows.withColumn("lines", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x))
-    entropy = -F.aggregate(F.transform("x", lambda x: x / F.col("lines") * F.log2(x / F.col("lines"))), F.lit(0.0), lambda a, x: a + x)
-    return rows.join(moments(series), ["game", "n"]).where("fine").select("game", "n", "lines", "longest", entropy.alias("ENTR"))
+    keys, n = ["game", "n"], cut(repeats(series))
+    of = lambda less, k: F.struct((F.col("length") - less).alias("l"), (F.col("pairs") * k).alias("k"))
+    exact = n.select(*keys, F.explode(F.array(of(2, 1), of(3, -2), of(4, 1))).alias("x")).groupBy(*keys, "x.l").agg(F.sum("x.k").alias("k")).where("l >= 2 and k > 0")
+    sums = exact.groupBy(*keys).agg(F.sum("k").alias("lines"), F.sum(F.col("k") * F.log2("k")).alias("s"))
+    tops = n.groupBy(*keys).agg(F.greatest(F.max("length") - 2, F.lit(0)).alias("longest"))
+    entropy = F.coalesce(F.log2("lines") - F.col("s") / F.col("lines"), F.lit(0.0))
+    rows = tops.join(sums, keys, "left").select(*keys, F.coalesce("lines", F.lit(0)).alias("lines"), "longest", entropy.alias("ENTR"))
+    return rows.join(moments(series), keys).where("fine").select(*keys, "lines", "longest", "ENTR")
 
 
 def divergence(series: DataFrame, apart: int = 5, steps: int = 50, fitted: int = 20) -> DataFrame:

@@ -168,17 +168,17 @@ def _moved(idx: np.ndarray, copy: int, seed: int, size: int, a: int, b: int) ->
 PIECE = "game string, copy int, block int, size long, width int, first long, steps binary, codes binary"
 
 
-def _pieces(game: str, copy: int, size: int, p: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+def _pieces(game: str, copy: int, size: int, p: np.ndarray, codes: np.ndarray, width: int = BLOCK) -> pa.RecordBatch:
     """Draws of one copy, in order of their places: a row for each block of numbers, with the steps between places and the values, a byte each."""
     order = np.argsort(p, kind="stable")
     p, codes = p[order], codes[order]
     steps = np.diff(p, prepend=p[:1])
     steps = steps.astype(np.uint16 if len(p) < 2 or steps.max() < 1 << 16 else np.uint32).tobytes()
-    blocks = range(0, codes.shape[1], BLOCK)
+    blocks = range(0, codes.shape[1], width)
     one = lambda x, kind: pa.array([x] * len(blocks), kind)
     return pa.RecordBatch.from_arrays(
-        [one(game, pa.string()), one(copy, pa.int32()), pa.array([k // BLOCK for k in blocks], pa.int32()), one(size, pa.int64()), pa.array([min(BLOCK, codes.shape[1] - k) for k in blocks], pa.int32()),
-         one(int(p[0]), pa.int64()), one(steps, pa.binary()), pa.array([codes[:, k : k + BLOCK].tobytes() for k in blocks], pa.binary())],
+        [one(game, pa.string()), one(copy, pa.int32()), pa.array([k // width for k in blocks], pa.int32()), one(size, pa.int64()), pa.array([min(width, codes.shape[1] - k) for k in blocks], pa.int32()),
+         one(int(p[0]), pa.int64()), one(steps, pa.binary()), pa.array([codes[:, k : k + width].tobytes() for k in blocks], pa.binary())],
         names=["game", "copy", "block", "size", "width", "first", "steps", "codes"],
     )
 
@@ -187,17 +187,23 @@ def _codes_of(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("codes").flatten().to_numpy().astype(np.uint8).reshape(batch.num_rows, -1)
 
 
+def _unpacked(group: pa.Table) -> tuple[dict, np.ndarray]:
+    """(keys of PIECEs that make up one block of numbers, a column for each of its series)."""
+    head = {x: group.column(x)[0].as_py() for x in ("game", "copy", "block", "size", "width")}
+    series = np.zeros((head["size"], head["width"]), np.uint8)
+    for batch in group.select(["first", "steps", "codes"]).to_batches():
+        for first, steps, codes in zip(*batch.columns, strict=True):
+            values = np.frombuffer(codes.as_buffer(), np.uint8).reshape(-1, head["width"])
+            steps = np.frombuffer(steps.as_buffer(), np.uint16 if len(steps.as_buffer()) == 2 * len(values) else np.uint32)
+            series[first.as_py() + np.cumsum(steps, dtype=np.int64)] = values
+    return head, series
+
+
 def _counted(pieces: DataFrame) -> DataFrame:
     """Rows (game, n, copy, size, SUMS) of PIECEs: a task has a few numbers of one copy, a byte for each draw and number."""
 
     def count(group: pa.Table) -> pa.Table:
-        head = {x: group.column(x)[0].as_py() for x in ("game", "copy", "block", "size", "width")}
-        series = np.zeros((head["size"], head["width"]), np.uint8)
-        for batch in group.select(["first", "steps", "codes"]).to_batches():
-            for first, steps, codes in zip(*batch.columns, strict=True):
-                values = np.frombuffer(codes.as_buffer(), np.uint8).reshape(-1, head["width"])
-                steps = np.frombuffer(steps.as_buffer(), np.uint16 if len(steps.as_buffer()) == 2 * len(values) else np.uint32)
-                series[first.as_py() + np.cumsum(steps, dtype=np.int64)] = values
+        head, series = _unpacked(group)
         sums = [_summed(series[:, j]) for j in range(head["width"])]
         one = lambda x, kind: pa.array([head[x]] * len(sums), kind)
         n = head["block"] * BLOCK + 1 + np.arange(len(sums), dtype=np.int32)

@@ -21,6 +21,7 @@ from urnwise.operators import diagnostics as G
 from urnwise.operators import features as X
 from urnwise.operators import hypotheses as H
 from urnwise.operators import learning as L
+from urnwise.operators import packed as P
 from urnwise.operators import recommend as R
 from urnwise.operators import refits as W
 from urnwise.operators import simulation as M
@@ -533,10 +534,6 @@ def changepoints(spark, d):
     return G.changepoints(cut(G.changepoint_series(S.log(spark, d))), 0.9)
 
 
-def _codes(spark, d):
-    return cut(G.codes(S.log(spark, d)))
-
-
 @query
 def recurrence(spark, d):
     return U.own_measures(S.log(spark, d)).drop("sample_entropy")
@@ -549,12 +546,12 @@ def sample_entropy(spark, d):
 
 @query
 def line_entropy(spark, d):
-    return G.line_entropy(_codes(spark, d))
+    return P.line_entropy(S.log(spark, d))
 
 
 @query
 def divergence(spark, d):
-    return G.divergence(_codes(spark, d))
+    return G.divergence(cut(G.codes(S.log(spark, d))))
 
 
 @query
