@@ -551,7 +551,7 @@ def line_entropy(spark, d):
 
 @query
 def divergence(spark, d):
-    return G.divergence(cut(G.codes(S.log(spark, d))))
+    return P.divergence(S.log(spark, d))
 
 
 @query
@@ -568,7 +568,7 @@ def entropy_z(spark, d):
 def diagnostic_report(spark, d):
     ctx = S.log(spark, d)
     own, copies = cut(U.own_measures(ctx)), cut(U.measures(ctx, 100, 7))
-    return G.report(own.drop("sample_entropy"), own.select("game", "n", "sample_entropy"), G.divergence(cut(G.codes(ctx))), G.changepoints(cut(G.changepoint_series(ctx))), U.bounds(copies), U.z_scores(copies.where("copy <= 30")))
+    return G.report(own.drop("sample_entropy"), own.select("game", "n", "sample_entropy"), P.divergence(ctx), G.changepoints(cut(G.changepoint_series(ctx))), U.bounds(copies), U.z_scores(copies.where("copy <= 30")))
 
 
 @query
