@@ -1,7 +1,8 @@
 """Nonlinear diagnostics of the draw log: entropies, recurrence, surrogates, changepoints, divergence.
 
 All run over whole logs and series as Spark windows and aggregations; no series is one task.
-Lengths of repeats come from `suffixes`, shuffled copies from `surrogates`.
+Lengths of repeats come from `suffixes`, shuffled copies from `surrogates`; `packed` has line
+entropy and divergence of the log's own series, a task for each number.
 
 Series are whole numbers on a grid (how many of the last draws hold a number). Where the
 limit under which two stretches count as alike is less than one step, alike is equal, and
