@@ -54,7 +54,7 @@ def test_changepoint_series_equals_plain_counts(monkeypatch, drawn, chunk):
 
 
 def test_no_counting_for_each_draw_in_expressions(drawn):
-    """Words counted as expressions took 0.4 ms for each draw and number."""
+    """Words counted as expressions took 40 microseconds for each draw and number."""
     log = cut(drawn[1])
     for df in (X.number_series(log), X.counts_before(log, 30), G.changepoint_series(log)):
         assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()

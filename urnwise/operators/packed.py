@@ -52,6 +52,15 @@ def each(rows: DataFrame, of: Callable[[np.ndarray], tuple | None], columns: str
     return rows.select("game", "idx", "codes").mapInArrow(pack, U.PIECE).repartition(tasks, "game", "block").groupBy("game", "block").applyInArrow(measure, schema)
 
 
+def _dense(key: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    rank = np.zeros(len(key), np.int32)
+    rank[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=np.int32)
+    return rank
+
+
 def shared(c: np.ndarray) -> np.ndarray:
     """How many values neighbours share in the order of the stretches that begin at each place (see `suffixes`)."""
     n = len(c)
@@ -60,14 +69,16 @@ def shared(c: np.ndarray) -> np.ndarray:
     head = np.zeros(n, np.uint64)
     for k in range(HEAD):
         head = head << np.uint64(8) | ended[k : n + k]
-    levels = [np.unique(head, return_inverse=True)[1].astype(np.int32)]
+    levels = [_dense(head)]
+    del head, ended
     while (top := int(levels[-1].max())) < n - 1:
         apart, rank = HEAD << (len(levels) - 1), levels[-1]
         key = rank.astype(np.int64) * (top + 2)
         key[: max(n - apart, 0)] += rank[apart:].astype(np.int64) + 1
-        levels.append(np.unique(key, return_inverse=True)[1].astype(np.int32))
-    order = np.empty(n, np.int64)
-    order[levels[-1]] = np.arange(n)
+        levels.append(_dense(key))
+        del key
+    order = np.empty(n, np.int32)
+    order[levels[-1]] = np.arange(n, dtype=np.int32)
     a, b = order[:-1].copy(), order[1:].copy()
 
     def agree(values: np.ndarray) -> np.ndarray:
@@ -76,8 +87,9 @@ def shared(c: np.ndarray) -> np.ndarray:
         out[inside] = values[a[inside]] == values[b[inside]]
         return out
 
-    for k in reversed(range(len(levels) - 1)):
-        step = agree(levels[k]) * (HEAD << k)
+    levels.pop()
+    for k in reversed(range(len(levels))):
+        step = agree(levels.pop()) * np.int32(HEAD << k)
         a += step
         b += step
     going = np.ones(len(a), bool)
