@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from urnwise.operators.hypotheses import test, with_p
+from urnwise.cluster import cut
+from urnwise.operators.hypotheses import by_hand, by_hand_family, named_tallies, test, with_p
 from urnwise.operators.sequence import last_draws, running
 from urnwise.operators.tickets import per_game
 
@@ -27,7 +28,27 @@ def walk_forward(predictions: DataFrame, last: int = 50, least_train: int = 30,
     rows = running(counted, "game", {"tentativas": some.cast("long"), "acertos": (some & F.arrays_overlap("pred", "dezenas")).cast("long"), "previstos": F.when(some, F.size("pred")).otherwise(0).cast("long")}, by=("nome",))
     # totals before the target: without its own draw
     rows = rows.withColumn("tentativas", F.col("tentativas") - some.cast("long")).withColumn("acertos", F.col("acertos") - (some & F.arrays_overlap("pred", "dezenas")).cast("long")).withColumn("previstos", F.col("previstos") - F.when(some, F.size("pred")).otherwise(0))
-    targets = last_draws(rows, "game", last).where(F.col("idx") >= least_train)
+    return _tested(last_draws(rows, "game", last).where(F.col("idx") >= least_train), p)
+
+
+def walk_forward_by_hand(ctx: DataFrame, last: int = 50, least_train: int = 30, p: float = 0.15) -> DataFrame:
+    """walk_forward(by_hand_family(ctx)) where only predictions of the last draws become rows: draws before them are counted as they are read."""
+    top = ctx.groupBy("game").agg((F.max("idx") - last).alias("_from"))
+    split = ctx.join(F.broadcast(top), "game")  # one row for each game
+    sums = ("tentativas", "acertos", "previstos")
+    old = named_tallies(split.where("idx <= _from").drop("_from"), {n: x for n, (_, x) in by_hand().items()})
+    old = F.broadcast(old.select("game", "nome", *(F.col(c).alias(f"_{c}") for c in sums)))  # a row for each game and predictor
+    late = by_hand_family(split.where("idx > greatest(_from, 0)").drop("_from")).drop("cat")
+    some = F.coalesce(F.size("pred"), F.lit(0)) > 0
+    own = {"tentativas": some.cast("long"), "acertos": (some & F.arrays_overlap("pred", "dezenas")).cast("long"), "previstos": F.when(some, F.size("pred")).otherwise(0).cast("long")}
+    before = Window.partitionBy("game", "nome").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)  # `last` rows
+    rows = late.join(old, ["game", "nome"], "left")
+    rows = rows.select("game", "numero", "idx", "dezenas", "nome", "pred", *((F.coalesce(f"_{c}", F.lit(0)) + F.coalesce(F.sum(x).over(before), F.lit(0))).alias(c) for c, x in own.items()))
+    return _tested(cut(rows.where(F.col("idx") >= least_train)), p)
+
+
+def _tested(targets: DataFrame, p: float) -> DataFrame:
+    """walk_forward of the target draws' predictions, with the tallies before each."""
     keyed = targets.select(F.col("game"), F.concat_ws("@", "nome", "idx").alias("nome"), "tentativas", "acertos", "previstos")
     tested = with_p(test(keyed)).where(F.col("p_valor") < p).withColumn("w", (1 - F.col("p_valor")) * F.abs(F.col("lift") - 1) * F.when(F.col("lift") > 1, 1.0).otherwise(-0.5))
     weights = tested.select("game", F.substring_index("nome", "@", 1).alias("nome"), F.substring_index("nome", "@", -1).cast("long").alias("idx"), "w")

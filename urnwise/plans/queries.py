@@ -620,7 +620,7 @@ def one_hot(spark, d):
 
 @query
 def walk_forward(spark, d):
-    return V.walk_forward(H.by_hand_family(cut(S.with_order(S.ctx(spark, d), spark, d))).drop("cat"))
+    return V.walk_forward_by_hand(cut(S.with_order(S.ctx(spark, d), spark, d)))
 
 
 @query
