@@ -7,17 +7,18 @@ until it is back (no more steps than there are such places). So no copy is sorte
 numbered or joined, and one bijection shuffles all numbers of a game.
 
 What a copy is measured by are counts of equal stretches of three, four and five values
-(`diagnostics` says why). A task places some draws in all copies and hands on, for each
-copy and a few numbers, their places (sorted, as steps) and values, a byte each; these
-meet by copy and block of numbers, where a table of all stretches of five is counted,
-whose margins are those of four and three. So no row is a draw of a copy, and a task's
-memory is BLOCK bytes for each draw and one table.
+(`diagnostics` says why). A task gets a game's draws as words of bits and makes some copies
+of all series itself (`log_counts`); for each, a table of all stretches of five is counted,
+whose margins are those of four and three. So no row is a draw of a copy, and what moves
+between tasks doesn't grow with the numbers. `copied_counts` does the same from rows with
+values, whose placed bytes move; tests hold one against the other.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urnwise.cluster import cut, ship
+from urnwise.games import GAMES
 from urnwise.operators.blocks import Block, by_chunk, lists
 
 #: The modulus and the multipliers of the rounds' function, and how many rounds there are.
@@ -87,11 +89,12 @@ def permuted(rows: DataFrame, copies: int, seed: int) -> DataFrame:
 
 
 KINDS = (3, 4, 5)
-SUMS = ("n3", "n4", "n5", "vertical", *(f"o{i}" for i in range(8)), "m2", "m3")
+SUMS = ("n3", "n4", "n5", "vertical", *(f"o{i}" for i in range(8)), "m2", "m3", "s1", "s2")
 
 
 def _pairs(counts: np.ndarray) -> int:
-    return int((counts * (counts - 1) // 2).sum())
+    counts = counts.ravel()
+    return (int(np.dot(counts, counts)) - int(counts.sum())) // 2
 
 
 def _runs(ordered: np.ndarray) -> np.ndarray:
@@ -100,45 +103,47 @@ def _runs(ordered: np.ndarray) -> np.ndarray:
 
 def _summed(c: np.ndarray) -> list[int]:
     """SUMS of one series of small whole numbers; m2 and m3 leave out the last stretch, which nothing follows."""
-    c = c.astype(np.uint8) - np.uint8(c.min())
+    c = c.astype(np.uint8)
+    c -= c.min()
     n, b = len(c), int(c.max()) + 1
     base = b + 1  # b stands beyond the end, so stretches that reach there are each alone
     ended = np.concatenate([c, np.full(4, b, np.uint8)])
+    kind = np.int32 if base**5 < 1 << 31 else np.int64
 
     def stretch(first: int, last: int) -> np.ndarray:
-        value = ended[first:last].astype(np.int64)
-        for k in range(1, 5):
-            value *= base
-            value += ended[first + k : last + k]
-        return value
+        value = ended[first : last + 4].astype(kind)
+        two = value[:-1] * kind(base) + value[1:]
+        four = two[:-2] * kind(base**2) + two[2:]
+        return four[:-1] * kind(base) + value[4:]
 
-    parts = range(0, n, PART)
+    same = np.arange(b)
+    alike = same * (base**3 + base**2 + base + 1)  # four equal values
     if base**5 <= max(8 * n, 1 << 16):
+        part = max(PART, base**5)  # no table is added more often than it has places
         five = np.zeros(base**5, np.int64)
-        for first in parts:
-            five += np.bincount(stretch(first, min(n, first + PART)), minlength=base**5)
+        for first in range(0, n, part):
+            five += np.bincount(stretch(first, min(n, first + part)), minlength=base**5)
         four = five.reshape(-1, base).sum(axis=1)
         three, n4, n5 = four.reshape(-1, base).sum(axis=1), _pairs(four), _pairs(five)
+        equal4, equal5 = four[alike], five[alike * base + same]
     else:
-        value = np.concatenate([stretch(first, min(n, first + PART)) for first in parts])
+        value = np.concatenate([stretch(first, min(n, first + PART)) for first in range(0, n, PART)])
         value.sort()
         n5, n4 = _pairs(_runs(value)), _pairs(_runs(value // base))
         three = np.bincount(value // base**2, minlength=base**3)
+        held = lambda low, high: np.searchsorted(value, high) - np.searchsorted(value, low)
+        equal4, equal5 = held(alike * base, (alike + 1) * base), held(alike * base + same, alike * base + same + 1)
     cube = three.reshape(base, base, base)[:b, :b, :b]
-    # equal neighbours among points of three are runs of four equal values or more
-    at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    run = np.diff(np.append(at, n))
-    at, run = at[run > 3], run[run > 3]
-    lines = np.bincount(c[at], run - 2, b).astype(np.int64)
-    same = np.arange(b)
-    vertical = int((cube[same, same, same] * lines).sum() - run.sum())
+    # equal neighbours among points of three are runs of four equal values or more: a run of k has k - 3 stretches of four and k - 4 of five
+    vertical = int((cube[same, same, same] * (2 * equal4 - equal5)).sum() - (4 * equal4 - 3 * equal5).sum())
     x, y, z = np.ogrid[:b, :b, :b]
     pattern = (x <= y) + 2 * (y <= z).astype(np.int64) + 4 * (x <= z)
-    order = np.bincount(pattern.ravel(), cube.ravel(), 8).astype(np.int64)
+    order = [int(cube[pattern == k].sum()) for k in range(8)]
     followed = cube.copy()
     if n > 2:
         followed[tuple(c[-3:])] -= 1
-    return [_pairs(cube), n4, n5, vertical, *order.tolist(), _pairs(cube.sum(axis=2)), _pairs(followed)]
+    held = three.reshape(base, -1).sum(axis=1)[:b]
+    return [_pairs(cube), n4, n5, vertical, *order, _pairs(cube.sum(axis=2)), _pairs(followed), int((held * same).sum()), int((held * same * same).sum())]
 
 
 def _moved(idx: np.ndarray, copy: int, seed: int, size: int, a: int, b: int) -> np.ndarray:
@@ -165,6 +170,7 @@ def _moved(idx: np.ndarray, copy: int, seed: int, size: int, a: int, b: int) ->
     return p
 
 
+COUNTS = "game string, n int, copy int, size long, " + ", ".join(f"{x} long" for x in SUMS)
 PIECE = "game string, copy int, block int, size long, width int, first long, steps binary, codes binary"
 
 
@@ -209,11 +215,11 @@ def _counted(pieces: DataFrame) -> DataFrame:
         n = head["block"] * BLOCK + 1 + np.arange(len(sums), dtype=np.int32)
         return pa.table([one("game", pa.string()), pa.array(n), one("copy", pa.int32()), one("size", pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*sums, strict=True))], names=["game", "n", "copy", "size", *SUMS])
 
-    return pieces.groupBy("game", "copy", "block").applyInArrow(count, "game string, n int, copy int, size long, " + ", ".join(f"{x} long" for x in SUMS))
+    return pieces.groupBy("game", "copy", "block").applyInArrow(count, COUNTS)
 
 
 def stretch_counts(placed: DataFrame, chunk: int | None = None) -> DataFrame:
-    """Rows (game, n, copy, size, SUMS) of rows (game, copy, p, size, codes): pairs of equal stretches of 3, 4, 5 values, points beside vertical lines, how many points have each order of three values, and pairs of 2 and 3 values that another follows.
+    """Rows (game, n, copy, size, SUMS) of rows (game, copy, p, size, codes): pairs of equal stretches of 3, 4, 5 values, points beside vertical lines, how many points have each order of three values, pairs of 2 and 3 values that another follows, and sums of values above the least and of their squares.
 
     chunk: rows of one batch that are packed at once.
     """
@@ -256,27 +262,98 @@ def copied_counts(rows: DataFrame, copies: int, seed: int) -> DataFrame:
     return _counted(rows.select("game", "idx", "codes").mapInArrow(place, PIECE))
 
 
-def _fine(rows: DataFrame) -> DataFrame:
-    """Per series of rows (game, idx, codes), whether both limits are less than one step; a row for each series."""
-    from urnwise.operators.diagnostics import RECURRENCE_LIMIT, SAMPLE_LIMIT
+#: The eight numbers of each value of a byte of bits, a byte for each.
+SPREAD_BITS = (np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).view(np.uint64).ravel()
+#: Copies that a task makes.
+SHARE = 4
+
 
-    limit = max(SAMPLE_LIMIT, RECURRENCE_LIMIT)
-    spread = rows.select("game", F.posexplode("codes").alias("n", "c")).groupBy("game", (F.col("n") + 1).alias("n")).agg((F.stddev_pop("c") * limit < 1).alias("fine"))
-    return F.broadcast(spread)
+def log_counts(log: DataFrame, copies: int, seed: int, width: int = 30) -> DataFrame:
+    """copied_counts(coded(log, width), copies, seed) from the draws' bits: what moves is eight bytes of a draw for each SHARE copies.
+
+    A task places the series of some copies itself, eight numbers at once, and counts them one by
+    one; it holds some sixty bytes for each draw of a game.
+    """
+    spark = log.sparkSession
+    ship(spark)
+    sizes = {r["game"]: (r["n"], *halves(r["n"])) for r in log.groupBy("game").agg((F.max("idx") + 1 - width).alias("n")).where("n > 0").collect()}  # one for each game
+    bytes_of = {g: range(GAMES[g].m // 8 + 1) for g in sizes}
+    # few copies are dealt by numbers as well
+    parts = {g: [(k, list(x)) for k in range(0, copies + 1, SHARE) for x in ([[j] for j in bytes_of[g]] if copies < SHARE else [bytes_of[g]])] for g in sizes}
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by("idx")
+        return pa.table({"game": group.column("game")[:1], "chunk": group.column("chunk")[:1], "bits": pa.array([group.column("mask").to_numpy().tobytes()], pa.binary())})
+
+    def count(game: str, part: int, bits: np.ndarray) -> pa.RecordBatch:
+        size, m, (first, own) = sizes[game], GAMES[game].m, parts[game][part]
+        made: list[tuple] = []
+        for copy in range(first, min(first + SHARE, copies + 1)):
+            places = np.empty(size[0] if copy else 0, np.int32 if size[0] < 1 << 31 else np.int64)
+            for k in range(0, len(places), CHUNK):
+                places[k : k + CHUNK] = _moved(np.arange(k, min(k + CHUNK, size[0])), copy, seed, *size)
+            for j in own:
+                codes = np.empty(size[0], np.uint64)
+                for k in range(0, size[0], CHUNK):
+                    some = bits[k : k + CHUNK + width, j]  # draw i's count is over the `width` rows from i on, as idx begins at the first full window
+                    sums = np.zeros(len(some) + 1, np.uint64)
+                    np.cumsum(SPREAD_BITS[some], out=sums[1:])
+                    value = (sums[width:] - sums[:-width])[: min(CHUNK, size[0] - k)]  # no count exceeds a byte
+                    codes[places[k : k + CHUNK] if copy else slice(k, k + CHUNK)] = value
+                columns = codes.view(np.uint8).reshape(-1, 8)
+                made += [(8 * j + k, copy, *_summed(columns[:, k])) for k in range(8) if 1 <= 8 * j + k <= m]
+        n, of, *values = zip(*made, strict=True)
+        one = lambda x, kind: pa.array([x] * len(made), kind)
+        return pa.RecordBatch.from_arrays([one(game, pa.string()), pa.array(n, pa.int32()), pa.array(of, pa.int32()), one(size[0], pa.int64()), *(pa.array(x, pa.int64()) for x in values)], names=["game", "n", "copy", "size", *SUMS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}  # mostly of one part
+        for batch in batches:
+            for game, chunk, part, bits in zip(*(batch.column(c) for c in ("game", "chunk", "part", "bits")), strict=True):
+                key, bits, at = (game.as_py(), part.as_py()), np.frombuffer(bits.as_buffer(), np.uint8).reshape(-1, 8), chunk.as_py() * CHUNK
+                if key not in held:
+                    held[key] = np.zeros((sizes[key[0]][0] + width, 8), np.uint8)
+                held[key][at : at + len(bits)] = bits
+        for key in sorted(held):
+            yield count(*key, held.pop(key))
+
+    if not sizes:
+        return spark.createDataFrame([], COUNTS)
+    packed = log.where(F.col("game").isin(list(sizes))).select("game", F.col("idx").cast("long").alias("idx"), "mask", F.expr(f"idx div {CHUNK}").alias("chunk"))
+    packed = cut(packed.groupBy("game", "chunk").applyInArrow(pack, "game string, chunk long, bits binary"))
+    each = reduce(lambda a, b: a.when(F.col("game") == b, F.lit(len(parts[b]))), sizes, F).otherwise(F.lit(0))
+    dealt = packed.withColumn("part", F.explode(F.sequence(F.lit(0), each - 1)))
+    tasks = sum(map(len, parts.values()))  # each is work for a task
+    slot = sum((F.when(F.col("game") == g, F.col("part") + sum(len(parts[x]) for x in list(sizes)[:i])).otherwise(0) for i, g in enumerate(sizes)), F.lit(0))
+    return dealt.repartitionById(tasks, slot.cast("int")).mapInArrow(run, COUNTS)
 
 
 def own_measures(log: DataFrame, width: int = 30) -> DataFrame:
     """Rows (game, n, points, entropy, RR, DET, LAM, sample_entropy) of every number's series: `diagnostics.recurrence` and `sample_entropy` of `codes(log, width)`, from packed series."""
-    return _measured(cut(coded(log, width)), 0, 0).select("game", "n", F.col("size").alias("points"), F.col("PE").alias("entropy"), "RR", "DET", "LAM", "sample_entropy")
+    return own_of(_measured(log, 0, 0, width))
+
+
+def own_of(rows: DataFrame) -> DataFrame:
+    """The series themselves among rows of `all_measures`."""
+    return rows.where("copy = 0").select("game", "n", F.col("size").alias("points"), F.col("PE").alias("entropy"), "RR", "DET", "LAM", "sample_entropy")
 
 
 def measures(log: DataFrame, copies: int, seed: int, width: int = 30) -> DataFrame:
     """Rows (game, n, copy, PE, DET, LAM, RR) of every number's series (copy 0) and its copies; recurrence is null where its limit reaches a step of the grid."""
-    return _measured(cut(coded(log, width)), copies, seed).select("game", "n", "copy", "PE", "DET", "LAM", "RR")
+    return _measured(log, copies, seed, width).select("game", "n", "copy", "PE", "DET", "LAM", "RR")
+
 
+def all_measures(log: DataFrame, copies: int, seed: int, width: int = 30) -> DataFrame:
+    """Rows of `measures`, also with size, RR and sample entropy, written once."""
+    return cut(_measured(log, copies, seed, width))
+
+
+def _measured(log: DataFrame, copies: int, seed: int, width: int) -> DataFrame:
+    from urnwise.operators.diagnostics import RECURRENCE_LIMIT, SAMPLE_LIMIT
 
-def _measured(rows: DataFrame, copies: int, seed: int) -> DataFrame:
-    counts = copied_counts(rows, copies, seed).join(_fine(rows), ["game", "n"])
+    counts = log_counts(log, copies, seed, width)
+    spread = F.sqrt((F.col("size") * F.col("s2") - F.col("s1") * F.col("s1")).cast("double")) / F.col("size")
+    counts = counts.withColumn("fine", spread * max(SAMPLE_LIMIT, RECURRENCE_LIMIT) < 1)  # both limits are less than one step
     total = sum((F.col(f"o{i}") for i in range(8)), F.lit(0))
     entropy = -sum((F.when(F.col(f"o{i}") > 0, F.col(f"o{i}") / total * F.log2(F.col(f"o{i}") / total)).otherwise(0.0) for i in range(8)), F.lit(0.0)) / math.log2(6)
     of = lambda x: F.when(F.col("fine"), F.when(F.col("n3") > 0, x).otherwise(0.0))
