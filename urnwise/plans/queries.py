@@ -567,7 +567,8 @@ def entropy_z(spark, d):
 @query
 def diagnostic_report(spark, d):
     ctx = S.log(spark, d)
-    own, copies = cut(U.own_measures(ctx)), cut(U.measures(ctx, 100, 7))
+    copies = U.all_measures(ctx, 100, 7)
+    own = U.own_of(copies)
     return G.report(own.drop("sample_entropy"), own.select("game", "n", "sample_entropy"), P.divergence(ctx), G.changepoints(cut(G.changepoint_series(ctx))), U.bounds(copies), U.z_scores(copies.where("copy <= 30")))
 
 
