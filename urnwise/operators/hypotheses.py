@@ -17,7 +17,7 @@ of them; no plan has a column for each hypothesis.
 """
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -162,30 +162,31 @@ def binary_family(ctx: DataFrame) -> DataFrame:
     return rows.select("game", "numero", "idx", "dezenas", F.concat_ws(".", "f", "o.op").alias("nome"), F.array(wrap(F.col("o.r"), F.col("m"))).alias("pred"))
 
 
-def _counted(rows: DataFrame, keys: list[str], hit: dict[str, Column], since: int | None, low: DataFrame | None) -> DataFrame:
-    """Per game and keys: draws and hits of every operation, for predictions of one number each; rows hold draws after the first."""
-    sums = [F.count("*").alias("n"), *(F.sum(h).alias(f"hit_{op}") for op, h in hit.items())]
-    if since is not None:
-        rows = rows.join(F.broadcast(low), "game")  # one row for each game
-        late = F.col("idx") > F.col("_low")
-        sums += [F.count_if(late).alias("n_recente"), *(F.sum(F.when(late, h).otherwise(0)).alias(f"hit_{op}_recente") for op, h in hit.items())]
-    per = rows.groupBy("game", *keys).agg(*sums)
-    one = lambda op, tail: [F.col(f"n{tail}").alias(f"tentativas{tail}"), F.col(f"hit_{op}{tail}").alias(f"acertos{tail}"), F.col(f"n{tail}").alias(f"previstos{tail}")]
-    each = F.array(*(F.struct(F.lit(op).alias("op"), *one(op, ""), *(one(op, "_recente") if since is not None else ())) for op in hit))
-    return per.select("game", *keys, F.explode(each).alias("x")).select("game", *keys, "x.*")
-
-
 def _lows(ctx: DataFrame, since: int | None) -> DataFrame | None:
     return None if since is None else ctx.groupBy("game").agg(F.greatest(F.max("idx") + 1 - since, F.lit(0)).alias("_low"))
 
 
-def unary_tallies(ctx: DataFrame, since: int | None = None) -> DataFrame:
-    """tallies(unary_family(ctx), since), counted by numbers of fields and a bit test for each operation; names are made last."""
-    f, m = fields(), size_of()
-    rows = ctx.where("idx > 0").select("game", "idx", "mask", m.alias("m"), F.posexplode(F.array(*(f[n] for n in FIELDS))).alias("f", "v"))
-    hit = {op: bit_of(F.col("mask"), wrap(do(F.col("v")).cast("long"), F.col("m"))) for op, do in UNARY.items()}
-    per = _counted(rows, ["f"], hit, since, _lows(ctx, since))
-    return per.withColumn("nome", F.concat_ws(".", F.element_at(F.array(*map(F.lit, FIELDS)), F.col("f") + 1), "op")).drop("f", "op")
+def _reversed(v: np.ndarray) -> np.ndarray:
+    """The digits in reverse order, of at least two digits."""
+    out, rest = np.zeros_like(v), v.copy()
+    while (going := rest > 0).any():
+        out = np.where(going, out * 10 + rest % 10, out)
+        rest //= 10
+    return np.where(v < 10, v * 10, out)
+
+
+def _digit_sum(v: np.ndarray) -> np.ndarray:
+    out, rest = np.zeros_like(v), v.copy()
+    while rest.any():
+        out += rest % 10
+        rest //= 10
+    return out
+
+
+def _unary_results(v: np.ndarray) -> dict[str, np.ndarray]:
+    """UNARY on an array of numbers that are not negative."""
+    root = np.floor(np.sqrt(v.astype(np.float64))).astype(np.int64)
+    return {"id": v, "mod10": v % 10, "mod7": v % 7, "inv": _reversed(v), "dsum": _digit_sum(v), "sqrt": root, "log2": np.where(v > 0, np.frexp(v.astype(np.float64))[1].astype(np.int64) - 1, 0), "x2": v * 2, "half": v // 2}
 
 
 def _pair_results(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
@@ -193,10 +194,10 @@ def _pair_results(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
     return {"add": a + b, "sub": np.abs(a - b), "mul": a * b, "xor": a ^ b, "mod": np.where(b != 0, a % np.where(b != 0, b, 1), 0)}
 
 
-def binary_tallies(ctx: DataFrame, since: int | None = None) -> DataFrame:
-    """tallies(binary_family(ctx), since): tasks count the pairs of fields of their draws at once and hand on a row for each game, pair and operation."""
+def _family_tallies(ctx: DataFrame, names: list[str], results: Callable[[np.ndarray], Iterator[np.ndarray]], since: int | None) -> DataFrame:
+    """Tallies of predictions of one number each: tasks count results(fields of their draws, a row for each field) in the order of names, and hand on a row for each game and name."""
     ship(ctx.sparkSession)
-    f, pairs = fields(), list(combinations(range(len(FIELDS)), 2))
+    f = fields()
     rows = ctx.where("idx > 0")
     late = F.lit(False)
     if since is not None:
@@ -211,27 +212,39 @@ def binary_tallies(ctx: DataFrame, since: int | None = None) -> DataFrame:
                 own = batch.filter(pc.equal(batch.column("game"), game))
                 m, mask = own.column("m")[0].as_py(), own.column("mask").to_numpy()
                 recent, v = own.column("late").to_numpy(zero_copy_only=False), own.column("v").flatten().to_numpy().reshape(own.num_rows, -1).T.copy()
-                out = np.zeros((len(pairs), len(BINARY), 3), np.int64)  # hits, recent draws, hits among those
-                for k, (a, b) in enumerate(pairs):
-                    for o, r in enumerate(_pair_results(v[a], v[b]).values()):
-                        r = r % m
-                        r[r == 0] = m
-                        hit = (mask >> r & 1).astype(bool)
-                        out[k, o] = hit.sum(), recent.sum(), (hit & recent).sum()
+                out, some = np.zeros((len(names), 3), np.int64), recent.any()  # hits, recent draws, hits among those
+                out[:, 1] = recent.sum()
+                for k, r in enumerate(results(v)):
+                    r = r % m
+                    r[r == 0] = m
+                    hit = (mask >> r & 1).astype(bool)
+                    out[k, 0] = np.count_nonzero(hit)
+                    if some:
+                        out[k, 2] = np.count_nonzero(hit & recent)
                 n, total = sums.get(game, (0, 0))
                 sums[game] = n + own.num_rows, total + out
         for game, (n, total) in sums.items():
-            k, o = np.divmod(np.arange(len(pairs) * len(BINARY)), len(BINARY))
-            columns = [pa.array([game] * len(k)), pa.array(k.astype(np.int32)), pa.array(o.astype(np.int32)), pa.array(np.full(len(k), n)), *map(pa.array, total.reshape(-1, 3).T.copy())]
-            yield pa.RecordBatch.from_arrays(columns, names=["game", "k", "o", "n", "hits", "late", "late_hits"])
+            k = np.arange(len(names), dtype=np.int32)
+            columns = [pa.array([game] * len(k)), pa.array(k), pa.array(np.full(len(k), n)), *map(pa.array, total.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["game", "k", "n", "hits", "late", "late_hits"])
 
-    made = rows.mapInArrow(count, "game string, k int, o int, n long, hits long, late long, late_hits long")
-    per = made.groupBy("game", "k", "o").agg(*(F.sum(c).alias(c) for c in ("n", "hits", "late", "late_hits")))
-    name = F.concat(F.element_at(F.array(*(F.lit(f"{FIELDS[a]}+{FIELDS[b]}.") for a, b in pairs)), F.col("k") + 1), F.element_at(F.array(*map(F.lit, BINARY)), F.col("o") + 1))
+    made = rows.mapInArrow(count, "game string, k int, n long, hits long, late long, late_hits long")
+    per = made.groupBy("game", "k").agg(*(F.sum(c).alias(c) for c in ("n", "hits", "late", "late_hits")))
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1)
     recent = [F.col("late").alias("tentativas_recente"), F.col("late_hits").alias("acertos_recente"), F.col("late").alias("previstos_recente")] if since is not None else []
     return per.select("game", F.col("n").alias("tentativas"), F.col("hits").alias("acertos"), F.col("n").alias("previstos"), *recent, name.alias("nome"))
 
 
+def unary_tallies(ctx: DataFrame, since: int | None = None) -> DataFrame:
+    """tallies(unary_family(ctx), since), counted by tasks."""
+    return _family_tallies(ctx, unary_names(), lambda v: (r for x in v for r in _unary_results(x).values()), since)
+
+
+def binary_tallies(ctx: DataFrame, since: int | None = None) -> DataFrame:
+    """tallies(binary_family(ctx), since), counted by tasks."""
+    return _family_tallies(ctx, binary_names(), lambda v: (r for a, b in combinations(v, 2) for r in _pair_results(a, b).values()), since)
+
+
 def programmatic_names() -> list[str]:
     return unary_names() + binary_names() + set_names() + window_names()
 
